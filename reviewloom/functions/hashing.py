@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Size of the bucket space: the first four bytes of a SHA-256 digest.
 BUCKET_SPACE = 1 << 32
@@ -33,7 +34,7 @@ def canonical_json(line: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_checksum(raw: pd.Series) -> pd.Series:
     """SHA-256 of the canonical JSON of each raw line (Arrow batches; null for broken lines)."""
     forms = raw.map(canonical_json)
