@@ -4,22 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import url_filters
+from reviewloom.llm import license_scan, url_filters
 from reviewloom.llm.shared import table
 
 #: Rules of op10: host, path, verdict.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf, "documents"), license_scan.known_digests(spark))
+
+
 def op10_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf, "pages"), url_filters.rule_table(spark, URL_RULES))
 
 
-QUERIES = {"op10_url_filters": op10_url_filters}
+QUERIES = {
+    "op3_license_scan": op3_license_scan,
+    "op10_url_filters": op10_url_filters,
+}
+
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical form of :mod:`reviewloom.llm.license_scan` in DuckDB."""
+    low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    low = f"regexp_replace({low}, '{license_scan.COPYRIGHT_LINE}', chr(10), 'g')"
+    out = f"' ' || trim(regexp_replace({low}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    for words, one in license_scan.SPELLINGS:
+        out = f"replace({out}, ' {words} ', ' {one} ')"
+    return f"trim({out})"
+
 
+_KNOWN_SQL = ", ".join(f"('{i}', '{t}')" for i, t in license_scan.KNOWN)
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLES = {
+    "op3_license_scan": f"""
+WITH k AS (SELECT c, min(license) AS license FROM (SELECT license, {_canonical_sql("body")} AS c FROM (VALUES {_KNOWN_SQL}) v(license, body)) GROUP BY c),
+d AS (SELECT row_number() OVER () AS n, doc_id, text FROM documents),
+t AS (SELECT n, k.license AS of_text FROM (SELECT n, {_canonical_sql("text")} AS c FROM d) x JOIN k USING (c)),
+l AS (SELECT n, count(*) AS n_lines, string_agg(DISTINCT k.license, ';' ORDER BY k.license) AS of_lines FROM
+  (SELECT n, {_canonical_sql("line")} AS c FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM d WHERE contains(text, chr(10)))) x JOIN k USING (c) GROUP BY n)
+SELECT doc_id, coalesce(of_text, of_lines) AS license, CASE WHEN of_text IS NOT NULL THEN 'text' WHEN n_lines > 0 THEN 'line' END AS scope,
+  CASE WHEN of_text IS NOT NULL THEN 1 ELSE coalesce(n_lines, 0) END::BIGINT AS n_notices
+FROM d LEFT JOIN t USING (n) LEFT JOIN l USING (n)""",
     "op10_url_filters": rf"""
 WITH rules(rhost, rpath, rverdict) AS (VALUES {_RULES_SQL}),
 u AS (SELECT row_number() OVER () AS n, page_id,
