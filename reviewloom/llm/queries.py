@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import license_scan, url_filters
+from reviewloom.llm import license_scan, quality_rules, url_filters
 from reviewloom.llm.shared import table
 
 #: Rules of op10: host, path, verdict.
@@ -15,12 +15,17 @@ def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf, "documents"), license_scan.known_digests(spark))
 
 
+def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf, "pages"), url_filters.rule_table(spark, URL_RULES))
 
 
 QUERIES = {
     "op3_license_scan": op3_license_scan,
+    "op5_quality_rules": op5_quality_rules,
     "op10_url_filters": op10_url_filters,
 }
 
@@ -49,6 +54,22 @@ l AS (SELECT n, count(*) AS n_lines, string_agg(DISTINCT k.license, ';' ORDER BY
 SELECT doc_id, coalesce(of_text, of_lines) AS license, CASE WHEN of_text IS NOT NULL THEN 'text' WHEN n_lines > 0 THEN 'line' END AS scope,
   CASE WHEN of_text IS NOT NULL THEN 1 ELSE coalesce(n_lines, 0) END::BIGINT AS n_notices
 FROM d LEFT JOIN t USING (n) LEFT JOIN l USING (n)""",
+    "op5_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT n, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, string_split(t, chr(10)) AS ls FROM d),
+f AS (SELECT n, doc_id, t, ls, len(ws) AS n_words, list_sum(list_transform(ws, lambda x: length(x)))::BIGINT AS wc, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines FROM w),
+g AS (SELECT n, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),
+h AS (SELECT n, i, array_to_string(ws[i:i+4], ' ') AS win FROM g),
+r AS (SELECT n, i FROM h QUALIFY count(*) OVER (PARTITION BY n, win) > 1),
+c AS (SELECT n, count(DISTINCT i + k) AS n_repeat FROM r, range(0, 5) o(k) GROUP BY n),
+m AS (SELECT doc_id, t, ls, n_words::BIGINT AS n_words, coalesce(wc, 0) AS word_chars, n_symbols::BIGINT AS n_symbols,
+  (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words FROM f LEFT JOIN c USING (n))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols * 10 > n_words * 3 OR n_dup_lines * 10 > len(ls) * 3
+    OR word_chars < n_words * 2 OR word_chars > n_words * 25 OR (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) * 100 > word_chars * 50
+    OR regexp_matches(t, '[^\x20\x09-\x0D]{1000}')) AS kept FROM m""",
     "op10_url_filters": rf"""
 WITH rules(rhost, rpath, rverdict) AS (VALUES {_RULES_SQL}),
 u AS (SELECT row_number() OVER () AS n, page_id,
