@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import license_scan, quality_rules, url_filters
+from reviewloom.llm import license_scan, quality_rules, sharding, url_filters
 from reviewloom.llm.shared import table
 
 #: Rules of op10: host, path, verdict.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+def op1_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf, "documents"), shards=8)
+
+
 def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf, "documents"), license_scan.known_digests(spark))
 
@@ -24,6 +28,7 @@ def op10_url_filters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op3_license_scan": op3_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op10_url_filters": op10_url_filters,
