@@ -70,12 +70,36 @@ def _words(canon: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license, n_words) of the canonical forms; a digest that two licences share takes the first by name."""
+    """(digest, license, canon, n_words) of the canonical forms; a digest that two licences share takes the first by name."""
     rows = spark.range(0).select(F.lit("").alias("license"), F.lit("").alias("body"))
     if known:
         rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("license"), F.lit(t).alias("body")) for i, t in known])))
     rows = rows.withColumn("canon", canonical(F.col("body"))).where("canon <> ''")
-    return rows.groupBy(F.sha2("canon", 256).alias("digest")).agg(F.min("license").alias("license"), F.first(_words(F.col("canon"))).alias("n_words"))
+    return rows.groupBy(F.sha2("canon", 256).alias("digest")).agg(F.min("license").alias("license"), F.first("canon").alias("canon"), F.first(_words(F.col("canon"))).alias("n_words"))
+
+
+def anchors(digests: DataFrame) -> list[str]:
+    """Words of which every known form has at least one, chosen greedily, with all their raw spellings.
+
+    A unit whose lower-cased text contains none of them can't match: a canonical
+    word is a run of the raw text, or comes from one of its spelling variants.
+    The known forms were given by the caller as literals, so their words fit the driver.
+    """
+    forms = [set(r.canon.split(" ")) for r in digests.select("canon").collect()]
+    chosen: list[str] = []
+    while forms:
+        counts: dict[str, int] = {}
+        for f in forms:
+            for w in f:
+                counts[w] = counts.get(w, 0) + 1
+        best = max(counts, key=lambda w: (counts[w] * min(len(w), 8), w))
+        chosen.append(best)
+        forms = [f for f in forms if best not in f]
+    raw = set(chosen)
+    for words, one in SPELLINGS:
+        if raw & set(one.split(" ")):
+            raw.add(max(words.split(" "), key=len))
+    return sorted(raw)
 
 
 def scan_licenses(df: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
@@ -86,14 +110,20 @@ def scan_licenses(df: DataFrame, digests: DataFrame, id_col: str = "doc_id", tex
     only lines of it are, else null; ``n_notices`` counts the matching units: the
     whole text if it matches, else the lines that do. A unit whose canonical form
     has fewer or more words than any known one can't match and gets no digest.
-    ``digests`` is as :func:`known_digests` makes it, of any size; a notice may be
+    ``digests`` is as :func:`known_digests` makes it; a notice may be
     in a third of all documents, so units are salted for the join.
     """
     bound = digests.agg(F.min("n_words").alias("least"), F.max("n_words").alias("most")).first()
     lines = F.split("body", "\n")
     parts = F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>"))
+    # Only texts with a word that every match needs are taken apart.
+    low = F.lower("body")
+    possible = F.lit(False)
+    for word in anchors(digests):
+        possible = possible | F.contains(low, F.lower(F.lit(word)))
     unit = lambda whole, x: F.struct(F.lit(whole).alias("whole"), x.alias("unit"))
-    units = F.concat(F.array(unit(True, F.col("body"))), F.transform(parts, lambda x: unit(False, x)))
+    every = F.concat(F.array(unit(True, F.col("body"))), F.transform(parts, lambda x: unit(False, x)))
+    units = F.when(F.coalesce(possible, F.lit(False)), every).otherwise(F.array(unit(True, F.lit(None).cast("string"))))
     # The row's number is taken before the units are unfolded.
     numbered = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).withColumn("row", F.monotonically_increasing_id())
     rows = numbered.select("row", "id", F.inline(units))
