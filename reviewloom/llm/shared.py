@@ -52,3 +52,27 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in names:
         base = "_" + base
     return base
+
+
+#: A key is hot if it has more than one in HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot keys.
+HOT_SHARE = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins ``left``, whose ``key`` may be skewed, with ``right``, which has each key once.
+
+    Hot keys, fewer than ``HOT_SHARE`` by their definition, are broadcast with
+    their rows of ``right``; the others are joined by a shuffle. ``left`` should
+    be a written table, as it is read for the count too. ``how``: inner or left.
+    """
+    spark = left.sparkSession
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = left.count()
+    hot = [r[0] for r in counts.where(F.col("n") > max(total // HOT_SHARE, 20)).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    keys = F.broadcast(spark.createDataFrame([(k,) for k in hot], f"{key} {left.schema[key].dataType.simpleString()}"))
+    picked = F.broadcast(right.join(keys, key, "left_semi"))
+    some = left.join(keys, key, "left_semi").join(picked, key, how)
+    rest = left.join(keys, key, "left_anti").join(right, key, how)
+    return some.unionByName(rest)
