@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import license_scan, quality_rules, sharding, simhash, url_filters
+from reviewloom.llm import license_scan, packing, quality_rules, sharding, simhash, url_filters
 from reviewloom.llm.shared import table
 
 #: Rules of op10: host, path, verdict.
@@ -23,6 +23,10 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"), size=3, radius=2)
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_license_scan": op3_license_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op6_packing": op6_packing,
     "op9_simhash": op9_simhash,
     "op10_url_filters": op10_url_filters,
 }
