@@ -35,7 +35,7 @@ END_ID = 1
 #: Tokens that a task packs together.
 BLOCK_TOKENS = 4_000_000
 #: Different words whose ids a task remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1 / LENGTH
 
@@ -44,6 +44,13 @@ def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for 256 and up in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds(dict):
     """Ids of white-space separated words, as little-endian 32-bit bytes.
 
@@ -54,13 +61,19 @@ class WordIds(dict):
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        self.model = tokenizer.model
+        self.letters = byte_letters()
 
     def encoded(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+        if len(word) > 1 and word[-1] in ".," and word[-2].lower().isalpha():
             ids = self[word[:-1]] + self[word[-1]]
+        elif word.isalpha() and max(word) < "\u0180" and "\u0130" not in word:
+            # One run of letters that are composed already: only case and the byte alphabet are left to apply.
+            mapped = "".join([self.letters[b] for b in word.lower().encode()])
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
         else:
             ids = self.encoded(word)
         if len(self) >= MEMO_WORDS:

@@ -69,6 +69,14 @@ def test_ids_are_the_tokenizers():
         assert np.frombuffer(memo.of(text), "<u4").tolist() == want, repr(text)[:50]
 
 
+def test_letters_of_many_alphabets():
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    memo = packing.WordIds(t)
+    for c in range(0x21, 0x250):
+        for w in (chr(c), f"a{chr(c)}", f"{chr(c)}B", f"A{chr(c)}."):
+            assert np.frombuffer(memo.of(w), "<u4").tolist() == [*t.encode(w, add_special_tokens=False).ids, 1], (c, w)
+
+
 def test_query(spark, monkeypatch):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = TEXTS + ["some words here"] * 40
