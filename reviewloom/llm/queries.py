@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reviewloom.llm import license_scan, packing, quality_rules, sharding, simhash, url_filters
+from reviewloom.llm import chat_format, license_scan, packing, quality_rules, sharding, simhash, url_filters
 from reviewloom.llm.shared import table
 
 #: Rules of op10: host, path, verdict.
@@ -27,6 +28,16 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
 
 
+#: Conversation -1 of op7: what both turns say.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op7_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    both = F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(CONTROL_TEXT).alias("text")) for i, r in enumerate(("user", "assistant"))])
+    return chat_format.digests(chat_format.format_conversations(turns.unionByName(spark.range(1).select(F.inline(both)))))
+
+
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"), size=3, radius=2)
 
@@ -40,6 +51,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
+    "op7_chat_format": op7_chat_format,
     "op9_simhash": op9_simhash,
     "op10_url_filters": op10_url_filters,
 }
