@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import chat_format, license_scan, packing, quality_rules, sharding, simhash, url_filters
+from reviewloom.llm import chat_format, license_scan, packing, quality_classifier, quality_rules, sharding, simhash, url_filters
 from reviewloom.llm.shared import table
 
 #: Rules of op10: host, path, verdict.
@@ -16,6 +16,15 @@ def op1_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf, "documents"), shards=8)
 
 
+def graded_labels(spark: SparkSession, sf: str) -> DataFrame:
+    grade = quality_classifier.quality_grade(F.col("quality"), F.col("toxic"))
+    return table(spark, sf, "labels").select("doc_id", grade.alias("grade"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf, "documents"), graded_labels(spark, sf))
+
+
 def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf, "documents"), license_scan.known_digests(spark))
 
@@ -48,6 +57,7 @@ def op10_url_filters(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_license_scan": op3_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
