@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import chat_format, license_scan, packing, quality_classifier, quality_rules, sharding, simhash, url_filters
+from reviewloom.llm import chat_format, decontamination, license_scan, packing, quality_classifier, quality_rules, sharding, simhash, url_filters
 from reviewloom.llm.shared import table
 
 #: Rules of op10: host, path, verdict.
@@ -47,6 +47,12 @@ def op7_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns.unionByName(spark.range(1).select(F.inline(both)))))
 
 
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaks of each document; item ids and scores in the order of the ids."""
+    found = decontamination.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("leaked"), F.transform("leaks", lambda x: x["item"]).alias("item_ids"), "leaks")
+
+
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"), size=3, radius=2)
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
     "op7_chat_format": op7_chat_format,
+    "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_url_filters": op10_url_filters,
 }
