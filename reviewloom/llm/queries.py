@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import chat_format, decontamination, license_scan, packing, quality_classifier, quality_rules, sharding, simhash, url_filters
+from reviewloom.llm import chat_format, decontamination, license_scan, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, url_filters
 from reviewloom.llm.shared import table
 
 #: Rules of op10: host, path, verdict.
@@ -29,6 +29,11 @@ def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf, "documents"), license_scan.known_digests(spark))
 
 
+def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = line_dedup.drop_recurring_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", "text")
+
+
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_license_scan": op3_license_scan,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
     "op7_chat_format": op7_chat_format,
