@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm.shared import ascii_lower
+from reviewloom.llm.shared import ascii_lower, let
 
 #: Known notices by SPDX id.
 KNOWN = (
@@ -56,13 +56,17 @@ COPYRIGHT_LINE = r"(^|\n)[ \t]*[^a-z0-9\n]{0,6}(copyright|\(c\)|©|all rights re
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, single-spaced words of letters and digits, one spelling."""
-    low = ascii_lower(text)
-    # Copyright lines are looked for only where one of their words is.
-    low = F.when(low.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(low, COPYRIGHT_LINE, "\n")).otherwise(low)
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    for words, one in SPELLINGS:
-        out = F.replace(out, F.lit(f" {words} "), F.lit(f" {one} "))
-    return F.trim(out)
+    trigger = r"copyright|\(c\)|©|all rights reserved"
+
+    def rest(low: Column) -> Column:
+        # Copyright lines are looked for only where one of their words is.
+        bare = F.when(low.rlike(trigger), F.regexp_replace(low, COPYRIGHT_LINE, "\n")).otherwise(low)
+        out = F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+        for words, one in SPELLINGS:
+            out = F.replace(out, F.lit(f" {words} "), F.lit(f" {one} "))
+        return F.trim(out)
+
+    return let(ascii_lower(text), rest)
 
 
 def _words(canon: Column) -> Column:
@@ -79,7 +83,7 @@ def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN)
 
 
 def anchors(digests: DataFrame) -> list[str]:
-    """Words of which every known form has at least one, chosen greedily, with all their raw spellings.
+    """Words that every known form has at least one of, or within a word, chosen greedily, with all their raw spellings.
 
     A unit whose lower-cased text contains none of them can't match: a canonical
     word is a run of the raw text, or comes from one of its spelling variants.
@@ -92,9 +96,9 @@ def anchors(digests: DataFrame) -> list[str]:
         for f in forms:
             for w in f:
                 counts[w] = counts.get(w, 0) + 1
-        best = max(counts, key=lambda w: (counts[w] * min(len(w), 8), w))
+        best = max(counts, key=lambda w: (counts[w] * min(len(w), 12) ** 2, w))
         chosen.append(best)
-        forms = [f for f in forms if best not in f]
+        forms = [f for f in forms if not any(best in w for w in f)]
     raw = set(chosen)
     for words, one in SPELLINGS:
         if raw & set(one.split(" ")):
@@ -121,15 +125,17 @@ def scan_licenses(df: DataFrame, digests: DataFrame, id_col: str = "doc_id", tex
     possible = F.lit(False)
     for word in anchors(digests):
         possible = possible | F.contains(low, F.lower(F.lit(word)))
-    unit = lambda whole, x: F.struct(F.lit(whole).alias("whole"), x.alias("unit"))
+    least, most = bound["least"] or 0, bound["most"] or -1
+
+    def unit(whole: bool, x: Column) -> Column:
+        digest = let(canonical(x), lambda c: F.when((c != "") & _words(c).between(least, most), F.sha2(c, 256)))
+        return F.struct(F.lit(whole).alias("whole"), digest.alias("digest"))
+
     every = F.concat(F.array(unit(True, F.col("body"))), F.transform(parts, lambda x: unit(False, x)))
     units = F.when(F.coalesce(possible, F.lit(False)), every).otherwise(F.array(unit(True, F.lit(None).cast("string"))))
     # The row's number is taken before the units are unfolded.
     numbered = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).withColumn("row", F.monotonically_increasing_id())
-    rows = numbered.select("row", "id", F.inline(units))
-    canon = rows.select("row", "id", "whole", canonical(F.col("unit")).alias("canon"))
-    fits = (F.col("canon") != "") & _words(F.col("canon")).between(bound["least"] or 0, bound["most"] or -1)
-    hashed = canon.select("row", "id", "whole", F.when(fits, F.sha2("canon", 256)).alias("digest")).where("whole OR digest IS NOT NULL")
+    hashed = numbered.select("row", "id", F.inline(units)).where("whole OR digest IS NOT NULL")
     # A row without digest matches nothing; its salt keeps such rows apart.
     salted = hashed.withColumn("salt", F.pmod(F.xxhash64("row", "whole"), F.lit(salts)).cast("int"))
     copies = digests.select("digest", "license").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.shared import written
+from reviewloom.llm.shared import let, written
 
 #: Fixed value: white space between words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -40,11 +40,6 @@ _BLANKS = " \t\n\x0b\x0c\r"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is evaluated once however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def words_of(text: Column) -> Column:
     """The words of a text in order; no word for null."""
     inner = F.trim(F.coalesce(text, F.lit("")), F.lit(_BLANKS))
@@ -67,7 +62,7 @@ def lines_with_words(text: Column) -> Column:
 
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that are equal to an earlier line."""
-    return _let(lines_with_words(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+    return let(lines_with_words(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
 def repeated_words(words: Column) -> Column:
@@ -86,10 +81,10 @@ def repeated_words(words: Column) -> Column:
 
     def repeats(k: Column) -> Column:
         order = F.sort_array(F.transform(k, lambda x, i: F.struct(x.alias("k"), i.alias("i"))))
-        twice = _let(order, lambda s: F.filter(s, lambda x, j: F.coalesce(F.get(s, j + 1)["k"] == x["k"], F.lit(False)) | F.coalesce(F.get(s, j - 1)["k"] == x["k"], F.lit(False))))
-        return _let(F.sort_array(F.transform(twice, lambda x: x["i"])), covered)
+        twice = let(order, lambda s: F.filter(s, lambda x, j: F.coalesce(F.get(s, j + 1)["k"] == x["k"], F.lit(False)) | F.coalesce(F.get(s, j - 1)["k"] == x["k"], F.lit(False))))
+        return let(F.sort_array(F.transform(twice, lambda x: x["i"])), covered)
 
-    count = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _let(keys(h), lambda k: F.when(F.size(F.array_distinct(k)) < F.size(k), repeats(k)).otherwise(0)))
+    count = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(keys(h), lambda k: F.when(F.size(F.array_distinct(k)) < F.size(k), repeats(k)).otherwise(0)))
     return count.cast("long")
 
 
