@@ -168,9 +168,9 @@ def classify(
     max_rows: int = MAX_ROWS,
     id_col: str = "doc_id",
     text_col: str = "text",
-    keep_columns: bool = False,
+    drop_rejected: bool = False,
 ) -> DataFrame:
-    """(id, expected_grade, tail_probability, kept) for each row, or the row's own columns and ``kept``.
+    """(id, expected_grade, tail_probability, kept) for each row; or, to drop the rejected, the kept rows themselves.
 
     ``labels`` is (id, grade). ``tail_probability`` is that of ``tail`` or a higher
     grade; a document is kept if it is at least ``least`` times that of a text that
@@ -178,7 +178,7 @@ def classify(
     """
     rows = training_rows(df, labels, max_rows, id_col, text_col)
     model = fit([b for b, _ in rows], np.array([g for _, g in rows], np.int64), n_grades)
-    text_at = df.columns.index(text_col) if keep_columns else 1
+    text_at = df.columns.index(text_col) if drop_rejected else 1
     grades = np.arange(n_grades)
     bar = least * float(model.probabilities(np.zeros(1))[0, tail:].sum())
 
@@ -200,14 +200,13 @@ def classify(
             p = model.probabilities(score)
             above = p[:, tail:].sum(axis=1)
             kept = pa.array(above >= bar)
-            if keep_columns:
-                yield pa.RecordBatch.from_arrays([*b.columns, kept], [*b.schema.names, kept_name])
+            if drop_rejected:
+                yield b.filter(kept)
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p @ grades), pa.array(above), kept], ["id", "expected_grade", "tail_probability", "kept"])
 
-    if keep_columns:
-        kept_name = "kept"
-        return df.mapInArrow(run, df.schema.add(kept_name, "boolean"))
+    if drop_rejected:
+        return df.mapInArrow(run, df.schema)
     id_type = df.schema[id_col].dataType.simpleString()
     out = df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, expected_grade double, tail_probability double, kept boolean")
     return out.withColumnRenamed("id", id_col)
