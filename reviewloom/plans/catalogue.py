@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reviewloom.plans import curation
+from reviewloom.plans import curation, mining
 
-MODULES = (curation,)
+MODULES = (curation, mining)
 
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
