@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reviewloom.plans import curation, mining
+from reviewloom.plans import curation, mining, scoring
 
-MODULES = (curation, mining)
+MODULES = (curation, mining, scoring)
 
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}

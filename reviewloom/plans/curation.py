@@ -1,41 +1,213 @@
-"""Queries: dedup, split and checksum manifests."""
+"""Queries: dedup, split, checksum manifests and contract checks."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewloom.functions.hashing import text_checksum
-from reviewloom.operators import curate
+from reviewloom.functions.hashing import canonical_checksum, hash_bucket, set_checksum, set_checksum_tree, text_checksum
+from reviewloom.functions.vocabulary import CONFIDENCES, LANGUAGES, MODEL_STATUSES, SEVERITIES, SOURCE_TYPES, literal_rows
+from reviewloom.operators import curate, validate
 from reviewloom.sources.tables import table
 
 SEED = 42
 
 
+def _documents(spark, sf):
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "lang", text_checksum(F.col("text")).alias("checksum"))
+
+
 def _unique(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", text_checksum(F.col("text")).alias("checksum"))
-    return curate.dedup_exact(docs.where(F.col("checksum").isNotNull()).select("checksum"))
+    return curate.dedup_exact(_documents(spark, sf).select("checksum"))
 
 
 def curate_manifest(spark, sf):
+    """The flagship: dedup, split and checksum of the corpus."""
     return curate.split_manifest(_unique(spark, sf).withColumn("split", curate.split_of(F.col("checksum"), SEED)))
 
 
-QUERIES = {"curate_manifest": curate_manifest}
+def split_checksum_empty_bucket(spark, sf):
+    """With no validation share, val is there with the digest of nothing."""
+    return curate.split_manifest(_unique(spark, sf).withColumn("split", curate.split_of(F.col("checksum"), SEED, 0.0, 0.2)))
+
+
+def dedup_exact(spark, sf):
+    return _unique(spark, sf)
+
+
+def dedup_stats(spark, sf):
+    groups = _documents(spark, sf).groupBy("checksum").agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(F.sum("n").cast("long").alias("n_rows"), F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("largest"), F.count_if(F.col("n") > 1).alias("n_groups"))
+
+
+def split_assign(spark, sf):
+    return _unique(spark, sf).select("checksum", hash_bucket(F.col("checksum"), SEED).alias("bucket"), curate.split_of(F.col("checksum"), SEED).alias("split"))
+
+
+def split_counts_by_lang(spark, sf):
+    rows = _documents(spark, sf).select("lang", "checksum").distinct().withColumn("split", curate.split_of(F.col("checksum"), SEED))
+    return rows.groupBy("lang", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_seed_drift(spark, sf):
+    c = F.col("checksum")
+    rows = _unique(spark, sf).select(curate.split_of(c, 1).alias("seed1"), curate.split_of(c, 2).alias("seed2"))
+    return rows.groupBy("seed1", "seed2").agg(F.count(F.lit(1)).alias("n"))
+
+
+def source_checksum(spark, sf):
+    rows = _unique(spark, sf).select(F.lit("all").alias("scope"), "checksum")
+    return set_checksum(rows, ["scope"], "checksum", "set_checksum")
+
+
+def source_checksum_tree(spark, sf):
+    """The two-level digest for sets of any size."""
+    rows = _unique(spark, sf).select(F.lit("all").alias("scope"), "checksum")
+    return set_checksum_tree(rows, ["scope"], "checksum", "set_checksum")
+
+
+def _records(spark, sf):
+    """Documents as training rows with planted faults."""
+    k = F.col("doc_id")
+    pick = lambda values, step: F.get(F.array(*map(F.lit, values)), (k % (len(values) + step)).cast("int"))
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        F.when(k % 11 == 0, "rust").otherwise(pick(LANGUAGES, 1)).alias("language"),
+        F.when(k % 17 == 0, "").otherwise(F.col("text")).alias("code"),
+        F.when(k % 13 != 0, "bug").alias("category"),
+        F.when(k % 19 == 0, "sure").otherwise(pick(CONFIDENCES, 0)).alias("confidence"),
+        ((k % 30) / 25.0).alias("confidence_score"),
+        F.when(k % 23 != 0, pick(SEVERITIES, 0)).alias("severity"),
+        F.lit("s").alias("summary"),
+        F.when(k % 29 == 0, "blog").otherwise(pick(SOURCE_TYPES, 0)).alias("source_type"),
+        F.lit("u").alias("source_url"),
+    )
+
+
+def reject_report(spark, sf):
+    return validate.rejects(_records(spark, sf), "doc_id")
+
+
+def _kind(spark, sf, kind):
+    return reject_report(spark, sf).where(F.col("message").endswith(kind)).groupBy("message").agg(F.count(F.lit(1)).alias("n"))
+
+
+def validate_required(spark, sf):
+    return _kind(spark, sf, "required")
+
+
+def validate_enums(spark, sf):
+    return _kind(spark, sf, "allowed values")
+
+
+def validate_ranges(spark, sf):
+    return reject_report(spark, sf).where("message LIKE 'code%empty' OR message LIKE '%0 to 1'").groupBy("message").agg(F.count(F.lit(1)).alias("n"))
+
+
+def manifest_validate(spark, sf):
+    rows = table(spark, sf, "documents").select(
+        "doc_id",
+        F.when(F.col("doc_id") % 5 != 0, "set").otherwise("").alias("dataset_id"),
+        F.when(F.col("doc_id") % 4 == 0, "1.2").otherwise("1.2.3").alias("version"),
+        F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")).alias("split_seed"),
+        (F.col("doc_id") % 7 - 1).alias("n_train"),
+        F.lit(0).alias("n_val"),
+        F.lit(0).alias("n_test"),
+    )
+    return rows.select("doc_id", F.array_join(validate.manifest_errors(), ";").alias("errors"))
+
+
+#: Registry entries of the check: path, found, status, version, adapter type, rank.
+REGISTRY = (
+    ("a/base", True, "planned", "0.1.0", None, None),
+    ("a/lora", True, "trained", "1.0.0", "lora", 8),
+    ("b/gone", False, None, None, None, None),
+    ("b/odd", True, "done", "1.0", "prefix", 0),
+    ("c/none", True, None, "0.1.0", "qlora", None),
+)
+
+
+def _registry(spark):
+    rows = literal_rows(spark, ("path", "found", "status", "version", "adapter_type", "rank"), REGISTRY)
+    return rows.select("path", "found", *[F.col(c).cast("string").alias(c) for c in ("status", "version", "adapter_type")], F.col("rank").cast("int").alias("rank"))
+
+
+def registry_validate(spark, sf):
+    return _registry(spark).select("path", F.array_join(validate.model_errors(), ";").alias("errors"))
+
+
+def training_config(spark, sf):
+    config = validate.training_config(F.col("rank"), F.lit(None).cast("array<string>"))
+    return _registry(spark).select("path", config.alias("c")).select("path", "c.rank", F.array_join("c.targets", ",").alias("targets"))
+
+
+def canonical_json_checksums(spark, sf):
+    """Canonical checksums of raw JSON lines; key order and spacing do not count. No SQL: SQL has no canonical JSON."""
+    raw = F.explode(F.array(F.concat(F.lit('{"b": 1.50, "a": "'), F.col("lang"), F.lit('"}')), F.concat(F.lit('{"a":"'), F.col("lang"), F.lit('","b":1.5}'))))
+    rows = table(spark, sf, "documents").select("lang", raw.alias("raw"))
+    return rows.select("lang", canonical_checksum(F.col("raw")).alias("checksum")).groupBy("lang", "checksum").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        curate_manifest, split_checksum_empty_bucket, dedup_exact, dedup_stats, split_assign, split_counts_by_lang, split_seed_drift, source_checksum, source_checksum_tree,
+        reject_report, validate_required, validate_enums, validate_ranges, manifest_validate, registry_validate, training_config, canonical_json_checksums,
+    )
+}
 
 _U = "u AS (SELECT DISTINCT sha256(text) AS checksum FROM documents WHERE text IS NOT NULL)"
 _BUCKET = "('0x' || substr(sha256('{seed}:' || checksum), 1, 8))::BIGINT"
-_SPLIT = "CASE WHEN {b} < {val} THEN 'val' WHEN {b} < {test} THEN 'test' ELSE 'train' END"
 
 
 def split_sql(seed: int = SEED, val: float = 0.1, test: float = 0.1) -> str:
     lo, hi = curate.split_bounds(val, test)
-    return _SPLIT.format(b=_BUCKET.format(seed=seed), val=lo, test=hi)
+    b = _BUCKET.format(seed=seed)
+    return f"CASE WHEN {b} < {lo} THEN 'val' WHEN {b} < {hi} THEN 'test' ELSE 'train' END"
 
 
-ORACLES = {
-    "curate_manifest": f"""
-WITH {_U}, s AS (SELECT checksum, {split_sql()} AS split FROM u),
+def _manifest_sql(split: str) -> str:
+    return f"""
+WITH {_U}, s AS (SELECT checksum, {split} AS split FROM u),
 g AS (SELECT split, count(*) AS n, sha256(string_agg(checksum, '' ORDER BY checksum)) AS checksum FROM s GROUP BY split)
 SELECT x.split, coalesce(g.n, 0)::BIGINT AS n, coalesce(g.checksum, sha256('')) AS checksum
-FROM (VALUES ('train'), ('val'), ('test')) x(split) LEFT JOIN g ON g.split = x.split""",
+FROM (VALUES ('train'), ('val'), ('test')) x(split) LEFT JOIN g ON g.split = x.split"""
+
+
+def _pick(values, step):
+    return f"([{', '.join(repr(v) for v in values)}])[(doc_id % {len(values) + step} + 1)::INT]"
+
+
+def _in(values):
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+_RECORDS = f"""r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'rust' ELSE {_pick(LANGUAGES, 1)} END AS language, CASE WHEN doc_id % 17 = 0 THEN '' ELSE text END AS code,
+CASE WHEN doc_id % 13 <> 0 THEN 'bug' END AS category, CASE WHEN doc_id % 19 = 0 THEN 'sure' ELSE {_pick(CONFIDENCES, 0)} END AS confidence, (doc_id % 30) / 25.0 AS score,
+CASE WHEN doc_id % 23 <> 0 THEN {_pick(SEVERITIES, 0)} END AS severity, CASE WHEN doc_id % 29 = 0 THEN 'blog' ELSE {_pick(SOURCE_TYPES, 0)} END AS source_type FROM documents),
+m AS (SELECT doc_id, unnest(list_filter([CASE WHEN language IS NULL THEN 'language: required' END, CASE WHEN code IS NULL THEN 'code: required' END, CASE WHEN category IS NULL THEN 'category: required' END,
+CASE WHEN severity IS NULL THEN 'severity: required' END, CASE WHEN language NOT IN {_in(LANGUAGES)} THEN 'language: not one of the allowed values' END, CASE WHEN confidence NOT IN {_in(CONFIDENCES)} THEN 'confidence: not one of the allowed values' END,
+CASE WHEN severity NOT IN {_in(SEVERITIES)} THEN 'severity: not one of the allowed values' END, CASE WHEN source_type NOT IN {_in(SOURCE_TYPES)} THEN 'source_type: not one of the allowed values' END,
+CASE WHEN code = '' THEN 'code: empty' END, CASE WHEN score < 0 OR score > 1 THEN 'confidence_score: outside of 0 to 1' END], lambda x: x IS NOT NULL)) AS message FROM r)"""
+
+_REGISTRY = "g(path, found, status, version, adapter_type, rank) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in REGISTRY) + ")"
+
+ORACLES = {
+    "curate_manifest": _manifest_sql(split_sql()),
+    "split_checksum_empty_bucket": _manifest_sql(split_sql(SEED, 0.0, 0.2)),
+    "dedup_exact": f"WITH {_U} SELECT checksum FROM u",
+    "dedup_stats": "WITH g AS (SELECT text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text) SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_unique, max(n) AS largest, count(*) FILTER (n > 1) AS n_groups FROM g",
+    "split_assign": f"WITH {_U} SELECT checksum, {_BUCKET.format(seed=SEED)} AS bucket, {split_sql()} AS split FROM u",
+    "split_counts_by_lang": f"WITH l AS (SELECT DISTINCT lang, sha256(text) AS checksum FROM documents WHERE text IS NOT NULL) SELECT lang, {split_sql()} AS split, count(*) AS n FROM l GROUP BY ALL",
+    "split_seed_drift": f"WITH {_U} SELECT {split_sql(1)} AS seed1, {split_sql(2)} AS seed2, count(*) AS n FROM u GROUP BY ALL",
+    "source_checksum": f"WITH {_U} SELECT 'all' AS scope, count(*) AS n, sha256(string_agg(checksum, '' ORDER BY checksum)) AS set_checksum FROM u",
+    "source_checksum_tree": f"WITH {_U}, l AS (SELECT substr(checksum, 1, 3) AS leaf, count(*) AS n, sha256(string_agg(checksum, '' ORDER BY checksum)) AS d FROM u GROUP BY 1) SELECT 'all' AS scope, sum(n)::BIGINT AS n, sha256(string_agg(d, '' ORDER BY leaf)) AS set_checksum FROM l",
+    "reject_report": f"WITH {_RECORDS} SELECT doc_id, message FROM m",
+    "validate_required": f"WITH {_RECORDS} SELECT message, count(*) AS n FROM m WHERE message LIKE '%required' GROUP BY 1",
+    "validate_enums": f"WITH {_RECORDS} SELECT message, count(*) AS n FROM m WHERE message LIKE '%allowed values' GROUP BY 1",
+    "validate_ranges": f"WITH {_RECORDS} SELECT message, count(*) AS n FROM m WHERE message LIKE 'code%empty' OR message LIKE '%0 to 1' GROUP BY 1",
+    "manifest_validate": """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'dataset_id: required' END, CASE WHEN doc_id % 4 = 0 THEN 'version: not a version' END,
+CASE WHEN doc_id % 3 = 0 THEN 'split_seed: required' END, CASE WHEN doc_id % 7 = 0 THEN 'n_train: negative or missing' END], lambda x: x IS NOT NULL), ';') AS errors FROM documents""",
+    "registry_validate": rf"""WITH {_REGISTRY} SELECT path, CASE WHEN NOT found THEN 'file is missing' ELSE array_to_string(list_filter([CASE WHEN coalesce(status, '') NOT IN {_in(MODEL_STATUSES)} THEN 'status: not one of the allowed values' END,
+CASE WHEN NOT regexp_matches(coalesce(version, ''), '^\d+\.\d+\.\d+$') THEN 'version: not a version' END, CASE WHEN adapter_type NOT IN ('lora', 'qlora', 'full-finetune') THEN 'adapter type: not one of the allowed values' END, CASE WHEN rank < 1 THEN 'rank: below 1' END], lambda x: x IS NOT NULL), ';') END AS errors FROM g""",
+    "training_config": f"WITH {_REGISTRY} SELECT path, coalesce(rank, 16)::INT AS rank, 'q_proj,v_proj' AS targets FROM g",
 }
