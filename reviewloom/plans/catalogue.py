@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reviewloom.plans import analysis, curation, mining, scoring
+from reviewloom.plans import analysis, curation, mining, scoring, training
 
-MODULES = (curation, mining, scoring, analysis)
+MODULES = (curation, mining, scoring, analysis, training)
 
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in MODULES for name, q in m.ORACLES.items()}
