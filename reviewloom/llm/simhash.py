@@ -253,7 +253,7 @@ def _star_edges(radius: int, wide_radius: int):
 def similar_edges(codes: DataFrame, bits: int, radius: int, wide_radius: int = 0, node_rows: int = NODE_ROWS) -> DataFrame:
     """Edges (a, b) between nodes that span the links of ``codes``.
 
-    ``codes`` is (node, code, band[, wide]), written, each (band, code, node) once; only codes of a band are compared.
+    ``codes`` is (node, code, band[, wide]), cheap to read again, each (band, code, node) once; only codes of a band are compared.
     """
     extra = [c for c in ("wide",) if c in codes.columns]
     found, level = None, 0
@@ -354,31 +354,35 @@ def near_duplicates(df: DataFrame, size: int = 3, radius: int = 2, id_col: str =
 
 
 #: The long fingerprint of :func:`similar_documents`: lanes of 64 bits, bands of it that are indexed, and their radius.
-LANES, BANDS, BAND_BITS, BAND_RADIUS = 8, 10, 48, 3
+LANES, BANDS, BAND_BITS, BAND_RADIUS = 8, 16, 32, 2
+#: Standard deviations of the distance that are allowed for beyond its mean at the similarity asked for.
+SLACK = 2.0
 
 
 def wide_radius(similarity: float, lanes: int = LANES) -> int:
-    """Differing bits at which long fingerprints stand for this Jaccard similarity.
+    """Differing bits up to which long fingerprints stand for this Jaccard similarity or more.
 
     For sets of equal size the cosine is 2J / (1 + J), and a bit differs with
-    probability arccos(cosine) / pi.
+    probability arccos(cosine) / pi. SLACK keeps pairs of just this similarity.
     """
-    return int(64 * lanes * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits, p = 64 * lanes, np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + SLACK * np.sqrt(bits * p * (1 - p)))
 
 
 def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
     """(id, component_id): documents linked at an estimated shingle similarity of ``similarity`` or more.
 
     Two documents are linked if their 512-bit fingerprints are within
-    :func:`wide_radius` and at least one of ten 48-bit bands is within three bits,
+    :func:`wide_radius` and at least one of sixteen 32-bit bands is within two bits,
     which the index finds exactly.
     """
     rows = fingerprints(df, size, LANES, id_col, text_col).withColumn("node", F.xxhash64("wide"))
     rows = written(rows, "fingerprints")
     bit = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    # A band is 12 hex digits of the fingerprint.
+    # A band is a run of hex digits of the fingerprint.
     code = F.conv(F.substr(F.hex("wide"), F.col("band") * (BAND_BITS // 4) + 1, F.lit(BAND_BITS // 4)), 16, 10).cast("long")
-    codes = rows.dropDuplicates(["node"]).select("node", "wide", bit.alias("band")).select("node", code.alias("code"), "band", "wide")
-    edges = similar_edges(written(codes, "codes"), BAND_BITS, BAND_RADIUS, wide_radius(similarity), node_rows)
+    nodes = written(rows.dropDuplicates(["node"]).select("node", "wide"), "nodes")
+    codes = nodes.select("node", "wide", bit.alias("band")).select("node", code.alias("code"), "band", "wide")
+    edges = similar_edges(codes, BAND_BITS, BAND_RADIUS, wide_radius(similarity), node_rows)
     out = _grouped(rows.select("id", "node"), edges, df.schema[id_col].dataType.simpleString())
     return out.select(F.col("id").alias(id_col), "component_id")

@@ -64,7 +64,8 @@ def test_near_duplicates(stages):
     limit, bands = simhash.wide_radius(0.8), []
     for w in wide:
         h = b"".join(int(x).to_bytes(8, "big") for x in w).hex()
-        bands.append([int(h[12 * i : 12 * i + 12], 16) for i in range(simhash.BANDS)])
+        n = simhash.BAND_BITS // 4
+        bands.append([int(h[n * i : n * i + n], 16) for i in range(simhash.BANDS)])
     linked = lambda i, j: np.bitwise_count(wide[i] ^ wide[j]).sum() <= limit and any((a ^ b).bit_count() <= simhash.BAND_RADIUS for a, b in zip(bands[i], bands[j], strict=True))
     order = sorted(range(len(rows)), key=lambda i: rows[i].doc_id)
     root = sibling("test_simhash").brute_groups(range(len(rows)), lambda a, b: linked(order[a], order[b]))
