@@ -40,6 +40,8 @@ DEPTH = 3
 CONSTANT, AGREE = 0.5, 0.7
 #: Fixed value: stands for a variable field.
 FIELD = "<*>"
+#: Parts that the forms of a leaf are spread over in a join.
+SALTS = 64
 #: Buckets of the first, bounded filter for leaves.
 LEAF_BUCKETS = 1 << 20
 
@@ -93,7 +95,10 @@ def _generalised(df: DataFrame, text_col: str, per_sketch: DataFrame, forms: Dat
     some = lines.withColumn("bucket", F.pmod("leaf", F.lit(LEAF_BUCKETS))).join(near, "bucket", "left_semi")
     # Each form once, before the exact join: a hot line is one row from here on.
     distinct = some.groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"))
-    mine = written(distinct.join(leaves, "leaf", "left_semi"), "leaf-forms")
+    # A leaf may have a third of all forms: forms are salted, the leaves copied.
+    salted = distinct.withColumn("salt", F.pmod("form", F.lit(SALTS)))
+    copies = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    mine = written(salted.join(copies, ["leaf", "salt"], "left_semi").drop("salt"), "leaf-forms")
 
     votes = mine.select("leaf", F.posexplode("tokens")).groupBy("leaf", "pos", "col").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("leaf", "pos").agg(F.max(F.struct("n", "col")).alias("best"), F.sum("n").alias("all"))
