@@ -28,7 +28,7 @@ def pulls(spark, sf):
         F.col("conv_id").alias("pull_number"),
         F.concat(F.lit("https://host.example/"), F.col("conv_id").cast("string")).alias("source_url"),
         F.element_at("turns", 1)["body"].alias("title"),
-        F.transform(F.slice("turns", 2, 1000), lambda t: F.struct(F.when(t["path"] != "user", t["path"]).alias("path"), t["body"].alias("body"))).alias("comments"),
+        F.transform(F.slice("turns", F.lit(2), F.size("turns")), lambda t: F.struct(F.when(t["path"] != "user", t["path"]).alias("path"), t["body"].alias("body"))).alias("comments"),
         spdx.alias("spdx"),
     )
 
