@@ -10,10 +10,14 @@ every document.
 
 A template recurs if it is in ``MIN_DOCUMENTS`` or more different texts in
 different surroundings. Copies and near copies of one document repeat its lines
-too, which is for document dedup to handle. So each occurrence carries a sketch
-of the rest of its document (the smallest hash of how the other lines open), and
-a template of which more than ``ONE_ORIGIN`` of the texts share one sketch is
-left alone. Lines of fewer than ``MIN_TOKENS`` tokens are too short for a template.
+too, which is for document dedup to handle. So each text carries ``BANDS``
+sketches of how its lines open, blank ones left out: each sketch joins two values,
+each drawn from all openings by a hash. Two texts agree in a sketch about as often
+as the square of the share of openings they have in common, so a block of many
+lines in otherwise different documents makes few agree, and near copies nearly
+all. A template is left alone if, on average over the sketches, more than
+``ONE_ORIGIN`` of its texts share the most frequent value. Lines of fewer than
+``MIN_TOKENS`` tokens are too short for a template.
 
 Nulls and odd input: a null or empty text has no line to drop and stays as it is.
 Null ids are rows like any other. Repeated rows get equal results; equal texts
@@ -32,6 +36,8 @@ from reviewloom.llm.shared import hot_join, let, written
 MIN_DOCUMENTS = 3
 #: Share of a template's texts from one origin up to which it recurs.
 ONE_ORIGIN = 0.6
+#: Sketches of a text's openings.
+BANDS = 16
 #: Tokens of a line from which it is parsed.
 MIN_TOKENS = 5
 #: Leading tokens on the way to a leaf.
@@ -67,26 +73,38 @@ def _parsed(text: Column, with_tokens: bool) -> Column:
     return F.transform(F.split(text, "\n"), lambda line, i: let(_tokens(line), lambda t: place(t, i)))
 
 
-def _occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, digest, i, leaf, form, sketch) of each line that is long enough."""
-    lines = _parsed(F.col("text"), False)
+def _bands(openings: Column) -> Column:
+    """``BANDS`` sketches of a set of hashes; each joins two of ``BANDS`` picks, the hashes nearest to fixed ones."""
+    seeds = F.array(*[F.xxhash64(F.lit(f"origin {j}")) for j in range(BANDS)])
+    picks = F.transform(seeds, lambda s: F.array_min(F.transform(openings, lambda o: o.bitwiseXOR(s))).bitwiseXOR(s))
+    return let(picks, lambda p: F.transform(p, lambda x, j: F.xxhash64(x, F.get(p, (j + 1) % BANDS))))
+
+
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, digest, bands, lines) of each text; ``lines`` has (i, leaf, form) of each line that is long enough."""
     rows = df.select(_key(F.col(id_col), F.col(text_col)).alias("key"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    parsed = rows.select("key", "digest", lines.alias("lines")).withColumn("openings", F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["opening"]))))
-    flat = parsed.select("key", "digest", "openings", F.inline("lines")).where(F.col("n") >= MIN_TOKENS)
-    own = F.get("openings", F.lit(0)) == F.col("opening")
-    sketch = F.coalesce(F.when(own, F.get("openings", F.lit(1))).otherwise(F.get("openings", F.lit(0))), F.lit(0))
-    return flat.select("key", "digest", "i", "leaf", "form", sketch.alias("sketch"))
+    parsed = rows.select("key", "digest", _parsed(F.col("text"), False).alias("lines"))
+    said = F.filter("lines", lambda x: x["form"] != F.xxhash64(F.array(F.lit(""))))
+    openings = F.array_distinct(F.transform(said, lambda x: x["opening"]))
+    long = F.filter("lines", lambda x: x["n"] >= MIN_TOKENS)
+    kept = F.transform(long, lambda x: F.struct(x["i"].alias("i"), x["leaf"].alias("leaf"), x["form"].alias("form")))
+    return parsed.select("key", "digest", let(openings, _bands).alias("bands"), kept.alias("lines"))
 
 
 def _key(row_id: Column, text: Column) -> Column:
     return F.xxhash64(row_id, row_id.isNull(), text)
 
 
-def _recurs(docs: str, top: str) -> Column:
-    return (F.col(docs) >= MIN_DOCUMENTS) & (F.col(top) <= F.col(docs) * ONE_ORIGIN)
+def _recurring(pairs: DataFrame, bands: DataFrame, by: str) -> DataFrame:
+    """(by): the values of ``by`` in enough texts that are not of one origin; ``pairs`` has each (by, digest) once."""
+    sketched = pairs.join(bands, "digest").select(by, F.posexplode("bands").alias("band", "sketch"))
+    sizes = sketched.groupBy(by, "band", "sketch").agg(F.count(F.lit(1)).alias("n"))
+    tops = sizes.groupBy(by, "band").agg(F.sum("n").alias("docs"), F.max("n").alias("top"))
+    shares = tops.groupBy(by).agg(F.max("docs").alias("docs"), F.avg(F.col("top") / F.col("docs")).alias("share"))
+    return shares.where((F.col("docs") >= MIN_DOCUMENTS) & (F.col("share") <= ONE_ORIGIN)).select(by)
 
 
-def _generalised(df: DataFrame, text_col: str, per_sketch: DataFrame, forms: DataFrame) -> DataFrame:
+def _generalised(df: DataFrame, text_col: str, seen: DataFrame, bands: DataFrame, forms: DataFrame) -> DataFrame:
     """(form): forms that belong to a recurring template of several forms."""
     leaves = written(forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCUMENTS).select("leaf"), "leaves")
     # At most LEAF_BUCKETS numbers are broadcast; they spare most lines the exact join.
@@ -108,22 +126,22 @@ def _generalised(df: DataFrame, text_col: str, per_sketch: DataFrame, forms: Dat
     matched = hot_join(mine, shapes, "leaf").where(agreeing >= F.size("tokens") * AGREE).select("leaf", "form")
     matched = written(matched, "template-forms")
 
-    # A form has one leaf; the sketches of a leaf's forms are put together.
-    with_sketch = per_sketch.join(matched.select("form"), "form", "left_semi")
-    by_sketch = with_sketch.groupBy("leaf", "sketch").agg(F.sum("docs").alias("docs"))
-    recurring = by_sketch.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.max("docs").alias("top"), F.count(F.lit(1)).alias("n")).where(_recurs("docs", "top")).select("leaf")
-    return matched.join(recurring, "leaf", "left_semi").select("form")
+    # A form has one leaf; the texts of a leaf's forms are put together.
+    texts = hot_join(seen.select("digest", "form"), matched, "form").select("leaf", "digest").distinct()
+    return matched.join(_recurring(texts, bands, "leaf"), "leaf", "left_semi").select("form")
 
 
 def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, text, n_lines, n_dropped): the original row as a struct, and its text without recurring lines."""
-    seen = written(_occurrences(df, id_col, text_col), "lines")
-    # Equal texts count once; then texts by sketch, and by form.
-    once = seen.groupBy("form", "leaf", "sketch", "digest").agg(F.count(F.lit(1)).alias("n"))
-    per_sketch = written(once.groupBy("form", "leaf", "sketch").agg(F.count(F.lit(1)).alias("docs")), "sketches")
-    forms = written(per_sketch.groupBy("form", "leaf").agg(F.sum("docs").alias("docs"), F.max("docs").alias("top")), "forms")
-    direct = forms.where(_recurs("docs", "top")).select("form")
-    dropped = written(direct.unionByName(_generalised(df, text_col, per_sketch, forms)).distinct(), "dropped-forms")
+    parsed = written(_documents(df, id_col, text_col), "lines")
+    seen = parsed.select("key", "digest", F.inline("lines"))
+    bands = parsed.groupBy("digest").agg(F.first("bands").alias("bands"))
+    # Equal texts count once.
+    once = seen.select("form", "leaf", "digest").distinct()
+    forms = written(once.groupBy("form", "leaf").agg(F.count(F.lit(1)).alias("docs")), "forms")
+    often = hot_join(seen.select("digest", "form"), forms.where(F.col("docs") >= MIN_DOCUMENTS).select("form"), "form")
+    direct = _recurring(often.distinct(), bands, "form")
+    dropped = written(direct.unionByName(_generalised(df, text_col, seen, bands, forms)).distinct(), "dropped-forms")
 
     hits = hot_join(seen.select("key", "digest", "i", "form"), dropped, "form")
     lists = hits.groupBy("key", "digest").agg(F.collect_set("i").alias("gone"))

@@ -112,3 +112,33 @@ def test_null_ids_repeats_and_no_rows(spark):
     out = ld.drop_recurring_lines(df).collect()
     assert len(out) == 14 and all("in all of them" not in r.text and r.n_dropped == 1 for r in out)
     assert ld.drop_recurring_lines(df.limit(0)).collect() == []
+
+
+def unrelated(rng, own, shared, docs=40):
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 7)))
+    return ["\n".join([" ".join(word() for _ in range(8)) for _ in range(own)] + shared) for _ in range(docs)]
+
+
+def test_shared_lines_of_unrelated_documents_go(spark):
+    rng = random.Random(5)
+    block = unrelated(rng, 20, [], 1)[0].split("\n")
+    line = "this one line is shared by all of them"
+    # A block of several lines, a line with a blank one, and long documents.
+    for own, shared in ((5, block[:10]), (10, block), (3, ["", line]), (4, ["", line, ""]), (400, [line, "and the other things"])):
+        texts = unrelated(rng, own, shared)
+        got = run(spark, texts)
+        assert all(not set(x for x in shared if len(x.split()) >= ld.MIN_TOKENS) & set(r.text.split("\n")) for r in got.values())
+        assert all(r.text.split("\n")[:own] == texts[i].split("\n")[:own] for i, r in got.items())
+
+
+def test_near_copies_and_one_line_documents_stay(spark):
+    rng = random.Random(6)
+    base = unrelated(rng, 20, [], 1)[0].split("\n")
+    near = []
+    for i in range(30):
+        copy = list(base)
+        copy[i % 20] = unrelated(rng, 1, [], 1)[0]
+        near.append("\n".join([*copy, ""]))
+    alone = [f"a page of the number {i} with nothing else" for i in range(20)]
+    got = run(spark, near + alone)
+    assert [got[i].text for i in range(len(got))] == near + alone
