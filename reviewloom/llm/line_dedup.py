@@ -5,8 +5,10 @@ tokens, tokens with a digit standing for any value. What is left of a line in it
 leaf, with such values masked, is its form. A leaf with several forms is
 generalised: at each further position the token that most of its forms share is
 constant and the others are variable, and forms that agree with enough of the
-leaf become one template. Templates that recur across documents are dropped, in
-every document.
+leaf become one template. The other forms of the leaf are divided by their token
+at the position that has the fewest different ones, and each part is generalised
+like a leaf, until no part has enough forms; so a leaf may hold many templates.
+Templates that recur across documents are dropped, in every document.
 
 A template recurs if it is in ``MIN_DOCUMENTS`` or more different texts in
 different surroundings. Copies and near copies of one document repeat its lines
@@ -54,7 +56,9 @@ LEAF_BUCKETS = 1 << 20
 
 def _tokens(line: Column) -> Column:
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"\S*[0-9]\S*", FIELD)).otherwise(line)
-    return F.split(F.trim(masked, F.lit(" \t\r\x0b\x0c")), r"[ \t\r\x0b\x0c]+")
+    spaced = F.trim(F.translate(masked, "\t\r\x0b\x0c", "    "))
+    # One blank as separator is split without a regular expression.
+    return F.split(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced), " ")
 
 
 def _parsed(text: Column, with_tokens: bool) -> Column:
@@ -118,17 +122,35 @@ def _generalised(df: DataFrame, text_col: str, seen: DataFrame, bands: DataFrame
     copies = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
     mine = written(salted.join(copies, ["leaf", "salt"], "left_semi").drop("salt"), "leaf-forms")
 
-    votes = mine.select("leaf", F.posexplode("tokens")).groupBy("leaf", "pos", "col").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("leaf", "pos").agg(F.max(F.struct("n", "col")).alias("best"), F.sum("n").alias("all"))
-    constant = F.when(F.col("best.n") >= F.col("all") * CONSTANT, F.col("best.col"))
-    shapes = best.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("pos", constant.alias("token")))).alias("shape"))
-    agreeing = F.size(F.filter(F.zip_with("tokens", "shape", lambda t, s: t == s["token"]), lambda x: F.coalesce(x, F.lit(False))))
-    matched = hot_join(mine, shapes, "leaf").where(agreeing >= F.size("tokens") * AGREE).select("leaf", "form")
-    matched = written(matched, "template-forms")
-
-    # A form has one leaf; the texts of a leaf's forms are put together.
-    texts = hot_join(seen.select("digest", "form"), matched, "form").select("leaf", "digest").distinct()
-    return matched.join(_recurring(texts, bands, "leaf"), "leaf", "left_semi").select("form")
+    matched = _templates(mine)
+    # The texts of a template's forms are put together.
+    texts = hot_join(seen.select("digest", "form"), matched.select("form", "template"), "form").select("template", "digest").distinct()
+    return matched.join(_recurring(texts, bands, "template"), "template", "left_semi").select("form")
+
+
+def _templates(forms: DataFrame) -> DataFrame:
+    """(form, template) of the forms (leaf, form, tokens) that belong to a template.
+
+    Each round takes the forms that agree with their node out and divides the
+    others; a node of two or more forms has a position that divides them, so the
+    rounds end.
+    """
+    nodes, found = forms.select(F.col("leaf").alias("node"), "form", "tokens"), None
+    while True:
+        votes = nodes.select("node", F.posexplode("tokens")).groupBy("node", "pos", "col").agg(F.count(F.lit(1)).alias("n"))
+        best = votes.groupBy("node", "pos").agg(F.max(F.struct("n", "col")).alias("best"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("values"))
+        constant = F.when(F.col("best.n") >= F.col("all") * CONSTANT, F.col("best.col"))
+        divider = F.min(F.when(F.col("values") > 1, F.struct("values", "pos")))["pos"]
+        shapes = best.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", constant.alias("token")))).alias("shape"), divider.alias("divider"))
+        agreeing = F.size(F.filter(F.zip_with("tokens", "shape", lambda t, s: t == s["token"]), lambda x: F.coalesce(x, F.lit(False))))
+        judged = written(hot_join(nodes, shapes, "node").withColumn("agrees", agreeing >= F.size("tokens") * AGREE).drop("shape"), "judged-forms")
+        agreed = judged.where("agrees").select("form", F.col("node").alias("template"))
+        found = agreed if found is None else found.unionByName(agreed)
+        rest = judged.where("NOT agrees").select(F.xxhash64("node", "divider", F.get("tokens", F.col("divider"))).alias("node"), "form", "tokens")
+        enough = rest.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCUMENTS).select("node")
+        nodes = written(hot_join(rest, enough, "node"), "divided-forms")
+        if nodes.isEmpty():
+            return written(found, "template-forms")
 
 
 def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -142,3 +142,15 @@ def test_near_copies_and_one_line_documents_stay(spark):
     alone = [f"a page of the number {i} with nothing else" for i in range(20)]
     got = run(spark, near + alone)
     assert [got[i].text for i in range(len(got))] == near + alone
+
+
+def test_several_templates_of_a_leaf_go(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(5, 8)))
+    templates = ("Posted by admin in the topic {} for all readers", "Posted by admin at the desk of {} last night", "Posted by admin and seen from {} on this day")
+    lines = [t.format(word()) for t, n in zip(templates, (60, 40, 40), strict=True) for _ in range(n)]
+    others = ["Posted by admin " + " ".join(word() for _ in range(7)) for _ in range(150)]
+    texts = ["\n".join(unrelated(rng, 4, [x], 1)) for x in lines + others]
+    got = run(spark, texts)
+    assert [got[i].n_dropped for i in range(len(texts))] == [1] * len(lines) + [0] * len(others)
+    assert all(x not in got[i].text for i, x in enumerate(lines))
