@@ -18,8 +18,10 @@ each drawn from all openings by a hash. Two texts agree in a sketch about as oft
 as the square of the share of openings they have in common, so a block of many
 lines in otherwise different documents makes few agree, and near copies nearly
 all. A template is left alone if, on average over the sketches, more than
-``ONE_ORIGIN`` of its texts share the most frequent value. Lines of fewer than
-``MIN_TOKENS`` tokens are too short for a template.
+``ONE_ORIGIN`` of its texts share the most frequent value. Lines of
+``LONG_TOKENS`` or more tokens recur from two texts on. Lines of fewer than
+``MIN_TOKENS`` tokens are too short for a template: they recur as they are, digits
+included, and only if they have a letter.
 
 Nulls and odd input: a null or empty text has no line to drop and stays as it is.
 Null ids are rows like any other. Repeated rows get equal results; equal texts
@@ -40,8 +42,10 @@ MIN_DOCUMENTS = 3
 ONE_ORIGIN = 0.6
 #: Sketches of a text's openings.
 BANDS = 16
-#: Tokens of a line from which it is parsed.
+#: Tokens of a line from which it is parsed; shorter ones are compared as they are.
 MIN_TOKENS = 5
+#: Tokens of a line from which two different texts are enough.
+LONG_TOKENS = 10
 #: Leading tokens on the way to a leaf.
 DEPTH = 3
 #: Share of a leaf's forms that makes a token constant, and share of a form's tokens that must agree with the leaf.
@@ -62,19 +66,20 @@ def _tokens(line: Column) -> Column:
 
 
 def _parsed(text: Column, with_tokens: bool) -> Column:
-    """Each line's place in the tree: (i, n, leaf, form, opening[, tokens])."""
+    """Each line's place in the tree: (i, n, leaf, form, opening[, tokens]); a line too short for the tree has no leaf, and no form without a letter."""
 
-    def place(t: Column, i: Column) -> Column:
+    def place(t: Column, i: Column, line: Column) -> Column:
+        short = F.size(t) < MIN_TOKENS
         cells = [
             i.alias("i"),
             F.size(t).alias("n"),
-            F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)).alias("leaf"),
-            F.xxhash64(t).alias("form"),
+            F.when(~short, F.xxhash64(F.size(t), F.slice(t, 1, DEPTH))).alias("leaf"),
+            F.when(~short, F.xxhash64(t)).when(line.rlike(r"\p{L}"), F.xxhash64(F.trim(line, F.lit(" \t\r\x0b\x0c")))).alias("form"),
             F.xxhash64(F.slice(t, 1, 2)).alias("opening"),
         ]
         return F.struct(*cells, *([t.alias("tokens")] if with_tokens else []))
 
-    return F.transform(F.split(text, "\n"), lambda line, i: let(_tokens(line), lambda t: place(t, i)))
+    return F.transform(F.split(text, "\n"), lambda line, i: let(_tokens(line), lambda t: place(t, i, line)))
 
 
 def _bands(openings: Column) -> Column:
@@ -85,13 +90,13 @@ def _bands(openings: Column) -> Column:
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, digest, bands, lines) of each text; ``lines`` has (i, leaf, form) of each line that is long enough."""
+    """(key, digest, bands, lines) of each text; ``lines`` has (i, leaf, form, least) of each line with a form, ``least`` the texts that it has to be in."""
     rows = df.select(_key(F.col(id_col), F.col(text_col)).alias("key"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     parsed = rows.select("key", "digest", _parsed(F.col("text"), False).alias("lines"))
-    said = F.filter("lines", lambda x: x["form"] != F.xxhash64(F.array(F.lit(""))))
+    said = F.filter("lines", lambda x: x["form"].isNotNull())
     openings = F.array_distinct(F.transform(said, lambda x: x["opening"]))
-    long = F.filter("lines", lambda x: x["n"] >= MIN_TOKENS)
-    kept = F.transform(long, lambda x: F.struct(x["i"].alias("i"), x["leaf"].alias("leaf"), x["form"].alias("form")))
+    least = lambda x: F.when(x["n"] >= LONG_TOKENS, 2).otherwise(MIN_DOCUMENTS)
+    kept = F.transform(said, lambda x: F.struct(x["i"].alias("i"), x["leaf"].alias("leaf"), x["form"].alias("form"), least(x).alias("least")))
     return parsed.select("key", "digest", let(openings, _bands).alias("bands"), kept.alias("lines"))
 
 
@@ -99,18 +104,18 @@ def _key(row_id: Column, text: Column) -> Column:
     return F.xxhash64(row_id, row_id.isNull(), text)
 
 
-def _recurring(pairs: DataFrame, bands: DataFrame, by: str) -> DataFrame:
-    """(by): the values of ``by`` in enough texts that are not of one origin; ``pairs`` has each (by, digest) once."""
+def _recurring(pairs: DataFrame, bands: DataFrame, by: str, least: int) -> DataFrame:
+    """(by): the values of ``by`` in ``least`` or more texts that are not of one origin; ``pairs`` has each (by, digest) once."""
     sketched = pairs.join(bands, "digest").select(by, F.posexplode("bands").alias("band", "sketch"))
     sizes = sketched.groupBy(by, "band", "sketch").agg(F.count(F.lit(1)).alias("n"))
     tops = sizes.groupBy(by, "band").agg(F.sum("n").alias("docs"), F.max("n").alias("top"))
     shares = tops.groupBy(by).agg(F.max("docs").alias("docs"), F.avg(F.col("top") / F.col("docs")).alias("share"))
-    return shares.where((F.col("docs") >= MIN_DOCUMENTS) & (F.col("share") <= ONE_ORIGIN)).select(by)
+    return shares.where((F.col("docs") >= least) & (F.col("share") <= ONE_ORIGIN)).select(by)
 
 
 def _generalised(df: DataFrame, text_col: str, seen: DataFrame, bands: DataFrame, forms: DataFrame) -> DataFrame:
     """(form): forms that belong to a recurring template of several forms."""
-    leaves = written(forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCUMENTS).select("leaf"), "leaves")
+    leaves = written(forms.where("leaf IS NOT NULL").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCUMENTS).select("leaf"), "leaves")
     # At most LEAF_BUCKETS numbers are broadcast; they spare most lines the exact join.
     near = F.broadcast(leaves.select(F.pmod("leaf", F.lit(LEAF_BUCKETS)).alias("bucket")).distinct())
     lines = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).select(F.inline(_parsed(F.col("text"), True))).where(F.col("n") >= MIN_TOKENS)
@@ -125,7 +130,7 @@ def _generalised(df: DataFrame, text_col: str, seen: DataFrame, bands: DataFrame
     matched = _templates(mine)
     # The texts of a template's forms are put together.
     texts = hot_join(seen.select("digest", "form"), matched.select("form", "template"), "form").select("template", "digest").distinct()
-    return matched.join(_recurring(texts, bands, "template"), "template", "left_semi").select("form")
+    return matched.join(_recurring(texts, bands, "template", MIN_DOCUMENTS), "template", "left_semi").select("form")
 
 
 def _templates(forms: DataFrame) -> DataFrame:
@@ -159,10 +164,10 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     seen = parsed.select("key", "digest", F.inline("lines"))
     bands = parsed.groupBy("digest").agg(F.first("bands").alias("bands"))
     # Equal texts count once.
-    once = seen.select("form", "leaf", "digest").distinct()
-    forms = written(once.groupBy("form", "leaf").agg(F.count(F.lit(1)).alias("docs")), "forms")
-    often = hot_join(seen.select("digest", "form"), forms.where(F.col("docs") >= MIN_DOCUMENTS).select("form"), "form")
-    direct = _recurring(often.distinct(), bands, "form")
+    once = seen.select("form", "leaf", "least", "digest").distinct()
+    forms = written(once.groupBy("form", "leaf", "least").agg(F.count(F.lit(1)).alias("docs")), "forms")
+    often = hot_join(seen.select("digest", "form"), forms.where("docs >= least").select("form"), "form")
+    direct = _recurring(often.distinct(), bands, "form", 2)
     dropped = written(direct.unionByName(_generalised(df, text_col, seen, bands, forms)).distinct(), "dropped-forms")
 
     hits = hot_join(seen.select("key", "digest", "i", "form"), dropped, "form")

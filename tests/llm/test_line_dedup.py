@@ -154,3 +154,17 @@ def test_several_templates_of_a_leaf_go(spark):
     got = run(spark, texts)
     assert [got[i].n_dropped for i in range(len(texts))] == [1] * len(lines) + [0] * len(others)
     assert all(x not in got[i].text for i, x in enumerate(lines))
+
+
+def test_short_lines_and_long_ones_of_two_documents_go(spark):
+    rng = random.Random(9)
+    passage = unrelated(rng, 1, [], 1)[0] + " and " + unrelated(rng, 1, [], 1)[0]
+    texts = [t + ("\nAll rights reserved.\n  Home \n***\nPage 3" if i < 5 else "\nPage 4") + (f"\n{passage}" if i > 7 else "") for i, t in enumerate(unrelated(rng, 4, [], 10))]
+    got = run(spark, texts)
+    own = ["\n".join(t.split("\n")[:4]) for t in texts]
+    assert [got[i].text for i in range(10)] == [own[i] + ("\n***" if i < 5 else "") for i in range(10)]
+    # Too few texts for a short line; two related ones for a long one; a number alone is no line to drop.
+    some = unrelated(rng, 4, [], 6)
+    texts = [some[0] + "\nContact us", some[1] + "\nContact us", some[2] + f"\n{passage}", some[2] + f"\n{passage}\nend", some[3] + "\n17", some[4] + "\n17", some[5] + "\n17"]
+    got = run(spark, texts)
+    assert [got[i].text for i in range(len(texts))] == texts
