@@ -4,8 +4,9 @@ A text's canonical form drops what does not change a licence: case, punctuation,
 white space, copyright lines and spelling variants. Its SHA-256 is then looked
 up, by a hash join on the digest, among the digests of known licence texts. A
 unit of lookup is an entire text: a document as a whole, and each of its
-newline-separated paragraphs and lines as a whole, so that a notice at the end
-of a document is found and a mere mention within a sentence is not.
+paragraphs (between lines without a letter or digit) and lines as a whole, so that
+a notice at the end of a document, on one line or wrapped over several, is found
+and a mere mention within a sentence is not.
 
 Nulls and odd input: a null text has no unit and no licence; an empty text, or
 one whose canonical form is empty, matches nothing. Every row of the input gives
@@ -35,6 +36,40 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
 )
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""
+_MIT_REST = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_2 = """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_REST = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Full texts, with and without a title, and the paragraphs that open them or stand in file headers.
+TEXTS = (
+    *(("MIT", f"{title}\n\n{_MIT}\n\n{_MIT_REST}") for title in ("", "MIT License", "The MIT License", "The MIT License (MIT)")),
+    *(("BSD-2-Clause", f"{title}\n\n{_BSD}\n\n{_BSD_2}\n\n{_BSD_REST}") for title in ("", "BSD 2-Clause License")),
+    *(("BSD-3-Clause", f"{title}\n\n{_BSD}\n\n{_BSD_2}\n\n{_BSD_3}\n\n{_BSD_REST}") for title in ("", "BSD 3-Clause License")),
+    ("MIT", _MIT),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+)
+#: Digests of the long texts as published: (SPDX id, digest of the canonical form, its words). Each has the word "license".
+LONG_TEXTS = (
+    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100", 1571),
+    ("GPL-2.0", "9405dc2ae3fe08dea519d5874a1a44bb05d513336aed49976b5030bd5b8f27f6", 2965),
+    ("GPL-3.0", "1d0e7e346a64e5a57232a9fbb953744c9272a4f97823baaab065df792fcefb24", 5650),
+    ("LGPL-2.1", "6f217aee15c5da0a9c4b622caf94d6acf1d6fb3e2de1b5f6e7847a76941730a8", 4354),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 1231),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9", 2414),
+)
+#: Lines without a letter or digit between paragraphs.
+BETWEEN_PARAGRAPHS = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 #: Equivalent spellings, as (words, their one form), applied to the spaced canonical text.
 SPELLINGS = (
     ("licence", "license"),
@@ -73,13 +108,20 @@ def _words(canon: Column) -> Column:
     return F.length(canon) - F.length(F.replace(canon, F.lit(" "), F.lit(""))) + 1
 
 
-def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license, canon, n_words) of the canonical forms; a digest that two licences share takes the first by name."""
+def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN + TEXTS, long_texts: Sequence[tuple[str, str, int]] = LONG_TEXTS) -> DataFrame:
+    """(digest, license, canon, n_words) of the canonical forms; a digest that two licences share takes the first by name.
+
+    Of ``long_texts`` only the digests are known; ``canon`` then is a word that they have.
+    """
     rows = spark.range(0).select(F.lit("").alias("license"), F.lit("").alias("body"))
     if known:
         rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("license"), F.lit(t).alias("body")) for i, t in known])))
     rows = rows.withColumn("canon", canonical(F.col("body"))).where("canon <> ''")
-    return rows.groupBy(F.sha2("canon", 256).alias("digest")).agg(F.min("license").alias("license"), F.first("canon").alias("canon"), F.first(_words(F.col("canon"))).alias("n_words"))
+    rows = rows.select("license", F.sha2("canon", 256).alias("digest"), "canon", _words(F.col("canon")).alias("n_words"))
+    if long_texts:
+        cells = [F.struct(F.lit(i).alias("license"), F.lit(d).alias("digest"), F.lit("license").alias("canon"), F.lit(n).alias("n_words")) for i, d, n in long_texts]
+        rows = rows.unionByName(spark.range(1).select(F.inline(F.array(*cells))))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"), F.first("canon").alias("canon"), F.first("n_words").alias("n_words"))
 
 
 def anchors(digests: DataFrame) -> list[str]:
@@ -111,15 +153,20 @@ def scan_licenses(df: DataFrame, digests: DataFrame, id_col: str = "doc_id", tex
 
     ``license`` has the distinct ids found, sorted and joined by ``;`` (null: none);
     ``scope`` is ``text`` if the document as a whole is a known text, ``line`` if
-    only lines of it are, else null; ``n_notices`` counts the matching units: the
-    whole text if it matches, else the lines that do. A unit whose canonical form
+    only lines or paragraphs of it are, else null; ``n_notices`` counts the matching
+    units: the whole text if it matches, else the lines that do and the paragraphs
+    of several lines that are no such line without its copyright lines. A unit whose canonical form
     has fewer or more words than any known one can't match and gets no digest.
     ``digests`` is as :func:`known_digests` makes it; a notice may be
     in a third of all documents, so units are salted for the join.
     """
     bound = digests.agg(F.min("n_words").alias("least"), F.max("n_words").alias("most")).first()
     lines = F.split("body", "\n")
-    parts = F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    parts = F.when(F.size(lines) > 1, lines).otherwise(none)
+    # One line between blank ones is a unit already, and one paragraph is the whole text.
+    paragraphs = F.split("body", BETWEEN_PARAGRAPHS)
+    wrapped = F.when(F.size(paragraphs) > 1, F.filter(paragraphs, lambda x: F.contains(x, F.lit("\n")))).otherwise(none)
     # Only texts with a word that every match needs are taken apart.
     low = F.lower("body")
     possible = F.lit(False)
@@ -131,7 +178,11 @@ def scan_licenses(df: DataFrame, digests: DataFrame, id_col: str = "doc_id", tex
         digest = let(canonical(x), lambda c: F.when((c != "") & _words(c).between(least, most), F.sha2(c, 256)))
         return F.struct(F.lit(whole).alias("whole"), digest.alias("digest"))
 
-    every = F.concat(F.array(unit(True, F.col("body"))), F.transform(parts, lambda x: unit(False, x)))
+    def units_of(of_lines: Column) -> Column:
+        more = F.filter(F.transform(wrapped, lambda x: unit(False, x)), lambda x: ~F.array_contains(F.transform(of_lines, lambda y: F.coalesce(y["digest"], F.lit(""))), x["digest"]))
+        return F.concat(F.array(unit(True, F.col("body"))), of_lines, more)
+
+    every = let(F.transform(parts, lambda x: unit(False, x)), units_of)
     units = F.when(F.coalesce(possible, F.lit(False)), every).otherwise(F.array(unit(True, F.lit(None).cast("string"))))
     # The row's number is taken before the units are unfolded.
     numbered = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).withColumn("row", F.monotonically_increasing_id())

@@ -1,5 +1,7 @@
 """License scans on small texts."""
 
+import textwrap
+
 from reviewloom.llm import license_scan as ls
 
 APACHE = "Licensed under the Apache License, Version 2.0."
@@ -47,3 +49,13 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, APACHE)], "doc_id long, text string")
     plan = ls.scan_licenses(df, ls.known_digests(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "ArrowEval", "CartesianProduct"))
+
+
+def test_full_texts_and_wrapped_headers(spark):
+    mit = "MIT License\n\nCopyright (c) 2021 A. Person\n\n" + "\n\n".join(textwrap.fill(p, 78) for p in (ls._MIT, *ls._MIT_REST.split("\n\n")))
+    apache = "# Copyright 2021 A. Person\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n#\n# more words"
+    gpl = " * A program\n *\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License, version 3.\n *\n * end"
+    texts = [mit, "Words.\n\n" + mit + "\n\nWords.", apache, gpl, "words\n\n(c) 2020 A. Person\n" + APACHE + "\n\nwords"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in ls.scan_licenses(df, ls.known_digests(spark)).collect()}
+    assert got == {0: ("MIT", "text", 1), 1: ("MIT", "line", 1), 2: ("Apache-2.0", "line", 1), 3: ("GPL-3.0", "line", 1), 4: ("Apache-2.0", "line", 1)}
