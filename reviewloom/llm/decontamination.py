@@ -16,8 +16,8 @@ exact: no item above the threshold is lost. A retrieved item counts as a leak
 once its question and its answer both overlap the passage in runs of words.
 
 Nulls and odd input: null or empty texts have no passage and no leak; items that
-are null or shorter than ``MIN_ITEM_WORDS`` words are too common a phrase to tell
-and are not indexed; repeated items each get their id, a null item id is reported
+are null or without a word are not searched; items of fewer than ``MIN_ITEM_WORDS``
+words leak where all their words follow one another, with a score of 1; repeated items each get their id, a null item id is reported
 as null. Every row of the input gives one row, null ids and repeated rows
 included. Empty tables are allowed. Other columns are not read. Texts are read
 whole.
@@ -25,10 +25,12 @@ whole.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +47,9 @@ THRESHOLD = 0.6
 QUESTION_OVERLAP, ANSWER_OVERLAP = 0.6, 0.5
 #: Words in a run of the verification.
 RUN = 3
+#: Words of an item from which it is searched by BM25; shorter ones by their exact run of words.
 MIN_ITEM_WORDS = 8
-#: Items are indexed in blocks of at most this many characters; only such a block is ever on the driver.
+#: Items are indexed in blocks of at most this many characters; only such a block, and the words of all items with their counts, are ever on the driver.
 INDEX_CHARS = 16_000_000
 
 _WORD = re.compile(r"\w+")
@@ -97,12 +100,41 @@ class Index:
     essential_impact: np.ndarray
     needed: np.ndarray
     longest: int
+    #: By first word: the words of short items, and their places in ``ids``, which has them after the others.
+    short: dict[str, list[tuple[list[str], int]]]
+    #: Order of the items as given, by place in ``ids``.
+    order: list[int]
 
 
-def build(rows: list[tuple[object, str | None]], threshold: float = THRESHOLD) -> Index:
-    found = [(i, t, w) for i, t in rows if len(w := words_of(t)) >= MIN_ITEM_WORDS]
+@dataclass
+class Statistics:
+    """Number of the items that are searched by BM25, their words, and the items of each word."""
+
+    n: int = 0
+    words: int = 0
+    df: Counter = field(default_factory=Counter)
+
+    def add(self, words: list[str]) -> None:
+        if len(words) >= MIN_ITEM_WORDS:
+            self.n, self.words = self.n + 1, self.words + len(words)
+            self.df.update(set(words))
+
+
+def build(rows: list[tuple[object, str | None]], threshold: float = THRESHOLD, of_all: Statistics | None = None) -> Index:
+    """Index of these items; ``of_all`` are the statistics of all items, where these are but a block of them."""
+    worded = [(i, t, w, k) for k, (i, t) in enumerate(rows) if (w := words_of(t))]
+    found = [(i, t, w) for i, t, w, _ in worded if len(w) >= MIN_ITEM_WORDS]
+    brief = [(i, w) for i, _, w, _ in worded if len(w) < MIN_ITEM_WORDS]
+    order = [k for *_, w, k in worded if len(w) >= MIN_ITEM_WORDS] + [k for *_, w, k in worded if len(w) < MIN_ITEM_WORDS]
+    if of_all is None:
+        of_all = Statistics()
+        for _, _, w in found:
+            of_all.add(w)
     n = len(found)
-    average = sum(len(w) for _, _, w in found) / max(n, 1)
+    average = of_all.words / max(of_all.n, 1)
+    short: dict[str, list[tuple[list[str], int]]] = {}
+    for k, (_, w) in enumerate(brief):
+        short.setdefault(w[0], []).append((w, n + k))
     vocabulary: dict[str, int] = {}
     counts = []
     for _, _, words in found:
@@ -111,11 +143,8 @@ def build(rows: list[tuple[object, str | None]], threshold: float = THRESHOLD) -
             t = vocabulary.setdefault(w, len(vocabulary))
             tf[t] = tf.get(t, 0) + 1
         counts.append(tf)
-    df = np.zeros(len(vocabulary), np.int64)
-    for tf in counts:
-        for t in tf:
-            df[t] += 1
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    df = np.fromiter((of_all.df[w] for w in vocabulary), np.int64, len(vocabulary))
+    idf = np.log(1 + (of_all.n - df + 0.5) / (df + 0.5))
     items: list[list[int]] = [[] for _ in vocabulary]
     impacts: list[list[float]] = [[] for _ in vocabulary]
     rare: list[tuple[int, int, float]] = []
@@ -138,7 +167,7 @@ def build(rows: list[tuple[object, str | None]], threshold: float = THRESHOLD) -
     rare.sort()
     starts = np.searchsorted(np.array([r[0] for r in rare], np.int64), np.arange(len(vocabulary) + 1))
     return Index(
-        [i for i, _, _ in found],
+        [i for i, _, _ in found] + [i for i, _ in brief],
         [question_and_answer(t) for _, t, _ in found],
         vocabulary,
         items,
@@ -150,6 +179,8 @@ def build(rows: list[tuple[object, str | None]], threshold: float = THRESHOLD) -
         np.array([r[2] for r in rare]),
         needed,
         max((len(w) for _, _, w in found), default=0),
+        short,
+        order,
     )
 
 
@@ -210,8 +241,24 @@ def windows(n_words: int, longest: int) -> list[tuple[int, int]]:
     return [(s, min(s + 2 * longest, n_words)) for s in range(0, max(n_words - longest, 1), longest)] if n_words and longest else []
 
 
+def all_leaks(index: Index, texts: list[str | None], threshold: float = THRESHOLD) -> list[list[tuple[int, float, float, float]]]:
+    """For each text its leaks of long and of short items, in the order of the items."""
+    out = leaks(index, texts, threshold)
+    if index.short:
+        for found, text in zip(out, texts, strict=True):
+            found += [(item, 1.0, 1.0, 1.0) for item in short_leaks(index, words_of(text))]
+            found.sort(key=lambda x: index.order[x[0]])
+    return out
+
+
+def short_leaks(index: Index, words: list[str]) -> set[int]:
+    """The short items of which all words follow one another among these."""
+    firsts = index.short
+    return {item for at, word in enumerate(words) if word in firsts for run, item in firsts[word] if words[at : at + len(run)] == run}
+
+
 def leaks(index: Index, texts: list[str | None], threshold: float = THRESHOLD) -> list[list[tuple[int, float, float, float]]]:
-    """For each text its leaks: (item, score, question overlap, answer overlap), an item once, by its best passage."""
+    """For each text its leaks of items searched by BM25: (item, score, question overlap, answer overlap), an item once, by its best passage."""
     step = index.longest
     out: list[list] = [[] for _ in texts]
     if not step:
@@ -267,17 +314,32 @@ def item_blocks(items: DataFrame, item_id: str, item_text: str) -> list[list[tup
         yield [(r[0], r[1]) for r in part.select(item_id, item_text).orderBy(item_id, item_text).collect()]
 
 
+def built(items: DataFrame, threshold: float, item_id: str, item_text: str) -> Iterator[Index]:
+    """An index of each block of items; more than one block share the statistics of all items, taken first."""
+    blocks = item_blocks(items, item_id, item_text)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        yield build(first, threshold)
+        return
+    of_all = Statistics()
+    for rows in itertools.chain([first, second], blocks):
+        for _, text in rows:
+            of_all.add(words_of(text))
+    del first, second
+    for rows in item_blocks(items, item_id, item_text):
+        yield build(rows, threshold, of_all)
+
+
 def find_leaks(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, leaks) for each row of ``df``: an array of (item, score, question_overlap, answer_overlap).
 
-    More than a block of items is searched block by block, each with statistics of
-    its own; the blocks' leaks of a row are then put together.
+    More than a block of items is searched block by block, with the statistics of all
+    items; the blocks' leaks of a row are then put together.
     """
-    indexes = (build(rows, threshold) for rows in item_blocks(items, item_id, item_text))
     id_type, key_type = df.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     hit = f"array<struct<item: {key_type}, score: double, question_overlap: double, answer_overlap: double>>"
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast(hit).alias("leaks"))
-    for index in indexes:
+    for index in built(items, threshold, item_id, item_text):
         rows = rows.mapInArrow(_searcher(index, threshold), f"id {id_type}, text string, leaks {hit}")
     return rows.select(F.col("id").alias(id_col), "leaks")
 
@@ -287,7 +349,7 @@ def _searcher(index: Index, threshold: float, rows: int = 256):
         for whole in batches:
             for start in range(0, whole.num_rows, rows):
                 b = whole.slice(start, rows)
-                found = leaks(index, b.column(1).to_pylist(), threshold)
+                found = all_leaks(index, b.column(1).to_pylist(), threshold)
                 kind = b.schema.field(2).type
                 so_far = b.column(2).to_pylist()
                 named = [old + [dict(zip(("item", "score", "question_overlap", "answer_overlap"), (index.ids[i], *x), strict=True)) for i, *x in new] for old, new in zip(so_far, found, strict=True)]
@@ -299,14 +361,13 @@ def _searcher(index: Index, threshold: float, rows: int = 256):
 def drop_leaking(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``df`` without a leak, with all their columns."""
     at = df.columns.index(text_col)
-    for rows in item_blocks(items, item_id, item_text):
-        index = build(rows, threshold)
+    for index in built(items, threshold, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for start in range(0, whole.num_rows, 256):
                     b = whole.slice(start, 256)
-                    yield b.filter(pa.array([not x for x in leaks(index, b.column(at).to_pylist(), threshold)], pa.bool_()))
+                    yield b.filter(pa.array([not x for x in all_leaks(index, b.column(at).to_pylist(), threshold)], pa.bool_()))
 
         df = df.mapInArrow(run, df.schema)
     return df

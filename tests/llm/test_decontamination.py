@@ -94,3 +94,24 @@ def test_operator(spark, monkeypatch):
         assert kept.columns == docs.columns and sorted(map(repr, [r.doc_id for r in kept.collect()])) == ["2", "2", "5", "6"]
     assert dc.find_leaks(docs, items.limit(0)).count() == 6
     assert dc.find_leaks(docs.limit(0), items).count() == 0
+
+
+def test_short_items_leak_by_their_exact_run(spark):
+    items = spark.createDataFrame([(1, "What is 17 times 3? 51"), (2, "one two three four five six seven eight nine ten"), (3, "Yes"), (4, "..."), (5, None)], "item_id long, text string")
+    texts = ["So: what is 17 times 3?\n51, he said", "What is 17 times 4? 51", "one two three four five six seven eight nine ten. What is 17 times 3? 51", "oh yes", "yesterday", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [x["item"] for x in r.leaks] for r in dc.find_leaks(docs, items).collect()}
+    assert got == {0: [1], 1: [], 2: [1, 2], 3: [3], 4: [], 5: [], 6: []}
+    assert sorted(r.doc_id for r in dc.drop_leaking(docs, items).collect()) == [1, 4, 5, 6]
+
+
+def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(12)) for _ in range(40)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, "other " + t.split(" ", 1)[1]) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = []
+    for chars in (dc.INDEX_CHARS, 300):
+        monkeypatch.setattr(dc, "INDEX_CHARS", chars)
+        found.append({(r.doc_id, x["item"]): round(x["score"], 9) for r in dc.find_leaks(docs, items, 0.5).collect() for x in r.leaks})
+    assert found[0] and found[0] == found[1]
