@@ -18,15 +18,18 @@ each drawn from all openings by a hash. Two texts agree in a sketch about as oft
 as the square of the share of openings they have in common, so a block of many
 lines in otherwise different documents makes few agree, and near copies nearly
 all. A template is left alone if, on average over the sketches, more than
-``ONE_ORIGIN`` of its texts share the most frequent value. Lines of
+``ONE_ORIGIN`` of its texts share the most frequent value; where it has few texts,
+so that chance weighs more, a smaller part is enough (``_recurring``). Lines of
 ``LONG_TOKENS`` or more tokens recur from two texts on. Lines of fewer than
 ``MIN_TOKENS`` tokens are too short for a template: they recur as they are, digits
 included, and only if they have a letter.
 
 Nulls and odd input: a null or empty text has no line to drop and stays as it is.
 Null ids are rows like any other. Repeated rows get equal results; equal texts
-count once. An empty table gives an empty result. All columns are passed on,
-whatever their names. Lines and texts of any length are read whole.
+count once. Ties: of tokens that equally many forms share the greatest counts, of
+positions that divide equally well the first. An empty table gives an empty
+result. All columns are passed on, whatever their names. Lines and texts of any
+length are read whole, and the work is linear in their lines.
 """
 
 from __future__ import annotations
@@ -38,99 +41,89 @@ from reviewloom.llm.shared import hot_join, let, written
 
 #: Different texts that a template has to be in.
 MIN_DOCUMENTS = 3
-#: Share of a template's texts from one origin up to which it recurs.
-ONE_ORIGIN = 0.6
+#: Share of a template's texts from one origin up to which it recurs, where it has many texts.
+ONE_ORIGIN = 0.7
 #: Sketches of a text's openings.
-BANDS = 16
+BANDS = 32
 #: Tokens of a line from which it is parsed; shorter ones are compared as they are.
 MIN_TOKENS = 5
 #: Tokens of a line from which two different texts are enough.
 LONG_TOKENS = 10
-#: Leading tokens on the way to a leaf.
-DEPTH = 3
+#: Leading tokens on the way to a leaf, and in an opening.
+DEPTH, OPENING = 3, 2
 #: Share of a leaf's forms that makes a token constant, and share of a form's tokens that must agree with the leaf.
 CONSTANT, AGREE = 0.5, 0.7
 #: Fixed value: stands for a variable field.
 FIELD = "<*>"
-#: Parts that the forms of a leaf are spread over in a join.
-SALTS = 64
-#: Buckets of the first, bounded filter for leaves.
-LEAF_BUCKETS = 1 << 20
+#: Buckets of the first, bounded filter for leaves; a power of two.
+LEAF_BUCKETS = 1 << 18
+#: White space within a line, as a plain string and as a pattern.
+_BLANKS, _BLANK_RUN = " \t\r\x0b\x0c", r"[ \t\r\x0b\x0c]+"
 
 
-def _tokens(line: Column) -> Column:
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"\S*[0-9]\S*", FIELD)).otherwise(line)
-    spaced = F.trim(F.translate(masked, "\t\r\x0b\x0c", "    "))
-    # One blank as separator is split without a regular expression.
-    return F.split(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced), " ")
+def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, digest, i, line, norm, n) of every line of the texts; ``norm`` has single blanks and masked values, ``n`` is its tokens.
 
+    Filters on what is computed here would be pushed below and evaluate it twice, so
+    the outer form of the generator is used, and callers filter what they have written.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    lines = rows.select(_key(F.col("id"), F.col("text")).alias("key"), F.xxhash64("text").alias("digest"), F.posexplode_outer(F.split("text", "\n")).alias("i", "line"))
+    line = F.col("line")
+    # Most lines are in this form already.
+    odd = line.rlike(r"[0-9\t\r\x0b\x0c]") | F.contains(line, F.lit("  "))
+    masked = F.regexp_replace(F.regexp_replace(line, r"[^\s0-9]*+[0-9]\S*+", FIELD), _BLANK_RUN, " ")
+    normed = lines.withColumn("norm", F.trim(F.when(odd, masked).otherwise(line)))
+    return normed.withColumn("n", F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
 
-def _parsed(text: Column, with_tokens: bool) -> Column:
-    """Each line's place in the tree: (i, n, leaf, form, opening[, tokens]); a line too short for the tree has no leaf, and no form without a letter."""
 
-    def place(t: Column, i: Column, line: Column) -> Column:
-        short = F.size(t) < MIN_TOKENS
-        cells = [
-            i.alias("i"),
-            F.size(t).alias("n"),
-            F.when(~short, F.xxhash64(F.size(t), F.slice(t, 1, DEPTH))).alias("leaf"),
-            F.when(~short, F.xxhash64(t)).when(line.rlike(r"\p{L}"), F.xxhash64(F.trim(line, F.lit(" \t\r\x0b\x0c")))).alias("form"),
-            F.xxhash64(F.slice(t, 1, 2)).alias("opening"),
-        ]
-        return F.struct(*cells, *([t.alias("tokens")] if with_tokens else []))
+def _leaf() -> Column:
+    """The leaf of a line; that of one with fewer than ``MIN_TOKENS`` tokens is not used."""
+    return F.xxhash64("n", F.substring_index("norm", " ", DEPTH))
 
-    return F.transform(F.split(text, "\n"), lambda line, i: let(_tokens(line), lambda t: place(t, i, line)))
 
+def _form() -> Column:
+    """A line's form; null for a short one without a letter."""
+    short = F.when(F.col("line").rlike(r"\p{L}"), F.xxhash64(F.trim("line", F.lit(_BLANKS))))
+    return F.when(F.col("n") >= MIN_TOKENS, F.xxhash64("norm")).otherwise(short)
 
-def _bands(openings: Column) -> Column:
-    """``BANDS`` sketches of a set of hashes; each joins two of ``BANDS`` picks, the hashes nearest to fixed ones."""
-    seeds = F.array(*[F.xxhash64(F.lit(f"origin {j}")) for j in range(BANDS)])
-    picks = F.transform(seeds, lambda s: F.array_min(F.transform(openings, lambda o: o.bitwiseXOR(s))).bitwiseXOR(s))
-    return let(picks, lambda p: F.transform(p, lambda x, j: F.xxhash64(x, F.get(p, (j + 1) % BANDS))))
 
+def _key(row_id: Column, text: Column) -> Column:
+    return F.xxhash64(row_id, row_id.isNull(), F.xxhash64(text))
 
-def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, digest, bands, lines) of each text; ``lines`` has (i, leaf, form, least) of each line with a form, ``least`` the texts that it has to be in."""
-    rows = df.select(_key(F.col(id_col), F.col(text_col)).alias("key"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    parsed = rows.select("key", "digest", _parsed(F.col("text"), False).alias("lines"))
-    said = F.filter("lines", lambda x: x["form"].isNotNull())
-    openings = F.array_distinct(F.transform(said, lambda x: x["opening"]))
-    least = lambda x: F.when(x["n"] >= LONG_TOKENS, 2).otherwise(MIN_DOCUMENTS)
-    kept = F.transform(said, lambda x: F.struct(x["i"].alias("i"), x["leaf"].alias("leaf"), x["form"].alias("form"), least(x).alias("least")))
-    return parsed.select("key", "digest", let(openings, _bands).alias("bands"), kept.alias("lines"))
 
+def _sketched(seen: DataFrame) -> DataFrame:
+    """(digest, bands): ``BANDS`` sketches of a text's openings; each joins two of ``BANDS`` picks, the hashes nearest to fixed ones."""
+    picks = [F.min(F.col("opening").bitwiseXOR(F.xxhash64(F.lit(f"origin {j}")))).alias(f"p{j}") for j in range(BANDS)]
+    drawn = seen.groupBy("digest").agg(*picks)
+    return drawn.select("digest", F.array(*[F.xxhash64(f"p{j}", f"p{(j + 1) % BANDS}") for j in range(BANDS)]).alias("bands"))
 
-def _key(row_id: Column, text: Column) -> Column:
-    return F.xxhash64(row_id, row_id.isNull(), text)
 
+def _recurring(pairs: DataFrame, bands: DataFrame, by: list[str], least: Column) -> DataFrame:
+    """(by): the values of ``by`` in ``least`` or more texts that are not of one origin; ``pairs`` has each (by, digest) once.
 
-def _recurring(pairs: DataFrame, bands: DataFrame, by: str, least: int) -> DataFrame:
-    """(by): the values of ``by`` in ``least`` or more texts that are not of one origin; ``pairs`` has each (by, digest) once."""
-    sketched = pairs.join(bands, "digest").select(by, F.posexplode("bands").alias("band", "sketch"))
-    sizes = sketched.groupBy(by, "band", "sketch").agg(F.count(F.lit(1)).alias("n"))
-    tops = sizes.groupBy(by, "band").agg(F.sum("n").alias("docs"), F.max("n").alias("top"))
-    shares = tops.groupBy(by).agg(F.max("docs").alias("docs"), F.avg(F.col("top") / F.col("docs")).alias("share"))
-    return shares.where((F.col("docs") >= least) & (F.col("share") <= ONE_ORIGIN)).select(by)
+    Of n texts, the first that shares a sketch's most frequent value says nothing: the
+    share is that of the others, and the bar is ``ONE_ORIGIN`` less 1 / n.
+    """
+    sketched = pairs.join(bands, "digest").select(*by, F.posexplode("bands").alias("band", "sketch"))
+    sizes = sketched.groupBy(*by, "band", "sketch").agg(F.count(F.lit(1)).alias("n"))
+    tops = sizes.groupBy(*by, "band").agg(F.sum("n").alias("docs"), F.max("n").alias("top"))
+    shares = tops.groupBy(*by).agg(F.max("docs").alias("docs"), F.sum(F.col("top") - 1).alias("shared"))
+    return shares.where((F.col("docs") >= least) & (F.col("shared") <= BANDS * (F.col("docs") - 1) * (ONE_ORIGIN - 1 / F.col("docs")))).select(by[0])
 
 
-def _generalised(df: DataFrame, text_col: str, seen: DataFrame, bands: DataFrame, forms: DataFrame) -> DataFrame:
-    """(form): forms that belong to a recurring template of several forms."""
-    leaves = written(forms.where("leaf IS NOT NULL").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCUMENTS).select("leaf"), "leaves")
+def _leaf_forms(df: DataFrame, id_col: str, text_col: str, forms: DataFrame) -> DataFrame:
+    """(leaf, form, tokens) of the forms in leaves of enough forms, a row each."""
+    leaves = forms.where(F.col("n") >= MIN_TOKENS).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCUMENTS).select("leaf")
+    leaves = written(leaves, "leaves")
     # At most LEAF_BUCKETS numbers are broadcast; they spare most lines the exact join.
-    near = F.broadcast(leaves.select(F.pmod("leaf", F.lit(LEAF_BUCKETS)).alias("bucket")).distinct())
-    lines = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).select(F.inline(_parsed(F.col("text"), True))).where(F.col("n") >= MIN_TOKENS)
-    some = lines.withColumn("bucket", F.pmod("leaf", F.lit(LEAF_BUCKETS))).join(near, "bucket", "left_semi")
+    near = F.broadcast(leaves.select(F.col("leaf").bitwiseAND(LEAF_BUCKETS - 1).alias("bucket")).distinct())
+    lines = _lines(df, id_col, text_col).select("norm", _leaf().alias("leaf"))
+    some = lines.withColumn("bucket", F.col("leaf").bitwiseAND(LEAF_BUCKETS - 1)).join(near, "bucket", "left_semi")
     # Each form once, before the exact join: a hot line is one row from here on.
-    distinct = some.groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"))
-    # A leaf may have a third of all forms: forms are salted, the leaves copied.
-    salted = distinct.withColumn("salt", F.pmod("form", F.lit(SALTS)))
-    copies = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    mine = written(salted.join(copies, ["leaf", "salt"], "left_semi").drop("salt"), "leaf-forms")
-
-    matched = _templates(mine)
-    # The texts of a template's forms are put together.
-    texts = hot_join(seen.select("digest", "form"), matched.select("form", "template"), "form").select("template", "digest").distinct()
-    return matched.join(_recurring(texts, bands, "template", MIN_DOCUMENTS), "template", "left_semi").select("form")
+    distinct = some.groupBy("leaf", F.xxhash64("norm").alias("form")).agg(F.first("norm").alias("norm"))
+    mine = hot_join(written(distinct, "near-forms"), leaves, "leaf")
+    return written(mine.select("leaf", "form", F.split("norm", " ").alias("tokens")), "leaf-forms")
 
 
 def _templates(forms: DataFrame) -> DataFrame:
@@ -160,24 +153,31 @@ def _templates(forms: DataFrame) -> DataFrame:
 
 def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, text, n_lines, n_dropped): the original row as a struct, and its text without recurring lines."""
-    parsed = written(_documents(df, id_col, text_col), "lines")
-    seen = parsed.select("key", "digest", F.inline("lines"))
-    bands = parsed.groupBy("digest").agg(F.first("bands").alias("bands"))
-    # Equal texts count once.
-    once = seen.select("form", "leaf", "least", "digest").distinct()
-    forms = written(once.groupBy("form", "leaf", "least").agg(F.count(F.lit(1)).alias("docs")), "forms")
-    often = hot_join(seen.select("digest", "form"), forms.where("docs >= least").select("form"), "form")
-    direct = _recurring(often.distinct(), bands, "form", 2)
-    dropped = written(direct.unionByName(_generalised(df, text_col, seen, bands, forms)).distinct(), "dropped-forms")
-
-    hits = hot_join(seen.select("key", "digest", "i", "form"), dropped, "form")
+    opening = F.xxhash64(F.substring_index("norm", " ", OPENING))
+    seen = written(_lines(df, id_col, text_col).select("key", "digest", "i", "n", _leaf().alias("leaf"), _form().alias("form"), opening.alias("opening")), "lines").where("form IS NOT NULL")
+    bands = written(_sketched(seen), "sketches")
+    # A form is in several texts if the least and the greatest digest differ; equal texts count once.
+    least = F.when(F.col("n") >= LONG_TOKENS, 2).otherwise(MIN_DOCUMENTS).alias("least")
+    forms = seen.groupBy("form").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), (F.min("digest") < F.max("digest")).alias("several"), F.count(F.lit(1)).alias("n_rows"))
+    forms = written(forms, "forms")
+    counted = (forms, "n_rows")
+    often = hot_join(seen.select("digest", "form"), forms.where("several").select("form", least), "form", counts=counted)
+    direct = _recurring(often.distinct(), bands, ["form", "least"], F.col("least"))
+
+    matched = _templates(_leaf_forms(df, id_col, text_col, forms))
+    # The texts of a template's forms are put together.
+    texts = hot_join(seen.select("digest", "form"), matched, "form", counts=counted).select("template", "digest").distinct()
+    templates = written(_recurring(texts, bands, ["template"], F.lit(MIN_DOCUMENTS)), "templates")
+    dropped = written(direct.unionByName(hot_join(matched, templates, "template").select("form")).distinct(), "dropped-forms")
+
+    hits = hot_join(seen.select("key", "digest", "i", "form"), dropped, "form", counts=counted)
     lists = hits.groupBy("key", "digest").agg(F.collect_set("i").alias("gone"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _key(F.col(id_col), F.col(text_col)).alias("key"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
-    joined = rows.join(lists, ["key", "digest"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    joined = rows.join(lists.hint("shuffle_hash"), ["key", "digest"], "left")
+    stay = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda j: F.get(lines, j))
     return joined.select(
         "row",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(let(F.split("text", "\n"), stay), "\n")).alias("text"),
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )

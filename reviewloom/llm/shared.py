@@ -61,20 +61,23 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 #: A key is hot if it has more than one in HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot keys.
-HOT_SHARE = 1000
+HOT_SHARE = 10_000
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: tuple[DataFrame, str] | None = None) -> DataFrame:
     """Joins ``left``, whose ``key`` may be skewed, with ``right``, which has each key once.
 
     Hot keys, fewer than ``HOT_SHARE`` by their definition, are broadcast with
-    their rows of ``right``; the others are joined by a shuffle. ``left`` should
-    be a written table, as it is read for the count too. ``how``: inner or left.
+    their rows of ``right``; the others are joined by a shuffle, whatever the size
+    of ``right`` is estimated at. ``left`` should be a written table, as it is read
+    for the count too; ``counts`` is a table of its keys and the name of their
+    number of rows, where that is known. ``how``: inner or left.
     """
     spark = left.sparkSession
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = left.count()
-    hot = [r[0] for r in counts.where(F.col("n") > max(total // HOT_SHARE, 20)).select(key).collect()]
+    table, n = counts or (left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")), "n")
+    total = (table.agg(F.sum(n)).first()[0] or 0) if counts else left.count()
+    hot = [r[0] for r in table.where(F.col(n) > max(total // HOT_SHARE, 20)).select(key).collect()]
+    right = right.hint("shuffle_hash")
     if not hot:
         return left.join(right, key, how)
     keys = F.broadcast(spark.createDataFrame([(k,) for k in hot], f"{key} {left.schema[key].dataType.simpleString()}"))

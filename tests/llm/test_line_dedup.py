@@ -1,49 +1,70 @@
-"""Line dedup against a plain Python template tree (equality of tokens instead of hashes)."""
+"""Line dedup against a plain Python template tree, on whole strings; only the sketches use the same hash function."""
 
 import random
 import re
 from collections import Counter, defaultdict
 
+import xxhash
+
 from reviewloom.llm import line_dedup as ld
 
+BLANKS = " \t\r\x0b\x0c"
+
+
+def xx(seed, *values):
+    """XXH64 of longs and strings, each with the hash before it as the seed; signed."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed % (1 << 64))
+    return seed - (1 << 64) if seed >> 63 else seed
 
-def brute(texts, opening_rank):
-    """Kept text of each text. ``opening_rank`` orders openings as the hashes do."""
-    trim = " \t\r\x0b\x0c"
+
+def brute(texts):
+    """Kept text of each text."""
 
     def tokens(line):
-        if re.search("[0-9]", line):
-            line = re.sub(r"\S*[0-9]\S*", ld.FIELD, line, flags=re.ASCII)
-        return tuple(re.split(r"[ \t\r\x0b\x0c]+", line.strip(trim)))
-
-    per_form = defaultdict(lambda: defaultdict(set))
-    for t in set(x for x in texts if x is not None):
-        toks = [tokens(x) for x in t.split("\n")]
-        openings = sorted({opening_rank[k[:2]] for k in toks})
-        for k in toks:
-            if len(k) >= ld.MIN_TOKENS:
-                rest = [o for o in openings[:2] if o != opening_rank[k[:2]]]
-                per_form[k][rest[0] if rest else None].add(t)
-    recurs = lambda sizes: sum(sizes) >= ld.MIN_DOCUMENTS and max(sizes) <= ld.ONE_ORIGIN * sum(sizes)
-    gone = {k for k, by in per_form.items() if recurs([len(v) for v in by.values()])}
-    leaves = defaultdict(list)
-    for k in per_form:
-        leaves[len(k), k[: ld.DEPTH]].append(k)
-    for forms in leaves.values():
-        if len(forms) < ld.MIN_DOCUMENTS:
-            continue
-        shape = []
-        for pos in range(len(forms[0])):
-            n, tok = max((n, tok.encode()) for tok, n in Counter(f[pos] for f in forms).items())
-            shape.append(tok.decode() if n >= ld.CONSTANT * len(forms) else None)
+        return tuple(ld.FIELD if re.search("[0-9]", t) else t for t in re.split(f"[{BLANKS}]+", line.strip(BLANKS)))
+
+    def form(line):
+        t = tokens(line)
+        if len(t) >= ld.MIN_TOKENS:
+            return t
+        return line.strip(BLANKS) if any(c.isalpha() for c in line) else None
+
+    holders, places, sketches = defaultdict(set), {}, {}
+    seeds = [xx(42, f"origin {j}") for j in range(ld.BANDS)]
+    for t in {x for x in texts if x is not None}:
+        said = [x for x in t.split("\n") if form(x) is not None]
+        for x in said:
+            holders[form(x)].add(t)
+            places[form(x)] = tokens(x)
+        openings = {xx(42, " ".join(tokens(x)[: ld.OPENING])) for x in said}
+        if openings:
+            picks = [min(o ^ s for o in openings) for s in seeds]
+            sketches[t] = [xx(42, picks[j], picks[(j + 1) % ld.BANDS]) for j in range(ld.BANDS)]
+
+    def recurs(held, least):
+        shared = sum(max(Counter(sketches[t][j] for t in held).values()) - 1 for j in range(ld.BANDS))
+        return len(held) >= least and shared <= ld.BANDS * (len(held) - 1) * (ld.ONE_ORIGIN - 1 / len(held))
+
+    gone = {f for f, held in holders.items() if len(held) > 1 and recurs(held, 2 if len(places[f]) >= ld.LONG_TOKENS else 3)}
+    nodes = defaultdict(list)
+    for f, t in places.items():
+        if len(t) >= ld.MIN_TOKENS:
+            nodes[len(t), t[: ld.DEPTH]].append(f)
+    todo = [v for v in nodes.values() if len(v) >= 3]
+    while todo:
+        forms = todo.pop()
+        columns = [Counter(c) for c in zip(*forms, strict=True)]
+        top = [max((n, t.encode(), t) for t, n in c.items()) for c in columns]
+        shape = [t if 2 * n >= len(forms) else None for n, _, t in top]
         mine = [f for f in forms if sum(a == b for a, b in zip(f, shape, strict=True)) >= ld.AGREE * len(f)]
-        by = Counter()
-        for f in mine:
-            for sketch, docs in per_form[f].items():
-                by[sketch] += len(docs)
-        if by and recurs(list(by.values())):
+        if mine and recurs(set().union(*(holders[f] for f in mine)), 3):
             gone.update(mine)
-    return [None if t is None else "\n".join(x for x in t.split("\n") if tokens(x) not in gone) for t in texts]
+        parts = defaultdict(list)
+        for f in set(forms) - set(mine):
+            parts[f[min((len(c), i) for i, c in enumerate(columns) if len(c) > 1)[1]]].append(f)
+        todo += [v for v in parts.values() if len(v) >= 3]
+    return [None if t is None else "\n".join(x for x in t.split("\n") if form(x) not in gone) for t in texts]
 
 
 def make_texts(rng):
@@ -72,14 +93,6 @@ def make_texts(rng):
     return out, passage, block
 
 
-def ranks(spark, texts):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    rows = df.where("text IS NOT NULL").select(F.explode(ld._parsed(F.col("text"), True)).alias("x")).select(F.slice("x.tokens", 1, 2).alias("k"), F.col("x.opening").alias("h")).distinct().collect()
-    return {tuple(r.k): r.h for r in rows}
-
-
 def run(spark, texts):
     df = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], "doc_id long, text string, key string, form int")
     return {r.row.doc_id: r for r in ld.drop_recurring_lines(df).collect()}
@@ -88,7 +101,7 @@ def run(spark, texts):
 def test_matches_brute_force(spark):
     texts, passage, block = make_texts(random.Random(11))
     got = run(spark, texts)
-    want = brute(texts, ranks(spark, texts))
+    want = brute(texts)
     assert [got[i].text for i in range(len(texts))] == want
     for i, t in enumerate(texts):
         lines = 0 if t is None else len(t.split("\n"))
@@ -124,7 +137,7 @@ def test_shared_lines_of_unrelated_documents_go(spark):
     block = unrelated(rng, 20, [], 1)[0].split("\n")
     line = "this one line is shared by all of them"
     # A block of several lines, a line with a blank one, and long documents.
-    for own, shared in ((5, block[:10]), (10, block), (3, ["", line]), (4, ["", line, ""]), (400, [line, "and the other things"])):
+    for own, shared in ((2, block[:2]), (2, block[:6]), (4, block[:4]), (1, block[:2]), (5, block[:10]), (10, block), (3, ["", line]), (4, ["", line, ""]), (400, [line, "and the other things"])):
         texts = unrelated(rng, own, shared)
         got = run(spark, texts)
         assert all(not set(x for x in shared if len(x.split()) >= ld.MIN_TOKENS) & set(r.text.split("\n")) for r in got.values())
@@ -168,3 +181,22 @@ def test_short_lines_and_long_ones_of_two_documents_go(spark):
     texts = [some[0] + "\nContact us", some[1] + "\nContact us", some[2] + f"\n{passage}", some[2] + f"\n{passage}\nend", some[3] + "\n17", some[4] + "\n17", some[5] + "\n17"]
     got = run(spark, texts)
     assert [got[i].text for i in range(len(texts))] == texts
+
+
+def test_small_blocks_of_many_documents_go(spark):
+    rng = random.Random(12)
+    for shared, own in ((6, 2), (4, 4), (2, 1), (3, 2), (8, 4)):
+        block = unrelated(rng, shared, [], 1)[0].split("\n")
+        texts = unrelated(rng, own, block, 200)
+        assert all(r.text.split("\n") == texts[i].split("\n")[:own] for i, r in run(spark, texts).items()), (shared, own)
+
+
+def test_very_long_texts_and_ids_of_any_name(spark):
+    rng = random.Random(13)
+    own = [f"the {w} of line {w}{w} is all its own" for w in ("".join(rng.choices("abcdefgh", k=9)) for _ in range(30_000))]
+    often = "this one line is shared by all of the three"
+    texts = ["\n".join(x for o in own[k::3] for x in (o, often)) for k in range(3)] + ["w " * 400_000 + often]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "n_lines long, text string, row string")
+    got = {r.row.n_lines: r for r in ld.drop_recurring_lines(df, "n_lines").collect()}
+    assert [got[i].n_dropped for i in range(4)] == [10_000, 10_000, 10_000, 0] or [got[i].n_dropped for i in range(4)] == [20_000, 20_000, 20_000, 0]
+    assert got[3].text == texts[3] and got[0].n_lines == 20_000 and often not in got[0].text.split("\n")
