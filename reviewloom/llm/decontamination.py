@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.llm.shared import filter_in_arrow
+
 #: Parameters of BM25.
 K1, B = 1.2, 0.75
 #: Postings in a block of an index list.
@@ -362,12 +364,6 @@ def drop_leaking(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     """The rows of ``df`` without a leak, with all their columns."""
     at = df.columns.index(text_col)
     for index in built(items, threshold, item_id, item_text):
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for start in range(0, whole.num_rows, 256):
-                    b = whole.slice(start, 256)
-                    yield b.filter(pa.array([not x for x in all_leaks(index, b.column(at).to_pylist(), threshold)], pa.bool_()))
-
-        df = df.mapInArrow(run, df.schema)
+        keep = lambda b, index=index: pa.array([not x for x in all_leaks(index, b.column(at).to_pylist(), threshold)], pa.bool_())
+        df = filter_in_arrow(df, keep, 256)
     return df

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.llm.shared import filter_in_arrow
+
 #: Buckets that tokens are hashed to.
 BUCKETS = 1 << 18
 #: Labelled rows that the model is fitted on, at most.
@@ -182,7 +184,8 @@ def classify(
     grades = np.arange(n_grades)
     bar = least * float(model.probabilities(np.zeros(1))[0, tail:].sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scorer() -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+        """Expected grades and tail probabilities of texts, with a memory of tokens."""
         memo: dict[str, float] = {}
         weights = model.weights
 
@@ -194,19 +197,29 @@ def classify(
                 memo[token] = w
             return w
 
-        for b in batches:
+        def scored(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             # A bucket counts once in a text, as in training; used buckets are few, so collisions within a text hardly matter.
-            score = np.array([sum(map(weight, tokens_of(t.as_py()))) for t in b.column(text_at)])
-            p = model.probabilities(score)
-            above = p[:, tail:].sum(axis=1)
-            kept = pa.array(above >= bar)
-            if drop_rejected:
-                yield b.filter(kept)
-            else:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p @ grades), pa.array(above), kept], ["id", "expected_grade", "tail_probability", "kept"])
+            p = model.probabilities(np.array([sum(map(weight, tokens_of(t.as_py()))) for t in texts]))
+            return p @ grades, p[:, tail:].sum(axis=1)
+
+        return scored
 
     if drop_rejected:
-        return df.mapInArrow(run, df.schema)
+        made: list[Callable] = []
+
+        def stays(b: pa.RecordBatch) -> pa.Array:
+            if not made:
+                made.append(scorer())
+            return pa.array(made[0](b.column(text_at))[1] >= bar)
+
+        return filter_in_arrow(df, stays)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = scorer()
+        for b in batches:
+            expected, above = scored(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(expected), pa.array(above), pa.array(above >= bar)], ["id", "expected_grade", "tail_probability", "kept"])
+
     id_type = df.schema[id_col].dataType.simpleString()
     out = df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, expected_grade double, tail_probability double, kept boolean")
     return out.withColumnRenamed("id", id_col)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,23 @@ def drop_written(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def filter_in_arrow(df: DataFrame, keep: Callable[[pa.RecordBatch], pa.Array], rows: int | None = None) -> DataFrame:
+    """The rows of ``df``, whatever its columns are named, for which ``keep`` of their batch is true.
+
+    ``rows``: hand out at most so many at a time.
+    """
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows or max(whole.num_rows, 1)):
+                b = whole.slice(start, rows)
+                yield pa.RecordBatch.from_arrays(b.filter(keep(b)).columns, names)
+
+    # Names with a dot can't be resolved by mapInArrow itself.
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, df.schema)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

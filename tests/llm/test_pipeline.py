@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from reviewloom.llm import decontamination as dc
-from reviewloom.llm import packing, simhash
+from reviewloom.llm import packing
 from reviewloom.llm import quality_classifier as qc
 from reviewloom.llm.queries import graded_labels
 from reviewloom.llm.shared import table
@@ -59,20 +59,23 @@ def test_lines(spark, stages):
 
 
 def test_near_duplicates(stages):
-    rows = stages[2]
-    wide = [np.array(simhash.fingerprint(r.text, 5, simhash.LANES), np.uint64) for r in rows]
-    limit, bands = simhash.wide_radius(0.8), []
-    for w in wide:
-        h = b"".join(int(x).to_bytes(8, "big") for x in w).hex()
-        n = simhash.BAND_BITS // 4
-        bands.append([int(h[n * i : n * i + n], 16) for i in range(simhash.BANDS)])
-    linked = lambda i, j: np.bitwise_count(wide[i] ^ wide[j]).sum() <= limit and any((a ^ b).bit_count() <= simhash.BAND_RADIUS for a, b in zip(bands[i], bands[j], strict=True))
-    order = sorted(range(len(rows)), key=lambda i: rows[i].doc_id)
-    root = sibling("test_simhash").brute_groups(range(len(rows)), lambda a, b: linked(order[a], order[b]))
-    want = sorted(rows[order[i]] for i in set(root.values()))
+    t = sibling("test_simhash")
+    rows = sorted(stages[2], key=lambda r: r.doc_id)
+    sets = [t.shingles(r.text) for r in rows]
+    root = t.brute_groups(range(len(rows)), lambda a, b: t.alike(sets[a], sets[b]))
+    want = sorted(rows[i] for i in set(root.values()))
     assert sorted(stages[3]) == want and len(want) < len(rows)
 
 
+def test_clashing_columns(spark):
+    texts = [f"plain words number {i} of a text with nothing odd in it at all" for i in range(6)]
+    rows = [(i, t, "en", "a", len(t), 7, 8, 1, "r") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _text_key int, text_key int, row int, `stay.id` string")
+    for _, stage in cp.STAGES[:4]:
+        assert sorted(stage(spark, docs, SF).collect()) == sorted(docs.collect())
+    assert cp.pack(spark, docs, SF).count() >= 6
+
+
 def test_decontamination(spark, stages):
     index = dc.build([(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()])
     t = sibling("test_decontamination")

@@ -1,7 +1,7 @@
 """SimHash fingerprints, index and components against brute force."""
 
 import random
-from collections import defaultdict
+import time
 
 import numpy as np
 import pytest
@@ -113,21 +113,83 @@ def test_null_ids_repeats_and_no_rows(spark):
     assert simhash.near_duplicates(df.where("doc_id > 99")).count() == 0
 
 
-def test_similar_documents(spark):
-    rng = random.Random(6)
-    docs, want = [], []
-    for g in range(30):
-        t = [f"{g}w{rng.randint(0, 10**6)}" for _ in range(400)]
-        for k in range(3):
+def shingles(text, size=5):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def alike(a, b, at_least=0.8):
+    """Exact Jaccard similarity; texts without words are alike."""
+    return a == b or len(a & b) * 10 >= round(at_least * 10) * len(a | b)
+
+
+def near_copies(rng, n, copies, edits):
+    """Families of texts; each copy edits its original at up to ``edits`` places."""
+    out = []
+    for g in range(n):
+        t = [f"{g}w{rng.randint(0, 10**6)}" for _ in range(rng.choice((30, 120, 400)))]
+        for _ in range(copies):
             v = list(t)
-            for _ in range(2 * k):
+            for _ in range(rng.randint(0, max(1, int(edits * len(t))))):
                 v[rng.randrange(len(v))] = "edit" + str(rng.random())
-            docs.append((len(docs), " ".join(v)))
-            want.append(3 * g)
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    found = sum(got[i] == w for i, w in enumerate(want))
-    assert found >= 0.95 * len(want)
-    members = defaultdict(set)
-    for i, c in got.items():
-        members[c].add(want[i])
-    assert all(len(m) == 1 for m in members.values())
+            out.append(" ".join(v))
+    return out
+
+
+def test_similar_documents(spark):
+    rng = random.Random(6)
+    texts = near_copies(rng, 60, 6, 0.03) + near_copies(rng, 60, 2, 0.03) + ["", None, "a b", "A b", "a c"]
+    df = spark.createDataFrame([(i, t, "n", 5) for i, t in enumerate(texts)], "doc_id long, text string, node string, component_id int")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    sets = [shingles(t) for t in texts]
+    want = brute_groups(range(len(texts)), lambda a, b: alike(sets[a], sets[b]))
+    # No document is in a group of others than the brute force has; nearly all links are found.
+    assert all(want[c] == want[i] for i, c in got.items())
+    assert sum(got[i] == c for i, c in want.items()) >= 0.97 * len(want)
+
+
+def test_recall_right_above_the_threshold(spark):
+    rng = random.Random(16)
+    texts = near_copies(rng, 900, 2, 0.03)
+    sets = [shingles(t) for t in texts]
+    close = [i for i in range(0, len(texts), 2) if 0.8 <= len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.85]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(close) > 40 and sum(got[i] == got[i + 1] for i in close) >= 0.9 * len(close)
+
+
+def test_local_candidates_span_all_candidates():
+    rng = random.Random(3)
+    codes, near, group = [], [], []
+    for g in range(4):
+        for _ in range(12):
+            c, w = rng.getrandbits(32), rng.getrandbits(256)
+            for _ in range(rng.randint(1, 12)):
+                codes.append(c ^ sum(1 << rng.randrange(32) for _ in range(rng.randint(0, 2))) & (2**32 - 1))
+                near.append(w ^ sum({1 << rng.randrange(256) for _ in range(rng.randint(0, 40))}))
+                group.append(g)
+    order = sorted(range(len(codes)), key=lambda i: (group[i], codes[i]))
+    codes, near, group = ([x[i] for i in order] for x in (codes, near, group))
+    wide = np.array([[w >> 64 * k & (2**64 - 1) for k in range(4)] for w in near], np.uint64)
+    u, v = simhash.local_candidates(np.array(codes, np.uint64), np.array(group), wide, 2, 21, 53)
+    candidate = lambda a, b: group[a] == group[b] and (codes[a] ^ codes[b]).bit_count() <= 2 and (near[a] ^ near[b]).bit_count() <= 53
+    assert all(candidate(a, b) for a, b in zip(u.tolist(), v.tolist(), strict=True))
+    links = {frozenset(x) for x in zip(u.tolist(), v.tolist(), strict=True)}
+    assert brute_groups(range(len(codes)), lambda a, b: frozenset((a, b)) in links) == brute_groups(range(len(codes)), candidate)
+
+
+def test_many_copies_of_one_code_are_linear():
+    rng = np.random.default_rng(5)
+    n, families = 60_000, 7
+    base = rng.integers(0, 2**63, (families, 4)).astype(np.uint64)
+    near = base[np.arange(n) % families] ^ (np.uint64(1) << rng.integers(0, 63, (n, 4)).astype(np.uint64))
+    began = time.perf_counter()
+    u, _ = simhash.local_candidates(np.zeros(n, np.uint64), np.zeros(n, np.int64), near, 2, 21, 53)
+    assert len(u) == n - families and time.perf_counter() - began < 2
+
+
+def test_similar_documents_null_ids_repeats_and_no_rows(spark):
+    words = "some words of a text that is here more than once"
+    df = spark.createDataFrame([(None, words), (9, words), (9, words), (None, "other words here now"), (4, None), (5, "")], "doc_id long, text string")
+    got = sorted(repr(tuple(r)) for r in simhash.similar_documents(df).collect())
+    assert got == sorted(map(repr, [(None, 9), (9, 9), (9, 9), (None, None), (4, 4), (5, 4)]))
+    assert simhash.similar_documents(df.where("doc_id > 99")).count() == 0
