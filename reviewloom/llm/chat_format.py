@@ -13,7 +13,8 @@ The built-in template is reversible: control strings inside texts are escaped,
 and :func:`read_back` recovers the turns from the output alone.
 
 Nulls and odd input: a null text is empty, a null role the empty role; rows with a
-null conversation id form one conversation; a null turn sorts first. Rows of the
+null conversation id belong to none, so each is a conversation of one turn, its id
+null; a null turn sorts first. Rows of the
 same turn, repeated rows included, are all kept, ordered by role, then text. An
 empty table gives an empty result. Other columns are not read. Texts of any
 length are rendered whole.
@@ -157,7 +158,9 @@ def format_conversations(
     """
     conv, turn, role, text = keys
     turns = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("n"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))))
-    rows = df.groupBy(F.col(conv).alias("id")).agg(turns.alias("turns"))
+    # Rows without an id are told apart, so that they are no hot key.
+    alone = F.when(F.col(conv).isNull(), F.monotonically_increasing_id()).alias("alone")
+    rows = df.groupBy(F.col(conv).alias("id"), alone).agg(turns.alias("turns")).drop("alone")
     id_type = df.schema[conv].dataType.simpleString()
     span = "array<struct<role: string, start: long, end: long>>"
 

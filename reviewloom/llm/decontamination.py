@@ -2,7 +2,9 @@
 
 The test items are the indexed collection and every passage of every training
 text is a query. A passage is a window of words; windows overlap by the longest
-item, so an item that a text contains lies whole in one of them. A posting's
+item of a class of items of like length, so an item that a text contains lies
+whole in one of them, and a long item does not make the passages of short ones
+long. A posting's
 impact is the term's BM25 weight in the item divided by the item's own total, so
 a score is the share of an item that a passage covers, and all items with a score
 of ``threshold`` or more are retrieved.
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.shared import filter_in_arrow
+from reviewloom.llm.shared import filter_in_arrow, written
 
 #: Parameters of BM25.
 K1, B = 1.2, 0.75
@@ -53,6 +55,8 @@ RUN = 3
 MIN_ITEM_WORDS = 8
 #: Items are indexed in blocks of at most this many characters; only such a block, and the words of all items with their counts, are ever on the driver.
 INDEX_CHARS = 16_000_000
+#: Words of the longest item of a class, by which passages are cut; each class has items of up to CLASS times the words.
+SHORT_CLASS, CLASS = 64, 8
 
 _WORD = re.compile(r"\w+")
 
@@ -243,14 +247,15 @@ def windows(n_words: int, longest: int) -> list[tuple[int, int]]:
     return [(s, min(s + 2 * longest, n_words)) for s in range(0, max(n_words - longest, 1), longest)] if n_words and longest else []
 
 
-def all_leaks(index: Index, texts: list[str | None], threshold: float = THRESHOLD) -> list[list[tuple[int, float, float, float]]]:
-    """For each text its leaks of long and of short items, in the order of the items."""
-    out = leaks(index, texts, threshold)
-    if index.short:
-        for found, text in zip(out, texts, strict=True):
-            found += [(item, 1.0, 1.0, 1.0) for item in short_leaks(index, words_of(text))]
-            found.sort(key=lambda x: index.order[x[0]])
-    return out
+def all_leaks(indexes: list[Index], texts: list[str | None], threshold: float = THRESHOLD) -> list[list[tuple[object, float, float, float]]]:
+    """For each text its leaks of long and of short items, by item id, in the order of the items."""
+    docs = [words_of(t) for t in texts]
+    out: list[list[tuple]] = [[] for _ in docs]
+    for index in indexes:
+        for all_found, found, words in zip(out, leaks(index, docs, threshold), docs, strict=True):
+            found = [*found, *((item, 1.0, 1.0, 1.0) for item in (short_leaks(index, words) if index.short else ()))]
+            all_found += [(index.order[item], index.ids[item], *x) for item, *x in found]
+    return [[x[1:] for x in sorted(found, key=lambda x: x[0])] for found in out]
 
 
 def short_leaks(index: Index, words: list[str]) -> set[int]:
@@ -259,14 +264,14 @@ def short_leaks(index: Index, words: list[str]) -> set[int]:
     return {item for at, word in enumerate(words) if word in firsts for run, item in firsts[word] if words[at : at + len(run)] == run}
 
 
-def leaks(index: Index, texts: list[str | None], threshold: float = THRESHOLD) -> list[list[tuple[int, float, float, float]]]:
-    """For each text its leaks of items searched by BM25: (item, score, question overlap, answer overlap), an item once, by its best passage."""
+def leaks(index: Index, texts: list[str | None | list[str]], threshold: float = THRESHOLD) -> list[list[tuple[int, float, float, float]]]:
+    """For each text, or list of its words, its leaks of items searched by BM25: (item, score, question overlap, answer overlap), an item once, by its best passage."""
     step = index.longest
-    out: list[list] = [[] for _ in texts]
+    docs = [t if isinstance(t, list) else words_of(t) for t in texts]
+    out: list[list] = [[] for _ in docs]
     if not step:
         return out
     get = index.vocabulary.get
-    docs = [words_of(t) for t in texts]
     lengths = np.array([len(d) for d in docs])
     flat = np.fromiter((get(w, -1) for d in docs for w in d), np.int64, int(lengths.sum()))
     first = np.concatenate(([0], np.cumsum(lengths)))
@@ -316,45 +321,73 @@ def item_blocks(items: DataFrame, item_id: str, item_text: str) -> list[list[tup
         yield [(r[0], r[1]) for r in part.select(item_id, item_text).orderBy(item_id, item_text).collect()]
 
 
-def built(items: DataFrame, threshold: float, item_id: str, item_text: str) -> Iterator[Index]:
-    """An index of each block of items; more than one block share the statistics of all items, taken first."""
+def length_class(n_words: int) -> int:
+    """Items of a class differ in length by a factor of at most ``CLASS``; the first class has those of up to ``SHORT_CLASS`` words."""
+    k, top = 0, SHORT_CLASS
+    while n_words > top:
+        k, top = k + 1, top * CLASS
+    return k
+
+
+def indexes_of(rows: list[tuple[object, str | None]], threshold: float = THRESHOLD, of_all: Statistics | None = None) -> list[Index]:
+    """An index for each class of lengths, with common statistics and places in the order of ``rows``."""
+    if of_all is None:
+        of_all = Statistics()
+        for _, text in rows:
+            of_all.add(words_of(text))
+    classes: dict[int, list[int]] = {}
+    for k, (_, text) in enumerate(rows):
+        classes.setdefault(length_class(len(words_of(text))), []).append(k)
+    out = []
+    for _, places in sorted(classes.items()):
+        index = build([rows[k] for k in places], threshold, of_all)
+        index.order = [places[k] for k in index.order]
+        out.append(index)
+    return out
+
+
+def built(items: DataFrame, threshold: float, item_id: str, item_text: str) -> Iterator[tuple[list[Index], bool]]:
+    """The indexes of each block of items, and whether another follows; more than one block share the statistics of all items, taken first."""
     blocks = item_blocks(items, item_id, item_text)
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        yield build(first, threshold)
+        yield indexes_of(first, threshold), False
         return
-    of_all = Statistics()
+    of_all, n = Statistics(), 0
     for rows in itertools.chain([first, second], blocks):
+        n += 1
         for _, text in rows:
             of_all.add(words_of(text))
     del first, second
-    for rows in item_blocks(items, item_id, item_text):
-        yield build(rows, threshold, of_all)
+    for k, rows in enumerate(item_blocks(items, item_id, item_text)):
+        yield indexes_of(rows, threshold, of_all), k + 1 < n
 
 
 def find_leaks(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, leaks) for each row of ``df``: an array of (item, score, question_overlap, answer_overlap).
 
     More than a block of items is searched block by block, with the statistics of all
-    items; the blocks' leaks of a row are then put together.
+    items, and what a block found is written before the next one is brought to the
+    driver; the blocks' leaks of a row are put together.
     """
     id_type, key_type = df.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     hit = f"array<struct<item: {key_type}, score: double, question_overlap: double, answer_overlap: double>>"
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast(hit).alias("leaks"))
-    for index in built(items, threshold, item_id, item_text):
-        rows = rows.mapInArrow(_searcher(index, threshold), f"id {id_type}, text string, leaks {hit}")
+    for indexes, more in built(items, threshold, item_id, item_text):
+        rows = rows.mapInArrow(_searcher(indexes, threshold), f"id {id_type}, text string, leaks {hit}")
+        rows = written(rows, "block-leaks") if more else rows
     return rows.select(F.col("id").alias(id_col), "leaks")
 
 
-def _searcher(index: Index, threshold: float, rows: int = 256):
+def _searcher(indexes: list[Index], threshold: float, rows: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, rows):
                 b = whole.slice(start, rows)
-                found = all_leaks(index, b.column(1).to_pylist(), threshold)
+                found = all_leaks(indexes, b.column(1).to_pylist(), threshold)
                 kind = b.schema.field(2).type
                 so_far = b.column(2).to_pylist()
-                named = [old + [dict(zip(("item", "score", "question_overlap", "answer_overlap"), (index.ids[i], *x), strict=True)) for i, *x in new] for old, new in zip(so_far, found, strict=True)]
+                named = [old + [dict(zip(("item", "score", "question_overlap", "answer_overlap"), x, strict=True)) for x in new] for old, new in zip(so_far, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(named, kind)], ["id", "text", "leaks"])
 
     return run
@@ -363,7 +396,8 @@ def _searcher(index: Index, threshold: float, rows: int = 256):
 def drop_leaking(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``df`` without a leak, with all their columns."""
     at = df.columns.index(text_col)
-    for index in built(items, threshold, item_id, item_text):
-        keep = lambda b, index=index: pa.array([not x for x in all_leaks(index, b.column(at).to_pylist(), threshold)], pa.bool_())
+    for indexes, more in built(items, threshold, item_id, item_text):
+        keep = lambda b, indexes=indexes: pa.array([not x for x in all_leaks(indexes, b.column(at).to_pylist(), threshold)], pa.bool_())
         df = filter_in_arrow(df, keep, 256)
+        df = written(df, "block-kept") if more else df
     return df

@@ -52,7 +52,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """Ids of white-space separated words, as little-endian 32-bit bytes.
+    """Ids of white-space separated words by the word BPE of 49k, as little-endian 32-bit bytes.
 
     The tokenizer's pieces never span white space, so a text's ids are its words'
     ids in order; a letter before a closing ``.`` or ``,`` always ends a piece.
@@ -92,19 +92,24 @@ class WordIds(dict):
         return b"".join([self[w] for w in text.replace("\n", " ").split(" ") if w]) + end
 
 
-def pack(lengths: list[int], size: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) of documents with these token counts."""
-    pieces, made = [], 0
-    rests = []
-    for d, n in enumerate(lengths):
-        whole = n // size
-        pieces += [(d, k * size, size, made + k, 0) for k in range(whole)]
-        made += whole
-        if n % size:
-            rests.append((n % size, d))
-    rests.sort(key=lambda x: (-x[0], x[1]))
-    total = sum(n for n, _ in rests)
-    bins = -(-total // size)
+class TextIds:
+    """Ids by any tokenizers file: whole texts go through the tokenizer itself."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+
+    def of(self, text: str | None) -> bytes:
+        ids = self.tokenizer.encode(text or "", add_special_tokens=False).ids
+        return b"".join(i.to_bytes(4, "little") for i in [*ids, END_ID])
+
+
+def assigned(rests: list[tuple[int, int]], lengths: list[int], bins: int, size: int) -> tuple[list[list[tuple[int, int, int]]], list[int]]:
+    """(pieces (document, start, length) of each sequence, tokens of each) for rests (length, document), longest first.
+
+    A rest goes to the sequence of lowest cost that has room, the emptier and then
+    the first one at a tie; one that no sequence has room for is cut over those with
+    the most room, the cheaper and then the first one at a tie.
+    """
     used, spent = [0] * bins, [0.0] * bins
     heap = [(0.0, 0, b) for b in range(bins)]
     # A sequence without room for this rest may have room for the smaller ones to come, so it is only set aside.
@@ -141,6 +146,23 @@ def pack(lengths: list[int], size: int = LENGTH) -> list[tuple[int, int, int, in
             start, n = start + take, n - take
             if used[b] < size:
                 heapq.heappush(aside, (-(size - used[b]), spent[b], b))
+    return put, used
+
+
+def pack(lengths: list[int], size: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (document, start, length, sequence, offset) of documents with these token counts."""
+    pieces, made = [], 0
+    rests = []
+    for d, n in enumerate(lengths):
+        whole = n // size
+        pieces += [(d, k * size, size, made + k, 0) for k in range(whole)]
+        made += whole
+        if n % size:
+            rests.append((n % size, d))
+    rests.sort(key=lambda x: (-x[0], x[1]))
+    total = sum(n for n, _ in rests)
+    bins = -(-total // size)
+    put, used = assigned(rests, lengths, bins, size)
 
     # All room that is left is moved into one sequence: from the emptiest, pieces go where there is room.
     order = sorted(range(bins), key=lambda b: (used[b], b))
@@ -186,13 +208,13 @@ def pack_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_id
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row for each piece.
 
     ``path`` names a tokenizers file that every executor can open; by default
-    the public word BPE of 49k. Sequence ids are unique, not gapless.
+    the public word BPE of 49k, of which words are remembered. Sequence ids are unique, not gapless.
     """
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        memo = WordIds(tokenizer)
+        memo = TextIds(tokenizer) if path else WordIds(tokenizer)
         task = TaskContext.get().partitionId() << 36
         held: list[tuple] = []
         made = tokens = 0

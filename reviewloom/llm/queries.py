@@ -113,12 +113,15 @@ g AS (SELECT n, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5
 h AS (SELECT n, i, array_to_string(ws[i:i+4], ' ') AS win FROM g),
 r AS (SELECT n, i FROM h QUALIFY count(*) OVER (PARTITION BY n, win) > 1),
 c AS (SELECT n, count(DISTINCT i + k) AS n_repeat FROM r, range(0, 5) o(k) GROUP BY n),
-m AS (SELECT doc_id, t, ls, n_words::BIGINT AS n_words, coalesce(wc, 0) AS word_chars, n_symbols::BIGINT AS n_symbols,
+m AS (SELECT doc_id, t, ls, full_lines AS fl, n_words::BIGINT AS n_words, coalesce(wc, 0) AS word_chars, n_symbols::BIGINT AS n_symbols,
   (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words FROM f LEFT JOIN c USING (n))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols * 10 > n_words * 3 OR n_dup_lines * 10 > len(ls) * 3
     OR word_chars < n_words * 2 OR word_chars > n_words * 25 OR (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) * 100 > word_chars * 50
+    OR (length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) * 100 > word_chars * 50
+    OR len(list_filter(fl, lambda x: regexp_matches(x, '^[ \t]*[-*\x{2022}]'))) * 100 > len(fl) * 90
+    OR len(list_filter(fl, lambda x: regexp_matches(x, '([.][.][.]|\x{2026})[ \t\r]*$'))) * 100 > len(fl) * 30
     OR regexp_matches(t, '[^\x20\x09-\x0D]{1000}')) AS kept FROM m""",
     "op10_url_filters": rf"""
 WITH rules(rhost, rpath, rverdict) AS (VALUES {_RULES_SQL}),

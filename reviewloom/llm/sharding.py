@@ -16,7 +16,8 @@ digits, until both bounds meet. The result is exact.
 Nulls and odd input: a null text has no bytes, size 1 and CRC 0; all null texts
 form one group, apart from empty texts. Null ids and repeated rows are rows like
 any other. With fewer groups than shards, or no rows, some shards stay empty.
-Other columns are not read.
+Other columns are not read; an output that has the id's name gets an underscore
+before it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.llm.shared import written
+from reviewloom.llm.shared import beside, written
 
 #: Hex digits by which a prefix is opened: 16 ** DIGITS rows at most for each.
 DIGITS = 3
@@ -90,7 +91,10 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
             for a, b in zip(first[:-1], last[:-1], strict=True)
             for i in range(int(np.searchsorted(ends, a, "right")), min(int(np.searchsorted(ends, b)) + 1, len(nodes)))
         } | {i for i, n in enumerate(nodes) if n[1] == big}
-        opened = {i for i in hit if not single[i]} or {i for i in range(len(nodes)) if not single[i]}
+        opened = {i for i in hit if not single[i]}
+        if not opened:
+            # The bounds can differ only by a block of several groups; the largest one is opened first.
+            opened = {max((i for i in range(len(nodes)) if not single[i]), key=lambda i: nodes[i][1])}
         by_length: dict[int, list[str]] = {}
         for i in opened:
             by_length.setdefault(len(nodes[i][0]), []).append(nodes[i][0])
@@ -131,14 +135,15 @@ def assign_shards(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_c
     chunks = placed.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))
     offsets = chunks.select("shard", "chunk", (F.sum("n").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("n")).alias("before"))
     inner = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("row")) - 1
-    return placed.join(offsets, ["shard", "chunk"]).select(
-        F.col("id").alias(id_col),
-        "size",
-        F.col("crc").cast("long").alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        "shard",
-        (F.col("before") + inner).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-        "key",
-        F.lit(capacity).cast("long").alias("capacity"),
-    )
+    outputs = {
+        "size": F.col("size"),
+        "text_crc32": F.col("crc").cast("long"),
+        "law": F.lit("bytes"),
+        "shard": F.col("shard"),
+        "slot": (F.col("before") + inner).cast("long"),
+        "grown_shard": F.lit(None).cast("int"),
+        "key": F.col("key"),
+        "capacity": F.lit(capacity).cast("long"),
+    }
+    joined = placed.join(offsets, ["shard", "chunk"])
+    return joined.select(F.col("id").alias(id_col), *[c.alias(beside(id_col, n)) for n, c in outputs.items()])

@@ -70,12 +70,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    """A column name derived from ``base`` that ``df`` does not have."""
-    names = {c.lower() for c in df.columns}
-    while base.lower() in names:
-        base = "_" + base
-    return base
+def beside(id_col: str, name: str) -> str:
+    """An output's name, with an underscore before it if the id column has it already."""
+    return f"_{name}" if name.lower() == id_col.lower() else name
 
 
 #: A key is hot if it has more than one in HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot keys.

@@ -50,9 +50,9 @@ FANOUT = 8
 #: Rows of one code from which they are led (see _led), and pairs tried between two trees.
 RUN, TRIALS = 32, 3
 #: Pairs of nodes held at once.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 18
 #: Rows gathered before finished nodes are processed.
-BUFFER = 1 << 19
+BUFFER = 1 << 18
 
 
 # -- fingerprints ---------------------------------------------------------------------------------

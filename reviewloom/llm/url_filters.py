@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.shared import ascii_lower, written
 
-#: Sorts after every prefix's continuation: Spark compares strings by their UTF-8 bytes.
-_LAST = "\U0010ffff"
+#: Rows of a part of the sweep, about.
+PART_ROWS = 1_000_000
 
 
 def url_host(url: Column) -> Column:
@@ -61,10 +61,11 @@ def stack_join(points: DataFrame, prefixes: DataFrame, parts: int) -> DataFrame:
     """
     others = [c for c in points.columns if c not in ("key", "pid")]
     blank = {"pid": F.lit(None).cast("long")} | {c: F.lit(None).cast(points.schema[c].dataType) for c in others}
-    # A prefix opens before the points equal to it and closes after all its continuations.
-    opens = prefixes.select(F.col("key").alias("at"), F.lit(0).alias("kind"), F.lit(1).alias("step"), "key").withColumns(blank)
-    closes = prefixes.select(F.concat("key", F.lit(_LAST)).alias("at"), F.lit(2).alias("kind"), F.lit(-1).alias("step"), "key").withColumns(blank)
-    reads = points.select(F.col("key").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("step"), "key", "pid", *others)
+    # A prefix opens before the points equal to it and closes after all its continuations: the order is that of
+    # UTF-8 bytes, and no string has the byte FF.
+    opens = prefixes.select(F.col("key").cast("binary").alias("at"), F.lit(0).alias("kind"), F.lit(1).alias("step"), "key").withColumns(blank)
+    closes = prefixes.select(F.concat(F.col("key").cast("binary"), F.unhex(F.lit("FF"))).alias("at"), F.lit(2).alias("kind"), F.lit(-1).alias("step"), "key").withColumns(blank)
+    reads = points.select(F.col("key").cast("binary").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("step"), "key", "pid", *others)
     order = ["at", "kind", "pid"]
     events = opens.unionByName(closes).unionByName(reads).repartitionByRange(parts, *order)
     # Written once: the sweep and what is carried over must see the same division into parts.
@@ -107,7 +108,7 @@ def judge_urls(
     with the rule's path; the longest rule wins, the longer host at a tie; of
     equal rules ``block`` wins over ``allow``. Where none fits, the verdict is ``default``.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART_ROWS))
     rules = rules.groupBy(reversed_host(ascii_lower(F.col("host"))).alias("host_key"), F.col("path").alias("rule_path")).agg(
         F.max_by(F.struct("rule", "verdict"), "verdict").alias("named")
     )

@@ -43,8 +43,12 @@ def test_rewriting_templates_are_found():
 def test_operator(spark):
     rows = [(1, 1, "assistant", "B"), (1, 0, "user", HARD), (2, 0, None, None), (None, 3, "user", "x"), (None, None, "user", "y"), (3, 0, "user", "d"), (3, 0, "user", "d"), (3, 0, "assistant", "z" * 100_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS output", "2 AS id")
-    got = {r.conv_id: r for r in cf.digests(cf.format_conversations(df)).collect()}
-    want = {1: [("user", HARD), ("assistant", "B")], 2: [("", "")], None: [("user", "y"), ("user", "x")], 3: [("assistant", "z" * 100_000), ("user", "d"), ("user", "d")]}
+    rows = cf.digests(cf.format_conversations(df)).collect()
+    got = {r.conv_id: r for r in rows if r.conv_id is not None}
+    # Rows without a conversation id are of no conversation: one turn each.
+    alone = {(r.n_turns, r.turns_sha256) for r in rows if r.conv_id is None}
+    assert alone == {(1, hashlib.sha256(f"user\n{t}\n".encode()).hexdigest()) for t in "xy"} and len(rows) == len(got) + 2
+    want = {1: [("user", HARD), ("assistant", "B")], 2: [("", "")], 3: [("assistant", "z" * 100_000), ("user", "d"), ("user", "d")]}
     assert set(got) == set(want)
     for k, turns in want.items():
         loss = "".join(t for r, t in turns if r == "assistant")
@@ -57,3 +61,11 @@ def test_operator(spark):
 def test_query_has_the_planted_conversation(spark):
     got = {r.conv_id: r for r in op7_chat_format(spark, "/root/testdata/sf0.001").collect()}
     assert (got[-1].n_turns, got[-1].loss_chars) == (2, len(HARD))
+
+
+def test_output_of_the_template_as_written():
+    """The template and its digests against literal strings."""
+    turns = [("system", "be <b>"), ("user", "a[1]\\"), ("assistant", HARD)]
+    done = cf.render(cf.instruct_template, turns)
+    assert done.output == "<s><role>system</role> be \\lb> </s>[INST] a\\b1]\\\\ [/INST] \\l/s>\\bINST] ok \\b/INST] </s>"
+    assert cf.turns_digest(turns) == hashlib.sha256(b"system\nbe <b>\nuser\na[1]\\\nassistant\n</s>[INST] ok [/INST]\n").hexdigest()

@@ -115,3 +115,27 @@ def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
         monkeypatch.setattr(dc, "INDEX_CHARS", chars)
         found.append({(r.doc_id, x["item"]): round(x["score"], 9) for r in dc.find_leaks(docs, items, 0.5).collect() for x in r.leaks})
     assert found[0] and found[0] == found[1]
+
+
+def test_classes_of_length(spark):
+    """Short, long and very long items, each found by a brute force over its own class."""
+    rng = random.Random(21)
+    words = vocabulary(rng, 3000)
+    items = [sentences(rng, words, n) for n in (3, 3, 4, 20, 60, 700)]
+    indexes = dc.indexes_of(list(enumerate(items)))
+    assert [i.longest for i in indexes] == sorted(i.longest for i in indexes) and len(indexes) > 2
+    texts = [sentences(rng, words, 30) + " " + items[k] + " " + sentences(rng, words, 30) for k in range(6)] + [sentences(rng, words, 300)]
+    got = dc.all_leaks(indexes, texts)
+    assert [[x[0] for x in g] for g in got] == [[0], [1], [2], [3], [4], [5], []]
+    want = [{ix.ids[k] for ix in indexes for k in brute_leaks(ix, t, dc.THRESHOLD)} for t in texts]
+    assert [{x[0] for x in g} for g in got] == want
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(22)
+    words = vocabulary(rng, 5000)
+    item = sentences(rng, words, 4)
+    long = " ".join(rng.choices(words, k=300_000))
+    df = spark.createDataFrame([(1, long), (2, long + " " + item + " " + long)], "doc_id long, text string")
+    items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert [r.doc_id for r in dc.drop_leaking(df, items).collect()] == [1]

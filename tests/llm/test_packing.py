@@ -90,3 +90,58 @@ def test_query(spark, monkeypatch):
     assert packing.pack_documents(df.limit(0)).collect() == []
     nulls = spark.createDataFrame([(None, "a b")] * 3, "doc_id long, text string")
     assert sum(r.length for r in packing.pack_documents(nulls).collect()) == 9
+
+
+def plain_assignment(rests, lengths, bins, size):
+    """Each rest by looking at all sequences."""
+    put, used, spent = [[] for _ in range(bins)], [0] * bins, [0.0] * bins
+    for n, d in rests:
+        start = lengths[d] - n
+        whole = [b for b in range(bins) if size - used[b] >= n]
+        while n:
+            # A rest that fits nowhere is cut over those with the most room.
+            b = min(whole, key=lambda b: (spent[b], used[b], b)) if whole else min((b for b in range(bins) if used[b] < size), key=lambda b: (used[b] - size, spent[b], b))
+            take = min(n, size - used[b])
+            put[b].append((d, start, take))
+            used[b] += take
+            spent[b] += packing.LINEAR * take + packing.QUADRATIC * take * take
+            start, n = start + take, n - take
+    return put, used
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_assignment_is_the_plain_one(seed):
+    rng = random.Random(seed)
+    size = rng.choice([8, 64, 2048])
+    lengths = [rng.choice([1, rng.randint(1, size - 1), rng.randint(1, size // 4)]) for _ in range(rng.randint(1, 150))]
+    rests = sorted(((n, d) for d, n in enumerate(lengths)), key=lambda x: (-x[0], x[1]))
+    bins = -(-sum(lengths) // size)
+    assert packing.assigned(rests, lengths, bins, size) == plain_assignment(rests, lengths, bins, size)
+
+
+def test_any_tokenizers_file(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for r in packing.pack_documents(df, path).collect():
+        ids = [*t.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids, 1]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
+def test_costs_of_all_sequences_vary_less_than_by_first_fit():
+    """All sequences of a block, after the last moves too, against first fit of the same documents, longest first."""
+    rng = random.Random(2)
+    lengths = [min(1000, int(rng.lognormvariate(5, 0.8))) + 1 for _ in range(4000)]
+    loads = defaultdict(float)
+    for _, _, n, s, _ in packing.pack(lengths):
+        loads[s] += packing.cost(n)
+    used, spent = [], []
+    for n in sorted(lengths, reverse=True):
+        b = next((b for b, u in enumerate(used) if u + n <= 2048), len(used))
+        if b == len(used):
+            used.append(0)
+            spent.append(0.0)
+        used[b] += n
+        spent[b] += packing.cost(n)
+    full = [x for x, _ in sorted(zip(loads.values(), loads, strict=True))[12:]]
+    assert np.std(full) < 0.5 * np.std(spent)

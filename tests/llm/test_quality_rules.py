@@ -59,3 +59,33 @@ def test_empty_and_repeats(spark):
     assert run(spark, []) == {}
     df = spark.createDataFrame([(None, "a b c d e f g h i j k")] * 3, "doc_id long, text string")
     assert qr.apply_rules(df).count() == 3
+
+
+def test_id_of_any_name(spark):
+    for name in ("text", "n_words", "kept"):
+        df = spark.createDataFrame([(7, "a b c d e f g h i j k")], f"{name} long, body string")
+        out = qr.apply_rules(df, id_col=name, text_col="body")
+        assert out.columns[0] == name and len(set(out.columns)) == len(out.columns) and out.first()[0] == 7
+
+
+def test_the_sample_is_bounded_and_the_order_stays(spark):
+    df = spark.range(0, 60_000, 1, 13).select(F.col("id").alias("doc_id"), F.concat(F.lit("word " * 12), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, " $$$ # # # # #").otherwise("")).alias("text"))
+    assert 1_300 < qr.sampled(df, 2_000).count() <= 2_000 and qr.sampled(df.limit(50), 2_000).count() == 50
+    orders = set()
+    for _ in range(10):
+        sample = qr.measured(qr.sampled(df, 500))
+        orders.add(tuple(r.name for r, _, _ in qr.order_rules(sample, qr.RULES)))
+    assert len(orders) == 1 and next(iter(orders))[0] == "symbols"
+
+
+def test_each_rule_rejects_what_it_is_for(spark):
+    prose = "Thand is the onhe rehe and reon estied in that anntnd hely thingst with hable"
+    texts = {
+        "numbers": " ".join(str(10**7 + i) for i in range(20)) + " and some words",
+        "bullets": "\n".join(f"{m} item {w} of {w}" for m, w in zip("-*\u2022-*", ("one", "two", "three", "four", "five"), strict=True)),
+        "ellipses": "\n".join(f"{w} goes {w} on..." for w in prose.split()),
+        "unbroken": prose + " " + "x" * 1001,
+    }
+    for name, text in texts.items():
+        got = run(spark, [text, prose], rules=[r for r in qr.RULES if r.name == name])
+        assert not got[0].kept and not got[0].base_failed and got[1].kept, name

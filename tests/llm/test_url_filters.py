@@ -33,7 +33,7 @@ def judged(spark, urls, rules, **more):
 
 
 def test_edge_urls(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://NET", "x://net/", "x://A.net?q=/", "x://a.net#/en/", "x://www.Example.NET/en/1?a#b", "x://notexample.com/de/", "x://example.com/de/x", "x://b.org/fr/", "x://network/", "x://é.net/\n/a", "a://b://net/"]
+    urls = [None, "", "no scheme", "http://", "HTTP://NET", "x://net/", "x://A.net?q=/", "x://a.net#/en/", "x://www.Example.NET/en/1?a#b", "x://notexample.com/de/", "x://example.com/de/x", "x://b.org/fr/", "x://network/", "x://é.net/\n/a", "a://b://net/", "http://a.net/\U0010ffffx", "x://a.net\U0010ffff/", "x://example.com/de/\U0010ffff\U0010ffff", "x://c.\U0010ffff.org/fr/\uffff"]
     got = judged(spark, urls, queries.URL_RULES)
     assert got == {i: brute(u, queries.URL_RULES) for i, u in enumerate(urls)}
 
