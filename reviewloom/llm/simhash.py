@@ -47,8 +47,8 @@ SEED = 42
 NODE_ROWS = 4096
 #: Sons of a node in the local hierarchy.
 FANOUT = 8
-#: Rows of one code from which they are led (see _led), and pairs tried between two trees.
-RUN, TRIALS = 32, 3
+#: Rows of one code from which they are led (see _led).
+RUN = 32
 #: Pairs of nodes held at once.
 FRONTIER = 1 << 18
 #: Rows gathered before finished nodes are processed.
@@ -228,52 +228,45 @@ def _led(codes: np.ndarray, group: np.ndarray, near: np.ndarray, sure: int) -> t
     return np.flatnonzero(stay), followers, np.concatenate(leaders) if leaders else np.zeros(0, np.int64)
 
 
-def _one_of_each(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Of pairs between different labels, one for each label that has any."""
-    _, at = np.unique(np.concatenate([labels[u], labels[v]]), return_index=True)
-    return np.unique(at % len(u))
-
-
-def _best(labels: np.ndarray, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs between different labels, the ``TRIALS`` nearest for each pair of labels."""
-    apart = labels[u] != labels[v]
-    u, v, d = u[apart], v[apart], d[apart]
-    low, high = np.minimum(labels[u], labels[v]), np.maximum(labels[u], labels[v])
-    order = np.lexsort((v, u, d, high, low))
-    low, high = low[order], high[order]
-    starts = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) if len(order) else np.zeros(0, bool)
-    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0)) if len(order) else order
-    order = order[rank < TRIALS]
-    return u[order], v[order], d[order]
+def _forest(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the pairs that span all pairs, the nearest ones first: a minimum spanning forest, up to a few pairs more at ties."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    labels, chosen = np.arange(len(nodes)), []
+    order = np.argsort(d, kind="stable")
+    for level in np.split(order, np.flatnonzero(np.diff(d[order])) + 1):
+        while len(level := level[labels[a[level]] != labels[b[level]]]):
+            # One pair for each tree that has any.
+            _, at = np.unique(np.concatenate([labels[a[level]], labels[b[level]]]), return_index=True)
+            taken = level[np.unique(at % len(level))]
+            chosen.append(taken)
+            labels = _join_labels(labels, a[taken], b[taken])
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
 def local_candidates(codes: np.ndarray, group: np.ndarray, near: np.ndarray, radius: int, sure: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows under the same node that span all candidates: codes within ``radius``, near fingerprints within ``most``.
 
-    Rows within ``sure`` are spanned by a forest; between the trees that leaves,
-    ``TRIALS`` pairs are given for each two with candidates, the nearest ones.
+    What is given is a forest of the nearest pairs, so it is linear in the rows; two
+    candidates are joined by pairs that are no farther apart than they are.
     """
     stay, a, b = _led(codes, group, near, sure)
-    found = [(a, b)]
-    labels = np.arange(len(codes))
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u, v, d = (np.concatenate(c) for c in zip(*held, strict=True))
+        keep = _forest(u, v, d)
+        return u[keep], v[keep], d[keep]
+
     for x, y in code_pairs(codes[stay], group[stay], radius):
         u, v = stay[x], stay[y]
-        d = np.concatenate([_popcount(near[u[s : s + 65536]] ^ near[v[s : s + 65536]]).sum(axis=1) for s in range(0, len(u), 65536)])
-        maybe = (d > sure) & (d <= most)
+        d = np.concatenate([_popcount(near[u[s : s + 65536]] ^ near[v[s : s + 65536]]).sum(axis=1, dtype=np.int64) for s in range(0, len(u), 65536)])
+        maybe = d <= most
         held.append((u[maybe], v[maybe], d[maybe]))
-        u, v = u[d <= sure], v[d <= sure]
-        while len(u := u[apart := labels[u] != labels[v]]):
-            v = v[apart]
-            at = _one_of_each(labels, u, v)
-            found.append((u[at], v[at]))
-            labels = _join_labels(labels, u[at], v[at])
         if sum(len(h[0]) for h in held) > FRONTIER:
-            held = [_best(labels, *[np.concatenate(c) for c in zip(*held, strict=True)])]
-    if held:
-        u, v, _ = _best(labels, *[np.concatenate(c) for c in zip(*held, strict=True)])
-        found.append((u, v))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            held = [joined()]
+    u, v, _ = joined()
+    return np.concatenate([a, u]), np.concatenate([b, v])
 
 
 def _star_edges(radius: int):
@@ -451,8 +444,8 @@ def near_duplicates(df: DataFrame, size: int = 3, radius: int = 2, id_col: str =
 LANES, BANDS, BAND_BITS, BAND_RADIUS = 12, 24, 32, 2
 #: Lanes that go into the index with each code.
 NEAR_LANES = 4
-#: Standard deviations beyond the mean distance at the similarity asked for up to which candidates are verified, and below it from which rows are as good as linked.
-SLACK, SURE = 2.5, 3.0
+#: Standard deviations beyond the mean distance at the similarity asked for up to which candidates are verified, and below it up to which rows of one code follow a leader.
+SLACK, SURE = 2.5, 1.0
 #: Rows of one key in the joins of the verification; a busier document is handed out in more parts.
 PART = 256
 #: Buckets of the first, bounded filter for documents with a candidate; a power of two.
