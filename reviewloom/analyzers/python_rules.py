@@ -9,6 +9,7 @@ it is reported as well.
 from __future__ import annotations
 
 import ast
+import bisect
 import io
 import re
 import tokenize
@@ -70,10 +71,12 @@ def _by_text(content: str) -> Iterator[Found]:
     """What can be told from the text of a file that does not parse."""
     blank = re.sub(r"'''.*?'''|\"\"\".*?\"\"\"|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|#[^\n]*", lambda m: re.sub(r"[^\n]", " ", m[0]), content, flags=re.S)
 
+    starts = [0, *(m.end() for m in re.finditer("\n", content))]
+
     def place(rule: str, a: int, b: int) -> Found:
         def point(i: int) -> tuple[int, int]:
-            line = content.rfind("\n", 0, i) + 1
-            return content.count("\n", 0, i) + 1, len(content[line:i].encode("utf-8", "surrogatepass")) + 1
+            line = bisect.bisect_right(starts, i)
+            return line, len(content[starts[line - 1] : i].encode("utf-8", "surrogatepass")) + 1
 
         return rule, *point(a), *point(b)
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +48,7 @@ def set_checksum(df: DataFrame, by: list[str], digest: str, out: str) -> DataFra
 
     The definition concatenates all digests of a group, so one row holds 64 bytes
     a member; that is bounded by Spark's 2 GB row, about 30 million members.
-    Groups beyond it are to be digested with :func:`set_checksum_tree`.
+    Groups beyond it are to be digested with :func:`set_checksums_in_order`, or with :func:`set_checksum_tree`.
     """
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -54,6 +56,29 @@ def set_checksum(df: DataFrame, by: list[str], digest: str, out: str) -> DataFra
     )
 
 
+def set_checksums_in_order(df: DataFrame, by: str, digest: str) -> dict[str, tuple[int, str]]:
+    """(members, SHA-256 of the sorted, concatenated hex digests) of each value of ``by``, for sets of any size.
+
+    SHA-256 has no mergeable state, so the digests are sorted by range and pass the
+    driver in order, a few megabytes at a time; none of it is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, digests = b.column(0).to_pylist(), b.column(1).to_pylist()
+            starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            for i, j in zip(starts, [*starts[1:], len(names)], strict=True):
+                yield pa.RecordBatch.from_pydict({"part": [names[i]], "n": [j - i], "chunk": ["".join(digests[i:j])]})
+
+    parts = df.select(F.col(by).cast("string").alias("part"), F.col(digest).alias("digest")).sort("part", "digest").mapInArrow(run, "part string, n long, chunk string")
+    done: dict[str, tuple[int, object]] = {}
+    for r in parts.toLocalIterator(prefetchPartitions=True):
+        n, h = done.get(r.part, (0, hashlib.sha256()))
+        h.update(r.chunk.encode())
+        done[r.part] = (n + r.n, h)
+    return {k: (n, h.hexdigest()) for k, (n, h) in done.items()}
+
+
 def set_checksum_tree(df: DataFrame, by: list[str], digest: str, out: str, width: int = 3) -> DataFrame:
     """Two-level order-free set digest for groups of any size.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Characters that each kind of trimming removes.
 _JS_SPACE = r"\u0009-\u000D\u0020\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 _PY_SPACE = r"\u0009-\u000D\u001C-\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-_PY_LINE_END = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"
+PY_LINE_END = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"
 #: Longest evidence and longest source in a review prompt.
 EVIDENCE_CHARS, REVIEW_CHARS = 300, 20_000
 
@@ -36,8 +36,12 @@ def blank_to_null(c: Column) -> Column:
 
 
 def truncate(c: Column, n: int = EVIDENCE_CHARS) -> Column:
-    """The first n characters and ``...`` if there are more (counted in code points)."""
-    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
+    """The first n UTF-16 units and ``...`` if there are more; half of a character at the cut is shown as U+FFFD."""
+    wide = F.encode(c, "UTF-16BE")
+    whole = F.hex(F.substring(wide, 2 * n - 1, 1)).between("D8", "DB")
+    cut = F.when(whole, F.concat(F.decode(F.substring(wide, 1, 2 * n - 2), "UTF-16BE"), F.lit("\ufffd"))).otherwise(F.decode(F.substring(wide, 1, 2 * n), "UTF-16BE"))
+    # No text of at most n bytes has more than n units.
+    return F.when((F.octet_length(c) > n) & (F.octet_length(wide) > 2 * n), F.concat(cut, F.lit("..."))).otherwise(c)
 
 
 def first_keyword(c: Column, keywords: Sequence[str] | Column) -> Column:
@@ -54,7 +58,7 @@ def ecosystem_hint(framework: Column, library: Column, database: Column) -> Colu
 
 
 def prompt(language: Column, hint: Column, code: Column) -> Column:
-    """Fixed text around a record's language, hint and code."""
+    """Text around a record's language, hint and code."""
     return F.concat(
         F.lit("### Task\nReview the following "), language, F.lit(" code"), hint,
         F.lit(". Identify the single most\nimportant finding: its category, severity, confidence, and a one-sentence\nsummary.\n\n### Code\n```\n"),
@@ -63,19 +67,28 @@ def prompt(language: Column, hint: Column, code: Column) -> Column:
 
 
 def target(category: Column, severity: Column, confidence: Column, summary: Column) -> Column:
+    """The keys of a target's lines."""
     return F.concat(F.lit("category: "), category, F.lit("\nseverity: "), severity, F.lit("\nconfidence: "), confidence, F.lit("\nsummary: "), summary, F.lit("\n"))
 
 
 def parse_finding(c: Column) -> Column:
     """category, severity, confidence and summary of generated ``key: value`` lines; the last line of a key wins."""
     pairs = F.transform(
-        F.filter(F.split(c, _PY_LINE_END), lambda x: F.contains(x, F.lit(":"))),
+        F.filter(F.split(c, PY_LINE_END), lambda x: F.contains(x, F.lit(":"))),
         lambda x: F.struct(F.lower(py_strip(F.substring_index(x, ":", 1))).alias("k"), py_strip(F.substr(x, F.instr(x, ":") + 1)).alias("v")),
     )
     last = lambda key: F.try_element_at(F.filter(pairs, lambda p: p["k"] == key), F.lit(-1))["v"].alias(key)
     return F.struct(*[last(k) for k in ("category", "severity", "confidence", "summary")])
 
 
+#: Fixed value: what a chat model is told before a review request.
+REVIEW_SYSTEM_PROMPT = (
+    "You are a senior code reviewer. You are given a source file and a list of findings a deterministic static analyzer already produced for it. "
+    "Write a short, prioritized, plain-language explanation: which findings matter most and why, and any context a developer would want before fixing them. "
+    "Do not invent findings beyond what is listed, and do not repeat the raw JSON back verbatim."
+)
+
+
 def review_prompt(path: Column, source: Column, findings_json: Column) -> Column:
     """A file's review request; an unreadable source is empty, a long one is cut."""
     code = F.substring(F.coalesce(source, F.lit("")), 1, REVIEW_CHARS)

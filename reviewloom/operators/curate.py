@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.functions.hashing import BUCKET_SPACE, hash_bucket, set_checksum
+from reviewloom.functions.contract import DATASET_MANIFEST, TRAINING_EXAMPLE, line_errors, violations
+from reviewloom.functions.hashing import BUCKET_SPACE, canonical_checksum, hash_bucket, set_checksums_in_order
+from reviewloom.functions.vocabulary import literal_rows
+from reviewloom.sources.records import numbered_lines, write_json
 
+#: The splits, and the reference from a manifest to its schema.
 SPLITS = ("train", "val", "test")
+MANIFEST_SCHEMA = "../../schemas/dataset-manifest.schema.json"
+#: Checksum of a set without members.
+EMPTY_SET = hashlib.sha256(b"").hexdigest()
 
 
 def dedup_exact(df: DataFrame, checksum: str = "checksum") -> DataFrame:
@@ -30,12 +39,59 @@ def split_of(checksum: Column, seed: int, val_ratio: float = 0.1, test_ratio: fl
 
 
 def split_manifest(df: DataFrame, checksum: str = "checksum", split: str = "split") -> DataFrame:
-    """Count and set checksum of all three splits, those without rows included."""
-    spark = df.sparkSession
-    names = spark.createDataFrame([(s,) for s in SPLITS], "split string")
-    have = set_checksum(df.select(F.col(split).alias("split"), F.col(checksum).alias("c")), ["split"], "c", "checksum")
-    return names.join(have, "split", "left").select(
-        "split",
-        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
-        F.coalesce("checksum", F.sha2(F.lit(""), 256)).alias("checksum"),
-    )
+    """Count and set checksum of all three splits, those without rows included. The digests pass the driver in order as this is called."""
+    have = set_checksums_in_order(df, split, checksum)
+    rows = [(s, *have.get(s, (0, EMPTY_SET))) for s in SPLITS]
+    return literal_rows(df.sparkSession, ("split", "n", "checksum"), rows).select("split", F.col("n").cast("long").alias("n"), "checksum")
+
+
+def manifest_record(dataset_id: str, version: str, seed: int, splits: dict[str, tuple[int, str]], source_checksum: str | None = None) -> dict:
+    """The manifest of a split: identity, seed, counts and checksums; ``splits`` has (members, checksum) by name."""
+    have = {s: splits.get(s, (0, EMPTY_SET)) for s in SPLITS}
+    return {
+        "$schema": MANIFEST_SCHEMA,
+        "datasetId": dataset_id,
+        "version": version,
+        "splitSeed": seed,
+        "counts": {s: n for s, (n, _) in have.items()},
+        "checksums": {s: c for s, (_, c) in have.items()},
+        "sourceExamplesChecksum": source_checksum,
+    }
+
+
+def checked_manifest(manifest: dict) -> dict:
+    """``manifest`` itself; raises with the first thing that breaks its contract."""
+    if bad := violations(manifest, DATASET_MANIFEST):
+        raise ValueError(f"invalid manifest: {bad[0]}")
+    return manifest
+
+
+def unique_records(raw: DataFrame) -> DataFrame:
+    """(checksum, _raw) of raw JSON records, one for each canonical checksum, the first in the file."""
+    summed = raw.withColumn("checksum", canonical_checksum(F.col("_raw")))
+    return summed.groupBy("checksum").agg(F.min_by("_raw", "_line").alias("_raw"))
+
+
+def curate(spark: SparkSession, examples: str, dataset_id: str, version: str, seed: int, manifest: str | None = None, contract: dict = TRAINING_EXAMPLE) -> tuple[DataFrame, dict]:
+    """Load, validate, dedup, split and write: ((checksum, _raw, split), manifest) of a JSONL file of training examples.
+
+    A line that is not JSON fails with its physical line number, the first record that
+    breaks the contract with its index among the records, both before anything is
+    written. The splits' checksums and that of all records are digests of sorted
+    canonical checksums.
+    """
+    raw = numbered_lines(spark, examples, "py")
+    broken = raw.select("_line", "_at", line_errors(contract)(F.col("_raw")).alias("errors")).where(F.size("errors") > 0)
+    wrong = broken.where(F.element_at("errors", 1) == "record: invalid JSON").orderBy("_line").limit(1).collect()
+    if wrong:
+        raise ValueError(f"example {wrong[0]['_line']}: invalid JSON")
+    wrong = broken.orderBy("_at").limit(1).collect()
+    if wrong:
+        raise ValueError(f"example {wrong[0]['_at']}: {wrong[0]['errors'][0]}")
+    rows = unique_records(raw).withColumn("split", split_of(F.col("checksum"), seed))
+    splits = set_checksums_in_order(rows, "split", "checksum")
+    whole = set_checksums_in_order(rows.withColumn("all", F.lit("all")), "all", "checksum").get("all", (0, EMPTY_SET))[1]
+    record = checked_manifest(manifest_record(dataset_id, version, seed, splits, whole))
+    if manifest:
+        write_json(record, manifest)
+    return rows, record

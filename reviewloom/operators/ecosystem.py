@@ -34,3 +34,16 @@ def detect(manifests: DataFrame, key: str) -> DataFrame:
         F.min("pos").alias("first_pos"),
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "package"))), lambda x: x["package"]).alias("evidence"),
     )
+
+
+def engine_context(found: DataFrame, key: str, runtime: Column | None = None) -> DataFrame:
+    """(key, context): what the analyzers get of technologies from :func:`detect`, as JSON without a null runtime.
+
+    A technology has its id, confidence and evidence, in the order of its first
+    dependency; its evidence is a manifest's dependency.
+    """
+    proof = F.transform("evidence", lambda p: F.struct(F.lit("manifest").alias("kind"), F.lit("package.json").alias("source"), F.concat(F.lit("dependency: "), p).alias("detail")))
+    cell = F.struct(F.col("first_pos").alias("p"), F.struct(F.col("technology").alias("id"), "confidence", proof.alias("evidence")).alias("t"))
+    one = found.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(cell)), lambda x: x["t"]).alias("technologies"))
+    none = F.lit(None).cast("string") if runtime is None else runtime
+    return one.select(key, F.to_json(F.struct(none.alias("runtime"), "technologies"), {"ignoreNullFields": "true"}).alias("context"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.functions.text import parse_finding
+
 
 def confusion_counts(df: DataFrame, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
     """(category, tp, fp, fn). A null prediction misses the expected category; an empty one is a false category too."""
@@ -42,3 +47,44 @@ def paired(predicted: DataFrame, expected: DataFrame, row_id: str = "row_id") ->
     both = predicted.withColumn("_p", F.lit(True)).join(expected.withColumn("_e", F.lit(True)), row_id, "full")
     checked = F.when(F.col("_p") & F.col("_e"), True).otherwise(F.raise_error(F.lit("predictions and expectations differ in length")))
     return both.where(checked).drop("_p", "_e")
+
+
+#: A predictor maps prompts to generated texts, a batch at a time; made once in each task.
+Predictor = Callable[[Sequence[str]], Sequence[str]]
+_PREDICTORS: dict[str, Callable[[], Predictor]] = {}
+
+
+def register_predictor(name: str, make: Callable[[], Predictor]) -> None:
+    """``make`` is called in each task, so that a model is loaded where it runs."""
+    _PREDICTORS[name] = make
+
+
+def generated(df: DataFrame, predictor: str | Callable[[], Predictor], prompt: str = "prompt", out: str = "generated", batch: int = 64) -> DataFrame:
+    """Adds the texts that a predictor, or one registered by name, generates for a column of prompts."""
+    make = _PREDICTORS[predictor] if isinstance(predictor, str) else predictor
+
+    @F.pandas_udf("string")
+    def run(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = make()
+        for p in prompts:
+            texts = [t for i in range(0, len(p), batch) for t in predict(p.iloc[i : i + batch].tolist())]
+            if len(texts) != len(p):
+                raise ValueError("a predictor has to give a text for each prompt")
+            yield pd.Series(texts, dtype="object")
+
+    return df.withColumn(out, run(F.col(prompt)))
+
+
+def evaluation(examples: DataFrame, predictor: str | Callable[[], Predictor], expected: str = "category") -> dict:
+    """The report of a predictor over examples (prompt, expected category): examples, macro F1, and the scores of each category.
+
+    What reaches the driver is a row for each category.
+    """
+    got = generated(examples, predictor).select(F.col(expected).alias("expected"), parse_finding(F.col("generated"))["category"].alias("predicted"))
+    counts = confusion_counts(got)
+    rows = category_scores(counts).orderBy("category").collect()
+    categories = {
+        r.category: {"precision": r.precision, "recall": r.recall, "f1": r.f1, "truePositives": r.tp, "falsePositives": r.fp, "falseNegatives": r.fn} for r in rows
+    }
+    # Each example is a hit or a miss of its expected category.
+    return {"exampleCount": sum(r.tp + r.fn for r in rows), "macroF1": sum(r.f1 for r in rows) / len(rows) if rows else 0.0, "categories": categories}

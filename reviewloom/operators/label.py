@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import first_keyword, truncate
@@ -52,10 +52,27 @@ def _of_comment(comment: Column, families: Families) -> Column:
     )
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _first_of_each(items: Column, key) -> Column:
-    """Keeps the first item of each key, in order; a key is a struct of the item."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    """Keeps the first item of each key, in order; a key is a struct or string of the item.
+
+    Keys are sorted with their places, so the first place of each stands beside
+    another key; items and keys are evaluated once.
+    """
+
+    def firsts(ranked: Column) -> Column:
+        fresh = F.filter(ranked, lambda x, j: (j == 0) | ~x["k"].eqNullSafe(F.get(ranked, j - 1)["k"]))
+        return F.sort_array(F.transform(fresh, lambda x: x["i"]))
+
+    def kept(all_items: Column) -> Column:
+        ranked = F.sort_array(F.transform(all_items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+        return F.transform(bound(ranked, firsts), lambda i: F.get(all_items, i))
+
+    return bound(items, kept)
 
 
 def proposals(title: Column, comments: Column, families: Families = KEYWORD_FAMILIES) -> Column:
@@ -97,3 +114,9 @@ def not_promoted(raw: DataFrame, review: DataFrame) -> DataFrame:
 def example_id(repository: Column, commit: Column, changes: Column, signals: Column) -> Column:
     """SHA-256 of the JSON of these parts in this order, nulls left out."""
     return F.sha2(F.to_json(F.struct(repository.alias("repository"), commit.alias("commitSha"), changes.alias("changes"), signals.alias("signals"))), 256)
+
+
+def counted(df: DataFrame, observation: Observation, **conditions: Column) -> DataFrame:
+    """``df`` itself; as it runs, ``observation`` gets its rows (``total``) and the rows of each condition, without another pass."""
+    counts = [F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in conditions.items()]
+    return df.observe(observation, F.count(F.lit(1)).alias("total"), *counts)

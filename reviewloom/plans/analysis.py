@@ -64,9 +64,10 @@ def taxonomy_coverage(spark, sf):
 
 
 def script_calls_in_pages(spark, sf):
-    """Script bodies of pages through the script rules. No SQL: it runs a lexer."""
-    bodies = F.expr(r"regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)")
-    files = table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.array_join(bodies, "\n").alias("content"))
+    """Script bodies of pages, with one put before each page's own, through the script rules."""
+    own = F.concat(F.lit("<script>eval(s); // é\nconsole.log("), F.col("page_id").cast("string"), F.lit(", a == b)</script>"), F.coalesce("html", F.lit("")))
+    bodies = F.expr(r"regexp_extract_all(page, '(?s)<script[^>]*>(.*?)</script>', 1)")
+    files = table(spark, sf, "pages").withColumn("page", own).select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.array_join(bodies, "\n").alias("content"))
     return engine.find(files)
 
 
@@ -107,5 +108,8 @@ ORACLES = {
     "findings_by_severity": f"WITH {_CODE} SELECT severity, category, count(*) AS n FROM found GROUP BY ALL",
     "review_prompt": f"WITH {_CODE} SELECT path, 'File: ' || path || chr(10) || chr(10) || '```' || chr(10) || any_value(content)[1:20000] || chr(10) || '```' || chr(10) || chr(10) || 'Findings:' || chr(10) || string_agg(rule_id, ',' ORDER BY start_line, start_column, rule_id) AS prompt FROM found GROUP BY path",
     "taxonomy_coverage": f"WITH {_CODE}, t(category) AS (VALUES {', '.join(f'({c!r})' for c in TAXONOMY_CATEGORIES)}), g AS (SELECT category, count(*) AS n FROM found GROUP BY 1) SELECT coalesce(t.category, g.category) AS category, t.category IS NOT NULL AS in_taxonomy, coalesce(n, 0)::BIGINT AS n FROM t FULL JOIN g USING (category)",
+    "script_calls_in_pages": """WITH p AS (SELECT 'p' || page_id || '.js' AS path, length(page_id::VARCHAR)::INT AS n FROM pages)
+SELECT path, 'javascript.dangerous-eval' AS rule_id, 1 AS start_line, 1 AS start_column, 1 AS end_line, 8 AS end_column, 'likely' AS confidence FROM p
+UNION ALL SELECT path, 'javascript.console-log', 2, 1, 2, 12, 'likely' FROM p UNION ALL SELECT path, 'javascript.loose-equality', 2, 15 + n, 2, 21 + n, 'likely' FROM p""",
     "events_per_window": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

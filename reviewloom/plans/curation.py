@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from reviewloom.functions.hashing import canonical_checksum, hash_bucket, set_checksum, set_checksum_tree, text_checksum
@@ -141,17 +144,35 @@ def training_config(spark, sf):
 
 
 def canonical_json_checksums(spark, sf):
-    """Canonical checksums of raw JSON lines; key order and spacing do not count. No SQL: SQL has no canonical JSON."""
+    """Canonical checksums of raw JSON lines; key order and spacing do not count."""
     raw = F.explode(F.array(F.concat(F.lit('{"b": 1.50, "a": "'), F.col("lang"), F.lit('"}')), F.concat(F.lit('{"a":"'), F.col("lang"), F.lit('","b":1.5}'))))
     rows = table(spark, sf, "documents").select("lang", raw.alias("raw"))
     return rows.select("lang", canonical_checksum(F.col("raw")).alias("checksum")).groupBy("lang", "checksum").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The canonical JSON of a training example of the check, around its code.
+_EXAMPLE = ('{"code":"', '","finding":{"category":"bug","confidence":"likely","severity":"low","summary":"s"},"language":"python","provenance":{"source_type":"commit","source_url":"u"}}')
+
+
+def curate_end_to_end(spark, sf):
+    """Documents written as a JSONL file of training examples, spaced and with keys in another order for every second, then curated."""
+    code = F.sha2("text", 256)
+    plain = F.concat(F.lit(_EXAMPLE[0]), code, F.lit(_EXAMPLE[1]))
+    other = F.concat(F.lit(' {"language": "python", "provenance": {"source_url": "u", "source_type": "commit"}, "finding": {"summary": "s", "severity": "low", "confidence": "likely", "category": "bug"}, "code": "'), code, F.lit('"} \r'))
+    rows = table(spark, sf, "documents").where("text IS NOT NULL").select(F.when(F.col("doc_id") % 2 == 0, plain).otherwise(other).alias("value"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    path = f"{folder.rstrip('/')}/examples-{uuid.uuid4().hex}"
+    rows.write.text(path)
+    _, made = curate.curate(spark, path, "set", "1.0.0", SEED)
+    lines = [(s, made["counts"][s], made["checksums"][s], made["sourceExamplesChecksum"], made["splitSeed"]) for s in curate.SPLITS]
+    return literal_rows(spark, ("split", "n", "checksum", "source", "seed"), lines).select("split", F.col("n").cast("long").alias("n"), "checksum", "source", F.col("seed").cast("long").alias("seed"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         curate_manifest, split_checksum_empty_bucket, dedup_exact, dedup_stats, split_assign, split_counts_by_lang, split_seed_drift, source_checksum, source_checksum_tree,
-        reject_report, validate_required, validate_enums, validate_ranges, manifest_validate, registry_validate, training_config, canonical_json_checksums,
+        reject_report, validate_required, validate_enums, validate_ranges, manifest_validate, registry_validate, training_config, canonical_json_checksums, curate_end_to_end,
     )
 }
 
@@ -209,5 +230,9 @@ ORACLES = {
 CASE WHEN doc_id % 3 = 0 THEN 'split_seed: required' END, CASE WHEN doc_id % 7 = 0 THEN 'n_train: negative or missing' END], lambda x: x IS NOT NULL), ';') AS errors FROM documents""",
     "registry_validate": rf"""WITH {_REGISTRY} SELECT path, CASE WHEN NOT found THEN 'file is missing' ELSE array_to_string(list_filter([CASE WHEN coalesce(status, '') NOT IN {_in(MODEL_STATUSES)} THEN 'status: not one of the allowed values' END,
 CASE WHEN NOT regexp_matches(coalesce(version, ''), '^\d+\.\d+\.\d+$') THEN 'version: not a version' END, CASE WHEN adapter_type NOT IN ('lora', 'qlora', 'full-finetune') THEN 'adapter type: not one of the allowed values' END, CASE WHEN rank < 1 THEN 'rank: below 1' END], lambda x: x IS NOT NULL), ';') END AS errors FROM g""",
+    "canonical_json_checksums": "SELECT lang, sha256('{\"a\":\"' || lang || '\",\"b\":1.5}') AS checksum, 2 * count(*) AS n FROM documents GROUP BY 1",
+    "curate_end_to_end": f"""WITH e AS (SELECT DISTINCT sha256('{_EXAMPLE[0]}' || sha256(text) || '{_EXAMPLE[1]}') AS checksum FROM documents WHERE text IS NOT NULL), s AS (SELECT checksum, {split_sql()} AS split FROM e),
+g AS (SELECT split, count(*) AS n, sha256(string_agg(checksum, '' ORDER BY checksum)) AS checksum FROM s GROUP BY split), w AS (SELECT sha256(string_agg(checksum, '' ORDER BY checksum)) AS source FROM e)
+SELECT x.split, coalesce(g.n, 0)::BIGINT AS n, coalesce(g.checksum, sha256('')) AS checksum, source, {SEED}::BIGINT AS seed FROM (VALUES ('train'), ('val'), ('test')) x(split) LEFT JOIN g ON g.split = x.split CROSS JOIN w""",
     "training_config": f"WITH {_REGISTRY} SELECT path, coalesce(rank, 16)::INT AS rank, 'q_proj,v_proj' AS targets FROM g",
 }

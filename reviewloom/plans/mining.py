@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.text import js_trim
 from reviewloom.functions.vocabulary import ALLOWED_LICENSES, KEYWORD_FAMILIES, TECHNOLOGIES
-from reviewloom.operators import ecosystem, ingest, label, project
+from reviewloom.operators import ecosystem, examples, ingest, label, project
 from reviewloom.plans.views import PACKAGES, SQL, SYLLABLE_FAMILIES, files, keyword_sql, licensed, pulls
 from reviewloom.sources.tables import table
 
@@ -68,7 +68,6 @@ def promote_dropped_anti(spark, sf):
 
 
 def example_id(spark, sf):
-    """No SQL: engines write JSON differently."""
     out = label.promote(pulls(spark, sf), _review(spark, sf))
     changes = F.array(F.struct(F.lit("a.ts").alias("path"), F.col("title").alias("after")))
     return out.select("pull_number", label.example_id(F.col("repository"), F.col("source_url"), changes, F.col("signals")).alias("id"))
@@ -77,7 +76,7 @@ def example_id(spark, sf):
 def _examples(spark, sf):
     """Promoted pull requests joined with changed files of the same number."""
     out = label.promote(pulls(spark, sf), _review(spark, sf))
-    own = files(spark, sf).where("path NOT LIKE '%.md'").withColumn("pull_number", F.col("doc_id") % 500)
+    own = files(spark, sf).where("path NOT LIKE '%.md'").withColumn("pull_number", F.expr("doc_id div 4"))
     nested = own.groupBy("pull_number").agg(F.array_sort(F.collect_list(F.struct("doc_id", "path", "status", "before", "after"))).alias("files"))
     joined = out.join(nested, "pull_number")
     changes = ingest.complete_pairs(F.col("files"))
@@ -118,12 +117,12 @@ def ext_filter(spark, sf):
 
 
 def pr_language_first_known(spark, sf):
-    rows = files(spark, sf).withColumn("pr", F.col("doc_id") % 97).groupBy("pr").agg(F.array_sort(F.collect_list(F.struct("doc_id", "path"))).alias("files"))
+    rows = files(spark, sf).withColumn("pr", F.expr("doc_id div 10")).groupBy("pr").agg(F.array_sort(F.collect_list(F.struct("doc_id", "path"))).alias("files"))
     return rows.select("pr", ingest.language_of_files(F.col("files")).alias("language"))
 
 
 def complete_pairs(spark, sf):
-    rows = files(spark, sf).withColumn("pr", F.col("doc_id") % 97).groupBy("pr").agg(F.collect_list(F.struct("before", "after")).alias("files"))
+    rows = files(spark, sf).withColumns({"pr": F.expr("doc_id div 10"), "after": F.col("after").isNotNull().cast("string")}).withColumn("after", F.nullif("after", F.lit("false"))).groupBy("pr").agg(F.collect_list(F.struct("before", "after")).alias("files"))
     return rows.select("pr", F.size("files").cast("long").alias("n_files"), F.size(ingest.complete_pairs(F.col("files"))).cast("long").alias("n_pairs"))
 
 
@@ -131,12 +130,15 @@ def change_status_norm(spark, sf):
     return files(spark, sf).select(ingest.file_status(F.col("status")).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Cutoff of the listing: inside of the newest ten pages of the smaller tables.
+SINCE = "2024-01-30 01:28:35"
+
+
 def since_cutoff_merged(spark, sf):
     rows = table(spark, sf, "events").select(
         F.col("event_id").alias("number"), F.col("ts").alias("updated_at"), F.when(F.col("event_type") == "purchase", F.col("ts")).alias("merged_at"), F.when(F.col("user_id") % 10 != 0, F.col("user_id").cast("string")).otherwise("").alias("merge_commit_sha")
     )
-    since = rows.agg(F.min("updated_at")).first()[0]
-    return ingest.merged_since(rows, since).select("number", "merge_commit_sha")
+    return ingest.merged_since(rows, F.to_timestamp(F.lit(SINCE))).select("number", "merge_commit_sha")
 
 
 def content_size_cap(spark, sf):
@@ -163,14 +165,14 @@ def assemble_pulls(spark, sf):
 
 
 def normalize_tags(spark, sf):
-    tags = F.concat(F.slice(F.split("text", " "), 1, 30), F.array(F.lit("  the\t"), F.lit(" "), F.lit("the")))
+    tags = F.concat(F.split("text", " "), F.array(F.lit("  the\t"), F.lit(" "), F.lit("the")))
     return table(spark, sf, "documents").select("doc_id", F.array_join(project.unique_strings(tags), "|").alias("tags"))
 
 
 def normalize_signals(spark, sf):
-    s = F.transform(F.slice(F.split("text", "\n"), 1, 12), lambda x: F.struct(F.substring(x, 1, 1).alias("category"), F.lit("likely").alias("confidence"), F.lit("low").alias("severity"), F.concat(F.lit(" "), F.substring(x, 1, 4)).alias("summary"), F.lit(" ").alias("reviewer_comment")))
+    s = F.transform(F.split("text", "\n"), lambda x: F.struct(F.substring(x, 1, 1).alias("category"), F.lit("likely").alias("confidence"), F.lit("low").alias("severity"), F.concat(F.lit(" "), x).alias("summary"), F.lit(" ").alias("reviewer_comment")))
     out = table(spark, sf, "documents").select("doc_id", project.normalize_signals(s).alias("s"))
-    return out.select("doc_id", F.array_join(F.transform("s", lambda x: F.concat(x["category"], F.lit("/"), x["summary"])), "|").alias("signals"), F.size("s").cast("long").alias("n"))
+    return out.select("doc_id", F.sha2(F.array_join(F.transform("s", lambda x: F.concat(x["category"], F.lit("/"), x["summary"])), "|"), 256).alias("signals"), F.size("s").cast("long").alias("n"))
 
 
 def js_trim_text(spark, sf):
@@ -195,6 +197,29 @@ def technology_evidence_group(spark, sf):
     return ecosystem.detect(_manifests(spark, sf), "doc_id").select("doc_id", "technology", F.array_join("evidence", ",").alias("evidence"))
 
 
+def engine_context(spark, sf):
+    found = ecosystem.detect(_manifests(spark, sf), "doc_id")
+    return ecosystem.engine_context(found, "doc_id", F.when(F.col("doc_id") % 3 != 0, "nodejs"))
+
+
+def raw_to_example(spark, sf):
+    """Pull requests of four files each, unnormalised, to normalised examples."""
+    of = F.expr("doc_id div 4")
+    own = files(spark, sf).select(of.alias("n"), F.struct("doc_id", "path", "status", F.lit(1).alias("additions"), F.lit(0).alias("deletions"), "before", "after").alias("f"))
+    one = own.groupBy("n").agg(F.array_sort(F.collect_list("f")).alias("files"))
+    signal = lambda c, s: F.struct(F.lit(c).alias("category"), F.lit("likely").alias("confidence"), F.lit("low").alias("severity"), s.alias("summary"), F.lit(" ").alias("reviewer_comment"))
+    n = F.col("n").cast("string")
+    raw = one.select(
+        F.lit("host.example").alias("host"), F.concat(F.lit("\t org/r"), n).alias("repository"), F.concat(F.lit("sha"), n).alias("merge_commit_sha"), F.concat(F.lit("https://h/"), n, F.lit(" ")).alias("source_url"),
+        F.when(F.col("n") % 2 == 0, "MIT").otherwise("").alias("spdx"), ingest.license_status(F.when(F.col("n") % 2 == 0, "MIT")).alias("license_status"), F.lit("2026-01-01T00:00:00Z").alias("collected_at"), "files",
+        F.array(signal("bug", F.concat(F.lit(" s "), n)), signal("bug", F.concat(F.lit("s "), n)), signal("testing", F.lit(" "))).alias("signals"),
+    )
+    out = examples.normalize_examples(examples.to_examples(raw))
+    changed = F.array_join(F.transform("changes", lambda c: F.concat(c["path"], F.lit(":"), c["before"], F.lit(":"), F.sha2(c["after"], 256))), ",")
+    said = F.array_join(F.transform("signals", lambda s: F.concat(s["category"], F.lit("/"), s["summary"], F.coalesce(s["reviewer_comment"], F.lit("")))), ",")
+    return out.select("provenance.repository", "provenance.commit_sha", "provenance.source_url", "provenance.license_spdx", "provenance.license_status", "language", changed.alias("changes"), said.alias("signals"))
+
+
 def dependency_merge(spark, sf):
     d = F.col("dependencies")
     return _manifests(spark, sf).select("doc_id", F.array_join(F.map_keys(d), ",").alias("names"), F.array_join(F.map_values(d), ",").alias("versions"), ecosystem.is_typescript(d).alias("typescript"))
@@ -206,7 +231,7 @@ QUERIES = {
         propose_title, propose_comments, propose_dedup, propose_rule_counts, review_file, promote_join, promote_last_wins, promote_dropped_anti, example_id,
         project_signals, project_code_render, license_classify, license_status_counts, license_gate, lang_detect_path, ext_filter, pr_language_first_known,
         complete_pairs, change_status_norm, since_cutoff_merged, content_size_cap, base64_roundtrip, assemble_pulls, normalize_tags, normalize_signals, js_trim_text,
-        technology_detect, technology_evidence_group, dependency_merge,
+        technology_detect, technology_evidence_group, dependency_merge, engine_context, raw_to_example,
     )
 }
 
@@ -232,7 +257,7 @@ _SYL = _props(SYLLABLE_FAMILIES)
 _PROMOTED = f"""WITH {_SYL}, counts AS (SELECT pull_number, count(*) AS n FROM props GROUP BY 1),
 promoted AS (SELECT p.*, n FROM pulls p JOIN counts USING (pull_number) WHERE pull_number % 3 <> 0 AND pull_number % 5 <> 0)"""
 _LANG = r"CASE WHEN regexp_matches(path, '\.(ts|tsx|mts|cts)$') THEN 'typescript' WHEN regexp_matches(path, '\.(js|jsx|mjs|cjs)$') THEN 'javascript' WHEN regexp_matches(path, '\.(py|pyi)$') THEN 'python' END"
-_EXAMPLES = f"""{_PROMOTED}, {SQL["files"]}, own AS (SELECT *, doc_id % 500 AS pr FROM files WHERE path NOT LIKE '%.md'),
+_EXAMPLES = f"""{_PROMOTED}, {SQL["files"]}, own AS (SELECT *, doc_id // 4 AS pr FROM files WHERE path NOT LIKE '%.md'),
 ex AS (SELECT pr, coalesce(first({_LANG} ORDER BY doc_id) FILTER ({_LANG} IS NOT NULL), 'javascript') AS language,
   coalesce(string_agg('// ' || path || chr(10) || after, chr(10) || chr(10) ORDER BY doc_id) FILTER (before IS NOT NULL AND after IS NOT NULL AND length(after) > 0), '') AS code,
   count(*) FILTER (before IS NOT NULL AND after IS NOT NULL) AS n_changes FROM own GROUP BY pr)"""
@@ -261,23 +286,32 @@ FROM promoted JOIN ex ON pr = pull_number JOIN props USING (pull_number) WHERE c
     "license_gate": f"WITH {SQL['licensed']} SELECT doc_id, source, spdx FROM licensed WHERE {_status('spdx')} = 'allowed'",
     "lang_detect_path": rf"WITH {SQL['files']} SELECT path, {_LANG} AS language, CASE WHEN regexp_matches(path, '\.(ts|js)x$') THEN 'tsx' WHEN regexp_matches(path, '\.[mc]?[jt]s$') THEN 'typescript' END AS dialect, regexp_extract(path, '\.[^.]*$', 0) AS extension FROM files",
     "ext_filter": f"WITH {SQL['files']} SELECT doc_id, path FROM files WHERE {_LANG} IN ('javascript', 'typescript')",
-    "pr_language_first_known": f"WITH {SQL['files']} SELECT doc_id % 97 AS pr, coalesce(first({_LANG} ORDER BY doc_id) FILTER ({_LANG} IS NOT NULL), 'javascript') AS language FROM files GROUP BY 1",
-    "complete_pairs": f"WITH {SQL['files']} SELECT doc_id % 97 AS pr, count(*) AS n_files, count(*) FILTER (before IS NOT NULL AND after IS NOT NULL) AS n_pairs FROM files GROUP BY 1",
+    "pr_language_first_known": f"WITH {SQL['files']} SELECT doc_id // 10 AS pr, coalesce(first({_LANG} ORDER BY doc_id) FILTER ({_LANG} IS NOT NULL), 'javascript') AS language FROM files GROUP BY 1",
+    "complete_pairs": f"WITH {SQL['files']} SELECT doc_id // 10 AS pr, count(*) AS n_files, count(*) FILTER (before IS NOT NULL AND after IS NOT NULL) AS n_pairs FROM files GROUP BY 1",
     "change_status_norm": f"WITH {SQL['files']} SELECT CASE WHEN status IN ('added', 'removed', 'renamed') THEN status ELSE 'modified' END AS status, count(*) AS n FROM files GROUP BY 1",
     "since_cutoff_merged": """WITH newest AS (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS r FROM events)
-SELECT event_id AS number, user_id::VARCHAR AS merge_commit_sha FROM newest WHERE r <= 500 AND event_type = 'purchase' AND user_id % 10 <> 0""",
+SELECT event_id AS number, user_id::VARCHAR AS merge_commit_sha FROM newest WHERE r <= 500 AND ts >= '2024-01-30 01:28:35'::TIMESTAMP AND event_type = 'purchase' AND user_id % 10 <> 0""",
     "content_size_cap": "SELECT doc_id, CASE WHEN doc_id % 9 <> 0 AND strlen(text) * 40 <= 200000 THEN length(text) END AS chars FROM documents",
     "base64_roundtrip": "SELECT doc_id, sha256(text) AS sha FROM documents",
     "assemble_pulls": f"""WITH {SQL['pulls']}, {SQL['files']}, lic AS (SELECT repository, max(spdx) AS spdx FROM pulls GROUP BY 1), com AS (SELECT conv_id, count(*) AS n FROM turns WHERE pos > 1 GROUP BY 1)
 SELECT p.repository, p.pull_number AS number, {_status("nullif(lic.spdx, 'NOASSERTION')")} AS license_status, coalesce(com.n, 0) AS n_comments, f.path
 FROM pulls p JOIN lic USING (repository) LEFT JOIN com ON conv_id = pull_number LEFT JOIN files f ON f.doc_id = pull_number""",
-    "normalize_tags": f"""WITH t AS (SELECT doc_id, unnest(list_concat(string_split(text, ' ')[1:30], ['  the' || chr(9), chr(160), 'the'])) AS x, generate_subscripts(list_concat(string_split(text, ' ')[1:30], ['', '', '']), 1) AS i FROM documents),
+    "normalize_tags": f"""WITH t AS (SELECT doc_id, unnest(list_concat(string_split(text, ' '), ['  the' || chr(9), chr(160), 'the'])) AS x, generate_subscripts(list_concat(string_split(text, ' '), ['', '', '']), 1) AS i FROM documents),
 u AS (SELECT doc_id, {_TRIM.format(x="x")} AS tag, min(i) AS i FROM t GROUP BY 1, 2) SELECT doc_id, string_agg(tag, '|' ORDER BY i) AS tags FROM u WHERE tag <> '' GROUP BY 1""",
-    "normalize_signals": f"""WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))[1:12]) AS x, generate_subscripts(string_split(text, chr(10))[1:12], 1) AS i FROM documents),
-u AS (SELECT doc_id, x[1:1] AS c, {_TRIM.format(x="' ' || x[1:4]")} AS s, min(i) AS i FROM t GROUP BY 1, 2, 3)
-SELECT doc_id, coalesce(string_agg(c || '/' || s, '|' ORDER BY i) FILTER (s <> ''), '') AS signals, count(*) FILTER (s <> '') AS n FROM u GROUP BY 1""",
+    "normalize_signals": f"""WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+u AS (SELECT doc_id, x[1:1] AS c, {_TRIM.format(x="' ' || x")} AS s, min(i) AS i FROM t GROUP BY 1, 2, 3)
+SELECT doc_id, sha256(coalesce(string_agg(c || '/' || s, '|' ORDER BY i) FILTER (s <> ''), '')) AS signals, count(*) FILTER (s <> '') AS n FROM u GROUP BY 1""",
     "js_trim_text": f"SELECT doc_id, true AS same, length({_TRIM.format(x='text')}) AS chars FROM documents",
     "technology_detect": f"WITH {_DEPS}, {_TECH} SELECT DISTINCT doc_id, technology, 'definite' AS confidence FROM deps JOIN tech ON package = name",
     "technology_evidence_group": f"WITH {_DEPS}, {_TECH} SELECT doc_id, technology, string_agg(name, ',' ORDER BY pos) AS evidence FROM deps JOIN tech ON package = name GROUP BY 1, 2",
+    "example_id": f"""{_PROMOTED}, j AS (SELECT pull_number, string_agg('{{"category":' || to_json(category) || ',"confidence":' || to_json(confidence) || ',"severity":' || to_json(severity) || ',"summary":' || to_json(summary)
+  || coalesce(',"reviewer_comment":' || to_json(reviewer_comment), '') || '}}', ',' ORDER BY pos) AS signals FROM props GROUP BY 1)
+SELECT pull_number, sha256('{{"repository":' || to_json(repository) || ',"commitSha":' || to_json(source_url) || ',"changes":[{{"path":"a.ts","after":' || to_json(title) || '}}],"signals":[' || signals || ']}}') AS id FROM promoted JOIN j USING (pull_number)""",
+    "engine_context": f"""WITH {_DEPS}, {_TECH}, e AS (SELECT doc_id, technology, min(pos) AS pos, string_agg('{{"kind":"manifest","source":"package.json","detail":"dependency: ' || name || '"}}', ',' ORDER BY pos) AS ev FROM deps JOIN tech ON package = name GROUP BY 1, 2)
+SELECT doc_id, '{{' || CASE WHEN doc_id % 3 <> 0 THEN '"runtime":"nodejs",' ELSE '' END || '"technologies":[' || string_agg('{{"id":"' || technology || '","confidence":"definite","evidence":[' || ev || ']}}', ',' ORDER BY pos, technology) || ']}}' AS context FROM e GROUP BY 1""",
+    "raw_to_example": f"""WITH {SQL["files"]}, own AS (SELECT *, doc_id // 4 AS n FROM files)
+SELECT 'org/r' || n AS repository, 'sha' || n AS commit_sha, 'https://h/' || n AS source_url, CASE WHEN n % 2 = 0 THEN 'MIT' END AS license_spdx, CASE WHEN n % 2 = 0 THEN 'allowed' ELSE 'unknown' END AS license_status,
+coalesce(first({_LANG} ORDER BY doc_id) FILTER ({_LANG} IS NOT NULL), 'javascript') AS language, coalesce(string_agg(path || ':' || before || ':' || sha256(after), ',' ORDER BY doc_id) FILTER (before IS NOT NULL AND after IS NOT NULL), '') AS changes, 'bug/s ' || n AS signals
+FROM own GROUP BY n""",
     "dependency_merge": f"WITH {_DEPS} SELECT doc_id, string_agg(name, ',' ORDER BY pos) AS names, string_agg(v, ',' ORDER BY pos) AS versions, bool_or(name = 'typescript') AS typescript FROM deps GROUP BY 1",
 }

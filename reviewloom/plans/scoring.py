@@ -64,7 +64,8 @@ def regression_gate(spark, sf):
 def eval_report(spark, sf):
     """One row for each category beside the totals of the report."""
     scores = evaluate.category_scores(confusion_counts(spark, sf))
-    total = evaluate.macro_f1(scores).withColumn("examples", F.lit(predictions(spark, sf).count()))
+    # Each example is a hit or a miss of its expected category.
+    total = scores.agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("macro_f1"), F.coalesce(F.sum(F.col("tp") + F.col("fn")), F.lit(0)).alias("examples"))
     # Both sides are bounded: one row of totals, and a row for each category.
     return scores.crossJoin(F.broadcast(total)).select("category", "tp", "fp", "fn", F.round("f1", 9).alias("f1"), F.round("macro_f1", 9).alias("macro_f1"), F.col("examples").cast("long").alias("examples"))
 
@@ -75,9 +76,25 @@ def paired_predictions(spark, sf):
     return both.groupBy((F.col("predicted") == F.col("expected")).alias("right")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _by_length():
+    """A predictor whose category follows from the length of the prompt."""
+    return lambda prompts: [f"Category: {('security', 'bug', 'testing')[len(p) % 3]}\nsummary: x" for p in prompts]
+
+
+evaluate.register_predictor("by_length", _by_length)
+
+
+def evaluation_run(spark, sf):
+    """Prompts of labelled documents through a registered predictor, scored by category."""
+    prompts = prompt(F.lit("python"), _hint(), F.col("text")).alias("prompt")
+    labelled = predictions(spark, sf).select("doc_id", "expected").join(table(spark, sf, "documents").select("doc_id", prompts), "doc_id")
+    got = evaluate.generated(labelled, "by_length").select("expected", parse_finding(F.col("generated"))["category"].alias("predicted"))
+    return evaluate.confusion_counts(got)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (prompt_hint, prompt_render, target_render, parse_finding_fields, parse_last_wins, confusion_counts, category_prf, macro_f1, regression_gate, eval_report, paired_predictions)
+    for f in (prompt_hint, prompt_render, target_render, parse_finding_fields, parse_last_wins, confusion_counts, category_prf, macro_f1, regression_gate, eval_report, paired_predictions, evaluation_run)
 }
 
 _HINT = "CASE WHEN doc_id % 2 = 0 OR doc_id % 3 <> 0 OR doc_id % 5 = 0 THEN ' (using ' || array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 THEN 'nestjs' END, CASE WHEN doc_id % 3 <> 0 THEN 'zod' END, CASE WHEN doc_id % 5 = 0 THEN 'postgres' END], lambda x: x IS NOT NULL), ', ') || ')' ELSE '' END"
@@ -104,5 +121,8 @@ ORACLES = {
     "macro_f1": f"{_SCORED} SELECT round(coalesce(avg(f1), 0.0), 9) AS macro_f1 FROM s",
     "regression_gate": f"{_SCORED}, m AS (SELECT coalesce(avg(f1), 0.0) AS x FROM s) SELECT x >= {FLOOR} AS first_release, x >= {FLOOR} AND x >= 0.05 AS after_lower, x >= {FLOOR} AND x >= 0.99 AS after_higher FROM m",
     "eval_report": f"{_SCORED} SELECT category, tp, fp, fn, round(f1, 9) AS f1, round(avg(f1) OVER (), 9) AS macro_f1, (SELECT count(*) FROM predictions) AS examples FROM s",
+    "evaluation_run": f"""WITH {SQL["predictions"]}, p AS (SELECT q.expected, ['security', 'bug', 'testing'][length({_PROMPT}) % 3 + 1] AS predicted FROM documents JOIN (SELECT doc_id AS id, expected FROM predictions) q ON doc_id = id),
+v AS (SELECT expected AS category, 1 AS tp, 0 AS fp, 0 AS fn FROM p WHERE expected = predicted UNION ALL SELECT expected, 0, 0, 1 FROM p WHERE expected <> predicted UNION ALL SELECT predicted, 0, 1, 0 FROM p WHERE expected <> predicted)
+SELECT category, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM v GROUP BY 1""",
     "paired_predictions": f"WITH {SQL['predictions']} SELECT predicted = expected AS right, count(*) AS n FROM predictions GROUP BY 1",
 }

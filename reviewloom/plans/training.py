@@ -12,7 +12,8 @@ MAX_LENGTH = 24
 
 def label_mask(spark, sf):
     words = F.split("text", " ")
-    rows = table(spark, sf, "documents").select("doc_id", training.masked_labels(F.slice(words, 1, 20), F.slice(words, 21, 10), MAX_LENGTH).alias("x"))
+    cut = F.floor(F.size(words) / 10).cast("int")
+    rows = table(spark, sf, "documents").select("doc_id", training.masked_labels(F.slice(words, F.lit(1), cut), F.slice(words, cut + 1, F.size(words)), MAX_LENGTH).alias("x"))
     return rows.select("doc_id", F.array_join(training.padded(F.col("x.tokens"), F.lit(MAX_LENGTH), "<pad>"), " ").alias("tokens"), F.array_join(training.padded(F.col("x.labels"), F.lit(MAX_LENGTH), training.IGNORED), " ").alias("labels"))
 
 
@@ -27,8 +28,8 @@ def loss_summary(spark, sf):
 
 
 def path_encode(spark, sf):
-    path = F.concat("source", F.lit("/a b+(c)!~*é/"), F.substring("text", 1, 12))
-    return table(spark, sf, "documents").select("doc_id", training.encoded_path(path).alias("path"))
+    path = F.concat("source", F.lit("/a b+(c)!~*é/"), "text")
+    return table(spark, sf, "documents").select("doc_id", F.sha2(training.encoded_path(path), 256).alias("path"))
 
 
 def paging(spark, sf):
@@ -45,11 +46,11 @@ for _code, _plain in (("%21", "!"), ("%27", "''"), ("%28", "("), ("%29", ")"), (
     _ENCODED = f"replace({_ENCODED}, '{_code}', '{_plain}')"
 
 ORACLES = {
-    "label_mask": f"""WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents), t AS (SELECT doc_id, ws[1:20] AS p, (ws[1:20] || ws[21:30])[1:{MAX_LENGTH}] AS ts FROM w)
+    "label_mask": f"""WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents), t AS (SELECT doc_id, ws[1:len(ws) // 10] AS p, ws[1:{MAX_LENGTH}] AS ts FROM w)
 SELECT doc_id, array_to_string(ts || list_transform(range(len(ts), {MAX_LENGTH}), lambda i: '<pad>'), ' ') AS tokens,
 array_to_string(list_transform(range(1, {MAX_LENGTH + 1}), lambda i: CASE WHEN i <= len(p) OR i > len(ts) THEN '-100' ELSE ts[i] END), ' ') AS labels FROM t""",
     "seeded_shuffle": "SELECT doc_id, sha256('7:' || doc_id) AS shuffle_key FROM documents",
     "loss_summary": "SELECT doc_id, (doc_id % 4)::BIGINT AS steps, CASE doc_id % 4 WHEN 1 THEN 3.0 WHEN 2 THEN 2.5 WHEN 3 THEN 2.0 END::DOUBLE AS final_loss FROM documents",
-    "path_encode": f"SELECT doc_id, array_to_string(list_transform(string_split(source || '/a b+(c)!~*é/' || text[1:12], '/'), lambda x: {_ENCODED}), '/') AS path FROM documents",
+    "path_encode": f"SELECT doc_id, sha256(array_to_string(list_transform(string_split(source || '/a b+(c)!~*é/' || text, '/'), lambda x: {_ENCODED}), '/')) AS path FROM documents",
     "paging": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url END AS next_page, CASE WHEN page_id % 5 = 0 AND page_id % 2 = 0 THEN greatest(page_id - 100, 1) END AS wait FROM pages",
 }

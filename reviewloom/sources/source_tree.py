@@ -1,8 +1,9 @@
 """A Python DataSource over source trees.
 
 Spark's own file sources skip names that begin with ``_`` or ``.``, which drops
-``__init__.py``; this source does not. Each top-level entry of the tree is a
-partition. Directories of fixed names are pruned below the root; paths without a
+``__init__.py``; this source does not. Files with a known suffix are listed on the
+driver, names only, and dealt in runs of ``FILES`` to partitions, so a tree with
+one large folder is read by many tasks. Directories of fixed names are pruned below the root; paths without a
 known suffix are not opened; files that are not UTF-8 are given with a null
 content and the reason, instead of ending the scan. The tree has to be a mount
 that all executors see.
@@ -29,30 +30,34 @@ def language_by_suffix(path: str) -> str | None:
     return next((language for language, suffixes in LANGUAGE_SUFFIXES if path.endswith(suffixes)), None)
 
 
-class _Entry(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Files of a partition.
+FILES = 64
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class SourceTreeReader(DataSourceReader):
     def __init__(self, root: str):
         self.root = root.removeprefix("file://")
 
-    def partitions(self) -> list[InputPartition]:
+    def _names(self) -> Iterator[str]:
         if os.path.isfile(self.root):
-            return [_Entry(self.root)]
-        with os.scandir(self.root) as entries:
-            found = sorted(e.path for e in entries if not (e.is_dir() and e.name in PRUNED))
-        return [_Entry(p) for p in found] or [_Entry(self.root)]
-
-    def read(self, partition: _Entry) -> Iterator[tuple]:
-        if os.path.isfile(partition.path):
-            yield from self._file(partition.path)
+            yield self.root
             return
-        for folder, folders, names in os.walk(partition.path):
+        for folder, folders, names in os.walk(self.root):
             folders[:] = sorted(f for f in folders if f not in PRUNED)
-            for name in sorted(names):
-                yield from self._file(os.path.join(folder, name))
+            yield from (os.path.join(folder, n) for n in sorted(names) if language_by_suffix(n))
+
+    def partitions(self) -> list[InputPartition]:
+        names = list(self._names())
+        return [_Files(names[i : i + FILES]) for i in range(0, len(names), FILES)] or [_Files([])]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            yield from self._file(path)
 
     def _file(self, path: str) -> Iterator[tuple]:
         if (language := language_by_suffix(path)) is None:

@@ -4,10 +4,11 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from reviewloom.functions import hashing, text
-from reviewloom.operators import curate, ecosystem, evaluate, ingest, label, project, validate
+from reviewloom.functions import contract, hashing, text
+from reviewloom.operators import curate, ecosystem, evaluate, examples, ingest, label, project, validate
 
 
 def one(spark, column, **values):
@@ -138,3 +139,76 @@ def test_pushdown_and_pruning(spark):
 
     plan = QUERIES["split_assign"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<text:string>" in plan and "IsNotNull(text)" in plan
+
+
+def test_first_of_each_keeps_order(spark):
+    items = F.array(*[F.struct(F.lit(a).cast("string").alias("a"), F.lit(b).alias("b")) for a, b in (("x", 1), (None, 2), ("y", 3), ("x", 4), (None, 5), ("w", 6))])
+    got = one(spark, label._first_of_each(items, lambda i: i["a"]))
+    assert [(r.a, r.b) for r in got] == [("x", 1), (None, 2), ("y", 3), ("w", 6)]
+    plan = spark.range(1).select(label._first_of_each(items, lambda i: i["a"]))
+    assert plan.count() == 1 and one(spark, label._first_of_each(F.array().cast("array<string>"), lambda i: i)) == []
+
+
+def test_truncation_counts_utf16_units(spark):
+    cut = lambda s, n: one(spark, text.truncate(lit(s), n))
+    assert [cut("\U0001f600ab", 4), cut("\U0001f600abc", 4), cut("ab\U0001f600", 3), cut("é" * 4, 4), cut("é" * 5, 4), cut("", 1)] == ["\U0001f600ab", "\U0001f600ab...", "ab\ufffd...", "é" * 4, "é" * 4 + "...", ""]
+
+
+def test_examples(spark):
+    file = lambda p, b, a: (p, "modified", 1, 2, b, a)
+    kind = (
+        "host string, repository string, merge_commit_sha string, source_url string, spdx string, license_status string, collected_at string, "
+        "files array<struct<path:string,status:string,additions:long,deletions:long,before:string,after:string>>, "
+        "signals array<struct<category:string,confidence:string,severity:string,summary:string,reviewer_comment:string>>"
+    )
+    signals = [("bug", "likely", "low", " s ", " "), ("bug", "likely", "high", "s", "c"), ("bug", "likely", "low", " ", None)]
+    rows = [("h", " o/r\t", "sha", " u ", "", "unknown", "t", [file("a.md", "x", "y"), file("b.py", None, "z"), file("c.ts", "", "w")], signals)]
+    made = examples.to_examples(spark.createDataFrame(rows, kind))
+    r = made.first()
+    assert r.language == "python" and [(c.path, c.before, c.after) for c in r.changes] == [("a.md", "x", "y"), ("c.ts", "", "w")]
+    assert r.provenance.license_spdx is None and r.frameworks == [] and len(r.id) == 64
+    n = examples.normalize_examples(made).first()
+    assert n.id == r.id and (n.provenance.repository, n.provenance.source_url, n.provenance.commit_sha) == ("o/r", "u", "sha")
+    assert [tuple(s) for s in n.signals] == [("bug", "likely", "low", "s", None)]
+
+
+def test_counts_on_the_way(spark):
+    seen = Observation("proposals")
+    df = label.counted(spark.range(10), seen, even=F.col("id") % 2 == 0, none=F.lit(None).cast("boolean"))
+    assert df.count() == 10 and seen.get == {"total": 10, "even": 5, "none": 0}
+
+
+def test_contract():
+    good = {"language": "python", "code": "x", "finding": {"category": "bug", "confidence": "likely", "severity": "low", "summary": "s"}, "provenance": {"source_type": "commit", "source_url": "u"}, "extra": 1}
+    assert contract.violations(good, contract.TRAINING_EXAMPLE) == []
+    bad = json.loads(json.dumps(good))
+    bad["code"], bad["finding"]["confidence_score"], bad["framework"] = "", 1.5, 3
+    del bad["finding"]["severity"]
+    assert contract.violations(bad, contract.TRAINING_EXAMPLE) == ["framework: not of type string or null", "code: empty", "finding.severity: required", "finding.confidence_score: above 1"]
+    assert contract.violations(True, {"type": "integer"}) and contract.violations(True, {"enum": [1]}) and not contract.violations(2.0, {"type": "integer"})
+    made = curate.manifest_record("d", "1.0.0", 7, {"train": (2, "aa")})
+    assert curate.checked_manifest(made) is made and made["counts"] == {"train": 2, "val": 0, "test": 0}
+    for change in ({"version": "1.0"}, {"odd": 1}, {"splitSeed": "7"}, {"datasetId": ""}):
+        with pytest.raises(ValueError, match="invalid manifest"):
+            curate.checked_manifest(made | change)
+
+
+def test_evaluation_with_a_predictor(spark):
+    df = spark.createDataFrame([("aa", "bug"), ("b", "security"), ("cc", "bug"), ("d", "testing")], "prompt string, category string")
+    evaluate.register_predictor("by_size", lambda: lambda ps: [f"category: {'bug' if len(p) == 2 else 'security'}" for p in ps])
+    report = evaluation_report = evaluate.evaluation(df, "by_size")
+    assert report["exampleCount"] == 4 and abs(report["macroF1"] - (1 + 2 / 3 + 0) / 3) < 1e-12
+    assert evaluation_report["categories"]["security"] == {"precision": 0.5, "recall": 1.0, "f1": 2 / 3, "truePositives": 1, "falsePositives": 1, "falseNegatives": 0}
+    assert evaluate.evaluation(df.limit(0), "by_size") == {"exampleCount": 0, "macroF1": 0.0, "categories": {}}
+
+
+def test_set_checksums_in_order(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), hashlib.sha256(str(i).encode()).hexdigest()) for i in range(3000)]
+    got = hashing.set_checksums_in_order(spark.createDataFrame(rows, "part string, c string").repartition(7), "part", "c")
+    for p in "ab":
+        mine = sorted(c for q, c in rows if q == p)
+        assert got[p] == (len(mine), hashlib.sha256("".join(mine).encode()).hexdigest())
+    assert hashing.set_checksums_in_order(spark.createDataFrame([], "part string, c string"), "part", "c") == {}

@@ -1,11 +1,15 @@
 """Source trees, record files, manifests and streams."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from reviewloom.analyzers import engine
+from reviewloom.functions.text import review_prompt
+from reviewloom.operators import curate, validate
 from reviewloom.sources import records, source_tree
 from reviewloom.streaming import landing
 
@@ -63,3 +67,78 @@ def test_files_are_filtered_before_python(spark):
     files.createOrReplaceTempView("some_files")
     out = spark.sql("SELECT path, f.rule_id FROM (SELECT * FROM some_files WHERE path LIKE '%.py') s, LATERAL analyze_source('python', s.content) f").collect()
     assert [tuple(r) for r in out] == [("a.py", "python.dangerous-eval")]
+
+
+def example(code, **more):
+    return {"language": "python", "code": code, "finding": {"category": "bug", "confidence": "likely", "severity": "low", "summary": "s"}, "provenance": {"source_type": "commit", "source_url": "u"}, **more}
+
+
+def test_line_numbers(spark, tmp_path):
+    path = tmp_path / "x.jsonl"
+    text = "a\n\n  \nb\r\nc\x85d\n\u2028e\n" + "\n".join(f"line {i}" if i % 3 else "" for i in range(4000))
+    path.write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for flavour, lines in (("py", text.splitlines()), ("js", [x for x in text.split("\n") if x.strip()])):
+            full = [(k, x.strip()) for k, x in enumerate(lines, 1) if x.strip()]
+            got = sorted((r["_line"], r["_raw"], r["_at"]) for r in records.numbered_lines(spark, str(path), flavour).collect())
+            assert got == [(k, x, at) for at, (k, x) in enumerate(full)], flavour
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "bad.jsonl").write_text("{}\n\n{oops\n")
+    with pytest.raises(PySparkException, match="invalid JSON on line 2"):
+        records.checked(records.read_jsonl(spark, str(tmp_path / "bad.jsonl"), records.RAW, "js")).collect()
+
+
+def test_curate(spark, tmp_path):
+    path, out = tmp_path / "x.jsonl", tmp_path / "m" / "manifest.json"
+    lines = [json.dumps(example(f"code é {i % 80}"), ensure_ascii=bool(i % 2)) for i in range(100)]
+    path.write_text("\n".join(lines) + "\n")
+    rows, made = curate.curate(spark, str(path), "set", "1.2.3", 7, str(out))
+    sums = {hashlib.sha256(json.dumps(json.loads(x), sort_keys=True, separators=(",", ":")).encode()).hexdigest() for x in lines}
+    assert rows.count() == sum(made["counts"].values()) == len(sums) == 80 and {r.checksum for r in rows.collect()} == sums
+    assert made["sourceExamplesChecksum"] == hashlib.sha256("".join(sorted(sums)).encode()).hexdigest()
+    assert json.loads(out.read_text()) == made and made["splitSeed"] == 7
+    assert curate.curate(spark, str(path), "set", "1.2.3", 7)[1] == made != curate.curate(spark, str(path), "set", "1.2.3", 8)[1]
+    path.write_text("\n".join([lines[0], "", json.dumps(example("")), lines[1]]))
+    with pytest.raises(ValueError, match="example 1: code: empty"):
+        curate.curate(spark, str(path), "set", "1.2.3", 7)
+    path.write_text("\n".join([lines[0], "", "{oops"]))
+    with pytest.raises(ValueError, match="example 3: invalid JSON"):
+        curate.curate(spark, str(path), "set", "1.2.3", 7)
+
+
+def test_registry(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "m.json").write_text(json.dumps({"status": "planned", "version": "0.1.0", "adapter": {"type": "lora", "rank": 8}}))
+    (tmp_path / "registry.json").write_text(json.dumps({"manifests": ["a/m.json", "b/none.json"]}))
+    rows = records.read_registry(spark, str(tmp_path)).withColumn("errors", validate.model_errors()).orderBy("ord").collect()
+    assert [(r.path, r.errors) for r in rows] == [("a/m.json", []), ("b/none.json", ["file is missing"])]
+
+
+def test_package_manifests(spark, tmp_path):
+    (tmp_path / "package.json").write_text(json.dumps({"dependencies": {"express": "4"}, "devDependencies": {"typescript": "5"}}, indent=2))
+    r = records.read_package_manifests(spark, str(tmp_path / "package.json")).first()
+    assert dict(r.dependencies) == {"express": "4"} and dict(r.devDependencies) == {"typescript": "5"} and r.path.endswith("package.json")
+
+
+def test_finding_records_and_review_prompt(spark):
+    files = spark.createDataFrame([("b.py", "eval(1)\nexec(2)"), ("a.py", "eval(é)"), ("c.py", "x = 1")], "path string, content string")
+    rows = engine.records_by_file(engine.findings(files), in_order=True).collect()
+    assert [r.path for r in rows] == ["a.py", "b.py"]
+    first = json.loads(rows[1].records)[0]
+    assert list(first)[:5] == ["id", "ruleId", "category", "severity", "confidence"] and first["location"] == {"path": "b.py", "startLine": 1, "startColumn": 1, "endLine": 1, "endColumn": 8}
+    assert rows[0].records.startswith('[\n  {\n    "id": "python.dangerous-eval:a.py:1:1",')
+    asked = spark.createDataFrame([("x" * 30_000, "[]")], "s string, f string").select(review_prompt(F.lit("p"), F.col("s"), F.col("f")).alias("q")).first().q
+    assert asked == "File: p\n\n```\n" + "x" * 20_000 + "\n```\n\nFindings:\n[]"
+
+
+def test_a_rule_of_ones_own(spark):
+    before = dict(engine.ANALYZERS)
+    try:
+        engine.register_rule("python", lambda content: ([("own.todo", 1, 1, 1, 5)] if "TODO" in content else [], "possible"))
+        files = spark.createDataFrame([("a.py", "TODO = eval(1)")], "path string, content string")
+        assert sorted(r.rule_id for r in engine.find(files).collect()) == ["own.todo", "python.dangerous-eval"]
+    finally:
+        engine.ANALYZERS.clear()
+        engine.ANALYZERS.update(before)
