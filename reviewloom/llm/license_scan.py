@@ -61,12 +61,12 @@ TEXTS = (
 )
 #: Digests of the long texts as published: (SPDX id, digest of the canonical form, its words). Each has the word "license".
 LONG_TEXTS = (
-    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100", 1571),
-    ("GPL-2.0", "9405dc2ae3fe08dea519d5874a1a44bb05d513336aed49976b5030bd5b8f27f6", 2965),
-    ("GPL-3.0", "1d0e7e346a64e5a57232a9fbb953744c9272a4f97823baaab065df792fcefb24", 5650),
-    ("LGPL-2.1", "6f217aee15c5da0a9c4b622caf94d6acf1d6fb3e2de1b5f6e7847a76941730a8", 4354),
+    ("Apache-2.0", "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184", 1608),
+    ("GPL-2.0", "cf74dfa78ca9ac981c7ae9e50c4ecfb828df2e5ef2f1646368388676215766b5", 2975),
+    ("GPL-3.0", "68ca42869e9a3e25843be66c6f296ce2b1f3629ac71d77465db0636dc8781c06", 5684),
+    ("LGPL-2.1", "ac0856eb11aebb30c08445444c942c1ddcde9d0a0447c9ed2b8a19ab7d51eba5", 4401),
     ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 1231),
-    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9", 2414),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a", 2426),
 )
 #: Lines without a letter or digit between paragraphs.
 BETWEEN_PARAGRAPHS = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
@@ -85,8 +85,8 @@ SPELLINGS = (
     ("v2 0", "version 2 0"),
     ("v3", "version 3"),
 )
-#: A line that only says whose copyright it is (in lower-cased text).
-COPYRIGHT_LINE = r"(^|\n)[ \t]*[^a-z0-9\n]{0,6}(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that says whose copyright it is, with a sign or a year (in lower-cased text); a wrapped line that only begins with the word is none.
+COPYRIGHT_LINE = r"(^|\n)[ \t]*[^a-z0-9\n]{0,6}(copyright[ \t]*(\(c\)|©|[^\n]{0,60}[0-9]{4})|\(c\)[ \t]*(copyright|[^\n]{0,60}[0-9]{4})|©|all rights reserved)[^\n]*"
 
 
 def canonical(text: Column) -> Column:
@@ -96,10 +96,11 @@ def canonical(text: Column) -> Column:
     def rest(low: Column) -> Column:
         # Copyright lines are looked for only where one of their words is.
         bare = F.when(low.rlike(trigger), F.regexp_replace(low, COPYRIGHT_LINE, "\n")).otherwise(low)
-        out = F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+        # Each word has its own blanks on both sides, so that equal words in a row are all replaced.
+        out = F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
         for words, one in SPELLINGS:
-            out = F.replace(out, F.lit(f" {words} "), F.lit(f" {one} "))
-        return F.trim(out)
+            out = F.replace(out, F.lit(f" {words.replace(' ', '  ')} "), F.lit(f" {one.replace(' ', '  ')} "))
+        return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
     return let(ascii_lower(text), rest)
 
@@ -142,10 +143,12 @@ def anchors(digests: DataFrame) -> list[str]:
         chosen.append(best)
         forms = [f for f in forms if not any(best in w for w in f)]
     raw = set(chosen)
-    for words, one in SPELLINGS:
-        if raw & set(one.split(" ")):
-            raw.add(max(words.split(" "), key=len))
-    return sorted(raw)
+    while True:
+        # A spelling's words may themselves be the one form of others.
+        more = {max(words.split(" "), key=len) for words, one in SPELLINGS if raw & set(one.split(" "))} - raw
+        if not more:
+            return sorted(raw)
+        raw |= more
 
 
 def scan_licenses(df: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:

@@ -85,10 +85,10 @@ def _canonical_sql(text: str) -> str:
     """The canonical form of :mod:`reviewloom.llm.license_scan` in DuckDB."""
     low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     low = f"regexp_replace({low}, '{license_scan.COPYRIGHT_LINE}', chr(10), 'g')"
-    out = f"' ' || trim(regexp_replace({low}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    out = f"' ' || trim(regexp_replace({low}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' '"
     for words, one in license_scan.SPELLINGS:
-        out = f"replace({out}, ' {words} ', ' {one} ')"
-    return f"trim({out})"
+        out = f"replace({out}, ' {words.replace(' ', '  ')} ', ' {one.replace(' ', '  ')} ')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 _KNOWN_SQL = ", ".join(f"('{i}', '{t}')" for i, t in license_scan.KNOWN)

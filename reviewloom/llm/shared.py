@@ -15,17 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of local runs by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+    """The folder that driver and executors share, from ``spark.checkpoint.dir`` or the checkpoint folder that is set.
 
-    Only where neither that setting nor a checkpoint folder exists (local tests)
-    is a temporary folder made and set.
+    Where neither is, a local run gets a temporary folder; on a cluster that is an
+    error, as no machine's own folder would do. Nothing is set for the session.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="reviewloom-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        key = context.applicationId
+        found = _LOCAL[key] = _LOCAL.get(key) or "file://" + tempfile.mkdtemp(prefix="reviewloom-")
     return found.rstrip("/")
 
 

@@ -2,6 +2,8 @@
 
 import textwrap
 
+from pyspark.sql import functions as F
+
 from reviewloom.llm import license_scan as ls
 
 APACHE = "Licensed under the Apache License, Version 2.0."
@@ -59,3 +61,45 @@ def test_full_texts_and_wrapped_headers(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r[0]: tuple(r)[1:] for r in ls.scan_licenses(df, ls.known_digests(spark)).collect()}
     assert got == {0: ("MIT", "text", 1), 1: ("MIT", "line", 1), 2: ("Apache-2.0", "line", 1), 3: ("GPL-3.0", "line", 1), 4: ("Apache-2.0", "line", 1)}
+
+
+def plain_canonical(text):
+    """Word by word, without the module's patterns."""
+    kept = []
+    for line in text.split("\n"):
+        low = line.lower().lstrip(" \t#*/-;%")
+        year = any(low[i : i + 4].isdigit() for i in range(len(low) - 3))
+        signed = low.startswith("\u00a9") or low.startswith("all rights reserved") or (low.startswith("copyright") and (low[9:].strip().startswith(("(c)", "\u00a9")) or year))
+        if not signed:
+            kept.append(line)
+    words = "".join(c if c.isalnum() else " " for c in "\n".join(kept).lower()).split()
+    for old, new in ls.SPELLINGS:
+        old, new = old.split(), new.split()
+        i = 0
+        while i < len(words):
+            if words[i : i + len(old)] == old:
+                words[i : i + len(old)] = new
+                i += len(new)
+            else:
+                i += 1
+    return " ".join(words)
+
+
+def test_canonical_form_does_not_depend_on_the_wrap(spark):
+    texts = []
+    for license, body in ls.TEXTS:
+        for width in (40, 60, 79, 1000):
+            texts.append((license, "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n" + "\n\n".join(textwrap.fill(p, width) for p in body.strip().split("\n\n"))))
+    texts.append(("sublicense", "licence licence sub licence sub-licence acknowledgement  acknowledgement"))
+    df = spark.createDataFrame(texts, "license string, body string").select("license", "body", ls.canonical(F.col("body")).alias("c"))
+    for r in df.collect():
+        assert r.c == plain_canonical(r.body), r.body
+    forms = {}
+    for r, (_, body) in zip(df.collect(), [t for t in ls.TEXTS for _ in range(4)], strict=False):
+        forms.setdefault(body, set()).add(r.c)
+    assert all(len(f) == 1 for f in forms.values())
+
+
+def test_words_of_chained_spellings_are_looked_for(spark):
+    got = scanned(spark, ["you may sub licence it"], known=(("X", "You may sublicense it."),))
+    assert got[0] == ("X", "text", 1)

@@ -56,3 +56,38 @@ def test_labels_with_conflicts_and_unknown_values(spark):
     assert all(got[i] == bool(i % 2) for i in range(80))
     few = qc.training_rows(docs, labels, 10, "doc_id", "text")
     assert len(few) == 10
+
+
+def penalised_loss(w, cut, buckets, grades, n_grades):
+    """The fitted objective, document by document."""
+    present = np.bincount(grades, minlength=n_grades)
+    weight = 1 / np.sqrt(present[grades])
+    weight = weight / weight.sum()
+    out = 0.0
+    for b, g, share in zip(buckets, grades, weight, strict=True):
+        score = sum(w.get(int(x), 0.0) for x in b)
+        edge = [0.0, *(1 / (1 + np.exp(-np.clip(t - score, -40, 40))) for t in cut), 1.0]
+        out -= share * np.log(max(edge[g + 1] - edge[g], 1e-9))
+    return out + qc.PENALTY / (2 * max(len(w), 1)) * sum(x * x for x in w.values())
+
+
+def test_no_other_parameters_fit_better():
+    rng = random.Random(17)
+    buckets, grades = [], []
+    for _ in range(400):
+        g = rng.choice([0, 1, 2, 2])
+        words = {rng.randrange(100, 160) for _ in range(20)} | {k for k in range(12) if rng.random() < (0.7, 0.35, 0.05)[g]}
+        buckets.append(np.array(sorted(words)))
+        grades.append(g)
+    grades = np.array(grades)
+    m = qc.fit(buckets, grades, 3)
+    assert m.weights and m.thresholds[0] < m.thresholds[1]
+    best = penalised_loss(m.weights, m.thresholds, buckets, grades, 3)
+    for k in range(150):
+        size = (0.3, 0.05, 0.01)[k % 3]
+        w = {c: x + rng.gauss(0, size) for c, x in m.weights.items()}
+        cut = sorted(t + rng.gauss(0, size) for t in m.thresholds)
+        assert penalised_loss(w, cut, buckets, grades, 3) > best - 2e-4
+    for c in m.weights:
+        for step in (-0.05, 0.05):
+            assert penalised_loss(m.weights | {c: m.weights[c] + step}, m.thresholds, buckets, grades, 3) > best - 2e-4
