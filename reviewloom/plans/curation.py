@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -160,7 +159,7 @@ def curate_end_to_end(spark, sf):
     plain = F.concat(F.lit(_EXAMPLE[0]), code, F.lit(_EXAMPLE[1]))
     other = F.concat(F.lit(' {"language": "python", "provenance": {"source_url": "u", "source_type": "commit"}, "finding": {"summary": "s", "severity": "low", "confidence": "likely", "category": "bug"}, "code": "'), code, F.lit('"} \r'))
     rows = table(spark, sf, "documents").where("text IS NOT NULL").select(F.when(F.col("doc_id") % 2 == 0, plain).otherwise(other).alias("value"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{folder.rstrip('/')}/examples-{uuid.uuid4().hex}"
     rows.write.text(path)
     _, made = curate.curate(spark, path, "set", "1.0.0", SEED)
