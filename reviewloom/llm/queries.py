@@ -91,19 +91,25 @@ def _canonical_sql(text: str) -> str:
     return f"trim(replace({out}, '  ', ' '))"
 
 
-_KNOWN_SQL = ", ".join(f"('{i}', '{t}')" for i, t in license_scan.KNOWN)
+_KNOWN_SQL = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in license_scan.KNOWN + license_scan.TEXTS)
+_LONG_SQL = ", ".join(f"('{i}', '{d}')" for i, d, _ in license_scan.LONG_TEXTS)
+_BETWEEN_SQL = license_scan.BETWEEN_PARAGRAPHS
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLES = {
     "op3_license_scan": f"""
-WITH k AS (SELECT c, min(license) AS license FROM (SELECT license, {_canonical_sql("body")} AS c FROM (VALUES {_KNOWN_SQL}) v(license, body)) GROUP BY c),
+WITH k AS (SELECT c, min(license) AS license FROM
+  (SELECT license, sha256({_canonical_sql("body")}) AS c FROM (VALUES {_KNOWN_SQL}) v(license, body) UNION ALL FROM (VALUES {_LONG_SQL}) w(license, c)) GROUP BY c),
 d AS (SELECT row_number() OVER () AS n, doc_id, text FROM documents),
-t AS (SELECT n, k.license AS of_text FROM (SELECT n, {_canonical_sql("text")} AS c FROM d) x JOIN k USING (c)),
-l AS (SELECT n, count(*) AS n_lines, string_agg(DISTINCT k.license, ';' ORDER BY k.license) AS of_lines FROM
-  (SELECT n, {_canonical_sql("line")} AS c FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM d WHERE contains(text, chr(10)))) x JOIN k USING (c) GROUP BY n)
+t AS (SELECT n, k.license AS of_text FROM (SELECT n, sha256({_canonical_sql("text")}) AS c FROM d) x JOIN k USING (c)),
+l AS (SELECT n, c, k.license FROM (SELECT n, sha256({_canonical_sql("line")}) AS c FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM d WHERE contains(text, chr(10)))) x JOIN k USING (c)),
+p AS (SELECT n, c, k.license FROM (SELECT n, sha256({_canonical_sql("part")}) AS c FROM
+  (SELECT n, unnest(regexp_split_to_array(text, '{_BETWEEN_SQL}')) AS part FROM d WHERE regexp_matches(text, '{_BETWEEN_SQL}')) WHERE contains(part, chr(10))) x JOIN k USING (c)),
+u AS (SELECT n, license FROM l UNION ALL SELECT n, license FROM p ANTI JOIN l USING (n, c)),
+g AS (SELECT n, count(*) AS n_lines, string_agg(DISTINCT license, ';' ORDER BY license) AS of_lines FROM u GROUP BY n)
 SELECT doc_id, coalesce(of_text, of_lines) AS license, CASE WHEN of_text IS NOT NULL THEN 'text' WHEN n_lines > 0 THEN 'line' END AS scope,
   CASE WHEN of_text IS NOT NULL THEN 1 ELSE coalesce(n_lines, 0) END::BIGINT AS n_notices
-FROM d LEFT JOIN t USING (n) LEFT JOIN l USING (n)""",
+FROM d LEFT JOIN t USING (n) LEFT JOIN g USING (n)""",
     "op5_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT n, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, string_split(t, chr(10)) AS ls FROM d),
