@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm.shared import ascii_lower, let
+from reviewloom.llm.shared import ascii_lower, let, spread_join
 
 #: Known notices by SPDX id.
 KNOWN = (
@@ -151,7 +151,7 @@ def anchors(digests: DataFrame) -> list[str]:
         raw |= more
 
 
-def scan_licenses(df: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
+def scan_licenses(df: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, license, scope, n_notices) for each row of ``df``.
 
     ``license`` has the distinct ids found, sorted and joined by ``;`` (null: none);
@@ -161,9 +161,9 @@ def scan_licenses(df: DataFrame, digests: DataFrame, id_col: str = "doc_id", tex
     of several lines that are no such line without its copyright lines. A unit whose canonical form
     has fewer or more words than any known one can't match and gets no digest.
     ``digests`` is as :func:`known_digests` makes it; a notice may be
-    in a third of all documents, so units are salted for the join.
+    in a third of all documents, so units are not dealt by digest for the join.
     """
-    bound = digests.agg(F.min("n_words").alias("least"), F.max("n_words").alias("most")).first()
+    bound = digests.agg(F.min("n_words").alias("least"), F.max("n_words").alias("most"), F.sum(F.octet_length("license") + 256).alias("size")).first()
     lines = F.split("body", "\n")
     none = F.array().cast("array<string>")
     parts = F.when(F.size(lines) > 1, lines).otherwise(none)
@@ -190,10 +190,8 @@ def scan_licenses(df: DataFrame, digests: DataFrame, id_col: str = "doc_id", tex
     # The row's number is taken before the units are unfolded.
     numbered = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).withColumn("row", F.monotonically_increasing_id())
     hashed = numbered.select("row", "id", F.inline(units)).where("whole OR digest IS NOT NULL")
-    # A row without digest matches nothing; its salt keeps such rows apart.
-    salted = hashed.withColumn("salt", F.pmod(F.xxhash64("row", "whole"), F.lit(salts)).cast("int"))
-    copies = digests.select("digest", "license").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    found = salted.join(copies, ["digest", "salt"], "left")
+    # A row without digest matches nothing; rows are spread by their number, so they are no hot key.
+    found = spread_join(hashed, digests.select("digest", "license"), ["digest"], bound["size"] or 0, ["row", "whole"], "left", 64)
     got = F.col("license").isNotNull()
     per = found.groupBy("row").agg(
         F.first("id").alias("id"),

@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.shared import hot_join, let, written
+from reviewloom.llm.shared import hot_join, let, tables_made, written
 
 #: Different texts that a template has to be in.
 MIN_DOCUMENTS = 3
@@ -155,22 +155,24 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """(row, text, n_lines, n_dropped): the original row as a struct, and its text without recurring lines."""
     opening = F.xxhash64(F.substring_index("norm", " ", OPENING))
     seen = written(_lines(df, id_col, text_col).select("key", "digest", "i", "n", _leaf().alias("leaf"), _form().alias("form"), opening.alias("opening")), "lines").where("form IS NOT NULL")
-    bands = written(_sketched(seen), "sketches")
-    # A form is in several texts if the least and the greatest digest differ; equal texts count once.
-    least = F.when(F.col("n") >= LONG_TOKENS, 2).otherwise(MIN_DOCUMENTS).alias("least")
-    forms = seen.groupBy("form").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), (F.min("digest") < F.max("digest")).alias("several"), F.count(F.lit(1)).alias("n_rows"))
-    forms = written(forms, "forms")
-    counted = (forms, "n_rows")
-    often = hot_join(seen.select("digest", "form"), forms.where("several").select("form", least), "form", counts=counted)
-    direct = _recurring(often.distinct(), bands, ["form", "least"], F.col("least"))
-
-    matched = _templates(_leaf_forms(df, id_col, text_col, forms))
-    # The texts of a template's forms are put together.
-    texts = hot_join(seen.select("digest", "form"), matched, "form", counts=counted).select("template", "digest").distinct()
-    templates = written(_recurring(texts, bands, ["template"], F.lit(MIN_DOCUMENTS)), "templates")
-    dropped = written(direct.unionByName(hot_join(matched, templates, "template").select("form")).distinct(), "dropped-forms")
-
-    hits = hot_join(seen.select("key", "digest", "i", "form"), dropped, "form", counts=counted)
+    with tables_made(df.sparkSession) as drop_but:
+        bands = written(_sketched(seen), "sketches")
+        # A form is in several texts if the least and the greatest digest differ; equal texts count once.
+        least = F.when(F.col("n") >= LONG_TOKENS, 2).otherwise(MIN_DOCUMENTS).alias("least")
+        forms = seen.groupBy("form").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), (F.min("digest") < F.max("digest")).alias("several"), F.count(F.lit(1)).alias("n_rows"))
+        forms = written(forms, "forms")
+        counted = (forms, "n_rows")
+        often = hot_join(seen.select("digest", "form"), forms.where("several").select("form", least), "form", counts=counted)
+        direct = _recurring(often.distinct(), bands, ["form", "least"], F.col("least"))
+
+        matched = _templates(_leaf_forms(df, id_col, text_col, forms))
+        # The texts of a template's forms are put together.
+        texts = hot_join(seen.select("digest", "form"), matched, "form", counts=counted).select("template", "digest").distinct()
+        templates = written(_recurring(texts, bands, ["template"], F.lit(MIN_DOCUMENTS)), "templates")
+        dropped = written(direct.unionByName(hot_join(matched, templates, "template").select("form")).distinct(), "dropped-forms")
+
+        hits = hot_join(seen.select("key", "digest", "i", "form"), dropped, "form", counts=counted)
+        drop_but(("lines", "dropped-forms"))
     lists = hits.groupBy("key", "digest").agg(F.collect_set("i").alias("gone"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _key(F.col(id_col), F.col(text_col)).alias("key"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     joined = rows.join(lists.hint("shuffle_hash"), ["key", "digest"], "left")

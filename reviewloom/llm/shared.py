@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,18 +37,49 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: (label, path) of the tables that the innermost :func:`tables_made` of this thread has seen.
+_MADE: ContextVar[list[tuple[str, str]] | None] = ContextVar("made", default=None)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/reviewloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append((label, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(spark: SparkSession, df: DataFrame) -> None:
     """Remove the files behind a table from :func:`written`, once nothing reads it any more."""
     for f in {p.rpartition("/")[0] for p in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, f)
+
+
+@contextmanager
+def tables_made(spark: SparkSession) -> Iterator[Callable[[Collection[str]], None]]:
+    """Gives a function that removes the tables written within so far, but for those of the labels it is called with."""
+    made: list[tuple[str, str]] = []
+
+    def drop_but(labels: Collection[str]) -> None:
+        for label, path in made:
+            if label not in labels:
+                _delete(spark, path)
+        made[:] = [m for m in made if m[0] in labels]
+
+    outer = _MADE.get()
+    token = _MADE.set(made)
+    try:
+        yield drop_but
+    finally:
+        _MADE.reset(token)
+        if outer is not None:
+            outer.extend(made)
 
 
 def filter_in_arrow(df: DataFrame, keep: Callable[[pa.RecordBatch], pa.Array], rows: int | None = None) -> DataFrame:
@@ -106,3 +139,23 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", co
     some = left.join(keys, key, "left_semi").join(picked, key, how)
     rest = left.join(keys, key, "left_anti").join(right, key, how)
     return some.unionByName(rest)
+
+
+#: Bytes, by count, up to which a side that is joined by skewed keys is broadcast.
+SMALL_BYTES = 32 << 20
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], size: int, spread: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+    """Joins ``left``, any of whose ``keys`` may be hot, with ``right``, which has each of them once.
+
+    ``size`` is a bound on the bytes of ``right``, from counts. Up to ``SMALL_BYTES``
+    it is broadcast and ``left`` stays where it is. Beyond, ``left`` is salted by a
+    hash of its columns ``spread``, ``right`` has a copy for each salt, and both are
+    shuffled and sorted, so either may spill and neither is ever broadcast.
+    ``how``: inner or left.
+    """
+    if size <= SMALL_BYTES:
+        return left.join(F.broadcast(right), keys, how)
+    salted = left.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies.hint("merge"), [*keys, "salt"], how).drop("salt")

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.shared import drop_written, hot_join, written
+from reviewloom.llm.shared import drop_written, hot_join, spread_join, tables_made, written
 
 SEED = 42
 #: Codes under an index node before it is opened; 4,096 or more, so that 12 free bits always fit.
@@ -49,6 +49,8 @@ NODE_ROWS = 4096
 FANOUT = 8
 #: Rows of one code from which they are led (see _led).
 RUN = 32
+#: Bytes of a row of a few numbers in a broadcast table, at most.
+ROW_BYTES = 96
 #: Pairs of nodes held at once.
 FRONTIER = 1 << 18
 #: Rows gathered before finished nodes are processed.
@@ -358,14 +360,12 @@ def similar_edges(codes: DataFrame, bits: int, radius: int, near: tuple[int, int
         if free > 12:
             sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > node_rows).select(*key)
             hot = written(sizes, "hot-nodes")
-            if hot.isEmpty():
+            if not (n_hot := hot.count()):
                 hot = None
         now = rows
         if hot is not None:
-            # A hot node may hold a third of all codes: rows are salted, its key copied.
-            salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(32)).cast("int"))
-            copies = hot.withColumn("hot", F.lit(True)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-            marked = written(salted.join(copies, [*key, "salt"], "left").drop("salt"), "marked")
+            # A hot node may hold a third of all codes.
+            marked = written(spread_join(rows, hot.withColumn("hot", F.lit(True)), key, n_hot * ROW_BYTES, ["node"], "left"), "marked")
             now, rows = marked.where("hot IS NULL").drop("hot"), marked.where("hot").drop("hot", "pattern")
         dealt = now.select((F.col("band") * len(masks) + F.col("way")).cast("long").alias("way"), "pattern", "code", "node", *extra)
         ordered = dealt.repartition("way", "pattern").sortWithinPartitions("way", "pattern", gray_rank(F.col("code")), "node")
@@ -378,7 +378,7 @@ def similar_edges(codes: DataFrame, bits: int, radius: int, near: tuple[int, int
 # -- components -----------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, salts: int = 16) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node that an edge names.
 
     Large-star: every larger neighbour of a node is linked to the smallest in its
@@ -386,14 +386,13 @@ def components(edges: DataFrame, salts: int = 16) -> DataFrame:
     preserve components; when nothing changes, all edges lead to the root.
     """
     spark = edges.sparkSession
-    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
 
-    def star(pairs: DataFrame, small: bool) -> DataFrame:
-        # pairs: (u, v) as seen from u. The smallest of a neighbourhood is a row for each u, copied for salted rows.
-        low = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumn("salt", spread)
-        both = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(low, ["u", "salt"])
+    def star(pairs: DataFrame, small: bool, n_edges: int) -> DataFrame:
+        # pairs: (u, v) as seen from u. The smallest of a neighbourhood is a row for each u, of which there are two an edge at most.
+        low = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        both = spread_join(pairs, low, ["u"], 2 * n_edges * ROW_BYTES, ["v"])
         if small:
-            out = both.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.where("salt = 0").select(F.col("u").alias("a"), F.col("m").alias("b")))
+            out = both.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         else:
             out = both.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return out.where("a <> b").distinct()
@@ -403,9 +402,10 @@ def components(edges: DataFrame, salts: int = 16) -> DataFrame:
     seen = mark(now)
     while seen[0]:
         two_way = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = star(two_way, False)
+        large = star(two_way, False, seen[0])
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        after = written(star(down, True), "edges")
+        # Large-star gives no more edges than it got.
+        after = written(star(down, True, seen[0]), "edges")
         got = mark(after)
         drop_written(spark, now)
         now = after
@@ -418,6 +418,10 @@ def components(edges: DataFrame, salts: int = 16) -> DataFrame:
 # -- the operators --------------------------------------------------------------------------------
 
 
+#: Labels of the tables that what :func:`_grouped` gives still reads.
+GROUPED = ("edges", "rooted")
+
+
 def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, node, component_id) from written rows (id, node) and edges between nodes."""
     nodes = rows.groupBy("node").agg(F.min("id").alias("least"))
@@ -434,9 +438,11 @@ def near_duplicates(df: DataFrame, size: int = 3, radius: int = 2, id_col: str =
     """(id, fingerprint, component_id): fingerprints of 64 bits over ``size``-word shingles, linked at ``radius`` or fewer differing bits."""
     wide = fingerprints(df, size, 1, id_col, text_col)
     rows = written(wide.select("id", F.conv(F.hex("wide"), 16, -10).cast("long").alias("node")), "fingerprints")
-    codes = written(rows.select("node").distinct().select("node", F.col("node").alias("code"), F.lit(0).alias("band")), "codes")
-    edges = similar_edges(codes, 64, radius, node_rows=node_rows)
-    out = _grouped(rows, edges)
+    with tables_made(df.sparkSession) as drop_but:
+        codes = written(rows.select("node").distinct().select("node", F.col("node").alias("code"), F.lit(0).alias("band")), "codes")
+        edges = similar_edges(codes, 64, radius, node_rows=node_rows)
+        out = _grouped(rows, edges)
+        drop_but(GROUPED)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -550,14 +556,16 @@ def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, id_
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("digest"), F.col(text_col).alias("text"))
     prints = written(_prints(rows, size), "fingerprints")
-    nodes = prints.groupBy("node").agg(F.min("digest").alias("digest"), F.first("near").alias("near"), F.first("codes").alias("codes"))
-    nodes = written(nodes, "nodes")
-    codes = nodes.select("node", "near", F.posexplode("codes").alias("band", "code"))
-    radii = near_radius(similarity, -SURE), near_radius(similarity, SLACK)
-    pairs = written(similar_edges(codes, BAND_BITS, BAND_RADIUS, radii, node_rows).distinct(), "candidates")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(nodes.select("node", "digest").join(ends.hint("shuffle_hash"), "node", "left_semi"), "wanted")
-    sets = written(_sets(rows, size, wanted), "shingle-sets")
-    edges = written(verified(pairs, sets, similarity), "links")
-    out = _grouped(prints.select("id", "node"), edges)
+    with tables_made(df.sparkSession) as drop_but:
+        nodes = prints.groupBy("node").agg(F.min("digest").alias("digest"), F.first("near").alias("near"), F.first("codes").alias("codes"))
+        nodes = written(nodes, "nodes")
+        codes = nodes.select("node", "near", F.posexplode("codes").alias("band", "code"))
+        radii = near_radius(similarity, -SURE), near_radius(similarity, SLACK)
+        pairs = written(similar_edges(codes, BAND_BITS, BAND_RADIUS, radii, node_rows).distinct(), "candidates")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = written(nodes.select("node", "digest").join(ends.hint("shuffle_hash"), "node", "left_semi"), "wanted")
+        sets = written(_sets(rows, size, wanted), "shingle-sets")
+        edges = written(verified(pairs, sets, similarity), "links")
+        out = _grouped(prints.select("id", "node"), edges)
+        drop_but(GROUPED)
     return out.select(F.col("id").alias(id_col), "component_id")

@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewloom.llm.shared import ascii_lower, written
+from reviewloom.llm.shared import ascii_lower, spread_join, written
 
 #: Rows of a part of the sweep, about.
 PART_ROWS = 1_000_000
@@ -135,10 +135,10 @@ def judge_urls(
     )
 
 
-def _with_rules(fits: DataFrame, named: DataFrame, salts: int = 64) -> DataFrame:
-    """Left join on the rule's key. A rule may fit a third of all urls, so urls are salted and rules copied."""
-    salted = fits.withColumn("salt", F.pmod(F.xxhash64("pid"), F.lit(salts)).cast("int"))
-    copies = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    matched = salted.where("key IS NOT NULL").join(copies, ["key", "salt"], "left")
-    rest = salted.where("key IS NULL").withColumns({c: F.lit(None).cast(copies.schema[c].dataType) for c in ("host_len", "len", "named")})
+def _with_rules(fits: DataFrame, named: DataFrame) -> DataFrame:
+    """Left join on the rule's key. A rule may fit a third of all urls."""
+    cells = [F.octet_length(c) for c in ("key", "key", "named.rule", "named.verdict")]
+    size = named.agg(F.sum(sum((F.coalesce(c, F.lit(0)) for c in cells), F.lit(160)))).first()[0] or 0
+    matched = spread_join(fits.where("key IS NOT NULL"), named, ["key"], size, ["pid"], "left", 64)
+    rest = fits.where("key IS NULL").withColumns({c: F.lit(None).cast(named.schema[c].dataType) for c in ("host_len", "len", "named")})
     return matched.unionByName(rest)

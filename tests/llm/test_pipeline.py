@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from reviewloom.llm import decontamination as dc
-from reviewloom.llm import packing
+from reviewloom.llm import packing, shared
 from reviewloom.llm import quality_classifier as qc
 from reviewloom.llm.queries import graded_labels
 from reviewloom.llm.shared import table
@@ -93,6 +93,13 @@ def test_packing(stages):
     assert sibling("test_packing").tiled(pieces, [docs[i] for i in ids], packing.LENGTH) == 0
 
 
+def test_only_the_last_input_stays(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    out = cp.run(spark, SF)
+    assert [p.name.rpartition("-")[0] for p in tmp_path.iterdir()] == ["reviewloom-benchmark-decontamination"]
+    assert out.count() > 0
+
+
 def test_run_is_the_stages_in_order(spark, stages):
     assert sorted(map(tuple, cp.run(spark, SF).drop("sequence_id", "offset", "start", "length", "ids_crc32").distinct().collect())) == sorted({(r.doc_id, r.doc_tokens) for r in stages[5]})
 

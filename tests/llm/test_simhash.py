@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from reviewloom.llm import simhash
+from reviewloom.llm import shared, simhash
 from reviewloom.llm.shared import written
 
 
@@ -193,3 +193,15 @@ def test_similar_documents_null_ids_repeats_and_no_rows(spark):
     got = sorted(repr(tuple(r)) for r in simhash.similar_documents(df).collect())
     assert got == sorted(map(repr, [(None, 9), (9, 9), (9, 9), (None, None), (4, 4), (5, 4)]))
     assert simhash.similar_documents(df.where("doc_id > 99")).count() == 0
+
+
+def test_beyond_the_broadcast_bound_nothing_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(shared, "SMALL_BYTES", 0)
+    pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)}
+    left = spark.createDataFrame([(i % 3, i) for i in range(60)] + [(None, 60)], "k int, v int")
+    right = spark.createDataFrame([(0, "a"), (1, "b")], "k int, w string")
+    joined = shared.spread_join(left, right, ["k"], 1, ["v"], "left")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.v, r.w) for r in joined.collect()) == [(i, {0: "a", 1: "b"}.get(i % 3) if i < 60 else None) for i in range(61)]
