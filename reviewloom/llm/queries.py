@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import chat_format, decontamination, license_scan, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, url_filters
+from reviewloom.llm import chat_format, decontamination, license_scan, line_dedup, merkle, packing, quality_classifier, quality_rules, sharding, simhash, url_filters, whitening
 from reviewloom.llm.shared import table
 
 #: Rules of op10: host, path, verdict.
@@ -66,6 +66,14 @@ def op10_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf, "pages"), url_filters.rule_table(spark, URL_RULES))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.audit(table(spark, sf, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
@@ -77,6 +85,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_url_filters": op10_url_filters,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 

@@ -2,84 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Collection, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.sources.scratch import delete, shared_dir, tables_made, written  # noqa: F401 - the operators' way to them
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Temporary folders of local runs by application.
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir`` or the checkpoint folder that is set.
-
-    Where neither is, a local run gets a temporary folder; on a cluster that is an
-    error, as no machine's own folder would do. Nothing is set for the session.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        key = context.applicationId
-        found = _LOCAL[key] = _LOCAL.get(key) or "file://" + tempfile.mkdtemp(prefix="reviewloom-")
-    return found.rstrip("/")
-
-
-#: (label, path) of the tables that the innermost :func:`tables_made` of this thread has seen.
-_MADE: ContextVar[list[tuple[str, str]] | None] = ContextVar("made", default=None)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/reviewloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if (made := _MADE.get()) is not None:
-        made.append((label, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def drop_written(spark: SparkSession, df: DataFrame) -> None:
     """Remove the files behind a table from :func:`written`, once nothing reads it any more."""
     for f in {p.rpartition("/")[0] for p in df.inputFiles()}:
-        _delete(spark, f)
-
-
-@contextmanager
-def tables_made(spark: SparkSession) -> Iterator[Callable[[Collection[str]], None]]:
-    """Gives a function that removes the tables written within so far, but for those of the labels it is called with."""
-    made: list[tuple[str, str]] = []
-
-    def drop_but(labels: Collection[str]) -> None:
-        for label, path in made:
-            if label not in labels:
-                _delete(spark, path)
-        made[:] = [m for m in made if m[0] in labels]
-
-    outer = _MADE.get()
-    token = _MADE.set(made)
-    try:
-        yield drop_but
-    finally:
-        _MADE.reset(token)
-        if outer is not None:
-            outer.extend(made)
+        delete(spark, f)
 
 
 def filter_in_arrow(df: DataFrame, keep: Callable[[pa.RecordBatch], pa.Array], rows: int | None = None) -> DataFrame:

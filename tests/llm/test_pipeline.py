@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from reviewloom.llm import decontamination as dc
-from reviewloom.llm import packing, shared
+from reviewloom.llm import packing
 from reviewloom.llm import quality_classifier as qc
 from reviewloom.llm.queries import graded_labels
 from reviewloom.llm.shared import table
+from reviewloom.sources import scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,7 +95,7 @@ def test_packing(stages):
 
 
 def test_only_the_last_input_stays(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: f"file://{tmp_path}")
     out = cp.run(spark, SF)
     assert [p.name.rpartition("-")[0] for p in tmp_path.iterdir()] == ["reviewloom-benchmark-decontamination"]
     assert out.count() > 0
