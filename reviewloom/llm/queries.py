@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import chat_format, decontamination, license_scan, line_dedup, merkle, packing, quality_classifier, quality_rules, sharding, simhash, url_filters, whitening
+from reviewloom.llm import chat_format, decontamination, license_scan, line_dedup, merkle, packing, quality_classifier, quality_rules, sharding, simhash, suffix_tree, url_filters, whitening
 from reviewloom.llm.shared import table
 
 #: Rules of op10: host, path, verdict.
@@ -70,6 +70,10 @@ def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.audit(table(spark, sf, "documents"))
 
 
+def op12_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(table(spark, sf, "embeddings"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_url_filters": op10_url_filters,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_suffix_tree": op12_suffix_tree,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
