@@ -56,7 +56,7 @@ PRIOR = 128.0
 #: Fixed value: occurrences that are added for each symbol, an unknown one too, at the root.
 ADDED = 0.1
 #: Tokens of a chunk, and keys that a bucket has at most, on average.
-CHUNK, BUCKET_KEYS = 1 << 20, 1 << 21
+CHUNK, BUCKET_KEYS = 1 << 19, 1 << 20
 #: Fixed value: one row in so many, by the checksum of its id, is held out.
 HELD_OUT = 10
 #: The symbol after the last word; no word is empty.
@@ -204,12 +204,12 @@ Asked = list[tuple[np.ndarray, np.ndarray]]
 
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different keys in order, the sum of each one's weights, and each key's place among them."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable").astype(np.int32)
     ordered = keys[order]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = ordered[1:] != ordered[:-1]
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(fresh) - 1
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(fresh, dtype=np.int32) - 1
     return ordered[fresh], np.bincount(place, weights, int(fresh.sum())), place
 
 
@@ -222,7 +222,7 @@ def _chunk_work(chunk: Chunk, settings: Settings, total: int, known: int) -> Gen
     own = np.ones(size, bool)
     own[: chunk.head] = False
     learns = (np.repeat(~chunk.held, chunk.lengths) & own).astype(float)
-    behind = np.arange(size) - np.repeat(starts, chunk.lengths)
+    behind = (np.arange(size) - np.repeat(starts, chunk.lengths)).astype(np.int32)
     # Words of one hash are one word.
     hashes, _, word = _summed(chunk.hashes, np.zeros(len(chunk.hashes)))
     words = word[chunk.tokens]
@@ -366,8 +366,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting
             state = chunks
             for k in range(settings.depth + 2):
                 asked = state.mapInArrow(_asking(settings, total, known, k, buckets), "p long, bucket int, keys binary, weights binary")
-                sums = written(asked.groupBy("bucket").applyInArrow(_added_up, "p long, bucket int, sums binary"), "sums")
+                sums = asked.groupBy("bucket").applyInArrow(_added_up, "p long, bucket int, sums binary")
                 if k == 0:
+                    sums = written(sums, "sums")
                     known = sum(int(_unpacked(r["sums"], np.float64)[0]) for r in sums.where("p = -1").select("sums").toLocalIterator())
                 answers = sums.where("p >= 0").groupBy("p").agg(F.collect_list(F.struct("bucket", "sums")).alias(f"answer{k}"))
                 answers, name = _bucketed(answers, parts, "answers")
