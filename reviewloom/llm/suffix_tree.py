@@ -15,6 +15,7 @@ chunks of words, which stay where they were written. A chunk needs, of all
 statistics, only those that its own words, pairs and contexts name: it asks for
 sums over all chunks by key, keys are dealt to buckets by their hash, each chunk's
 part of a sum being one entry, and the sums go back to the chunks that asked.
+What all occurrences of a word or pair in one chunk can tell isn't asked for.
 ``_chunk_work`` is what a chunk does, with its questions as ``yield``; it is run anew for
 each round, with the answers so far, until it returns its texts' scores. Chunks and answers are
 bucketed by chunk, so texts are never shuffled. Keys are 64-bit hashes.
@@ -56,7 +57,7 @@ PRIOR = 128.0
 #: Fixed value: occurrences that are added for each symbol, an unknown one too, at the root.
 ADDED = 0.1
 #: Tokens of a chunk, and keys that a bucket has at most, on average.
-CHUNK, BUCKET_KEYS = 1 << 19, 1 << 20
+CHUNK, BUCKET_KEYS = 3 << 18, 1 << 20
 #: Fixed value: one row in so many, by the checksum of its id, is held out.
 HELD_OUT = 10
 #: The symbol after the last word; no word is empty.
@@ -198,8 +199,9 @@ class _Cutter:
         self.held.append(held)
 
 
-#: A question of a chunk: sorted keys and its own part of each one's sum.
+#: A question of a chunk: sorted keys and its own part of each one's sum. Of a key with the last bit the sum's sign is wanted, else the sum.
 Asked = list[tuple[np.ndarray, np.ndarray]]
+_SIGN = np.uint64(1)
 
 
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,15 +226,16 @@ def _chunk_work(chunk: Chunk, settings: Settings, total: int, known: int) -> Gen
     learns = (np.repeat(~chunk.held, chunk.lengths) & own).astype(float)
     behind = (np.arange(size) - np.repeat(starts, chunk.lengths)).astype(np.int32)
     # Words of one hash are one word.
-    hashes, _, word = _summed(chunk.hashes, np.zeros(len(chunk.hashes)))
+    hashes, _, word = _summed(chunk.hashes & ~_SIGN, np.zeros(len(chunk.hashes)))
     words = word[chunk.tokens]
-    (counts,) = yield [(hashes, np.bincount(words, learns, len(hashes)))]
+    local = np.bincount(words, learns, len(hashes))
+    (counts,) = yield [(hashes, local)]
 
     token = hashes[words]
-    seen = counts[words]
+    seen, mine = counts[words], local[words]
     root = (seen + ADDED) / (total + ADDED * (known + 1))
     chances, retained = root.copy(), np.ones(size, bool)
-    # What the round before has found of the depth before: occurrences of (context, symbol), where they were asked for.
+    # Of the depth before: occurrences of (context, symbol) in all chunks and in this one, where the context is frequent enough.
     found, context, tested = seen, np.zeros(size, np.uint64), None
     for depth in range(1, settings.depth + 2):
         asks: Asked = []
@@ -242,9 +245,9 @@ def _chunk_work(chunk: Chunk, settings: Settings, total: int, known: int) -> Gen
             alone = (pairs - 1 + settings.prior * chances[at]) / (times - 1 + settings.prior)
             learning = learns[at] > 0
             gains = np.zeros(len(at))
-            gains[learning] = np.log10(alone[learning] / chances[at][learning])
-            keys, sums, place = _summed(state, gains)
-            asks.append((keys, sums))
+            gains[learning] = np.log10(alone[learning] / chances[at][learning]) - settings.gain
+            keys, sums, place = _summed(state | _SIGN, gains)
+            asks.append((keys, sums.astype(np.float32).astype(float)))
         if depth <= settings.depth:
             # The context of a token is that of the token before, extended by it; so its count is that of the pair before.
             longer, there = np.zeros(size, np.uint64), np.zeros(size)
@@ -252,17 +255,22 @@ def _chunk_work(chunk: Chunk, settings: Settings, total: int, known: int) -> Gen
             there[1:] = found[:-1]
             deeper = np.flatnonzero((behind >= depth) & (there >= settings.min_count))
             context = longer
-            pair_keys, pair_sums, pair_place = _summed(_mix(context[deeper], token[deeper] ^ np.uint64(depth)), learns[deeper])
-            asks.append((pair_keys, pair_sums))
+            pair_keys, pair_sums, pair_place = _summed(_mix(context[deeper], token[deeper] ^ np.uint64(depth)) & ~_SIGN, learns[deeper])
+            # A symbol that training has after the shorter context in this chunk only, or nowhere, needs no question.
+            elsewhere = np.zeros(len(pair_keys), bool)
+            elsewhere[pair_place] = found[deeper] > mine[deeper]
+            asks.append((pair_keys[elsewhere], pair_sums[elsewhere]))
         answers = yield asks
         if tested is not None:
-            good = (answers[0][place] >= settings.gain * times) & kept
+            good = (answers[0][place] >= 0) & kept
             retained = np.zeros(size, bool)
             retained[at[good]] = True
             chances[at[good]] = ((pairs + settings.prior * chances[at]) / (times + settings.prior))[good]
         if depth <= settings.depth:
-            found = np.zeros(size)
-            found[deeper] = answers[-1][pair_place]
+            everywhere = pair_sums.copy()
+            everywhere[elsewhere] = answers[-1]
+            found, mine = np.zeros(size), np.zeros(size)
+            found[deeper], mine[deeper] = everywhere[pair_place], pair_sums[pair_place]
             tested = (deeper, there[deeper], found[deeper], _mix(context[deeper], np.full(len(deeper), depth, np.uint64)), None)
         if tested is not None:
             tested = (*tested[:4], retained[tested[0]])
@@ -311,7 +319,8 @@ def _added_up(group: pa.Table) -> pa.Table:
     """The answers to one bucket's questions, and, as chunk -1, how many keys have a sum above zero."""
     asked = [_unpacked(k.as_py(), np.uint64).cumsum(dtype=np.uint64) for k in group["keys"]]
     weights = [_unpacked(w.as_py(), np.float64) for w in group["weights"]]
-    _, sums, place = _summed(np.concatenate(asked), np.concatenate(weights))
+    keys, sums, place = _summed(np.concatenate(asked), np.concatenate(weights))
+    sums = np.where(keys & _SIGN, np.sign(sums), sums)
     ends = np.cumsum([len(k) for k in asked])
     answers = [_packed(sums[p]) for p in np.split(place, ends[:-1])]
     chunks = [*group["p"].to_pylist(), -1]
