@@ -2,7 +2,7 @@
 
 A state is a context: the last words before a symbol, none to ``MAX_DEPTH`` of
 them. The tree grows from its root, the empty context. A context one word longer
-than a state is tested if it occurs ``MIN_COUNT`` times in the training texts, and
+than a state is tested if it occurs ``MIN_COUNT`` times in the training texts and has ``MIN_SHARE`` of all places there, and
 retained if what follows it differs enough from what follows the state: if, over
 its occurrences, each left out of the counts in turn, its own distribution
 predicts the next symbol better than the state's by ``GAIN`` on average (log10).
@@ -48,8 +48,8 @@ from reviewloom.sources.scratch import new_path
 
 #: Words of the longest context.
 MAX_DEPTH = 2
-#: Occurrences in training from which a context is tested.
-MIN_COUNT = 32
+#: Occurrences in training, and share of all its places, from which a context is tested. The share bounds the states of a depth at any size.
+MIN_COUNT, MIN_SHARE = 32, 1e-6
 #: Mean gain, in log10 of the probability of the next symbol, from which a context is retained.
 GAIN = 0.01
 #: Occurrences that the suffix's distribution counts for.
@@ -74,6 +74,7 @@ class Settings:
 
     depth: int = MAX_DEPTH
     min_count: int = MIN_COUNT
+    min_share: float = MIN_SHARE
     gain: float = GAIN
     prior: float = PRIOR
     chunk: int = CHUNK
@@ -234,6 +235,7 @@ def _chunk_work(chunk: Chunk, settings: Settings, total: int, known: int) -> Gen
     token = hashes[words]
     seen, mine = counts[words], local[words]
     root = (seen + ADDED) / (total + ADDED * (known + 1))
+    least = max(settings.min_count, settings.min_share * total)
     chances, retained = root.copy(), np.ones(size, bool)
     # Of the depth before: occurrences of (context, symbol) in all chunks and in this one, where the context is frequent enough.
     found, context, tested = seen, np.zeros(size, np.uint64), None
@@ -246,14 +248,15 @@ def _chunk_work(chunk: Chunk, settings: Settings, total: int, known: int) -> Gen
             learning = learns[at] > 0
             gains = np.zeros(len(at))
             gains[learning] = np.log10(alone[learning] / chances[at][learning]) - settings.gain
-            keys, sums, place = _summed(state | _SIGN, gains)
+            # What is longer than no state is none.
+            keys, sums, place = _summed(state[kept] | _SIGN, gains[kept])
             asks.append((keys, sums.astype(np.float32).astype(float)))
         if depth <= settings.depth:
             # The context of a token is that of the token before, extended by it; so its count is that of the pair before.
             longer, there = np.zeros(size, np.uint64), np.zeros(size)
             longer[depth:] = _mix(context[depth:], token[: size - depth])
             there[1:] = found[:-1]
-            deeper = np.flatnonzero((behind >= depth) & (there >= settings.min_count))
+            deeper = np.flatnonzero((behind >= depth) & (there >= least))
             context = longer
             pair_keys, pair_sums, pair_place = _summed(_mix(context[deeper], token[deeper] ^ np.uint64(depth)) & ~_SIGN, learns[deeper])
             # A symbol that training has after the shorter context in this chunk only, or nowhere, needs no question.
@@ -262,7 +265,8 @@ def _chunk_work(chunk: Chunk, settings: Settings, total: int, known: int) -> Gen
             asks.append((pair_keys[elsewhere], pair_sums[elsewhere]))
         answers = yield asks
         if tested is not None:
-            good = (answers[0][place] >= 0) & kept
+            good = kept.copy()
+            good[kept] = answers[0][place] >= 0
             retained = np.zeros(size, bool)
             retained[at[good]] = True
             chances[at[good]] = ((pairs + settings.prior * chances[at]) / (times + settings.prior))[good]

@@ -43,7 +43,7 @@ def brute(rows, settings):
     for depth in range(1, settings.depth + 1):
         for context, c in follows.items():
             n = sum(c.values())
-            if len(context) == depth and n >= settings.min_count and context[1:] in states:
+            if len(context) == depth and n >= max(settings.min_count, settings.min_share * total) and context[1:] in states:
                 gain = sum(k * math.log10((k - 1 + settings.prior * chance(context[1:], w)) / (n - 1 + settings.prior) / chance(context[1:], w)) for w, k in c.items())
                 gains[context] = gain / n - settings.gain
         states |= {x for x, g in gains.items() if len(x) == depth and g >= 0}
@@ -75,7 +75,7 @@ def test_query_against_brute_force(spark):
     same(got.collect(), rows, want)
 
 
-@pytest.mark.parametrize("settings", [Settings(min_count=3, gain=0.02, prior=2.0, chunk=7, bucket_keys=5), Settings(depth=3, min_count=2, gain=-0.05, prior=1.5, chunk=50, bucket_keys=100), Settings(depth=1, min_count=4, chunk=10_000)])
+@pytest.mark.parametrize("settings", [Settings(min_count=3, gain=0.02, prior=2.0, chunk=7, bucket_keys=5), Settings(depth=3, min_count=2, gain=-0.05, prior=1.5, chunk=50, bucket_keys=100), Settings(depth=1, min_count=4, chunk=10_000), Settings(min_count=2, min_share=0.02, gain=0.0, prior=2.0, chunk=100)])
 def test_cut_texts_and_many_buckets(spark, settings):
     rows = [(i, " ".join(["the Cat sat", "on a mat", "A Dog ran\tto the mat", "x\x0by  z"][j % 4] for j in range(i % 7))) for i in range(90)]
     rows += [(200 + i, "Same words here the cat sat") for i in range(45)] + [(i, None) for i in range(300, 303)]
