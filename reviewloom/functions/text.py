@@ -11,24 +11,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that each kind of trimming removes.
-_JS_SPACE = r"\u0009-\u000D\u0020\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-_PY_SPACE = r"\u0009-\u000D\u001C-\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+def _characters(*ranges: str) -> str:
+    """All characters of ranges, each given by its first and last one."""
+    return "".join(chr(c) for r in ranges for c in range(ord(r[0]), ord(r[-1]) + 1))
+
+
+#: Ranges of characters that each kind of trimming removes.
+_JS_SPACE = _characters("\u0009\u000d", "\u0020", "\u00a0", "\u1680", "\u2000\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\ufeff")
+_PY_SPACE = _characters("\u0009\u000d", "\u001c\u0020", "\u0085", "\u00a0", "\u1680", "\u2000\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 PY_LINE_END = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"
 #: Longest evidence and longest source in a review prompt.
 EVIDENCE_CHARS, REVIEW_CHARS = 300, 20_000
 
 
-def _stripped(c: Column, space: str) -> Column:
-    return F.regexp_replace(c, f"^[{space}]+|[{space}]+$", "")
-
-
 def js_trim(c: Column) -> Column:
-    return _stripped(c, _JS_SPACE)
+    return F.trim(c, F.lit(_JS_SPACE))
 
 
 def py_strip(c: Column) -> Column:
-    return _stripped(c, _PY_SPACE)
+    return F.trim(c, F.lit(_PY_SPACE))
 
 
 def blank_to_null(c: Column) -> Column:

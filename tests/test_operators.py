@@ -212,3 +212,12 @@ def test_set_checksums_in_order(spark):
         mine = sorted(c for q, c in rows if q == p)
         assert got[p] == (len(mine), hashlib.sha256("".join(mine).encode()).hexdigest())
     assert hashing.set_checksums_in_order(spark.createDataFrame([], "part string, c string"), "part", "c") == {}
+
+
+def test_trimming_is_linear_in_inner_blanks(spark):
+    blanks = " \t " * 70_000
+    df = spark.createDataFrame([(f"﻿ a{blanks}b　\n",), ("\u001ca\u0085",), ("​ x ᠎",), ("",), (None,)], "t string")
+    js = [r[0] for r in df.select(text.js_trim(F.col("t"))).collect()]
+    py = [r[0] for r in df.select(text.py_strip(F.col("t"))).collect()]
+    assert js == [f"a{blanks}b", "\u001ca\u0085", "​ x ᠎", "", None]
+    assert py == [f"﻿ a{blanks}b", "a", "​ x ᠎", "", None]
