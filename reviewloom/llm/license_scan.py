@@ -68,8 +68,8 @@ LONG_TEXTS = (
     ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 1231),
     ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a", 2426),
 )
-#: Lines without a letter or digit between paragraphs.
-BETWEEN_PARAGRAPHS = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+#: Lines without a letter or digit between paragraphs; no group is repeated, as that recurses for each line.
+BETWEEN_PARAGRAPHS = r"\n[^\p{L}\p{N}]*\n"
 #: Equivalent spellings, as (words, their one form), applied to the spaced canonical text.
 SPELLINGS = (
     ("licence", "license"),
@@ -182,8 +182,10 @@ def scan_licenses(df: DataFrame, digests: DataFrame, id_col: str = "doc_id", tex
         return F.struct(F.lit(whole).alias("whole"), digest.alias("digest"))
 
     def units_of(of_lines: Column) -> Column:
-        more = F.filter(F.transform(wrapped, lambda x: unit(False, x)), lambda x: ~F.array_contains(F.transform(of_lines, lambda y: F.coalesce(y["digest"], F.lit(""))), x["digest"]))
-        return F.concat(F.array(unit(True, F.col("body"))), of_lines, more)
+        # Digests of paragraphs that are lines too are found once, as there may be many of either.
+        known = F.transform(of_lines, lambda y: F.coalesce(y["digest"], F.lit("")))
+        others = lambda more: let(F.array_intersect(F.transform(more, lambda x: x["digest"]), known), lambda both: F.filter(more, lambda x: ~F.array_contains(both, x["digest"])))
+        return F.concat(F.array(unit(True, F.col("body"))), of_lines, let(F.transform(wrapped, lambda x: unit(False, x)), others))
 
     every = let(F.transform(parts, lambda x: unit(False, x)), units_of)
     units = F.when(F.coalesce(possible, F.lit(False)), every).otherwise(F.array(unit(True, F.lit(None).cast("string"))))

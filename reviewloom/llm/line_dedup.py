@@ -72,7 +72,8 @@ def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     line = F.col("line")
     # Most lines are in this form already.
     odd = line.rlike(r"[0-9\t\r\x0b\x0c]") | F.contains(line, F.lit("  "))
-    masked = F.regexp_replace(F.regexp_replace(line, r"[^\s0-9]*+[0-9]\S*+", FIELD), _BLANK_RUN, " ")
+    # A word is looked at from its start only, else an unbroken megabyte is tried at each character.
+    masked = F.regexp_replace(F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD), _BLANK_RUN, " ")
     normed = lines.withColumn("norm", F.trim(F.when(odd, masked).otherwise(line)))
     return normed.withColumn("n", F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
 
