@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.functions.contract import DATASET_MANIFEST, TRAINING_EXAMPLE, line_errors, violations
+from reviewloom.functions.contract import DATASET_MANIFEST, NOT_JSON, TRAINING_EXAMPLE, load_contract, violations
 from reviewloom.functions.hashing import BUCKET_SPACE, canonical_checksum, hash_bucket, set_checksums_in_order
 from reviewloom.functions.vocabulary import literal_rows
 from reviewloom.sources.records import numbered_lines, write_json
+from reviewloom.sources.scratch import written
 
 #: The splits, and the reference from a manifest to its schema.
 SPLITS = ("train", "val", "test")
@@ -59,9 +61,10 @@ def manifest_record(dataset_id: str, version: str, seed: int, splits: dict[str,
     }
 
 
-def checked_manifest(manifest: dict) -> dict:
+def checked_manifest(spark: SparkSession, manifest: dict) -> dict:
     """``manifest`` itself; raises with the first thing that breaks its contract."""
-    if bad := violations(manifest, DATASET_MANIFEST):
+    bad = literal_rows(spark, ("raw",), [(json.dumps(manifest),)]).select(violations(F.col("raw"), DATASET_MANIFEST).alias("bad")).first()["bad"]
+    if bad:
         raise ValueError(f"invalid manifest: {bad[0]}")
     return manifest
 
@@ -72,26 +75,37 @@ def unique_records(raw: DataFrame) -> DataFrame:
     return summed.groupBy("checksum").agg(F.min_by("_raw", "_line").alias("_raw"))
 
 
-def curate(spark: SparkSession, examples: str, dataset_id: str, version: str, seed: int, manifest: str | None = None, contract: dict = TRAINING_EXAMPLE) -> tuple[DataFrame, dict]:
+def checked_records(raw: DataFrame, contract: dict) -> DataFrame:
+    """``raw`` (_raw, _line, _at) itself, after all its records have been checked in one pass.
+
+    Raises for the first line that is not JSON, with its physical number, or else for the first
+    record that breaks the contract, with its index among the records.
+    """
+    found = raw.select("_line", "_at", violations(F.col("_raw"), contract).alias("errors")).where(F.size("errors") > 0)
+    first = F.get("errors", F.lit(0))
+    broken = found.agg(F.min(F.when(first == NOT_JSON, F.col("_line"))).alias("line"), F.min(F.struct("_at", first.alias("message"))).alias("record")).first()
+    if broken["line"] is not None:
+        raise ValueError(f"example {broken['line']}: invalid JSON")
+    if broken["record"] is not None:
+        raise ValueError(f"example {broken['record']['_at']}: {broken['record']['message']}")
+    return raw
+
+
+def curate(spark: SparkSession, examples: str, dataset_id: str, version: str, seed: int, manifest: str | None = None, contract: dict | str = TRAINING_EXAMPLE) -> tuple[DataFrame, dict]:
     """Load, validate, dedup, split and write: ((checksum, _raw, split), manifest) of a JSONL file of training examples.
 
     A line that is not JSON fails with its physical line number, the first record that
     breaks the contract with its index among the records, both before anything is
-    written. The splits' checksums and that of all records are digests of sorted
+    written. ``contract``: a JSON Schema document, or the path of one. Lines are numbered and
+    canonical checksums taken once, and written. The splits' checksums and that of all records are digests of sorted
     canonical checksums.
     """
-    raw = numbered_lines(spark, examples, "py")
-    broken = raw.select("_line", "_at", line_errors(contract)(F.col("_raw")).alias("errors")).where(F.size("errors") > 0)
-    wrong = broken.where(F.element_at("errors", 1) == "record: invalid JSON").orderBy("_line").limit(1).collect()
-    if wrong:
-        raise ValueError(f"example {wrong[0]['_line']}: invalid JSON")
-    wrong = broken.orderBy("_at").limit(1).collect()
-    if wrong:
-        raise ValueError(f"example {wrong[0]['_at']}: {wrong[0]['errors'][0]}")
-    rows = unique_records(raw).withColumn("split", split_of(F.col("checksum"), seed))
+    raw = written(numbered_lines(spark, examples, "py"), "lines")
+    checked_records(raw, load_contract(spark, contract) if isinstance(contract, str) else contract)
+    rows = written(unique_records(raw), "unique-records").withColumn("split", split_of(F.col("checksum"), seed))
     splits = set_checksums_in_order(rows, "split", "checksum")
     whole = set_checksums_in_order(rows.withColumn("all", F.lit("all")), "all", "checksum").get("all", (0, EMPTY_SET))[1]
-    record = checked_manifest(manifest_record(dataset_id, version, seed, splits, whole))
+    record = checked_manifest(spark, manifest_record(dataset_id, version, seed, splits, whole))
     if manifest:
         write_json(record, manifest)
     return rows, record

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
+from reviewloom.functions.contract import violations
 from reviewloom.functions.hashing import canonical_checksum, hash_bucket, set_checksum, set_checksum_tree, text_checksum
 from reviewloom.functions.vocabulary import CONFIDENCES, LANGUAGES, MODEL_STATUSES, SEVERITIES, SOURCE_TYPES, literal_rows
 from reviewloom.operators import curate, validate
+from reviewloom.sources.scratch import new_path, tables_made
 from reviewloom.sources.tables import table
 
 SEED = 42
@@ -159,19 +160,48 @@ def curate_end_to_end(spark, sf):
     plain = F.concat(F.lit(_EXAMPLE[0]), code, F.lit(_EXAMPLE[1]))
     other = F.concat(F.lit(' {"language": "python", "provenance": {"source_url": "u", "source_type": "commit"}, "finding": {"summary": "s", "severity": "low", "confidence": "likely", "category": "bug"}, "code": "'), code, F.lit('"} \r'))
     rows = table(spark, sf, "documents").where("text IS NOT NULL").select(F.when(F.col("doc_id") % 2 == 0, plain).otherwise(other).alias("value"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/examples-{uuid.uuid4().hex}"
-    rows.write.text(path)
-    _, made = curate.curate(spark, path, "set", "1.0.0", SEED)
+    with tables_made(spark) as drop_but:
+        path = new_path(spark, "examples")
+        rows.write.text(path)
+        _, made = curate.curate(spark, path, "set", "1.0.0", SEED)
+        drop_but(())
     lines = [(s, made["counts"][s], made["checksums"][s], made["sourceExamplesChecksum"], made["splitSeed"]) for s in curate.SPLITS]
     return literal_rows(spark, ("split", "n", "checksum", "source", "seed"), lines).select("split", F.col("n").cast("long").alias("n"), "checksum", "source", F.col("seed").cast("long").alias("seed"))
 
 
+#: A contract for documents as JSON records.
+DOCUMENT = {
+    "type": "object",
+    "additionalProperties": False,
+    "required": ["doc_id", "text", "source"],
+    "properties": {
+        "doc_id": {"type": "integer", "minimum": 20},
+        "text": {"type": "string", "minLength": 400},
+        "lang": {"enum": ["en", "de", None]},
+        "source": {"type": "string", "pattern": "[a-m]$"},
+        "n_chars": {"type": ["integer", "null"], "maximum": 2000},
+        "labels": {"type": "array", "minItems": 2, "items": {"type": "object", "properties": {"name": {"const": "size"}, "value": {"type": "integer"}}}},
+    },
+}
+
+
+def contract_errors(spark, sf):
+    """All messages of every document as a JSON record, with more or fewer keys and wrong kinds in some; no Python in the plan."""
+    n = F.col("doc_id")
+    label = F.struct(F.lit("size").alias("name"), F.when(n % 5 == 0, F.concat(F.lit("n"), n.cast("string"))).alias("value"))
+    other = F.struct(F.when(n % 4 == 0, "age").otherwise("size").alias("name"), F.lit(None).cast("string").alias("value"))
+    cells = F.struct(n.alias("doc_id"), "text", "lang", F.when(n % 7 != 0, F.col("source")).alias("source"), "n_chars", F.when(n % 9 == 0, True).alias("extra"), F.when(n % 3 == 0, F.array(label)).otherwise(F.array(label, other)).alias("labels"))
+    raw = F.concat(F.to_json(cells), F.when(n % 31 == 0, "}").otherwise(" "))
+    checked = table(spark, sf, "documents").select("doc_id", violations(raw, DOCUMENT).alias("errors"))
+    return checked.select("doc_id", F.size("errors").cast("long").alias("n_errors"), F.array_join("errors", "; ").alias("errors"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         curate_manifest, split_checksum_empty_bucket, dedup_exact, dedup_stats, split_assign, split_counts_by_lang, split_seed_drift, source_checksum, source_checksum_tree,
         reject_report, validate_required, validate_enums, validate_ranges, manifest_validate, registry_validate, training_config, canonical_json_checksums, curate_end_to_end,
+        contract_errors,
     )
 }
 
@@ -233,5 +263,12 @@ CASE WHEN NOT regexp_matches(coalesce(version, ''), '^\d+\.\d+\.\d+$') THEN 'ver
     "curate_end_to_end": f"""WITH e AS (SELECT DISTINCT sha256('{_EXAMPLE[0]}' || sha256(text) || '{_EXAMPLE[1]}') AS checksum FROM documents WHERE text IS NOT NULL), s AS (SELECT checksum, {split_sql()} AS split FROM e),
 g AS (SELECT split, count(*) AS n, sha256(string_agg(checksum, '' ORDER BY checksum)) AS checksum FROM s GROUP BY split), w AS (SELECT sha256(string_agg(checksum, '' ORDER BY checksum)) AS source FROM e)
 SELECT x.split, coalesce(g.n, 0)::BIGINT AS n, coalesce(g.checksum, sha256('')) AS checksum, source, {SEED}::BIGINT AS seed FROM (VALUES ('train'), ('val'), ('test')) x(split) LEFT JOIN g ON g.split = x.split CROSS JOIN w""",
+    "contract_errors": """WITH e AS (SELECT doc_id, CASE WHEN doc_id IS NOT NULL AND doc_id % 31 = 0 THEN ['record: invalid JSON'] ELSE list_filter([
+CASE WHEN doc_id IS NULL THEN 'doc_id: required' END, CASE WHEN text IS NULL THEN 'text: required' END, CASE WHEN source IS NULL OR doc_id % 7 = 0 OR doc_id IS NULL THEN 'source: required' END,
+CASE WHEN doc_id < 20 THEN 'doc_id: below 20' END, CASE WHEN text = '' THEN 'text: empty' WHEN length(text) < 400 THEN 'text: too short' END, CASE WHEN lang NOT IN ('en', 'de') THEN 'lang: not one of the allowed values' END,
+CASE WHEN doc_id % 7 <> 0 AND NOT regexp_matches(source, '[a-m]$') THEN 'source: does not match the pattern' END, CASE WHEN n_chars > 2000 THEN 'n_chars: above 2000' END,
+CASE WHEN doc_id % 3 = 0 THEN 'labels: too few items' END, CASE WHEN doc_id % 5 = 0 THEN 'labels[0].value: not of type integer' END,
+CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 = 0 THEN 'labels[1].name: not the fixed value' END, CASE WHEN doc_id % 9 = 0 THEN 'extra: unknown key' END], lambda x: x IS NOT NULL) END AS errors FROM documents)
+SELECT doc_id, len(errors)::BIGINT AS n_errors, array_to_string(errors, '; ') AS errors FROM e""",
     "training_config": f"WITH {_REGISTRY} SELECT path, coalesce(rank, 16)::INT AS rank, 'q_proj,v_proj' AS targets FROM g",
 }

@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import Observation
@@ -178,19 +180,94 @@ def test_counts_on_the_way(spark):
     assert df.count() == 10 and seen.get == {"total": 10, "even": 5, "none": 0}
 
 
-def test_contract():
+def said(value, rule, at=""):
+    """What a contract says of a plain value: the rules read one after the other."""
+    kinds = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null", int: "number", float: "number"}
+    kind, place = kinds[type(value)], at or "record"
+    allowed = rule.get("type", kind)
+    allowed = [allowed] if isinstance(allowed, str) else allowed
+    if kind not in allowed and not ("integer" in allowed and kind == "number" and value == int(value)):
+        return [f"{place}: not of type {' or '.join(allowed)}"]
+    same = lambda a, b: a == b and isinstance(a, bool) == isinstance(b, bool)
+    out = []
+    if "enum" in rule and not any(same(value, v) for v in rule["enum"]):
+        out.append(f"{place}: not one of the allowed values")
+    if "const" in rule and not same(value, rule["const"]):
+        out.append(f"{place}: not the fixed value")
+    if kind == "string" and len(value) < rule.get("minLength", 0):
+        out.append(f"{place}: too short" if value else f"{place}: empty")
+    if kind == "string" and "pattern" in rule and not re.search(rule["pattern"], value):
+        out.append(f"{place}: does not match the pattern")
+    if kind == "number" and "minimum" in rule and value < rule["minimum"]:
+        out.append(f"{place}: below {rule['minimum']}")
+    if kind == "number" and "maximum" in rule and value > rule["maximum"]:
+        out.append(f"{place}: above {rule['maximum']}")
+    if kind == "array":
+        out += [f"{place}: too few items"] * (len(value) < rule.get("minItems", 0))
+        out += [m for i, x in enumerate(value) for m in said(x, rule.get("items", {}), f"{at}[{i}]")]
+    if kind == "object":
+        inner = lambda k: f"{at}.{k}" if at else k
+        known, rest = rule.get("properties", {}), rule.get("additionalProperties", True)
+        out += [f"{inner(k)}: required" for k in rule.get("required", ()) if k not in value]
+        out += [m for k, r in known.items() if k in value for m in said(value[k], r, inner(k))]
+        for k in sorted(value.keys() - known.keys()):
+            out += [f"{inner(k)}: unknown key"] if rest is False else said(value[k], rest, inner(k)) if isinstance(rest, dict) else []
+    return out
+
+
+def messages_of(spark, lines, rule):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, raw string").select("i", contract.violations(F.col("raw"), rule).alias("m"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    return [r.m for r in df.orderBy("i").collect()]
+
+
+def test_contract(spark):
     good = {"language": "python", "code": "x", "finding": {"category": "bug", "confidence": "likely", "severity": "low", "summary": "s"}, "provenance": {"source_type": "commit", "source_url": "u"}, "extra": 1}
-    assert contract.violations(good, contract.TRAINING_EXAMPLE) == []
     bad = json.loads(json.dumps(good))
     bad["code"], bad["finding"]["confidence_score"], bad["framework"] = "", 1.5, 3
     del bad["finding"]["severity"]
-    assert contract.violations(bad, contract.TRAINING_EXAMPLE) == ["framework: not of type string or null", "code: empty", "finding.severity: required", "finding.confidence_score: above 1"]
-    assert contract.violations(True, {"type": "integer"}) and contract.violations(True, {"enum": [1]}) and not contract.violations(2.0, {"type": "integer"})
+    assert messages_of(spark, [json.dumps(good), json.dumps(bad)], contract.TRAINING_EXAMPLE) == [[], ["framework: not of type string or null", "code: empty", "finding.severity: required", "finding.confidence_score: above 1"]]
     made = curate.manifest_record("d", "1.0.0", 7, {"train": (2, "aa")})
-    assert curate.checked_manifest(made) is made and made["counts"] == {"train": 2, "val": 0, "test": 0}
+    assert curate.checked_manifest(spark, made) is made and made["counts"] == {"train": 2, "val": 0, "test": 0}
     for change in ({"version": "1.0"}, {"odd": 1}, {"splitSeed": "7"}, {"datasetId": ""}):
         with pytest.raises(ValueError, match="invalid manifest"):
-            curate.checked_manifest(made | change)
+            curate.checked_manifest(spark, made | change)
+
+
+def test_contract_against_plain_rules(spark):
+    leaf = [None, True, False, 0, 1, 1.0, 2.5, -3, 7, "", "ab", "é", "abc", "size", [], {}, [1, 2], {"b": 1}]
+    rule = {
+        "type": "object",
+        "required": ["a", "it's"],
+        "properties": {
+            "a": {"enum": ["ab", 1, None, True, [1, 2], {"b": 1}]},
+            "b": {"type": ["integer", "array"], "minimum": 1, "maximum": 5, "minItems": 1, "items": {"type": "string", "minLength": 2, "pattern": "^[a-z]"}},
+            "it's": {"const": 1},
+            "o": {"type": "object", "additionalProperties": {"type": "number"}, "properties": {"x": {}}},
+            "s": {"type": "object", "additionalProperties": False, "required": ["k"], "properties": {"k": {"type": "array", "items": {"type": "object", "additionalProperties": False}}}},
+        },
+    }
+    rng = random.Random(3)
+    pick = lambda: rng.choice(leaf)
+    cases = [*leaf, [[]]]
+    for _ in range(150):
+        case = {k: pick() for k in ("a", "b", "it's", "z") if rng.random() < 0.8}
+        if rng.random() < 0.6:
+            case["b"] = [pick() for _ in range(rng.randrange(3))]
+        if rng.random() < 0.6:
+            case["o"] = {k: pick() for k in ("x", "y", "w") if rng.random() < 0.7}
+        if rng.random() < 0.6:
+            case["s"] = {"k": [pick() for _ in range(rng.randrange(3))], **({"q": 1} if rng.random() < 0.3 else {})}
+        cases.append(case)
+    got = messages_of(spark, [json.dumps(c, ensure_ascii=rng.random() < 0.5) for c in cases], rule)
+    assert got == [said(c, rule) for c in cases]
+    assert messages_of(spark, ["1", "1.0", "1e0", "1.5", '"1"'], {"type": "integer"}) == [[], [], [], ["record: not of type integer"], ["record: not of type integer"]]
+
+
+def test_what_is_no_json(spark):
+    lines = ["", None, "oops", "{", '{"a": 1} x', '{"a": 1}{"a": 2}', "1], [2", "1, 2", '{"a": NaN}', '{"a": 1, "a": 2}', "'a'"]
+    assert messages_of(spark, lines, {}) == [[contract.NOT_JSON]] * len(lines)
+    assert messages_of(spark, [" [1, 2] ", "null", '"x"', '{"a": {"a": 1}}'], {}) == [[]] * 4
 
 
 def test_evaluation_with_a_predictor(spark):
