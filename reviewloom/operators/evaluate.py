@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import parse_finding
+from reviewloom.operators.numbering import numbered
 
 
 def confusion_counts(df: DataFrame, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
@@ -49,6 +50,20 @@ def paired(predicted: DataFrame, expected: DataFrame, row_id: str = "row_id") ->
     return both.where(checked).drop("_p", "_e")
 
 
+def paired_in_order(predicted: DataFrame, expected: DataFrame, predicted_order: Sequence[Column], expected_order: Sequence[Column]) -> DataFrame:
+    """(position, predicted, expected): the rows of two tables, as structs, paired by their places in order.
+
+    Raises if one of them has more rows. Both are numbered by a distributed sort and joined
+    by number, so neither passes one task; rows that an order leaves tied keep the order
+    in which they were read. Two empty tables give an empty one.
+    """
+    left = numbered(predicted, predicted_order).select("position", F.col("row").alias("predicted"))
+    right = numbered(expected, expected_order).select("position", F.col("row").alias("expected"))
+    both = left.join(right, "position", "full")
+    partners = F.col("predicted").isNotNull() & F.col("expected").isNotNull()
+    return both.where(F.when(partners, True).otherwise(F.raise_error(F.lit("predictions and expectations differ in length"))))
+
+
 #: A predictor maps prompts to generated texts, a batch at a time; made once in each task.
 Predictor = Callable[[Sequence[str]], Sequence[str]]
 _PREDICTORS: dict[str, Callable[[], Predictor]] = {}

@@ -1,10 +1,14 @@
-"""Model-side records as columns: masked token rows, seeded order, loss history; and paging of landed listings."""
+"""Model-side records: masked token rows, seeded order and batches, loss history; and paging of landed listings."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.operators.numbering import numbered
+
 #: Fixed value: label of tokens that do not count.
 IGNORED = "-100"
 
@@ -26,6 +30,28 @@ def shuffle_key(row_id: Column, seed: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), row_id.cast("string")), 256)
 
 
+def batches(df: DataFrame, size: int, order: Sequence[Column], sequences: dict[str, str]) -> DataFrame:
+    """(batch, place, longest, row): every row as a struct in its batch of ``size``, its ``sequences`` padded on the right.
+
+    Batches are numbered without gaps over the whole table in ``order`` (a :func:`shuffle_key`
+    for a seeded shuffle), the last may be smaller. ``sequences``: columns of arrays, with the
+    filler of each; they are padded to the longest array of the batch, ``longest``. Rows are
+    numbered by a distributed sort, and a task never holds more than one batch at a time
+    besides. A null array is an empty one. An empty table has no batches.
+    """
+    if size < 1:
+        raise ValueError("a batch has at least one row")
+    placed = numbered(df, order).select(F.floor(F.col("position") / size).cast("long").alias("batch"), (F.col("position") % size).cast("int").alias("place"), "row")
+    length = F.greatest(*[F.coalesce(F.size(F.col("row")[c]), F.lit(0)) for c in sequences], F.lit(0), F.lit(0))
+    whole = placed.groupBy("batch").agg(F.max(length).alias("longest"), F.collect_list(F.struct("place", "row")).alias("rows"))
+    each = whole.select("batch", "longest", F.inline("rows"))
+    filled = F.col("row")
+    for c, filler in sequences.items():
+        items = F.coalesce(F.col("row")[c], F.array().cast(df.schema[c].dataType))
+        filled = filled.withField(f"`{c}`", F.concat(items, F.array_repeat(F.lit(filler).cast(df.schema[c].dataType.elementType), F.col("longest") - F.size(items))))
+    return each.select("batch", "place", "longest", filled.alias("row"))
+
+
 def final_loss(history: Column) -> Column:
     return F.coalesce(F.try_element_at(history, F.lit(-1)), F.lit(float("nan")))
 

@@ -6,11 +6,12 @@ import random
 import re
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from reviewloom.functions import contract, hashing, text
-from reviewloom.operators import curate, ecosystem, evaluate, examples, ingest, label, project, validate
+from reviewloom.operators import curate, ecosystem, evaluate, examples, ingest, label, project, training, validate
 
 
 def one(spark, column, **values):
@@ -298,3 +299,41 @@ def test_trimming_is_linear_in_inner_blanks(spark):
     py = [r[0] for r in df.select(text.py_strip(F.col("t"))).collect()]
     assert js == [f"a{blanks}b", "\u001ca\u0085", "​ x ᠎", "", None]
     assert py == [f"﻿ a{blanks}b", "a", "​ x ᠎", "", None]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_batches_against_plain_lists(spark, parts):
+    rng = random.Random(parts)
+    rows = [(i, [f"t{j}" for j in range(rng.randrange(7))], list(range(rng.randrange(3)))) for i in range(53)] + [(None, None, None), (7, ["same"], [1])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, ids array<int>").repartition(parts)
+    got = training.batches(df, 8, [training.shuffle_key(F.col("id"), 3), F.col("id")], {"tokens": "<pad>", "ids": "-1"}).collect()
+    key = lambda r: (r[0] is not None, hashlib.sha256(f"3:{r[0]}".encode()).hexdigest() if r[0] is not None else "")
+    ordered, want = sorted(rows, key=key), {}
+    for at in range(0, len(ordered), 8):
+        batch = [(i, t or [], n or []) for i, t, n in ordered[at : at + 8]]
+        longest = max(len(x) for _, t, n in batch for x in (t, n))
+        for i, t, n in batch:
+            want.setdefault((at // 8, longest), []).append((i, t + ["<pad>"] * (longest - len(t)), n + [-1] * (longest - len(n))))
+    have = {}
+    for r in got:
+        have.setdefault((r["batch"], r["longest"]), []).append(tuple(r["row"]))
+    assert {k: sorted(map(repr, v)) for k, v in have.items()} == {k: sorted(map(repr, v)) for k, v in want.items()}
+    assert sorted((r["batch"], r["place"]) for r in got) == [(i // 8, i % 8) for i in range(55)]
+
+
+def test_no_batches_and_no_size(spark):
+    df = spark.createDataFrame([], "id long, tokens array<string>")
+    assert training.batches(df, 4, [F.col("id")], {"tokens": ""}).collect() == []
+    with pytest.raises(ValueError, match="at least one row"):
+        training.batches(df, 0, [F.col("id")], {"tokens": ""})
+
+
+def test_pairs_by_place(spark):
+    left = spark.createDataFrame([(i * 3, f"p{i}") for i in range(40)], "k long, position string").repartition(5)
+    right = spark.createDataFrame([(i, f"e{i}") for i in range(40)], "n long, text string").repartition(2)
+    got = evaluate.paired_in_order(left, right, [F.col("k")], [F.col("n")]).collect()
+    assert sorted((r.position, r.predicted.position, r.expected.text) for r in got) == [(i, f"p{i}", f"e{i}") for i in range(40)]
+    for a, b in ((left, right.where("n < 39")), (left.where("k > 0"), right), (left.where("k < 0"), right)):
+        with pytest.raises(PySparkException, match="differ in length"):
+            evaluate.paired_in_order(a, b, [F.col("k")], [F.col("n")]).collect()
+    assert evaluate.paired_in_order(left.where("k < 0"), right.where("n < 0"), [F.col("k")], [F.col("n")]).collect() == []

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.errors import PySparkException
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from reviewloom.analyzers import engine
 from reviewloom.functions.text import review_prompt
 from reviewloom.operators import curate, validate
-from reviewloom.sources import records, source_tree
+from reviewloom.sources import record_set, records, source_tree
 from reviewloom.streaming import landing
 
 
@@ -142,3 +143,60 @@ def test_a_rule_of_ones_own(spark):
     finally:
         engine.ANALYZERS.clear()
         engine.ANALYZERS.update(before)
+
+
+def test_filters_reach_the_source_tree(spark, tmp_path):
+    for p in ("a/x.py", "a/y.js", "b/x.py", "b/z.ts"):
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_text("x")
+    # Opening a pipe without a writer never returns, so a query that ends has not opened it.
+    os.mkfifo(tmp_path / "a/pipe.js")
+    source_tree.register(spark)
+    tree = spark.read.format("source_tree").load(str(tmp_path))
+    names = lambda df: sorted(r.path.removeprefix(f"{tmp_path}/") for r in df.collect())
+    assert names(tree.where("language = 'python'")) == ["a/x.py", "b/x.py"]
+    assert names(tree.where("language IN ('python', 'typescript') AND path LIKE '%/b/%' AND content = 'x'")) == ["b/x.py", "b/z.ts"]
+    assert names(tree.where("NOT language = 'javascript' AND path LIKE '%.ts'")) == ["b/z.ts"]
+    assert names(tree.where(F.col("path").startswith(f"{tmp_path}/b"))) == ["b/x.py", "b/z.ts"]
+    assert names(tree.where("language IS NULL OR path IS NULL")) == [] and names(tree.where("language = 'rust'")) == []
+
+
+def test_source_tree_partitions_by_bytes(tmp_path, monkeypatch):
+    for i, n in enumerate((10, 10, 50, 1, 1)):
+        (tmp_path / f"{i}.py").write_text("x" * n)
+    monkeypatch.setattr(source_tree, "BYTES", 20)
+    reader = source_tree.SourceTreeReader(str(tmp_path))
+    assert [[os.path.basename(p) for p in x.paths] for x in reader.partitions()] == [["0.py", "1.py"], ["2.py"], ["3.py", "4.py"]]
+
+
+def test_record_set_is_published_as_a_whole(spark, tmp_path):
+    folder = str(tmp_path / "set")
+    record_set.register(spark)
+    write = lambda df, mode: df.write.format("record_set").mode(mode).save(folder)
+    read = lambda: sorted(json.loads(r.record)["i"] for r in spark.read.format("record_set").load(folder).collect())
+    rows = spark.range(40).selectExpr("id AS i", "IF(id = 3, NULL, 'é') AS t", "array(named_struct('a', id, 'b', CAST(NULL AS STRING))) AS l").repartition(4)
+    write(rows, "append")
+    assert read() == list(range(40))
+    assert sum(p.records for p in record_set.published(folder)) == 40 and len(record_set.published(folder)) == 4
+    kept = json.loads((tmp_path / "set/manifest.json").read_text())
+    # One task of four fails, after others have written their parts.
+    broken = rows.selectExpr("IF(i = 39, raise_error('lost'), i) AS i")
+    with pytest.raises(PySparkException):
+        write(broken, "append")
+    assert json.loads((tmp_path / "set/manifest.json").read_text()) == kept and read() == list(range(40))
+    assert sorted(p.name for p in record_set.published(folder)) == sorted(os.listdir(tmp_path / "set/parts"))
+    write(rows.where("i < 5"), "append")
+    assert read() == sorted([*range(40), *range(5)])
+    write(rows.where("i < 2").selectExpr("i"), "overwrite")
+    assert read() == [0, 1] and len(os.listdir(tmp_path / "set/parts")) == len(record_set.published(folder))
+    write(rows.where("i < 0"), "overwrite")
+    assert read() == [] and os.listdir(tmp_path / "set/parts") == []
+
+
+def test_changed_part_is_noticed(spark, tmp_path):
+    record_set.register(spark)
+    spark.range(3).write.format("record_set").mode("append").save(str(tmp_path))
+    part = next(p for p in (tmp_path / "parts").iterdir())
+    part.write_text(part.read_text().replace("{", "{ "))
+    with pytest.raises(PySparkException, match="not what its manifest says"):
+        spark.read.format("record_set").load(str(tmp_path)).collect()
