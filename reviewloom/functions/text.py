@@ -6,8 +6,10 @@ is never right: use ``js_trim`` for mined records and ``py_strip`` for generated
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,14 +84,49 @@ def parse_finding(c: Column) -> Column:
     return F.struct(*[last(k) for k in ("category", "severity", "confidence", "summary")])
 
 
-#: Fixed value: what a chat model is told before a review request.
+#: What a chat model is told before a review request, unless the caller says something else.
 REVIEW_SYSTEM_PROMPT = (
-    "You are a senior code reviewer. You are given a source file and a list of findings a deterministic static analyzer already produced for it. "
-    "Write a short, prioritized, plain-language explanation: which findings matter most and why, and any context a developer would want before fixing them. "
-    "Do not invent findings beyond what is listed, and do not repeat the raw JSON back verbatim."
+    "You help with code review. You get a file and what a static analyzer has reported for it, as JSON. "
+    "Say in a few plain sentences what should be mended first and why, and what one has to know about the code for that. "
+    "Keep to the reports given, and don't copy their JSON."
 )
 
 
+def first_of_many(c: Column, keywords: Sequence[str]) -> Column:
+    """As :func:`first_keyword`, for hundreds of keywords: one pass over the text whatever their number.
+
+    An automaton of all keywords is made once in each task (Arrow batches); of those that
+    the lower-cased text contains, the first in the list is given. A null text has none; an
+    empty keyword is in every text.
+    """
+    order: dict[str, int] = {}
+    for k in keywords:
+        order.setdefault(k, len(order))
+    listed = list(order)
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for k in listed:
+            if k:
+                automaton.add_word(k, order[k])
+        if len(automaton):
+            automaton.make_automaton()
+        always = order.get("", len(listed))
+
+        def first(text: str | None) -> str | None:
+            if text is None:
+                return None
+            best = min((i for _, i in automaton.iter(text)), default=len(listed)) if len(automaton) else len(listed)
+            best = min(best, always)
+            return listed[best] if best < len(listed) else None
+
+        for texts in batches:
+            yield texts.map(first)
+
+    return run(F.lower(c))
+
+
 def review_prompt(path: Column, source: Column, findings_json: Column) -> Column:
     """A file's review request; an unreadable source is empty, a long one is cut."""
     code = F.substring(F.coalesce(source, F.lit("")), 1, REVIEW_CHARS)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewloom.functions.text import parse_finding
 from reviewloom.operators.numbering import numbered
@@ -103,3 +106,43 @@ def evaluation(examples: DataFrame, predictor: str | Callable[[], Predictor], ex
     }
     # Each example is a hit or a miss of its expected category.
     return {"exampleCount": sum(r.tp + r.fn for r in rows), "macroF1": sum(r.f1 for r in rows) / len(rows) if rows else 0.0, "categories": categories}
+
+
+def answered(df: DataFrame, make_client: Callable[[], Callable[[Sequence[str]], Sequence[str]]], prompt: str = "prompt", batch: int = 16) -> DataFrame:
+    """Adds ``answer`` and ``warning``: what a chat client says to each prompt, or why it said nothing.
+
+    ``make_client`` is called once in each task and gives a function from a list of prompts to as many
+    answers. If a batch fails its prompts are asked one by one, so only those that fail
+    themselves have a warning, the error's text; an empty answer has one too. No row is lost and no task
+    fails for what a client does; if it can't even be made, every row says so. A null prompt isn't asked.
+    """
+    kind = T.StructType().add("answer", "string").add("warning", "string")
+
+    def make_predict():
+        try:
+            client, broken = make_client(), None
+        except Exception as e:  # noqa: BLE001 - whatever it is, it becomes the warning
+            client, broken = None, f"{type(e).__name__}: {e}"
+
+        def ask(prompts: Sequence[str]) -> list[tuple[str | None, str | None]]:
+            if broken is not None:
+                return [(None, broken)] * len(prompts)
+            try:
+                answers = list(client(prompts))
+                if len(answers) != len(prompts):
+                    raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+            except Exception as e:  # noqa: BLE001
+                return [(None, f"{type(e).__name__}: {e}")] if len(prompts) == 1 else [x for p in prompts for x in ask([p])]
+            return [(a, None) if a else (None, "empty answer") for a in answers]
+
+        def predict(prompts: np.ndarray) -> dict[str, np.ndarray]:
+            given = [i for i, p in enumerate(prompts) if p is not None]
+            out: list[tuple[str | None, str | None]] = [(None, None)] * len(prompts)
+            for i, x in zip(given, ask([prompts[i] for i in given]) if given else [], strict=True):
+                out[i] = x
+            return {"answer": np.array([a for a, _ in out], dtype=object), "warning": np.array([w for _, w in out], dtype=object)}
+
+        return predict
+
+    said = predict_batch_udf(make_predict, return_type=kind, batch_size=batch)(F.col(prompt))
+    return df.withColumn("_said", said).select(*[F.col(f"`{c}`") for c in df.columns], F.col("_said.answer").alias("answer"), F.col("_said.warning").alias("warning"))

@@ -17,7 +17,9 @@ def masked_labels(prompt: Column, target: Column, max_length: int) -> Column:
     """(tokens, labels): prompt tokens are masked; cut at ``max_length``, so a long prompt leaves no target."""
     tokens = F.slice(F.concat(prompt, target), 1, max_length)
     n = F.size(prompt)
-    return F.struct(tokens.alias("tokens"), F.transform(tokens, lambda t, i: F.when(i < n, IGNORED).otherwise(t)).alias("labels"))
+    # No lambda over the tokens: it would take the prompt apart again for each of them.
+    labels = F.concat(F.array_repeat(F.lit(IGNORED), F.least(n, F.size(tokens))), F.slice(tokens, n + 1, F.lit(max_length)))
+    return F.struct(tokens.alias("tokens"), labels.alias("labels"))
 
 
 def padded(items: Column, length: Column, filler: str) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewloom.functions.text import js_trim
+from reviewloom.functions.text import first_of_many, js_trim
 from reviewloom.functions.vocabulary import ALLOWED_LICENSES, KEYWORD_FAMILIES, TECHNOLOGIES
 from reviewloom.operators import ecosystem, examples, ingest, label, project
 from reviewloom.plans.views import PACKAGES, SQL, SYLLABLE_FAMILIES, files, keyword_sql, licensed, pulls
+from reviewloom.sources.scratch import new_path
 from reviewloom.sources.tables import table
+from reviewloom.streaming import promotion
 
 
 def _exploded(df, *keys):
@@ -63,6 +65,34 @@ def promote_last_wins(spark, sf):
     return label.promote(pulls(spark, sf), _review(spark, sf)).select("pull_number", F.size("signals").cast("long").alias("n"))
 
 
+#: Keywords of four letters, made by a rule, in the order that counts.
+MANY_KEYWORDS = tuple(a + b + c + d for a in "tnrsl" for b in "aeiou" for c in "tnrsl" for d in "aeiou")
+
+
+def first_of_many_keywords(spark, sf):
+    """The first of hundreds of keywords in each whole text, in one pass over it."""
+    return table(spark, sf, "documents").select("doc_id", first_of_many(F.col("text"), MANY_KEYWORDS).alias("keyword"))
+
+
+def promote_stream(spark, sf):
+    """Documents as raw rows, and up to three review entries of each, as two streams that run through what is there."""
+    path = f"{sf}/documents.parquet"
+    # A stream's path is a folder or a pattern; the table may be one file.
+    docs = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    raw = docs.select(F.col("source").alias("repository"), F.col("doc_id").alias("pull_number"), "n_chars")
+    entries = docs.where("doc_id % 4 <> 0").select("source", "doc_id", "lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 3)).alias("ord"))
+    proposal = F.struct(F.lit("r").alias("rule"), F.concat(F.lit("c"), F.col("ord").cast("string")).alias("category"), F.col("lang").alias("evidence"))
+    emptied = F.slice(F.array_repeat(proposal, 3), F.lit(1), F.when((F.col("ord") == 2) & (F.col("doc_id") % 5 == 0), 0).otherwise(F.col("ord") + 1).cast("int"))
+    review = entries.select(F.col("source").alias("repository"), F.col("doc_id").alias("pull_number"), "ord", emptied.alias("proposals"))
+    out = new_path(spark, "promotions")
+    with promotion.stateful(spark):
+        q = promotion.promotions(raw, review).writeStream.format("parquet").option("checkpointLocation", new_path(spark, "promotions-state")).trigger(availableNow=True).start(out)
+        q.awaitTermination()
+    updates = spark.read.schema(promotion.UPDATE).parquet(out)
+    done = promotion.settled(updates, raw.schema, review.schema["proposals"].dataType)
+    return done.select("repository", "pull_number", "n_chars", F.size("signals").cast("long").alias("n"), F.col("signals")[0]["category"].alias("category"))
+
+
 def promote_dropped_anti(spark, sf):
     return label.not_promoted(pulls(spark, sf), _review(spark, sf)).select("repository", "pull_number", "title")
 
@@ -228,7 +258,7 @@ def dependency_merge(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        propose_title, propose_comments, propose_dedup, propose_rule_counts, review_file, promote_join, promote_last_wins, promote_dropped_anti, example_id,
+        propose_title, propose_comments, propose_dedup, propose_rule_counts, review_file, promote_join, promote_last_wins, promote_dropped_anti, promote_stream, first_of_many_keywords, example_id,
         project_signals, project_code_render, license_classify, license_status_counts, license_gate, lang_detect_path, ext_filter, pr_language_first_known,
         complete_pairs, change_status_norm, since_cutoff_merged, content_size_cap, base64_roundtrip, assemble_pulls, normalize_tags, normalize_signals, js_trim_text,
         technology_detect, technology_evidence_group, dependency_merge, engine_context, raw_to_example,
@@ -278,6 +308,8 @@ ORACLES = {
     "promote_join": f"{_PROMOTED} SELECT repository, pull_number, n, pos::BIGINT AS pos, category, confidence, severity FROM promoted JOIN props USING (pull_number)",
     "promote_last_wins": f"{_PROMOTED} SELECT pull_number, n FROM promoted",
     "promote_dropped_anti": f"WITH {_SYL} SELECT repository, pull_number, title FROM pulls WHERE pull_number % 3 = 0 OR pull_number NOT IN (SELECT pull_number FROM props)",
+    "promote_stream": "SELECT source AS repository, doc_id AS pull_number, n_chars, (doc_id % 3 + 1)::BIGINT AS n, 'c' || (doc_id % 3) AS category FROM documents WHERE source IS NOT NULL AND doc_id % 4 <> 0 AND NOT (doc_id % 3 = 2 AND doc_id % 5 = 0)",
+    "first_of_many_keywords": f"SELECT doc_id, list_filter([{', '.join(repr(k) for k in MANY_KEYWORDS)}], lambda k: contains(lower(text), k))[1] AS keyword FROM documents",
     "project_signals": f"""{_EXAMPLES} SELECT repository, source_url, language, ([{_PACK}])[pull_number % 8 + 1] AS framework, NULL::VARCHAR AS library, spdx, category, confidence, severity, summary, reviewer_comment AS context, sha256(code) AS code_sha
 FROM promoted JOIN ex ON pr = pull_number JOIN props USING (pull_number) WHERE code <> '' AND {_status("nullif(spdx, 'NOASSERTION')")} = 'allowed'""",
     "project_code_render": f"{_EXAMPLES} SELECT pull_number, sha256(code) AS code_sha, n_changes FROM promoted JOIN ex ON pr = pull_number",

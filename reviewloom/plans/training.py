@@ -8,8 +8,8 @@ from reviewloom.operators import evaluate, training
 from reviewloom.sources.tables import table
 
 MAX_LENGTH = 24
-#: Rows of a batch, and the seed of its order.
-BATCH, BATCH_SEED = 16, 11
+#: Rows of a batch, the tokens that its rows are cut at, and the seed of its order.
+BATCH, BATCH_LENGTH, BATCH_SEED = 16, 512, 11
 
 
 def label_mask(spark, sf):
@@ -24,10 +24,10 @@ def seeded_shuffle(spark, sf):
 
 
 def token_batches(spark, sf):
-    """Masked token rows of whole texts in seeded batches, padded to the longest of each batch."""
+    """Masked token rows in seeded batches, padded to the longest of each batch."""
     words = F.split("text", " ")
     cut = F.floor(F.size(words) / 10).cast("int")
-    masked = training.masked_labels(F.slice(words, F.lit(1), cut), F.slice(words, cut + 1, F.size(words)), 1 << 30)
+    masked = training.masked_labels(F.slice(words, F.lit(1), cut), F.slice(words, cut + 1, F.size(words)), BATCH_LENGTH)
     rows = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", masked.alias("x")).select("doc_id", F.col("x.tokens").alias("tokens"), F.col("x.labels").alias("labels"))
     made = training.batches(rows, BATCH, [training.shuffle_key(F.col("doc_id"), BATCH_SEED), F.col("doc_id")], {"tokens": "<pad>", "labels": training.IGNORED})
     digest = lambda c: F.sha2(F.array_join(F.col(f"row.{c}"), " "), 256).alias(c)
@@ -70,10 +70,10 @@ ORACLES = {
 SELECT doc_id, array_to_string(ts || list_transform(range(len(ts), {MAX_LENGTH}), lambda i: '<pad>'), ' ') AS tokens,
 array_to_string(list_transform(range(1, {MAX_LENGTH + 1}), lambda i: CASE WHEN i <= len(p) OR i > len(ts) THEN '-100' ELSE ts[i] END), ' ') AS labels FROM t""",
     "seeded_shuffle": "SELECT doc_id, sha256('7:' || doc_id) AS shuffle_key FROM documents",
-    "token_batches": f"""WITH w AS (SELECT doc_id, string_split(text, ' ') AS ts, row_number() OVER (ORDER BY sha256('{BATCH_SEED}:' || doc_id) NULLS FIRST, doc_id) - 1 AS position FROM documents WHERE text IS NOT NULL),
-b AS (SELECT doc_id, ts, position // {BATCH} AS batch, position % {BATCH} AS place, max(len(ts)) OVER (PARTITION BY position // {BATCH}) AS longest FROM w)
+    "token_batches": f"""WITH w AS (SELECT doc_id, string_split(text, ' ')[1:{BATCH_LENGTH}] AS ts, len(string_split(text, ' ')) // 10 AS n, row_number() OVER (ORDER BY sha256('{BATCH_SEED}:' || doc_id) NULLS FIRST, doc_id) - 1 AS position FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, ts, n, position // {BATCH} AS batch, position % {BATCH} AS place, max(len(ts)) OVER (PARTITION BY position // {BATCH}) AS longest FROM w)
 SELECT batch::BIGINT AS batch, place::BIGINT AS place, longest::BIGINT AS longest, doc_id, sha256(array_to_string(ts || list_transform(range(len(ts), longest), lambda i: '<pad>'), ' ')) AS tokens,
-sha256(array_to_string(list_transform(range(1, longest + 1), lambda i: CASE WHEN i <= len(ts) // 10 OR i > len(ts) THEN '-100' ELSE ts[i] END), ' ')) AS labels FROM b""",
+sha256(array_to_string(list_transform(range(1, longest + 1), lambda i: CASE WHEN i <= n OR i > len(ts) THEN '-100' ELSE ts[i] END), ' ')) AS labels FROM b""",
     "positional_pairs": f"""WITH p AS (SELECT doc_id, lang, row_number() OVER (ORDER BY sha256('{BATCH_SEED}:' || doc_id) NULLS FIRST, doc_id NULLS FIRST) - 1 AS position FROM documents),
 e AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS position FROM documents)
 SELECT position, p.doc_id AS predicted_id, e.doc_id AS expected_id, p.lang IS NOT DISTINCT FROM e.lang AS same FROM p JOIN e USING (position)""",

@@ -337,3 +337,32 @@ def test_pairs_by_place(spark):
         with pytest.raises(PySparkException, match="differ in length"):
             evaluate.paired_in_order(a, b, [F.col("k")], [F.col("n")]).collect()
     assert evaluate.paired_in_order(left.where("k < 0"), right.where("n < 0"), [F.col("k")], [F.col("n")]).collect() == []
+
+
+def test_first_of_many_keywords(spark):
+    rng = random.Random(2)
+    keywords = [*{"".join(rng.choice("abcé ") for _ in range(rng.randrange(2, 5))) for _ in range(300)}, "abc", "abc"]
+    rows = [(i, "".join(rng.choice("AaBbCcÉé dx") for _ in range(rng.randrange(60)))) for i in range(300)] + [(-1, None), (-2, "")]
+    df = spark.createDataFrame(rows, "i int, t string").select("t", text.first_keyword(F.col("t"), keywords).alias("want"), text.first_of_many(F.col("t"), keywords).alias("got"), text.first_of_many(F.col("t"), ["zz", "", "a"]).alias("empty"), text.first_of_many(F.col("t"), []).alias("none"))
+    for r in df.collect():
+        assert r.got == r.want and r.none is None and r["empty"] == (None if r.t is None else "")
+
+
+def test_answers_or_warnings(spark):
+    def client():
+        def ask(prompts):
+            if any("bad" in p for p in prompts):
+                raise RuntimeError("refused")
+            return ["" if p == "mute" else p.upper() for p in prompts]
+
+        return ask
+
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "bad", "b", None, "mute", "c"] * 5)], "i int, prompt string").repartition(2)
+    got = {r.i: (r.answer, r.warning) for r in evaluate.answered(df, client, batch=4).collect()}
+    assert got == {i: [("A", None), (None, "RuntimeError: refused"), ("B", None), (None, None), (None, "empty answer"), ("C", None)][i % 6] for i in range(30)}
+
+    def nobody():
+        raise OSError("no endpoint")
+
+    assert {(r.answer, r.warning) for r in evaluate.answered(df.where("prompt IS NOT NULL"), nobody).collect()} == {(None, "OSError: no endpoint")}
+    assert {r.warning for r in evaluate.answered(df.where("prompt = 'a'"), lambda: lambda p: [], batch=3).collect()} == {"ValueError: 0 answers to 1 prompts"}
