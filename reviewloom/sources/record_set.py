@@ -4,8 +4,8 @@ Tasks write their parts under names of their own, beside those that are there.
 What a reader sees is only what ``manifest.json`` lists, and that file is replaced in
 one step, once all tasks have ended; so a job that fails, a task that is run twice or an
 executor that is lost leaves the set as it was. The manifest has each part's
-records, bytes and SHA-256, which a reader checks. Parts that no manifest lists are
-removed when the next one is published.
+records, bytes and SHA-256, which a reader checks. The parts of a job are in a folder of
+its own, which is removed if the job fails; what a task still writes after that stays there unlisted.
 
     register(spark); df.write.format("record_set").mode("append").save("/path")
 
@@ -15,6 +15,7 @@ records; an empty table publishes a set without parts. Modes are append and over
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import hashlib
 import json
@@ -58,11 +59,11 @@ def published(folder: str) -> list[Part]:
 
 class RecordSetWriter(DataSourceArrowWriter):
     def __init__(self, folder: str, overwrite: bool):
-        self.folder, self.overwrite = folder, overwrite
+        self.folder, self.overwrite, self.job = folder, overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
-        os.makedirs(os.path.join(self.folder, PARTS), exist_ok=True)
-        part = Part(f"{uuid.uuid4().hex}.jsonl", 0, 0, "")
+        os.makedirs(os.path.join(self.folder, PARTS, self.job), exist_ok=True)
+        part = Part(f"{self.job}/{uuid.uuid4().hex}.jsonl", 0, 0, "")
         digest, path = hashlib.sha256(), os.path.join(self.folder, PARTS, part.name)
         try:
             with open(path, "wb") as f:
@@ -91,16 +92,26 @@ class RecordSetWriter(DataSourceArrowWriter):
             f.flush()
             os.fsync(f.fileno())
         os.replace(draft, os.path.join(self.folder, MANIFEST))
-        # Parts of this job that were empty, and those that are replaced, are listed no more.
-        self._remove({m.name for m in messages if m is not None and not m.records} | ({p.name for p in before} if self.overwrite else set()))
+        # Parts that were empty or of tasks run twice, and those that are replaced, are listed no more.
+        listed = {p.name for p in parts}
+        mine = self._own()
+        self._remove((mine | {p.name for p in before}) - listed)
 
     def abort(self, messages: list[Part | None]) -> None:
-        self._remove({m.name for m in messages if m is not None})
+        self._remove(self._own())
+
+    def _own(self) -> set[str]:
+        """The parts that tasks of this job have written, reported or not."""
+        folder = os.path.join(self.folder, PARTS, self.job)
+        return {f"{self.job}/{n}" for n in os.listdir(folder)} if os.path.isdir(folder) else set()
 
     def _remove(self, names: set[str]) -> None:
         for name in names:
             if os.path.exists(path := os.path.join(self.folder, PARTS, name)):
                 os.remove(path)
+        for job in {name.partition("/")[0] for name in names}:
+            with contextlib.suppress(OSError):  # parts are left in it
+                os.rmdir(os.path.join(self.folder, PARTS, job))
 
 
 class _PartToRead(InputPartition):

@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -184,19 +185,38 @@ def test_record_set_is_published_as_a_whole(spark, tmp_path):
     with pytest.raises(PySparkException):
         write(broken, "append")
     assert json.loads((tmp_path / "set/manifest.json").read_text()) == kept and read() == list(range(40))
-    assert sorted(p.name for p in record_set.published(folder)) == sorted(os.listdir(tmp_path / "set/parts"))
     write(rows.where("i < 5"), "append")
     assert read() == sorted([*range(40), *range(5)])
     write(rows.where("i < 2").selectExpr("i"), "overwrite")
-    assert read() == [0, 1] and len(os.listdir(tmp_path / "set/parts")) == len(record_set.published(folder))
+    assert read() == [0, 1] and len({p.name.partition("/")[0] for p in record_set.published(folder)}) == 1
     write(rows.where("i < 0"), "overwrite")
-    assert read() == [] and os.listdir(tmp_path / "set/parts") == []
+    assert read() == [] and record_set.published(folder) == []
+
+
+def test_record_set_cleans_up(tmp_path):
+    batch = lambda *i: iter([pa.RecordBatch.from_pydict({"i": list(i)})])
+    files = lambda: sorted(str(p.relative_to(tmp_path / "parts")) for p in (tmp_path / "parts").rglob("*"))
+    first, failed, second = (record_set.RecordSetWriter(str(tmp_path), o) for o in (False, False, True))
+    first.commit([first.write(batch(1, 2)), first.write(batch()), None])
+    kept = files()
+    assert len(kept) == 2 and kept == [first.job, record_set.published(str(tmp_path))[0].name]
+    # One task reports, one has ended unreported, one breaks while it writes.
+    reported = failed.write(batch(3))
+    failed.write(batch(4))
+    with pytest.raises(ZeroDivisionError):
+        failed.write(1 / 0 for _ in range(1))
+    failed.abort([reported, None])
+    assert files() == kept
+    # A task that ran twice has two parts, of which one is reported.
+    second.write(batch(5))
+    second.commit([second.write(batch(5))])
+    assert [p.records for p in record_set.published(str(tmp_path))] == [1] and len(files()) == 2
 
 
 def test_changed_part_is_noticed(spark, tmp_path):
     record_set.register(spark)
     spark.range(3).write.format("record_set").mode("append").save(str(tmp_path))
-    part = next(p for p in (tmp_path / "parts").iterdir())
+    part = next((tmp_path / "parts").rglob("*.jsonl"))
     part.write_text(part.read_text().replace("{", "{ "))
     with pytest.raises(PySparkException, match="not what its manifest says"):
         spark.read.format("record_set").load(str(tmp_path)).collect()
