@@ -1,4 +1,4 @@
-"""Streams over a landing folder of pull-request records.
+"""Streams over landing folders of pull-request records and of listings.
 
 The batch operators work on records as they are; here new files are picked up as
 they land, repeats of a pull request within the watermark are dropped with state
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.operators.label import review_file
+from reviewloom.sources import listing
 from reviewloom.sources.records import RAW
 
 
@@ -39,6 +40,13 @@ def propose_stream(spark: SparkSession, path: str, checkpoint: str, sink: Callab
     return landed(spark, path, delay).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merged_pulls(spark: SparkSession, path: str, since: str = "") -> DataFrame:
+    """Merged pull requests of a landed listing from ``since`` on, as crawls land; one that is edited comes again with its later ``updated_at``."""
+    listing.register(spark)
+    rows = spark.readStream.format("pull_listing").option("since", since).load(path)
+    return rows.where(F.col("merged_at").isNotNull() & (F.coalesce("merge_commit_sha", F.lit("")) != ""))
+
+
 def merged_per_window(events: DataFrame, window: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Counts by event type and tumbling window; late rows beyond the delay are dropped in a stream."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
