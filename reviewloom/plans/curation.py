@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import functions as F
 
 from reviewloom.functions.contract import violations
 from reviewloom.functions.hashing import canonical_checksum, hash_bucket, set_checksum, set_checksum_tree, text_checksum
 from reviewloom.functions.vocabulary import CONFIDENCES, LANGUAGES, MODEL_STATUSES, SEVERITIES, SOURCE_TYPES, literal_rows
-from reviewloom.operators import curate, validate
-from reviewloom.sources.scratch import new_path, tables_made
+from reviewloom.operators import curate, deliveries, validate
+from reviewloom.sources.scratch import new_path, tables_made, written
 from reviewloom.sources.tables import table
 
 SEED = 42
@@ -37,6 +38,16 @@ def dedup_exact(spark, sf):
     return _unique(spark, sf)
 
 
+def dedup_second_delivery(spark, sf):
+    """All documents as two deliveries; the second, documents of odd ids, against what is kept of the first."""
+    rows = _documents(spark, sf).select("checksum", F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0)).alias("odd"))
+    first = curate.dedup_exact(rows.where("odd = 0").select("checksum"))
+    kept = deliveries.keep(first, f"kept_{uuid.uuid4().hex}", new_path(spark, "kept"))
+    known = written(deliveries.checksum_filter(kept), "kept-filter")
+    new = deliveries.new_records(rows.where("odd = 1").select("checksum"), kept, known)
+    return kept.select("checksum", F.lit(1).alias("delivery")).unionByName(new.select("checksum", F.lit(2).alias("delivery")))
+
+
 def dedup_stats(spark, sf):
     groups = _documents(spark, sf).groupBy("checksum").agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.sum("n").cast("long").alias("n_rows"), F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("largest"), F.count_if(F.col("n") > 1).alias("n_groups"))
@@ -199,7 +210,7 @@ def contract_errors(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        curate_manifest, split_checksum_empty_bucket, dedup_exact, dedup_stats, split_assign, split_counts_by_lang, split_seed_drift, source_checksum, source_checksum_tree,
+        curate_manifest, split_checksum_empty_bucket, dedup_exact, dedup_second_delivery, dedup_stats, split_assign, split_counts_by_lang, split_seed_drift, source_checksum, source_checksum_tree,
         reject_report, validate_required, validate_enums, validate_ranges, manifest_validate, registry_validate, training_config, canonical_json_checksums, curate_end_to_end,
         contract_errors,
     )
@@ -245,6 +256,7 @@ ORACLES = {
     "curate_manifest": _manifest_sql(split_sql()),
     "split_checksum_empty_bucket": _manifest_sql(split_sql(SEED, 0.0, 0.2)),
     "dedup_exact": f"WITH {_U} SELECT checksum FROM u",
+    "dedup_second_delivery": "SELECT sha256(text) AS checksum, min(CASE WHEN doc_id % 2 = 1 THEN 2 ELSE 1 END)::INT AS delivery FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "dedup_stats": "WITH g AS (SELECT text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text) SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_unique, max(n) AS largest, count(*) FILTER (n > 1) AS n_groups FROM g",
     "split_assign": f"WITH {_U} SELECT checksum, {_BUCKET.format(seed=SEED)} AS bucket, {split_sql()} AS split FROM u",
     "split_counts_by_lang": f"WITH l AS (SELECT DISTINCT lang, sha256(text) AS checksum FROM documents WHERE text IS NOT NULL) SELECT lang, {split_sql()} AS split, count(*) AS n FROM l GROUP BY ALL",
