@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Size of the bucket space: the first four bytes of a SHA-256 digest.
 BUCKET_SPACE = 1 << 32
+#: Hex digits that the members of a node share, level by level: 16 million nodes, 4,096 nodes, and the root.
+TREE = (6, 3)
 
 
 def text_checksum(text: Column) -> Column:
@@ -79,17 +81,19 @@ def set_checksums_in_order(df: DataFrame, by: str, digest: str) -> dict[str, tup
     return {k: (n, h.hexdigest()) for k, (n, h) in done.items()}
 
 
-def set_checksum_tree(df: DataFrame, by: list[str], digest: str, out: str, width: int = 3) -> DataFrame:
-    """Two-level order-free set digest for groups of any size.
+def set_checksum_tree(df: DataFrame, by: list[str], digest: str, out: str, widths: Sequence[int] = TREE) -> DataFrame:
+    """(by, n, out): order-free digest of each group's set of hex digests, for groups of any size.
 
-    Members are first digested per leading hex prefix, then the ordered prefix
-    digests are digested; no row holds more than a 16^width-th of a group.
+    Members that share their first ``widths[0]`` hex digits make a node, whose digest is the
+    SHA-256 of theirs, sorted and concatenated; nodes that share the first ``widths[1]`` digits
+    make a node of the next level by their prefix' order, and so on up to one root. Each level is an
+    aggregation, and no row holds more than a 16^widths[0]-th of a group, or 16^(widths[i] - widths[i + 1])
+    nodes. Without ``by`` the whole table is one group, whose root without members is the digest of nothing.
     """
-    leaves = df.withColumn("_leaf", F.substring(digest, 1, width)).groupBy(*by, "_leaf").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sha2(F.array_join(F.sort_array(F.collect_list(digest)), ""), 256).alias("_d"),
-    )
-    return leaves.groupBy(*by).agg(
-        F.sum("_n").alias("n"),
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_leaf", "_d"))), lambda x: x["_d"]), ""), 256).alias(out),
-    )
+    nodes = df.select(*by, F.col(digest).alias("_key"), F.col(digest).alias("_digest"), F.lit(1).cast("long").alias("_n"))
+    for w in (*widths, 0):
+        level = nodes.groupBy(*by, F.substring("_key", 1, w).alias("_node")) if w else nodes.groupBy(*by)
+        inner = F.transform(F.sort_array(F.collect_list(F.struct("_key", "_digest"))), lambda x: x["_digest"])
+        made = level.agg(F.coalesce(F.sum("_n"), F.lit(0).cast("long")).alias("_n"), F.sha2(F.array_join(inner, ""), 256).alias("_digest"))
+        nodes = made.withColumnRenamed("_node", "_key")
+    return nodes.select(*by, F.col("_n").alias("n"), F.col("_digest").alias(out))

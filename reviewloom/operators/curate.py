@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.contract import DATASET_MANIFEST, NOT_JSON, TRAINING_EXAMPLE, load_contract, violations
-from reviewloom.functions.hashing import BUCKET_SPACE, canonical_checksum, hash_bucket, set_checksums_in_order
+from reviewloom.functions.hashing import BUCKET_SPACE, canonical_checksum, hash_bucket, set_checksum_tree, set_checksums_in_order
 from reviewloom.functions.vocabulary import literal_rows
 from reviewloom.sources.records import numbered_lines, write_json
 from reviewloom.sources.scratch import written
@@ -40,11 +40,21 @@ def split_of(checksum: Column, seed: int, val_ratio: float = 0.1, test_ratio: fl
     return F.when(b < val, "val").when(b < test, "test").otherwise("train")
 
 
-def split_manifest(df: DataFrame, checksum: str = "checksum", split: str = "split") -> DataFrame:
-    """Count and set checksum of all three splits, those without rows included. The digests pass the driver in order as this is called."""
-    have = set_checksums_in_order(df, split, checksum)
-    rows = [(s, *have.get(s, (0, EMPTY_SET))) for s in SPLITS]
-    return literal_rows(df.sparkSession, ("split", "n", "checksum"), rows).select("split", F.col("n").cast("long").alias("n"), "checksum")
+def split_manifest(df: DataFrame, checksum: str = "checksum", split: str = "split", in_order: bool = False) -> DataFrame:
+    """Count and set checksum of all three splits, those without rows included.
+
+    The checksum is the root of :func:`set_checksum_tree`, made by executors alone. With
+    ``in_order`` it is one SHA-256 over all sorted digests, for manifests that are to equal
+    ones made so; the digests then pass the driver in order as this is called.
+    """
+    if in_order:
+        have = set_checksums_in_order(df, split, checksum)
+        rows = [(s, *have.get(s, (0, EMPTY_SET))) for s in SPLITS]
+        return literal_rows(df.sparkSession, ("split", "n", "checksum"), rows).select("split", F.col("n").cast("long").alias("n"), "checksum")
+    roots = set_checksum_tree(df.select(F.col(split).alias("split"), F.col(checksum).alias("_member")), ["split"], "_member", "checksum")
+    names = literal_rows(df.sparkSession, ("split",), [(s,) for s in SPLITS])
+    # A row a split, three at most.
+    return names.join(F.broadcast(roots.where(F.col("split").isin(*SPLITS))), "split", "left").select("split", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("checksum", F.lit(EMPTY_SET)).alias("checksum"))
 
 
 def manifest_record(dataset_id: str, version: str, seed: int, splits: dict[str, tuple[int, str]], source_checksum: str | None = None) -> dict:
@@ -91,20 +101,23 @@ def checked_records(raw: DataFrame, contract: dict) -> DataFrame:
     return raw
 
 
-def curate(spark: SparkSession, examples: str, dataset_id: str, version: str, seed: int, manifest: str | None = None, contract: dict | str = TRAINING_EXAMPLE) -> tuple[DataFrame, dict]:
+def curate(spark: SparkSession, examples: str, dataset_id: str, version: str, seed: int, manifest: str | None = None, contract: dict | str = TRAINING_EXAMPLE, in_order: bool = False) -> tuple[DataFrame, dict]:
     """Load, validate, dedup, split and write: ((checksum, _raw, split), manifest) of a JSONL file of training examples.
 
     A line that is not JSON fails with its physical line number, the first record that
     breaks the contract with its index among the records, both before anything is
     written. ``contract``: a JSON Schema document, or the path of one. Lines are numbered and
-    canonical checksums taken once, and written. The splits' checksums and that of all records are digests of sorted
-    canonical checksums.
+    canonical checksums taken once, and written. The splits' checksums and that of all records are digests of their sets of
+    canonical checksums, as in :func:`split_manifest`.
     """
     raw = written(numbered_lines(spark, examples, "py"), "lines")
     checked_records(raw, load_contract(spark, contract) if isinstance(contract, str) else contract)
     rows = written(unique_records(raw), "unique-records").withColumn("split", split_of(F.col("checksum"), seed))
-    splits = set_checksums_in_order(rows, "split", "checksum")
-    whole = set_checksums_in_order(rows.withColumn("all", F.lit("all")), "all", "checksum").get("all", (0, EMPTY_SET))[1]
+    splits = {r["split"]: (r["n"], r["checksum"]) for r in split_manifest(rows, in_order=in_order).collect()}
+    if in_order:
+        whole = set_checksums_in_order(rows.withColumn("all", F.lit("all")), "all", "checksum").get("all", (0, EMPTY_SET))[1]
+    else:
+        whole = set_checksum_tree(rows, [], "checksum", "whole").first()["whole"]
     record = checked_manifest(spark, manifest_record(dataset_id, version, seed, splits, whole))
     if manifest:
         write_json(record, manifest)

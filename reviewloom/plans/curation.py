@@ -76,7 +76,7 @@ def source_checksum(spark, sf):
 def source_checksum_tree(spark, sf):
     """The two-level digest for sets of any size."""
     rows = _unique(spark, sf).select(F.lit("all").alias("scope"), "checksum")
-    return set_checksum_tree(rows, ["scope"], "checksum", "set_checksum")
+    return set_checksum_tree(rows, ["scope"], "checksum", "set_checksum", (3,))
 
 
 def _records(spark, sf):
@@ -226,10 +226,17 @@ def split_sql(seed: int = SEED, val: float = 0.1, test: float = 0.1) -> str:
     return f"CASE WHEN {b} < {lo} THEN 'val' WHEN {b} < {hi} THEN 'test' ELSE 'train' END"
 
 
+def _tree_sql(members: str, by: str, name: str) -> str:
+    """The set digests of ``members`` (by, checksum) as a table (by, n, checksum) called ``name``."""
+    return f"""{name}_6 AS (SELECT {by}, substr(checksum, 1, 6) AS k6, count(*) AS n, sha256(string_agg(checksum, '' ORDER BY checksum)) AS d FROM {members} GROUP BY {by}, substr(checksum, 1, 6)),
+{name}_3 AS (SELECT {by}, substr(k6, 1, 3) AS k3, sum(n) AS n, sha256(string_agg(d, '' ORDER BY k6)) AS d FROM {name}_6 GROUP BY {by}, substr(k6, 1, 3)),
+{name} AS (SELECT {by}, sum(n)::BIGINT AS n, sha256(string_agg(d, '' ORDER BY k3)) AS checksum FROM {name}_3 GROUP BY {by})"""
+
+
 def _manifest_sql(split: str) -> str:
     return f"""
 WITH {_U}, s AS (SELECT checksum, {split} AS split FROM u),
-g AS (SELECT split, count(*) AS n, sha256(string_agg(checksum, '' ORDER BY checksum)) AS checksum FROM s GROUP BY split)
+{_tree_sql("s", "split", "g")}
 SELECT x.split, coalesce(g.n, 0)::BIGINT AS n, coalesce(g.checksum, sha256('')) AS checksum
 FROM (VALUES ('train'), ('val'), ('test')) x(split) LEFT JOIN g ON g.split = x.split"""
 
@@ -273,8 +280,9 @@ CASE WHEN doc_id % 3 = 0 THEN 'split_seed: required' END, CASE WHEN doc_id % 7 =
 CASE WHEN NOT regexp_matches(coalesce(version, ''), '^\d+\.\d+\.\d+$') THEN 'version: not a version' END, CASE WHEN adapter_type NOT IN ('lora', 'qlora', 'full-finetune') THEN 'adapter type: not one of the allowed values' END, CASE WHEN rank < 1 THEN 'rank: below 1' END], lambda x: x IS NOT NULL), ';') END AS errors FROM g""",
     "canonical_json_checksums": "SELECT lang, sha256('{\"a\":\"' || lang || '\",\"b\":1.5}') AS checksum, 2 * count(*) AS n FROM documents GROUP BY 1",
     "curate_end_to_end": f"""WITH e AS (SELECT DISTINCT sha256('{_EXAMPLE[0]}' || sha256(text) || '{_EXAMPLE[1]}') AS checksum FROM documents WHERE text IS NOT NULL), s AS (SELECT checksum, {split_sql()} AS split FROM e),
-g AS (SELECT split, count(*) AS n, sha256(string_agg(checksum, '' ORDER BY checksum)) AS checksum FROM s GROUP BY split), w AS (SELECT sha256(string_agg(checksum, '' ORDER BY checksum)) AS source FROM e)
-SELECT x.split, coalesce(g.n, 0)::BIGINT AS n, coalesce(g.checksum, sha256('')) AS checksum, source, {SEED}::BIGINT AS seed FROM (VALUES ('train'), ('val'), ('test')) x(split) LEFT JOIN g ON g.split = x.split CROSS JOIN w""",
+{_tree_sql("s", "split", "g")}, a AS (SELECT 'all' AS scope, checksum FROM e),
+{_tree_sql("a", "scope", "w")}
+SELECT x.split, coalesce(g.n, 0)::BIGINT AS n, coalesce(g.checksum, sha256('')) AS checksum, coalesce(w.checksum, sha256('')) AS source, {SEED}::BIGINT AS seed FROM (VALUES ('train'), ('val'), ('test')) x(split) LEFT JOIN g ON g.split = x.split LEFT JOIN w ON true""",
     "contract_errors": """WITH e AS (SELECT doc_id, CASE WHEN doc_id IS NOT NULL AND doc_id % 31 = 0 THEN ['record: invalid JSON'] ELSE list_filter([
 CASE WHEN doc_id IS NULL THEN 'doc_id: required' END, CASE WHEN text IS NULL THEN 'text: required' END, CASE WHEN source IS NULL OR doc_id % 7 = 0 OR doc_id IS NULL THEN 'source: required' END,
 CASE WHEN doc_id < 20 THEN 'doc_id: below 20' END, CASE WHEN text = '' THEN 'text: empty' WHEN length(text) < 400 THEN 'text: too short' END, CASE WHEN lang NOT IN ('en', 'de') THEN 'lang: not one of the allowed values' END,

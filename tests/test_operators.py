@@ -46,9 +46,39 @@ def test_dedup_is_idempotent_and_manifest_counts(spark):
     df = spark.createDataFrame([("a",), ("b",), ("a",)], "checksum string")
     once = curate.dedup_exact(df)
     assert once.count() == curate.dedup_exact(once).count() == 2
-    rows = {r.split: r for r in curate.split_manifest(once.withColumn("split", F.lit("val"))).collect()}
+    rows = {r.split: r for r in curate.split_manifest(once.withColumn("split", F.lit("val")), in_order=True).collect()}
     assert rows["val"].n == 2 and rows["val"].checksum == hashlib.sha256(b"ab").hexdigest()
     assert rows["train"].n == 0 and rows["train"].checksum == hashlib.sha256(b"").hexdigest()
+    rows = {r.split: r for r in curate.split_manifest(once.withColumn("split", F.lit("val"))).collect()}
+    assert rows["val"].n == 2 and rows["val"].checksum == tree_digest("ab")
+    assert rows["train"].n == 0 and rows["train"].checksum == hashlib.sha256(b"").hexdigest()
+
+
+def tree_digest(members, widths=(6, 3)):
+    nodes = [(m, m) for m in members]
+    for w in (*widths, 0):
+        groups = {}
+        for key, d in sorted(nodes):
+            groups.setdefault(key[:w], []).append(d)
+        nodes = [(k, hashlib.sha256("".join(ds).encode()).hexdigest()) for k, ds in groups.items()]
+    return nodes[0][1] if nodes else hashlib.sha256(b"").hexdigest()
+
+
+def test_set_checksum_tree(spark):
+    rng = random.Random(3)
+    # Members that share three, six and all digits but the last, and some twice.
+    sums = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(2000)]
+    sums += ["abc" + c[3:] for c in sums[:300]] + ["abcdef" + c[6:] for c in sums[:200]] + ["f" * 63 + c[0] for c in sums[:9]]
+    rows = [(rng.choice(["a", "b", None]), c) for c in sums]
+    df = spark.createDataFrame(rows, "part string, c string")
+    for parts in (1, 7):
+        got = {r.part: (r.n, r.d) for r in hashing.set_checksum_tree(df.repartition(parts), ["part"], "c", "d").collect()}
+        assert got == {p: (len(mine), tree_digest(mine)) for p in ("a", "b", None) for mine in [[c for q, c in rows if q == p]]}
+    whole = hashing.set_checksum_tree(df, [], "c", "d").first()
+    assert (whole.n, whole.d) == (len(sums), tree_digest(sums))
+    assert hashing.set_checksum_tree(df, [], "c", "d", (3,)).first().d == tree_digest(sums, (3,))
+    none = hashing.set_checksum_tree(df.limit(0), [], "c", "d").first()
+    assert (none.n, none.d) == (0, tree_digest([])) and hashing.set_checksum_tree(df.limit(0), ["part"], "c", "d").collect() == []
 
 
 def test_trims(spark):
@@ -281,8 +311,6 @@ def test_evaluation_with_a_predictor(spark):
 
 
 def test_set_checksums_in_order(spark):
-    import random
-
     rng = random.Random(1)
     rows = [(rng.choice("ab"), hashlib.sha256(str(i).encode()).hexdigest()) for i in range(3000)]
     got = hashing.set_checksums_in_order(spark.createDataFrame(rows, "part string, c string").repartition(7), "part", "c")

@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from reviewloom.analyzers import engine
+from reviewloom.functions import hashing
 from reviewloom.functions.text import review_prompt
 from reviewloom.operators import curate, validate
 from reviewloom.sources import record_set, records, source_tree
@@ -96,12 +97,15 @@ def test_curate(spark, tmp_path):
     path, out = tmp_path / "x.jsonl", tmp_path / "m" / "manifest.json"
     lines = [json.dumps(example(f"code é {i % 80}"), ensure_ascii=bool(i % 2)) for i in range(100)]
     path.write_text("\n".join(lines) + "\n")
-    rows, made = curate.curate(spark, str(path), "set", "1.2.3", 7, str(out))
+    rows, made = curate.curate(spark, str(path), "set", "1.2.3", 7, str(out), in_order=True)
     sums = {hashlib.sha256(json.dumps(json.loads(x), sort_keys=True, separators=(",", ":")).encode()).hexdigest() for x in lines}
     assert rows.count() == sum(made["counts"].values()) == len(sums) == 80 and {r.checksum for r in rows.collect()} == sums
     assert made["sourceExamplesChecksum"] == hashlib.sha256("".join(sorted(sums)).encode()).hexdigest()
     assert json.loads(out.read_text()) == made and made["splitSeed"] == 7
-    assert curate.curate(spark, str(path), "set", "1.2.3", 7)[1] == made != curate.curate(spark, str(path), "set", "1.2.3", 8)[1]
+    assert curate.curate(spark, str(path), "set", "1.2.3", 7, in_order=True)[1] == made != curate.curate(spark, str(path), "set", "1.2.3", 8, in_order=True)[1]
+    _, tree = curate.curate(spark, str(path), "set", "1.2.3", 7)
+    assert tree["counts"] == made["counts"] and all(tree["checksums"][s] != made["checksums"][s] for s in curate.SPLITS if made["counts"][s])
+    assert tree == curate.curate(spark, str(path), "set", "1.2.3", 7)[1] and tree["sourceExamplesChecksum"] == hashing.set_checksum_tree(rows, [], "checksum", "d").first().d
     path.write_text("\n".join([lines[0], "", json.dumps(example("")), lines[1]]))
     with pytest.raises(ValueError, match="example 1: code: empty"):
         curate.curate(spark, str(path), "set", "1.2.3", 7)
