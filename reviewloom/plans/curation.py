@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.contract import violations
 from reviewloom.functions.hashing import canonical_checksum, hash_bucket, set_checksum, set_checksum_tree, text_checksum
-from reviewloom.functions.vocabulary import CONFIDENCES, LANGUAGES, MODEL_STATUSES, SEVERITIES, SOURCE_TYPES, literal_rows
+from reviewloom.functions.vocabulary import ADAPTER_TYPES, CONFIDENCES, LANGUAGES, MODEL_STATUSES, SEVERITIES, SOURCE_TYPES, literal_rows
 from reviewloom.operators import curate, deliveries, validate
 from reviewloom.sources.scratch import new_path, tables_made, written
 from reviewloom.sources.tables import table
@@ -130,28 +130,31 @@ def manifest_validate(spark, sf):
     return rows.select("doc_id", F.array_join(validate.manifest_errors(), ";").alias("errors"))
 
 
-#: Registry entries of the check: path, found, status, version, adapter type, rank.
-REGISTRY = (
-    ("a/base", True, "planned", "0.1.0", None, None),
-    ("a/lora", True, "trained", "1.0.0", "lora", 8),
-    ("b/gone", False, None, None, None, None),
-    ("b/odd", True, "done", "1.0", "prefix", 0),
-    ("c/none", True, None, "0.1.0", "qlora", None),
-)
+def _pick(values, by):
+    return F.get(F.array(*map(F.lit, values)), (by % len(values)).cast("int"))
 
 
-def _registry(spark):
-    rows = literal_rows(spark, ("path", "found", "status", "version", "adapter_type", "rank"), REGISTRY)
-    return rows.select("path", "found", *[F.col(c).cast("string").alias(c) for c in ("status", "version", "adapter_type")], F.col("rank").cast("int").alias("rank"))
+def _registry(spark, sf):
+    """Documents as entries of a model registry, with planted faults."""
+    k = F.col("doc_id")
+    return table(spark, sf, "documents").select(
+        F.concat(F.coalesce("source", F.lit("")), F.lit("/"), k.cast("string")).alias("path"),
+        (k % 9 != 0).alias("found"),
+        F.when(k % 7 == 0, "done").when(k % 8 != 0, _pick(MODEL_STATUSES, k)).alias("status"),
+        F.when(k % 6 == 0, "1.0").otherwise("1.2.3").alias("version"),
+        F.when(k % 5 == 0, "prefix").when(k % 4 != 0, _pick(ADAPTER_TYPES, k)).alias("adapter_type"),
+        F.when(k % 3 != 0, F.col("n_chars") % 20).cast("int").alias("rank"),
+        F.when(k % 2 == 0, F.array(F.concat(F.lit("proj_"), F.coalesce("lang", F.lit(""))))).alias("targets"),
+    )
 
 
 def registry_validate(spark, sf):
-    return _registry(spark).select("path", F.array_join(validate.model_errors(), ";").alias("errors"))
+    return _registry(spark, sf).select("path", F.array_join(validate.model_errors(), ";").alias("errors"))
 
 
 def training_config(spark, sf):
-    config = validate.training_config(F.col("rank"), F.lit(None).cast("array<string>"))
-    return _registry(spark).select("path", config.alias("c")).select("path", "c.rank", F.array_join("c.targets", ",").alias("targets"))
+    config = validate.training_config(F.col("rank"), F.col("targets"))
+    return _registry(spark, sf).select("path", config.alias("c")).select("path", "c.rank", F.array_join("c.targets", ",").alias("targets"))
 
 
 def canonical_json_checksums(spark, sf):
@@ -241,7 +244,7 @@ SELECT x.split, coalesce(g.n, 0)::BIGINT AS n, coalesce(g.checksum, sha256(''))
 FROM (VALUES ('train'), ('val'), ('test')) x(split) LEFT JOIN g ON g.split = x.split"""
 
 
-def _pick(values, step):
+def _pick_sql(values, step):
     return f"([{', '.join(repr(v) for v in values)}])[(doc_id % {len(values) + step} + 1)::INT]"
 
 
@@ -249,15 +252,17 @@ def _in(values):
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-_RECORDS = f"""r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'rust' ELSE {_pick(LANGUAGES, 1)} END AS language, CASE WHEN doc_id % 17 = 0 THEN '' ELSE text END AS code,
-CASE WHEN doc_id % 13 <> 0 THEN 'bug' END AS category, CASE WHEN doc_id % 19 = 0 THEN 'sure' ELSE {_pick(CONFIDENCES, 0)} END AS confidence, (doc_id % 30) / 25.0 AS score,
-CASE WHEN doc_id % 23 <> 0 THEN {_pick(SEVERITIES, 0)} END AS severity, CASE WHEN doc_id % 29 = 0 THEN 'blog' ELSE {_pick(SOURCE_TYPES, 0)} END AS source_type FROM documents),
+_RECORDS = f"""r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'rust' ELSE {_pick_sql(LANGUAGES, 1)} END AS language, CASE WHEN doc_id % 17 = 0 THEN '' ELSE text END AS code,
+CASE WHEN doc_id % 13 <> 0 THEN 'bug' END AS category, CASE WHEN doc_id % 19 = 0 THEN 'sure' ELSE {_pick_sql(CONFIDENCES, 0)} END AS confidence, (doc_id % 30) / 25.0 AS score,
+CASE WHEN doc_id % 23 <> 0 THEN {_pick_sql(SEVERITIES, 0)} END AS severity, CASE WHEN doc_id % 29 = 0 THEN 'blog' ELSE {_pick_sql(SOURCE_TYPES, 0)} END AS source_type FROM documents),
 m AS (SELECT doc_id, unnest(list_filter([CASE WHEN language IS NULL THEN 'language: required' END, CASE WHEN code IS NULL THEN 'code: required' END, CASE WHEN category IS NULL THEN 'category: required' END,
 CASE WHEN severity IS NULL THEN 'severity: required' END, CASE WHEN language NOT IN {_in(LANGUAGES)} THEN 'language: not one of the allowed values' END, CASE WHEN confidence NOT IN {_in(CONFIDENCES)} THEN 'confidence: not one of the allowed values' END,
 CASE WHEN severity NOT IN {_in(SEVERITIES)} THEN 'severity: not one of the allowed values' END, CASE WHEN source_type NOT IN {_in(SOURCE_TYPES)} THEN 'source_type: not one of the allowed values' END,
 CASE WHEN code = '' THEN 'code: empty' END, CASE WHEN score < 0 OR score > 1 THEN 'confidence_score: outside of 0 to 1' END], lambda x: x IS NOT NULL)) AS message FROM r)"""
 
-_REGISTRY = "g(path, found, status, version, adapter_type, rank) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in REGISTRY) + ")"
+_REGISTRY = f"""g AS (SELECT coalesce(source, '') || '/' || doc_id AS path, doc_id % 9 <> 0 AS found, CASE WHEN doc_id % 7 = 0 THEN 'done' WHEN doc_id % 8 <> 0 THEN {_pick_sql(MODEL_STATUSES, 0)} END AS status,
+CASE WHEN doc_id % 6 = 0 THEN '1.0' ELSE '1.2.3' END AS version, CASE WHEN doc_id % 5 = 0 THEN 'prefix' WHEN doc_id % 4 <> 0 THEN {_pick_sql(ADAPTER_TYPES, 0)} END AS adapter_type,
+CASE WHEN doc_id % 3 <> 0 THEN n_chars % 20 END AS rank, CASE WHEN doc_id % 2 = 0 THEN 'proj_' || coalesce(lang, '') END AS targets FROM documents)"""
 
 ORACLES = {
     "curate_manifest": _manifest_sql(split_sql()),
@@ -277,7 +282,7 @@ ORACLES = {
     "manifest_validate": """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'dataset_id: required' END, CASE WHEN doc_id % 4 = 0 THEN 'version: not a version' END,
 CASE WHEN doc_id % 3 = 0 THEN 'split_seed: required' END, CASE WHEN doc_id % 7 = 0 THEN 'n_train: negative or missing' END], lambda x: x IS NOT NULL), ';') AS errors FROM documents""",
     "registry_validate": rf"""WITH {_REGISTRY} SELECT path, CASE WHEN NOT found THEN 'file is missing' ELSE array_to_string(list_filter([CASE WHEN coalesce(status, '') NOT IN {_in(MODEL_STATUSES)} THEN 'status: not one of the allowed values' END,
-CASE WHEN NOT regexp_matches(coalesce(version, ''), '^\d+\.\d+\.\d+$') THEN 'version: not a version' END, CASE WHEN adapter_type NOT IN ('lora', 'qlora', 'full-finetune') THEN 'adapter type: not one of the allowed values' END, CASE WHEN rank < 1 THEN 'rank: below 1' END], lambda x: x IS NOT NULL), ';') END AS errors FROM g""",
+CASE WHEN NOT regexp_matches(coalesce(version, ''), '^\d+\.\d+\.\d+$') THEN 'version: not a version' END, CASE WHEN adapter_type NOT IN {_in(ADAPTER_TYPES)} THEN 'adapter type: not one of the allowed values' END, CASE WHEN rank < 1 THEN 'rank: below 1' END], lambda x: x IS NOT NULL), ';') END AS errors FROM g""",
     "canonical_json_checksums": "SELECT lang, sha256('{\"a\":\"' || lang || '\",\"b\":1.5}') AS checksum, 2 * count(*) AS n FROM documents GROUP BY 1",
     "curate_end_to_end": f"""WITH e AS (SELECT DISTINCT sha256('{_EXAMPLE[0]}' || sha256(text) || '{_EXAMPLE[1]}') AS checksum FROM documents WHERE text IS NOT NULL), s AS (SELECT checksum, {split_sql()} AS split FROM e),
 {_tree_sql("s", "split", "g")}, a AS (SELECT 'all' AS scope, checksum FROM e),
@@ -290,5 +295,5 @@ CASE WHEN doc_id % 7 <> 0 AND NOT regexp_matches(source, '[a-m]$') THEN 'source:
 CASE WHEN doc_id % 3 = 0 THEN 'labels: too few items' END, CASE WHEN doc_id % 5 = 0 THEN 'labels[0].value: not of type integer' END,
 CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 = 0 THEN 'labels[1].name: not the fixed value' END, CASE WHEN doc_id % 9 = 0 THEN 'extra: unknown key' END], lambda x: x IS NOT NULL) END AS errors FROM documents)
 SELECT doc_id, len(errors)::BIGINT AS n_errors, array_to_string(errors, '; ') AS errors FROM e""",
-    "training_config": f"WITH {_REGISTRY} SELECT path, coalesce(rank, 16)::INT AS rank, 'q_proj,v_proj' AS targets FROM g",
+    "training_config": f"WITH {_REGISTRY} SELECT path, coalesce(rank, 16)::INT AS rank, coalesce(targets, 'q_proj,v_proj') AS targets FROM g",
 }
