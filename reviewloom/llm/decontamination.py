@@ -30,6 +30,8 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -55,6 +57,10 @@ RUN = 3
 MIN_ITEM_WORDS = 8
 #: Items are indexed in blocks of at most this many characters; only such a block, and the words of all items with their counts, are ever on the driver.
 INDEX_CHARS = 16_000_000
+#: Postings that the words of some passages are expanded to at a time, if no single passage has more.
+EXPANDED = 1 << 20
+#: Words of a text that are looked at together, about.
+PIECE = 1 << 14
 #: Words of the longest item of a class, by which passages are cut; each class has items of up to CLASS times the words.
 SHORT_CLASS, CLASS = 64, 8
 
@@ -75,12 +81,12 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return only[:cut], only[cut:]
 
 
-def runs(words: list[str]) -> set[tuple[str, ...]]:
+def runs(words: list) -> set[tuple]:
     n = min(RUN, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
-def overlap(part: list[str], words: list[str]) -> float:
+def overlap(part: list, words: list) -> float:
     """Share of the part's word runs that are among the words; a part without words is covered."""
     need = runs(part)
     if not need:
@@ -92,15 +98,23 @@ def overlap(part: list[str], words: list[str]) -> float:
 
 @dataclass
 class Index:
+    """Flat arrays, 12 bytes a posting and 4 a word, beside the ids and the vocabulary."""
+
     ids: list
-    parts: list[tuple[list[str], list[str]]]
     vocabulary: dict[str, int]
-    #: By term: items in order, their impacts, and the largest impact of each block and of the list.
-    items: list[list[int]]
-    impacts: list[list[float]]
-    block_max: list[list[float]]
-    list_max: list[float]
-    #: Essential postings in compressed rows, and what an item needs on them.
+    #: Words of the items one after another, where an item's begin, and how many of them are its question's.
+    said: array
+    said_start: array
+    asked: array
+    #: Where a term's postings begin; items in order within a term, and their impacts.
+    start: array
+    items: array
+    impacts: array
+    #: Where a term's blocks begin; the largest impact of each block, and of each term.
+    block_start: array
+    block_max: array
+    list_max: array
+    #: Essential postings by term, and what an item needs on them.
     essential_start: np.ndarray
     essential_item: np.ndarray
     essential_impact: np.ndarray
@@ -111,6 +125,29 @@ class Index:
     #: Order of the items as given, by place in ``ids``.
     order: list[int]
 
+    def postings(self, term: int) -> Iterator[tuple[int, float]]:
+        """(item, impact) of a term."""
+        for p in range(self.start[term], self.start[term + 1]):
+            yield self.items[p], self.impacts[p]
+
+    def part(self, item: int) -> tuple[list[int], list[int]]:
+        """Terms of an item's question and of its answer."""
+        a, b = self.said_start[item], self.said_start[item + 1]
+        cut = a + self.asked[item]
+        return self.said[a:cut].tolist(), self.said[cut:b].tolist()
+
+
+def _flat(kind: str, values: np.ndarray) -> array:
+    out = array(kind)
+    out.frombytes(values.astype({"i": np.int32, "q": np.int64, "d": np.float64}[kind]).tobytes())
+    return out
+
+
+def _by_term(term: array, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of postings by term, and where each term's begin."""
+    terms = np.frombuffer(term, np.int32) if len(term) else np.zeros(0, np.int32)
+    return np.argsort(terms, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(terms, minlength=n_terms)))).astype(np.int64)
+
 
 @dataclass
 class Statistics:
@@ -128,72 +165,84 @@ class Statistics:
 
 def build(rows: list[tuple[object, str | None]], threshold: float = THRESHOLD, of_all: Statistics | None = None) -> Index:
     """Index of these items; ``of_all`` are the statistics of all items, where these are but a block of them."""
-    worded = [(i, t, w, k) for k, (i, t) in enumerate(rows) if (w := words_of(t))]
-    found = [(i, t, w) for i, t, w, _ in worded if len(w) >= MIN_ITEM_WORDS]
-    brief = [(i, w) for i, _, w, _ in worded if len(w) < MIN_ITEM_WORDS]
-    order = [k for *_, w, k in worded if len(w) >= MIN_ITEM_WORDS] + [k for *_, w, k in worded if len(w) < MIN_ITEM_WORDS]
     if of_all is None:
         of_all = Statistics()
-        for _, _, w in found:
-            of_all.add(w)
-    n = len(found)
-    average = of_all.words / max(of_all.n, 1)
+        for _, t in rows:
+            of_all.add(words_of(t))
+    ids, order, brief, vocabulary = [], [], [], {}
+    said, said_start, asked = array("i"), array("q", [0]), array("i")
+    for k, (i, text) in enumerate(rows):
+        words = words_of(text)
+        if 0 < len(words) < MIN_ITEM_WORDS:
+            brief.append((i, words, k))
+        elif words:
+            ids.append(i)
+            order.append(k)
+            said.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words])
+            said_start.append(len(said))
+            asked.append(len(question_and_answer(text)[0]))
+    n = len(ids)
     short: dict[str, list[tuple[list[str], int]]] = {}
-    for k, (_, w) in enumerate(brief):
-        short.setdefault(w[0], []).append((w, n + k))
-    vocabulary: dict[str, int] = {}
-    counts = []
-    for _, _, words in found:
-        tf: dict[int, int] = {}
-        for w in words:
-            t = vocabulary.setdefault(w, len(vocabulary))
-            tf[t] = tf.get(t, 0) + 1
-        counts.append(tf)
-    df = np.fromiter((of_all.df[w] for w in vocabulary), np.int64, len(vocabulary))
-    idf = np.log(1 + (of_all.n - df + 0.5) / (df + 0.5))
-    items: list[list[int]] = [[] for _ in vocabulary]
-    impacts: list[list[float]] = [[] for _ in vocabulary]
-    rare: list[tuple[int, int, float]] = []
+    for k, (_, words, _) in enumerate(brief):
+        short.setdefault(words[0], []).append((words, n + k))
+    df = [of_all.df[w] for w in vocabulary]
+    idf = [math.log(1 + (of_all.n - x + 0.5) / (x + 0.5)) for x in df]
+    average = of_all.words / max(of_all.n, 1)
+    term, item, impact = array("i"), array("i"), array("d")
+    rare_term, rare_item, rare_impact = array("i"), array("i"), array("d")
     needed = np.zeros(n)
-    for k, tf in enumerate(counts):
-        norm = K1 * (1 - B + B * len(found[k][2]) / average)
-        weight = {t: idf[t] * f * (K1 + 1) / (f + norm) for t, f in tf.items()}
+    for k in range(n):
+        own = said[said_start[k] : said_start[k + 1]]
+        norm = K1 * (1 - B + B * len(own) / average)
+        weight = {t: idf[t] * f * (K1 + 1) / (f + norm) for t, f in Counter(own).items()}
         total = sum(weight.values())
-        rest = 1.0
-        for t in sorted(weight, key=lambda t: (df[t], t)):
-            items[t].append(k)
-            impacts[t].append(weight[t] / total)
-        for t in sorted(weight, key=lambda t: (df[t], t)):
-            if rest < threshold / 2:
-                break
-            rare.append((t, k, weight[t] / total))
-            rest -= weight[t] / total
+        ranked = sorted(weight, key=lambda t: (df[t], t))
+        shares = [weight[t] / total for t in ranked]
+        term.extend(ranked)
+        item.extend([k] * len(ranked))
+        impact.extend(shares)
+        rest, some = 1.0, 0
+        while some < len(ranked) and rest >= threshold / 2:
+            rest -= shares[some]
+            some += 1
+        rare_term.extend(ranked[:some])
+        rare_item.extend([k] * some)
+        rare_impact.extend(shares[:some])
         # A little less than exact, for sums in another order.
         needed[k] = threshold - max(rest, 0) - 1e-9
-    rare.sort()
-    starts = np.searchsorted(np.array([r[0] for r in rare], np.int64), np.arange(len(vocabulary) + 1))
+    place, start = _by_term(term, len(vocabulary))
+    impacts = np.array(impact)[place]
+    sizes = np.diff(start)
+    begins = np.flatnonzero((np.arange(len(place)) - np.repeat(start[:-1], sizes)) % BLOCK == 0)
+    top = lambda at: np.maximum.reduceat(impacts, at) if len(at) else np.zeros(0)
+    rare_place, rare_start = _by_term(rare_term, len(vocabulary))
     return Index(
-        [i for i, _, _ in found] + [i for i, _ in brief],
-        [question_and_answer(t) for _, t, _ in found],
+        [*ids, *(i for i, _, _ in brief)],
         vocabulary,
-        items,
-        impacts,
-        [[max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)] for x in impacts],
-        [max(x) for x in impacts],
-        starts,
-        np.array([r[1] for r in rare], np.int64),
-        np.array([r[2] for r in rare]),
+        said,
+        said_start,
+        asked,
+        _flat("q", start),
+        _flat("i", np.array(item, np.int32)[place]),
+        _flat("d", impacts),
+        _flat("q", np.concatenate(([0], np.cumsum(-(-sizes // BLOCK))))),
+        _flat("d", top(begins)),
+        _flat("d", top(start[:-1])),
+        rare_start,
+        np.array(rare_item, np.int32)[rare_place],
+        np.array(rare_impact)[rare_place],
         needed,
-        max((len(w) for _, _, w in found), default=0),
+        int(np.diff(np.array(said_start)).max(initial=0)),
         short,
-        order,
+        [*order, *(k for _, _, k in brief)],
     )
 
 
 def block_max_wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
     """(item, score) of all items that these distinct terms cover to ``threshold`` or more."""
     out, low = [], threshold - 1e-9
-    lists = [[index.items[t][0], 0, t] for t in terms]
+    items, impacts, start = index.items, index.impacts, index.start
+    lists = [[items[start[t]], start[t], t] for t in terms]
     while lists:
         lists.sort()
         # The pivot is the first list at which the bounds of the lists so far reach the threshold.
@@ -205,39 +254,35 @@ def block_max_wand(index: Index, terms: list[int], threshold: float) -> list[tup
                 break
         if pivot < 0:
             break
-        item = lists[pivot][0]
-        while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
+        aimed = lists[pivot][0]
+        while pivot + 1 < len(lists) and lists[pivot + 1][0] == aimed:
             pivot += 1
         head = lists[: pivot + 1]
         # Bounds of the blocks that hold the pivot, and the last item for which they hold.
         tight, until = 0.0, math.inf
-        for x in head:
-            postings, at = index.items[x[2]], x[1]
-            while (at // BLOCK + 1) * BLOCK < len(postings) and postings[(at // BLOCK + 1) * BLOCK - 1] < item:
-                at = (at // BLOCK + 1) * BLOCK
-            b = at // BLOCK
-            end = postings[min((b + 1) * BLOCK, len(postings)) - 1]
-            if end >= item:
-                tight += index.block_max[x[2]][b]
-                until = min(until, end)
+        for _, at, t in head:
+            first, stop = start[t], start[t + 1]
+            if (found := bisect_left(items, aimed, at, stop)) < stop:
+                b = (found - first) // BLOCK
+                tight += index.block_max[index.block_start[t] + b]
+                until = min(until, items[min(first + (b + 1) * BLOCK, stop) - 1])
         if tight >= low:
-            if head[0][0] == item:
-                score = sum(index.impacts[x[2]][x[1]] for x in head)
+            if head[0][0] == aimed:
+                score = sum(impacts[x[1]] for x in head)
                 if score >= low:
-                    out.append((item, score))
-                aim = item + 1
+                    out.append((aimed, score))
+                aim = aimed + 1
             else:
-                aim = item
+                aim = aimed
         else:
             # No item before the next block's start, or before the next list's item, can reach the threshold.
             following = lists[pivot + 1][0] if pivot + 1 < len(lists) else math.inf
-            aim = max(item + 1, min(until + 1, following))
+            aim = max(aimed + 1, min(until + 1, following))
         for x in head:
             if x[0] < aim:
-                postings, at = index.items[x[2]], x[1]
-                while at < len(postings) and postings[at] < aim:
-                    at += 1
-                x[0], x[1] = (postings[at] if at < len(postings) else -1), at
+                stop = start[x[2] + 1]
+                x[1] = bisect_left(items, aim, x[1], stop)
+                x[0] = items[x[1]] if x[1] < stop else -1
         lists = [x for x in lists if x[0] >= 0]
     return out
 
@@ -264,51 +309,76 @@ def short_leaks(index: Index, words: list[str]) -> set[int]:
     return {item for at, word in enumerate(words) if word in firsts for run, item in firsts[word] if words[at : at + len(run)] == run}
 
 
+def pieces(words: list[str], step: int) -> Iterator[list[str]]:
+    """A text in parts that have the same windows as the whole, each window in one of them."""
+    n, per = max((len(words) - step - 1) // step, 0) + 1, max(PIECE // step, 1)
+    for a in range(0, n, per):
+        yield words[a * step : (min(a + per, n) + 1) * step]
+
+
 def leaks(index: Index, texts: list[str | None | list[str]], threshold: float = THRESHOLD) -> list[list[tuple[int, float, float, float]]]:
-    """For each text, or list of its words, its leaks of items searched by BM25: (item, score, question overlap, answer overlap), an item once, by its best passage."""
-    step = index.longest
-    docs = [t if isinstance(t, list) else words_of(t) for t in texts]
-    out: list[list] = [[] for _ in docs]
-    if not step:
+    """For each text, or list of its words, its leaks of items searched by BM25: (item, score, question overlap, answer overlap), an item once, by its best passage.
+
+    Texts are looked at in pieces, as many at a time as have ``EXPANDED`` essential postings.
+    """
+    out: list[list] = [[] for _ in texts]
+    if not index.longest:
         return out
-    get = index.vocabulary.get
-    lengths = np.array([len(d) for d in docs])
-    flat = np.fromiter((get(w, -1) for d in docs for w in d), np.int64, int(lengths.sum()))
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    get, count = index.vocabulary.get, np.diff(index.essential_start)
+    some: list[tuple[int, np.ndarray]] = []
+    size = 0
+    for d, text in enumerate(texts):
+        for piece in pieces(text if isinstance(text, list) else words_of(text), index.longest):
+            terms = np.fromiter((get(w, -1) for w in piece), np.int64, len(piece))
+            mine = int(count[terms[terms >= 0]].sum())
+            if some and size + mine > EXPANDED:
+                _search(index, some, threshold, best)
+                some, size = [], 0
+            some.append((d, terms))
+            size += mine
+    _search(index, some, threshold, best)
+    for (d, item), found in sorted(best.items()):
+        out[d].append((item, *found))
+    return out
+
+
+def _search(index: Index, docs: list[tuple[int, np.ndarray]], threshold: float, best: dict[tuple[int, int], tuple[float, float, float]]) -> None:
+    """Puts the leaks of these pieces, given as terms (-1: of no item), into ``best`` by document and item."""
+    step = index.longest
+    lengths = np.array([len(t) for _, t in docs], np.int64)
+    flat = np.concatenate([t for _, t in docs]) if docs else np.zeros(0, np.int64)
     first = np.concatenate(([0], np.cumsum(lengths)))
     # Essential postings of each word occurrence.
-    at = np.flatnonzero(flat >= 0)
-    n = index.essential_start[flat[at] + 1] - index.essential_start[flat[at]]
-    at = np.repeat(at, n)
+    known = np.flatnonzero(flat >= 0)
+    n = index.essential_start[flat[known] + 1] - index.essential_start[flat[known]]
+    at = np.repeat(known, n)
     if not len(at):
-        return out
-    posting = np.repeat(index.essential_start[flat[np.flatnonzero(flat >= 0)]], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        return
+    posting = np.repeat(index.essential_start[flat[known]], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
     doc = np.searchsorted(first, at, "right") - 1
     slot = (at - first[doc]) // step
     # A word in the s-th stretch of its text is in the windows s - 1 and s (the last one ends with the text).
     last = np.maximum((lengths[doc] - step - 1) // step, 0)
-    span = int(last.max()) + 1
+    span, width = int(last.max()) + 1, len(index.essential_item)
     keys = []
     for back in (0, 1):
         ok = (slot - back >= 0) & (slot - back <= last)
-        keys.append(np.stack([(doc[ok] * span + slot[ok] - back), posting[ok]]))
-    pairs = np.unique(np.concatenate(keys, axis=1), axis=1)
-    cover = pairs[0] * len(index.ids) + index.essential_item[pairs[1]]
+        keys.append((doc[ok] * span + slot[ok] - back) * width + posting[ok])
+    window, posting = np.divmod(np.unique(np.concatenate(keys)), width)
+    cover = window * len(index.ids) + index.essential_item[posting]
     places, inverse = np.unique(cover, return_inverse=True)
-    mass = np.bincount(inverse, index.essential_impact[pairs[1]])
+    mass = np.bincount(inverse, index.essential_impact[posting])
     hopeful = np.unique(places[mass >= index.needed[places % len(index.ids)]] // len(index.ids))
-    best: dict[tuple[int, int], tuple[float, float, float]] = {}
     for place in hopeful.tolist():
-        d, s = divmod(place, span)
-        passage = docs[d][s * step : s * step + 2 * step]
-        terms = sorted({t for w in passage if (t := get(w)) is not None})
-        for item, score in block_max_wand(index, terms, threshold):
-            question, answer = index.parts[item]
+        k, s = divmod(place, span)
+        d, terms = docs[k]
+        passage = terms[s * step : s * step + 2 * step].tolist()
+        for item, score in block_max_wand(index, sorted({t for t in passage if t >= 0}), threshold):
+            question, answer = index.part(item)
             q, a = overlap(question, passage), overlap(answer, passage)
             if q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP:
                 best[d, item] = max(best.get((d, item), (0.0, 0.0, 0.0)), (score, q, a))
-    for (d, item), found in sorted(best.items()):
-        out[d].append((item, *found))
-    return out
 
 
 def item_blocks(items: DataFrame, item_id: str, item_text: str) -> list[list[tuple]]:

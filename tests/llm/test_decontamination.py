@@ -19,7 +19,7 @@ def brute_scores(index, passage, threshold):
     terms = {index.vocabulary[w] for w in passage if w in index.vocabulary}
     score = [0.0] * len(index.ids)
     for t in terms:
-        for k, x in zip(index.items[t], index.impacts[t], strict=True):
+        for k, x in index.postings(t):
             score[k] += x
     return {k for k, s in enumerate(score) if s >= threshold - 1e-9}
 
@@ -40,16 +40,20 @@ def test_wand_retrieves_all_above_threshold(monkeypatch, block):
 
 def brute_leaks(index, text, threshold):
     words = dc.words_of(text)
+    names = list(index.vocabulary)
     out = set()
     for a, b in dc.windows(len(words), index.longest):
         for k in brute_scores(index, words[a:b], threshold):
-            q, an = index.parts[k]
+            q, an = ([names[t] for t in part] for part in index.part(k))
             if dc.overlap(q, words[a:b]) >= dc.QUESTION_OVERLAP and dc.overlap(an, words[a:b]) >= dc.ANSWER_OVERLAP:
                 out.add(k)
     return out
 
 
-def test_leaks_match_brute_force():
+@pytest.mark.parametrize(("piece", "expanded"), [(dc.PIECE, dc.EXPANDED), (1, 1), (200, 50)])
+def test_leaks_match_brute_force(monkeypatch, piece, expanded):
+    monkeypatch.setattr(dc, "PIECE", piece)
+    monkeypatch.setattr(dc, "EXPANDED", expanded)
     rng = random.Random(8)
     words = vocabulary(rng)
     items = [sentences(rng, words, rng.randint(1, 5)) for _ in range(80)]
