@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.shared import filter_in_arrow
+from reviewloom.llm.shared import filter_in_arrow, written
 
 #: Buckets that tokens are hashed to.
 BUCKETS = 1 << 18
@@ -89,6 +89,21 @@ def _sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, values, n)
 
 
+def screened(have: np.ndarray, graded: np.ndarray, present: np.ndarray) -> np.ndarray:
+    """Which buckets speak against a text: their documents' mean grade is below the mean of all, beyond chance.
+
+    ``have`` and ``graded`` are the number of a bucket's documents and the sum of their
+    grades, ``present`` the documents of each grade. Once screened, the buckets that are
+    left pass again.
+    """
+    grades, n = np.arange(len(present)), present.sum()
+    mean = (grades * present).sum() / n
+    deviation = ((grades - mean) ** 2 * present).sum() / n
+    z = (mean - graded / np.maximum(have, 1)) * np.sqrt(have / max(deviation, 1e-9))
+    enough = have >= MIN_DOCUMENTS
+    return enough & (z >= np.sqrt(2 * np.log(max(enough.sum() / FALSE_BUCKETS, 2))))
+
+
 def fit(buckets: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Model:
     """The model for documents given as their distinct buckets."""
     n = len(grades)
@@ -98,14 +113,9 @@ def fit(buckets: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Model:
         return Model({}, [-40.0 if k < only else 40.0 for k in range(n_grades - 1)])
     rows = np.repeat(np.arange(n), [len(b) for b in buckets])
     cols = np.concatenate(buckets) if n else np.zeros(0, np.int64)
-    # Screening: is the mean grade of documents with a bucket below the mean of all?
     seen, inverse = np.unique(cols, return_inverse=True)
     have = np.bincount(inverse, minlength=len(seen))
-    y = grades.astype(float)
-    gap = _sums((y - y.mean())[rows], inverse, len(seen)) / np.maximum(have, 1)
-    z = -gap * np.sqrt(have / max(y.var(), 1e-9))
-    enough = have >= MIN_DOCUMENTS
-    used = enough & (z >= np.sqrt(2 * np.log(max(enough.sum() / FALSE_BUCKETS, 2))))
+    used = screened(have, _sums(grades.astype(float)[rows], inverse, len(seen)), present)
     place = np.cumsum(used) - 1
     keep = used[inverse]
     rows, cols, width = rows[keep], place[inverse[keep]], int(used.sum())
@@ -144,7 +154,11 @@ def quality_grade(quality: Column, toxic: Column) -> Column:
 
 
 def training_rows(df: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str) -> list[tuple[np.ndarray, int]]:
-    """(distinct buckets, grade) of at most ``max_rows`` labelled documents; ``labels`` is (id, grade)."""
+    """(distinct buckets that pass the screening, grade) of at most ``max_rows`` labelled documents; ``labels`` is (id, grade).
+
+    Buckets are counted by executors. The driver gets two numbers of each bucket in
+    ``MIN_DOCUMENTS`` rows or more, and then of each row the buckets that have passed.
+    """
     rated = labels.where("grade IS NOT NULL").groupBy(id_col).agg(F.min("grade").alias("grade"))
     # The sample's ids are bounded by max_rows.
     picked = rated.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
@@ -155,10 +169,34 @@ def training_rows(df: DataFrame, labels: DataFrame, max_rows: int, id_col: str,
             found = [np.unique([bucket(w) for w in tokens_of(t.as_py())]).astype(np.int32) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([f.tobytes() for f in found], pa.binary())], ["id", "grade", "buckets"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, graded = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for grade, packed in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                mine = np.frombuffer(packed.as_py(), np.int32)
+                have[mine] += 1
+                graded[mine] += grade
+        some = np.flatnonzero(have)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (some, have[some], graded[some])], ["bucket", "have", "graded"])
+
     id_type = df.schema[id_col].dataType.simpleString()
     hashed = rows.mapInArrow(run, f"id {id_type}, grade int, buckets binary")
-    one = hashed.groupBy("id").agg(F.first("grade").alias("grade"), F.min("buckets").alias("buckets")).orderBy("id").limit(max_rows)
-    return [(np.frombuffer(r.buckets, np.int32).astype(np.int64), r.grade) for r in one.collect()]
+    sample = written(hashed.groupBy("id").agg(F.first("grade").alias("grade"), F.min("buckets").alias("buckets")).orderBy("id").limit(max_rows), "training-rows")
+    present = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
+    if not present:
+        return []
+    counts = sample.mapInArrow(count, "bucket long, have long, graded long").groupBy("bucket").agg(F.sum("have").alias("have"), F.sum("graded").alias("graded"))
+    told = counts.where(F.col("have") >= MIN_DOCUMENTS).toArrow()
+    place, have, graded = (told.column(c).to_numpy() for c in ("bucket", "have", "graded"))
+    used = np.sort(place[screened(have, graded.astype(float), np.array([present.get(g, 0) for g in range(max(present) + 1)]))])
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.frombuffer(x.as_py(), np.int32) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[np.isin(f, used)].tobytes() for f in found], pa.binary())], ["id", "grade", "buckets"])
+
+    left = sample.mapInArrow(passing, f"id {id_type}, grade int, buckets binary").orderBy("id")
+    return [(np.frombuffer(r.buckets, np.int32).astype(np.int64), r.grade) for r in left.collect()]
 
 
 def classify(

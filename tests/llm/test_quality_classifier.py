@@ -91,3 +91,20 @@ def test_no_other_parameters_fit_better():
     for c in m.weights:
         for step in (-0.05, 0.05):
             assert penalised_loss(m.weights | {c: m.weights[c] + step}, m.thresholds, buckets, grades, 3) > best - 2e-4
+
+
+def test_screening_by_executors_gives_the_model_of_all_buckets(spark):
+    rng = random.Random(31)
+    bad, plain = [f"bad{i}" for i in range(40)], [f"word{i}" for i in range(300)]
+    texts, grades = [], []
+    for _ in range(300):
+        grades.append(rng.randrange(3))
+        texts.append(" ".join(rng.choices(plain, k=30) + rng.choices(bad, k=2 * (2 - grades[-1]))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(list(enumerate(grades)), "doc_id long, grade int")
+    rows = qc.training_rows(df, labels, 1000, "doc_id", "text")
+    whole = [np.unique([qc.bucket(w) for w in qc.tokens_of(t)]) for t in texts]
+    got, want = (qc.fit(b, np.array(grades), 3) for b in ([b for b, _ in rows], whole))
+    assert [g for _, g in rows] == grades and sum(len(b) for b, _ in rows) < sum(map(len, whole)) / 3
+    assert got.weights == want.weights and got.thresholds == want.thresholds and len(got.weights) > 10
+    assert qc.training_rows(df, labels.limit(0), 1000, "doc_id", "text") == []
