@@ -2,6 +2,7 @@
 
 import json
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,3 +54,39 @@ def test_stream_settles_on_the_batch_result(spark, tmp_path):
         want = promote(*tables).select(*[F.col(c) for c in (*RAW.names, "signals")]).collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
     assert {r.title for r in got} == {"a", "more", "x", None} and len(got) == 5
+
+
+def test_a_fresh_key_takes_three_calls_to_the_state():
+    calls, held = [], {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, what):
+            def call(*value):
+                calls.append((self.name, what))
+                if what == "update":
+                    held[self.name] = value[0]
+                if what == "appendList":
+                    held[self.name] = held.get(self.name, []) + value[0]
+                return iter(held.get(self.name, [])) if (self.name, what) == ("raws", "get") else held.get(self.name)
+
+            return call
+
+    class Handle:
+        def getValueState(self, name, *_):
+            return State(name)
+
+        getListState = getValueState
+
+    p = promotion._Promotion(None)
+    p.init(Handle())
+    row = lambda raw=None, version=0, proposals=None: Row(repository="r", pr="1", raw=raw, version=version, proposals=proposals)
+    given = lambda *rows: [(r.raw_no, r.version, r.raw, r.proposals) for r in p.handleInputRows(("r", "1"), iter(rows), None)]
+    assert given(row("a"), row(None, 1, "p")) == [(0, 1, "a", "p")]
+    assert calls == [("entry", "get"), ("raws", "appendList"), ("entry", "update")]
+    assert given(row("b")) == [(1, 1, "b", "p")] and given(row(None, 0, "old")) == []
+    assert given(row(None, 2, "[]")) == [(0, 2, "a", None), (1, 2, "b", None)]
+    held["raws"] = held["raws"][1:]
+    assert given(row(None, 3, "q"), row("c")) == [(1, 3, "b", "q"), (2, 3, "c", "q")]
