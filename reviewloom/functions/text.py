@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,37 +92,40 @@ REVIEW_SYSTEM_PROMPT = (
 )
 
 
+def firsts_of(batches: Iterator[pa.Array], keywords: Sequence[str]) -> Iterator[pa.Array]:
+    """The first keyword of each lower-cased text, by an automaton of all of them; one text at a time is a string."""
+    listed = list(dict.fromkeys(keywords))
+    automaton = ahocorasick.Automaton()
+    for i, k in enumerate(listed):
+        if k:
+            automaton.add_word(k, i)
+    if len(automaton):
+        automaton.make_automaton()
+    always = listed.index("") if "" in listed else len(listed)
+
+    def first(text: str | None) -> str | None:
+        if text is None:
+            return None
+        best = min((i for _, i in automaton.iter(text)), default=len(listed)) if len(automaton) else len(listed)
+        best = min(best, always)
+        return listed[best] if best < len(listed) else None
+
+    for texts in batches:
+        yield pa.array((first(t.as_py()) for t in texts), pa.string())
+
+
 def first_of_many(c: Column, keywords: Sequence[str]) -> Column:
     """As :func:`first_keyword`, for hundreds of keywords: one pass over the text whatever their number.
 
     An automaton of all keywords is made once in each task (Arrow batches); of those that
     the lower-cased text contains, the first in the list is given. A null text has none; an
-    empty keyword is in every text.
+    empty keyword is in every text. A task holds one batch as it comes from Spark (64 MB or one row at most), not its texts as strings.
     """
-    order: dict[str, int] = {}
-    for k in keywords:
-        order.setdefault(k, len(order))
-    listed = list(order)
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = ahocorasick.Automaton()
-        for k in listed:
-            if k:
-                automaton.add_word(k, order[k])
-        if len(automaton):
-            automaton.make_automaton()
-        always = order.get("", len(listed))
-
-        def first(text: str | None) -> str | None:
-            if text is None:
-                return None
-            best = min((i for _, i in automaton.iter(text)), default=len(listed)) if len(automaton) else len(listed)
-            best = min(best, always)
-            return listed[best] if best < len(listed) else None
-
-        for texts in batches:
-            yield texts.map(first)
+    keywords = list(keywords)
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return firsts_of(batches, keywords)
 
     return run(F.lower(c))
 

@@ -4,7 +4,9 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import Observation
@@ -376,6 +378,15 @@ def test_first_of_many_keywords(spark):
         assert r.got == r.want and r.none is None and r["empty"] == (None if r.t is None else "")
 
 
+def test_first_of_many_keeps_no_batch_of_strings():
+    batch = pa.array(["x" * 20_000 + "bé"] * 400)
+    tracemalloc.start()
+    (got,) = text.firsts_of(iter([batch]), ["zz", "bé"])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == ["bé"] * 400 and most < 2_000_000
+
+
 def test_answers_or_warnings(spark):
     def client():
         def ask(prompts):
