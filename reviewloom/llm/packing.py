@@ -35,7 +35,7 @@ END_ID = 1
 #: Tokens that a task packs together.
 BLOCK_TOKENS = 4_000_000
 #: Different words whose ids a task remembers.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 200_000
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1 / LENGTH
 
