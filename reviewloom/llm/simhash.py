@@ -21,7 +21,9 @@ small-star steps over written tables; nothing is collected to the driver.
 
 Documents of a given Jaccard similarity (:func:`similar_documents`) are candidates
 of the same index, over bands of a longer fingerprint of their distinct shingles; a
-candidate is linked only once the exact similarity of the two sets says so.
+candidate is linked only once the exact similarity of the two sets says so. What the
+index misses is found by an exact join on the sets' first shingles (:func:`missed`), for
+documents that are not together yet, so no link is lost.
 
 Nulls and odd input: a null text and a text without words have fingerprint zero,
 linked like any other. Null ids are rows like any other; a component's id is the
@@ -52,9 +54,9 @@ RUN = 32
 #: Bytes of a row of a few numbers in a broadcast table, at most.
 ROW_BYTES = 96
 #: Pairs of nodes held at once.
-FRONTIER = 1 << 18
+FRONTIER = 1 << 16
 #: Rows gathered before finished nodes are processed.
-BUFFER = 1 << 18
+BUFFER = 1 << 16
 
 
 # -- fingerprints ---------------------------------------------------------------------------------
@@ -422,10 +424,9 @@ def components(edges: DataFrame) -> DataFrame:
 GROUPED = ("edges", "rooted")
 
 
-def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, node, component_id) from written rows (id, node) and edges between nodes."""
+def _grouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, node, component_id) from written rows (id, node) and the :func:`components` of the nodes."""
     nodes = rows.groupBy("node").agg(F.min("id").alias("least"))
-    roots = components(edges)
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # A root may have a third of all nodes: its smallest id is aggregated first, then handed out skew-safe.
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -441,13 +442,13 @@ def near_duplicates(df: DataFrame, size: int = 3, radius: int = 2, id_col: str =
     with tables_made(df.sparkSession) as drop_but:
         codes = written(rows.select("node").distinct().select("node", F.col("node").alias("code"), F.lit(0).alias("band")), "codes")
         edges = similar_edges(codes, 64, radius, node_rows=node_rows)
-        out = _grouped(rows, edges)
+        out = _grouped(rows, components(edges))
         drop_but(GROUPED)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: The long fingerprint of :func:`similar_documents`: lanes of 64 bits, bands of it that are indexed, and their radius.
-LANES, BANDS, BAND_BITS, BAND_RADIUS = 12, 24, 32, 2
+LANES, BANDS, BAND_BITS, BAND_RADIUS = 4, 8, 32, 2
 #: Lanes that go into the index with each code.
 NEAR_LANES = 4
 #: Standard deviations beyond the mean distance at the similarity asked for up to which candidates are verified, and below it up to which rows of one code follow a leader.
@@ -456,6 +457,14 @@ SLACK, SURE = 2.5, 1.0
 PART = 256
 #: Buckets of the first, bounded filter for documents with a candidate; a power of two.
 BUCKETS = 1 << 20
+#: Texts whose shingles are counted for the order of the exact join: one in SAMPLE_SHARE, but so many at least and at most.
+SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST = 20, 4_000, 100_000
+#: Sampled texts that hold a shingle from which it is common, and common shingles that are put last, at most.
+COMMON, COMMON_MOST = 3, 1_000_000
+#: Bits of a set's parities; a multiple of 64.
+PARITIES = 1024
+#: Rows of one shingle that are compared in one piece; more are dealt out in pairs of parts.
+TOGETHER = 4096
 
 
 def near_radius(similarity: float, deviations: float, lanes: int = NEAR_LANES) -> int:
@@ -478,24 +487,182 @@ def set_node(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
 
 
-def _prints(df: DataFrame, size: int) -> DataFrame:
-    """(id, digest, node, near, codes) of rows (id, digest, text)."""
+def least_common(n, thousandths: int):
+    """Shingles that a set of ``n`` has in common with any other of this similarity, at least."""
+    return -(-thousandths * n // 1000)
+
+
+def _common(rows: DataFrame, size: int) -> np.ndarray:
+    """Shingles that several of a sample of the texts (digest, text) hold, in order.
+
+    They only say in which order shingles are joined: any order gives the same links, one that has common shingles last fewer candidates.
+    """
+    total = rows.count()
+    share = min(max(total // SAMPLE_SHARE, SAMPLE_LEAST), SAMPLE_MOST) / max(total, 1)
+    some = rows.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), size).view(np.int64))], ["shingle"])
+
+    texts = some.groupBy("digest").agg(F.first("text").alias("text")).select("text")
+    counts = texts.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).select("shingle").toArrow().column(0).to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
+def first_shingles(shingles: np.ndarray, common: np.ndarray, thousandths: int) -> np.ndarray:
+    """Of a set, the first shingles in an order that all sets share; two sets of this similarity have one of them in common."""
+    if len(common) and len(shingles):
+        last = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+        shingles = np.concatenate([shingles[~last], shingles[last]])
+    return shingles[: len(shingles) - least_common(len(shingles), thousandths) + 1] if len(shingles) else shingles
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Bit i: whether an odd number of the shingles falls to i. Two sets differ in as many shingles, at least, as these differ in bits."""
+    odd = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _prints(df: DataFrame, size: int, common: np.ndarray, thousandths: int) -> DataFrame:
+    """(id, digest, node, near, codes, n, firsts, parities) of rows (id, digest, text)."""
     id_type = df.schema["id"].dataType.simpleString()
+    names = ["id", "digest", "node", "near", "codes", "n", "firsts", "parities"]
+    common = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                nodes, wide, n, firsts, odd = [], [], [], [], []
+                for t in b.column(2):
+                    h = shingle_set(t.as_py(), size)
+                    nodes.append(set_node(h))
+                    n.append(len(h))
+                    odd.append(parities(h))
+                    firsts.append(first_shingles(h, common.value, thousandths).view(np.int64))
+                    with np.errstate(over="ignore"):
+                        wide.append(b"".join((_majority(_mixed(h, k)) if len(h) else 0).to_bytes(8, "big") for k in range(LANES)))
+                bands = np.frombuffer(b"".join(wide), ">u4").astype(np.int64)
+                codes = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)), pa.array(bands))
+                near = pa.array([w[: 8 * NEAR_LANES] for w in wide], pa.binary())
+                cols = [pa.array(nodes, pa.int64()), near, codes, pa.array(n, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names)
+
+    schema = f"id {id_type}, digest long, node long, near binary, codes array<long>, n long, firsts array<long>, parities array<long>"
+    return df.select("id", "digest", "text").mapInArrow(run, schema)
+
+
+def shared_pairs(shingle: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, part: np.ndarray, thousandths: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (u, v) of rows of one shingle (rows in its order, then by ``n``) whose sets may have this similarity and are not under one root.
+
+    ``place`` is the shingle's place in the set's order; rows of one part are not compared, but for part -1.
+    """
+    u, apart = np.arange(len(shingle) - 1), 1
+    while len(u):
+        v = u + apart
+        # Sets further on are larger still.
+        going = (shingle[u] == shingle[v]) & (n[u] * 1000 >= n[v] * thousandths)
+        u, v = u[going], v[going]
+        most = np.minimum(n[u] - place[u], n[v] - place[v])
+        maybe = (root[u] != root[v]) & (most * (1000 + thousandths) >= thousandths * (n[u] + n[v])) & ((part[u] != part[v]) | (part[u] < 0))
+        if maybe.any():
+            yield u[maybe], v[maybe]
+        apart += 1
+        u = u[u + apart < len(shingle)]
+
+
+def _shared(thousandths: int, together: int | None):
+    """A mapInArrow function: rows (shingle, block, n, node, root, place, part) in order -> pairs (a, root_a, b, root_b).
+
+    A shingle's rows are held whole, up to ``together`` of them; those of a more frequent one are
+    given as they are, with b null and (node, root, shingle, n, place) in a, root_a, shingle, n, place.
+    """
+    names = ["a", "root_a", "b", "root_b", "shingle", "n", "place"]
+
+    def solved(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        shingle, block, n, node, root, place, part = cols
+        key = np.cumsum(np.concatenate(([0], (shingle[1:] != shingle[:-1]) | (block[1:] != block[:-1]))))
+        low, high = (f.reduceat(root, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))) for f in (np.minimum, np.maximum))
+        live = (low != high)[key]
+        key, n, node, root, place, part = (c[live] for c in (key, n, node, root, place, part))
+        for u, v in shared_pairs(key, root, n, place, part, thousandths):
+            less = node[u] < node[v]
+            a, b = np.where(less, u, v), np.where(less, v, u)
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (node[a], root[a], node[b], root[b])), none, none, none], names)
+
+    def passed(cols: list[np.ndarray]) -> pa.RecordBatch:
+        shingle, _, n, node, root, place, _ = cols
+        none = pa.nulls(len(node), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), none, none, pa.array(shingle), pa.array(n), pa.array(place)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, wide = None, None
         for b in batches:
-            nodes, wide = [], []
-            for t in b.column(2):
-                h = shingle_set(t.as_py(), size)
-                nodes.append(set_node(h))
-                with np.errstate(over="ignore"):
-                    wide.append(b"".join((_majority(_mixed(h, k)) if len(h) else 0).to_bytes(8, "big") for k in range(LANES)))
-            bands = np.frombuffer(b"".join(wide), ">u4").astype(np.int64)
-            codes = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)), pa.array(bands))
-            near = pa.array([w[: 8 * NEAR_LANES] for w in wide], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), near, codes], ["id", "digest", "node", "near", "codes"])
+            if not b.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            cols = now if held is None else [np.concatenate(c) for c in zip(held, now, strict=True)]
+            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            # The last shingle may go on in the next batch.
+            done, held = [c[:cut] for c in cols], [c[cut:] for c in cols]
+            if together:
+                start = np.flatnonzero(np.concatenate(([True], done[0][1:] != done[0][:-1]))) if cut else np.zeros(0, np.int64)
+                sizes = np.diff(np.append(start, cut))
+                large = np.repeat((sizes > together) | (done[0][start] == wide if wide is not None and cut else False), sizes)
+                if large.any():
+                    yield passed([c[large] for c in done])
+                    done = [c[~large] for c in done]
+                if len(held[0]) > together or (wide is not None and len(held[0]) and held[0][0] == wide):
+                    wide = held[0][0]
+                    yield passed(held)
+                    held = None
+                elif cut:
+                    wide = None
+            if len(done[0]):
+                yield from solved(done)
+        if held is not None and len(held[0]):
+            if together and (len(held[0]) > together or held[0][0] == wide):
+                yield passed(held)
+            else:
+                yield from solved(held)
+
+    return run
+
 
-    return df.select("id", "digest", "text").mapInArrow(run, f"id {id_type}, digest long, node long, near binary, codes array<long>")
+def missed(nodes: DataFrame, roots: DataFrame, similarity: float, together: int = TOGETHER) -> DataFrame:
+    """(a, root_a, b, root_b): all pairs of nodes (node, n, firsts) under different roots that may have this similarity.
+
+    Sets of a Jaccard similarity t share one of their first n - ceil(t n) + 1 shingles, whatever the order (prefix
+    filter), so no pair is missing; sizes, and the places of the shared shingle, rule out most that share one. A shingle of
+    more than ``together`` rows under several roots is dealt out in pairs of parts of that size.
+    """
+    thousandths = round(similarity * 1000)
+    kind = "a long, root_a long, b long, root_b long, shingle long, n long, place long"
+    order = ["shingle", "block", "n", "node"]
+    columns = ["shingle", "block", "n", "node", "root", "place", "part"]
+    rooted = spread_join(nodes.select("node", "n", "firsts"), roots, ["node"], roots.count() * ROW_BYTES, ["node"], "left")
+    rows = rooted.select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("firsts").alias("place", "shingle"))
+    rows = rows.select("shingle", F.lit(0).cast("long").alias("block"), "n", "node", "root", F.col("place").cast("long").alias("place"), F.lit(-1).cast("long").alias("part"))
+    found = written(rows.repartition("shingle").sortWithinPartitions(*order).mapInArrow(_shared(thousandths, together), kind), "shared")
+    pairs, wide = found.where("b IS NOT NULL").select("a", "root_a", "b", "root_b"), found.where("b IS NULL")
+    sizes = wide.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("root_a").alias("low"), F.max("root_a").alias("high")).where("low <> high")
+    sizes = written(sizes.select("shingle", F.ceil(F.col("rows") * 2 / together).alias("parts")), "wide")
+    if n_wide := sizes.count():
+        dealt = spread_join(wide, sizes, ["shingle"], n_wide * ROW_BYTES, ["a"])
+        part = F.pmod(F.xxhash64(F.col("a")), F.col("parts"))
+        dealt = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        block = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
+        # In the block of a part with itself all rows are compared, in the others those of different parts.
+        dealt = dealt.withColumns({"block": block, "part": F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part"))})
+        dealt = dealt.select("shingle", "block", "n", F.col("a").alias("node"), F.col("root_a").alias("root"), "place", F.col("part").cast("long").alias("part"))
+        more = dealt.select(*columns).repartition("shingle", "block").sortWithinPartitions(*order).mapInArrow(_shared(thousandths, None), kind)
+        pairs = pairs.unionByName(more.select("a", "root_a", "b", "root_b"))
+    return pairs.distinct()
 
 
 def _with_set(edges: DataFrame, sets: DataFrame, side: str) -> DataFrame:
@@ -546,26 +713,65 @@ def _sets(df: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
     return exact.mapInArrow(run, "digest long, node long, shingles binary").select("node", "shingles")
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs, a written table, without those whose parities say that they have not this similarity; whole sets are for the others only."""
+    sets = nodes.select("node", "n", "parities")
+    half = written(hot_join(pairs, sets.withColumnsRenamed({"node": "a", "n": "n_a", "parities": "of_a"}), "a"), "half-parities")
+    both = hot_join(half, sets.withColumnsRenamed({"node": "b", "n": "n_b", "parities": "of_b"}), "b")
+    differ = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    # So similar sets of n_a and n_b shingles differ in (1 - t) / (1 + t) of n_a + n_b at most.
+    thousandths = round(similarity * 1000)
+    return both.where(differ * (1000 + thousandths) <= (1000 - thousandths) * (F.col("n_a") + F.col("n_b"))).select(pairs.columns)
+
+
+def _linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b), a written table, of this similarity, written."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = written(nodes.select("node", "digest").join(ends.hint("shuffle_hash"), "node", "left_semi"), "wanted")
+    sets = written(_sets(rows, size, wanted), "shingle-sets")
+    return written(verified(pairs, sets, similarity), "links")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links, written."""
+    return written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)), "rooted")
+
+
+def _completed(rows: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The components of the nodes with all links, from components by some of them."""
+    left = written(_possible(written(missed(nodes, roots, similarity), "maybe"), nodes, similarity), "missed")
+    n_left = left.count()
+    if n_left > max(nodes.count(), TOGETHER):
+        # Many pairs of few components: one of each two goes first, and those that it joins are not compared further.
+        two = [F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y")]
+        first = left.groupBy(*two).agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+        now = _joined(roots, _linked(rows, nodes, written(first, "missed"), size, similarity))
+        for c in ("root_a", "root_b"):
+            again = now.select(F.col("node").alias(c), F.col("root").alias("now"))
+            left = spread_join(left, again, [c], now.count() * ROW_BYTES, ["a", "b"], "left").withColumn(c, F.coalesce("now", c)).drop("now")
+        left, roots = written(left.where("root_a <> root_b"), "missed"), now
+        n_left = left.count()
+    return _joined(roots, _linked(rows, nodes, left.select("a", "b"), size, similarity)) if n_left else roots
+
+
 def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
     """(id, component_id): documents linked at a Jaccard similarity of ``similarity`` or more of their ``size``-word shingles.
 
-    Candidates have one of ``BANDS`` 32-bit bands of their 768-bit fingerprints within
-    two bits, which the index finds exactly, and 256 bits of it within
-    :func:`near_radius`; each link is verified on the whole shingle sets. What is lost
-    are pairs that meet in no band, a few percent right at 0.8 (README).
+    Candidates have one of ``BANDS`` 32-bit bands of their fingerprints within two
+    bits, which the index finds exactly, and 256 bits within :func:`near_radius`; each
+    link is verified on the whole shingle sets. The pairs that meet in no band, or are
+    joined by a chain of candidates that are not alike, come from :func:`missed`, verified in the same way.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("digest"), F.col(text_col).alias("text"))
-    prints = written(_prints(rows, size), "fingerprints")
+    prints = written(_prints(rows, size, _common(rows, size), round(similarity * 1000)), "fingerprints")
     with tables_made(df.sparkSession) as drop_but:
-        nodes = prints.groupBy("node").agg(F.min("digest").alias("digest"), F.first("near").alias("near"), F.first("codes").alias("codes"))
-        nodes = written(nodes, "nodes")
+        kept = [F.first(c).alias(c) for c in ("near", "codes", "n", "firsts", "parities")]
+        nodes = written(prints.groupBy("node").agg(F.min("digest").alias("digest"), *kept), "nodes")
         codes = nodes.select("node", "near", F.posexplode("codes").alias("band", "code"))
         radii = near_radius(similarity, -SURE), near_radius(similarity, SLACK)
         pairs = written(similar_edges(codes, BAND_BITS, BAND_RADIUS, radii, node_rows).distinct(), "candidates")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = written(nodes.select("node", "digest").join(ends.hint("shuffle_hash"), "node", "left_semi"), "wanted")
-        sets = written(_sets(rows, size, wanted), "shingle-sets")
-        edges = written(verified(pairs, sets, similarity), "links")
-        out = _grouped(prints.select("id", "node"), edges)
+        roots = written(components(_linked(rows, nodes, pairs, size, similarity)), "rooted")
+        drop_but(("nodes", "rooted"))
+        out = _grouped(prints.select("id", "node"), _completed(rows, nodes, roots, size, similarity))
         drop_but(GROUPED)
     return out.select(F.col("id").alias(id_col), "component_id")

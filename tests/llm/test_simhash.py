@@ -157,6 +157,42 @@ def test_recall_right_above_the_threshold(spark):
     assert len(close) > 40 and sum(got[i] == got[i + 1] for i in close) >= 0.9 * len(close)
 
 
+def test_no_link_is_lost(spark):
+    rng = random.Random(26)
+    texts = near_copies(rng, 150, 2, 0.03) + near_copies(rng, 30, 8, 0.05)
+    sets = [shingles(t) for t in texts]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == brute_groups(range(len(texts)), lambda a, b: alike(sets[a], sets[b]))
+
+
+@pytest.mark.parametrize("together", [2, 4096])
+def test_the_exact_join_loses_no_pair(spark, together):
+    rng = random.Random(27)
+    sets = [set()]
+    for _ in range(12):
+        base = rng.sample(range(400), rng.randint(1, 40))
+        sets += [set(base[: len(base) - rng.randint(0, 3)]) | set(rng.sample(range(400), rng.randint(0, 3))) for _ in range(12)]
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    common = np.arange(0, 400, 3, dtype=np.uint64)
+    rows = [(i, len(a), simhash.first_shingles(a, common, 800).tolist()) for i, a in enumerate(arrays)]
+    nodes = written(spark.createDataFrame(rows, "node long, n long, firsts array<long>"), "t")
+    roots = written(spark.createDataFrame([(i, i - i % 3) for i in range(0, len(sets), 2)], "node long, root long"), "t")
+    root = {i: i if i % 2 else i - i % 3 for i in range(len(sets))}
+    got = [tuple(r) for r in simhash.missed(nodes, roots, 0.8, together).collect()]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if root[a] != root[b] and sets[a] and alike(sets[a], sets[b])}
+    assert want <= {(a, b) for a, _, b, _ in got} and len(want) > 50
+    assert all(a < b and (ra, rb) == (root[a], root[b]) and ra != rb for a, ra, b, rb in got) and len(set(got)) == len(got)
+
+
+def test_parities_never_rule_out_a_link():
+    rng = random.Random(28)
+    for _ in range(300):
+        base = [rng.getrandbits(64) for _ in range(rng.randint(1, 3000))]
+        a, b = (np.array(sorted(set(base[: len(base) - rng.randint(0, len(base) // 5)]) | {rng.getrandbits(64)}), np.uint64) for _ in range(2))
+        differ = int(np.bitwise_count(simhash.parities(a).view(np.uint64) ^ simhash.parities(b).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b))
+
+
 def test_local_candidates_span_all_candidates():
     rng = random.Random(3)
     codes, near, group = [], [], []
