@@ -646,9 +646,11 @@ def missed(nodes: DataFrame, roots: DataFrame, similarity: float, together: int
     order = ["shingle", "block", "n", "node"]
     columns = ["shingle", "block", "n", "node", "root", "place", "part"]
     rooted = spread_join(nodes.select("node", "n", "firsts"), roots, ["node"], roots.count() * ROW_BYTES, ["node"], "left")
-    rows = rooted.select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("firsts").alias("place", "shingle"))
+    rows = rooted.select("node", "n", F.nullif("root", "node").alias("root"), F.posexplode("firsts").alias("place", "shingle"))
     rows = rows.select("shingle", F.lit(0).cast("long").alias("block"), "n", "node", "root", F.col("place").cast("long").alias("place"), F.lit(-1).cast("long").alias("part"))
-    found = written(rows.repartition("shingle").sortWithinPartitions(*order).mapInArrow(_shared(thousandths, together), kind), "shared")
+    # Most nodes are alone: a root that is the node itself is filled in behind the shuffle.
+    dealt = rows.repartition("shingle").sortWithinPartitions(*order).withColumn("root", F.coalesce("root", "node"))
+    found = written(dealt.mapInArrow(_shared(thousandths, together), kind), "shared")
     pairs, wide = found.where("b IS NOT NULL").select("a", "root_a", "b", "root_b"), found.where("b IS NULL")
     sizes = wide.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("root_a").alias("low"), F.max("root_a").alias("high")).where("low <> high")
     sizes = written(sizes.select("shingle", F.ceil(F.col("rows") * 2 / together).alias("parts")), "wide")
@@ -665,15 +667,20 @@ def missed(nodes: DataFrame, roots: DataFrame, similarity: float, together: int
     return pairs.distinct()
 
 
-def _with_set(edges: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """Adds the shingle set of one side of each edge; a node of many edges is handed out in parts of about ``PART``."""
-    counts = edges.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
-    other = "b" if side == "a" else "a"
-    part = F.pmod(F.xxhash64(other), F.ceil(F.col("n") / PART)).cast("int")
-    parted = hot_join(edges, counts, side).withColumn("part", part).drop("n")
-    copies = counts.select(F.col(side).alias("node"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PART).cast("int") - 1)).alias("part"))
+def _parted(edges: DataFrame) -> DataFrame:
+    """Adds ``a_part`` and ``b_part``: a node of many edges is handed out in parts of about ``PART``."""
+    for side, other in (("a", "b"), ("b", "a")):
+        counts = edges.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
+        part = F.pmod(F.xxhash64(other), F.ceil(F.col("n") / PART)).cast("int")
+        edges = written(hot_join(edges, counts, side).withColumn(f"{side}_part", part).drop("n"), "parted")
+    return edges
+
+
+def _with_set(rows: DataFrame, edges: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """Adds the shingle set of one side of each of the :func:`_parted` edges to ``rows``, which has them."""
+    copies = edges.select(F.col(side).alias("node"), F.col(f"{side}_part")).distinct()
     handed = sets.join(copies.hint("shuffle_hash"), "node").withColumnsRenamed({"node": side, "shingles": f"{side}_set"})
-    return parted.join(handed.hint("merge"), [side, "part"]).drop("part")
+    return rows.join(handed.hint("merge"), [side, f"{side}_part"])
 
 
 def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -692,8 +699,10 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                     good.append(common * 1000 >= round(similarity * 1000) * (len(x) + len(y) - common))
                 yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    one = written(_with_set(edges, sets, "a"), "half-sets")
-    return _with_set(one, sets, "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
+    # The parts are settled on bare edges, so that sets, once added, are shuffled once more only.
+    edges = _parted(edges)
+    one = written(_with_set(edges, edges, sets, "a"), "half-sets")
+    return _with_set(one, edges, sets, "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
 
 
 def _sets(df: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
@@ -726,10 +735,13 @@ def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
 
 def _linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b), a written table, of this similarity, written."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(nodes.select("node", "digest").join(ends.hint("shuffle_hash"), "node", "left_semi"), "wanted")
-    sets = written(_sets(rows, size, wanted), "shingle-sets")
-    return written(verified(pairs, sets, similarity), "links")
+    with tables_made(rows.sparkSession) as drop_but:
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = written(nodes.select("node", "digest").join(ends.hint("shuffle_hash"), "node", "left_semi"), "wanted")
+        sets = written(_sets(rows, size, wanted), "shingle-sets")
+        links = written(verified(pairs, sets, similarity), "links")
+        drop_but(("links",))
+    return links
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -763,15 +775,18 @@ def similar_documents(df: DataFrame, size: int = 5, similarity: float = 0.8, id_
     joined by a chain of candidates that are not alike, come from :func:`missed`, verified in the same way.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("digest"), F.col(text_col).alias("text"))
+    spark = df.sparkSession
     prints = written(_prints(rows, size, _common(rows, size), round(similarity * 1000)), "fingerprints")
-    with tables_made(df.sparkSession) as drop_but:
+    ids = written(prints.select("id", "node"), "ids")
+    with tables_made(spark) as drop_but:
         kept = [F.first(c).alias(c) for c in ("near", "codes", "n", "firsts", "parities")]
         nodes = written(prints.groupBy("node").agg(F.min("digest").alias("digest"), *kept), "nodes")
+        drop_written(spark, prints)
         codes = nodes.select("node", "near", F.posexplode("codes").alias("band", "code"))
         radii = near_radius(similarity, -SURE), near_radius(similarity, SLACK)
         pairs = written(similar_edges(codes, BAND_BITS, BAND_RADIUS, radii, node_rows).distinct(), "candidates")
         roots = written(components(_linked(rows, nodes, pairs, size, similarity)), "rooted")
         drop_but(("nodes", "rooted"))
-        out = _grouped(prints.select("id", "node"), _completed(rows, nodes, roots, size, similarity))
+        out = _grouped(ids, _completed(rows, nodes, roots, size, similarity))
         drop_but(GROUPED)
     return out.select(F.col("id").alias(id_col), "component_id")

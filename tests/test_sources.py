@@ -224,3 +224,21 @@ def test_changed_part_is_noticed(spark, tmp_path):
     part.write_text(part.read_text().replace("{", "{ "))
     with pytest.raises(PySparkException, match="not what its manifest says"):
         spark.read.format("record_set").load(str(tmp_path)).collect()
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    import os
+    import time
+
+    from reviewloom.sources.scratch import CLEANUP, written
+
+    before = spark.conf.get(CLEANUP, None)
+    dirs = [d.getPath() for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    there = files()
+    out = written(spark.range(1000).repartition(7, "id"), "shuffled")
+    until = time.time() + 5
+    while files() - there and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - there
+    assert out.count() == 1000 and spark.conf.get(CLEANUP, None) == before
