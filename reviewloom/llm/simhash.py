@@ -701,7 +701,7 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     # The parts are settled on bare edges, so that sets, once added, are shuffled once more only.
     edges = _parted(edges)
-    one = written(_with_set(edges, edges, sets, "a"), "half-sets")
+    one = _with_set(edges, edges, sets, "a")
     return _with_set(one, edges, sets, "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
 
 
